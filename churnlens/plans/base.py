@@ -1,25 +1,57 @@
 """Shared building blocks for the registered queries.
 
-Each builder is lazy: it returns a DataFrame plan over the parquet tables in
-``sf_dir``; nothing is collected.
+The scored account table is the expensive, reused part (order aggregation,
+joins, survival curves). It is built once per (session, input folder) and
+persisted with ``MEMORY_AND_DISK`` — "score once, decide many". A lost executor
+only costs recomputation of its cached blocks from lineage. Every query below is
+a lazy plan on top of it; nothing is collected.
 """
 
 from __future__ import annotations
 
+import threading
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from churnlens.operators.economics import add_economic_fields, score_with_scorecard
 from churnlens.sources.tables import account_view
 
+_CACHE: dict[tuple, DataFrame] = {}
+_LOCK = threading.Lock()
+
+
+def cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    with _LOCK:
+        df = _CACHE.get(key)
+        if df is None:
+            df = build().persist(StorageLevel.MEMORY_AND_DISK)
+            _CACHE[key] = df
+        return df
+
+
+def clear_cache() -> None:
+    with _LOCK:
+        for df in _CACHE.values():
+            try:
+                df.unpersist()
+            except Exception:  # noqa: BLE001 - session may already be gone
+                pass
+        _CACHE.clear()
+
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned account table (uncached: the quality gate reads it once)."""
     return account_view(spark, sf_dir)
 
 
-def economics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return add_economic_fields(accounts(spark, sf_dir), method="km")
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scorecard-scored account economics, persisted once per session."""
+    return cached(spark, sf_dir, "scored", lambda: score_with_scorecard(
+        add_economic_fields(account_view(spark, sf_dir), method="km")))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scorecard-scored account table (exact across engines)."""
-    return score_with_scorecard(economics(spark, sf_dir))
+def economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account economics (the scored table carries every economics column)."""
+    return scored(spark, sf_dir)

@@ -102,9 +102,9 @@ FROM scored0"""),
 BASE = ACCOUNT_CTES + KM_CTES + ECON_CTES
 
 
-def with_ctes(ctes, body: str) -> str:
+def with_ctes(ctes, body: str, recursive: bool = False) -> str:
     parts = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in ctes)
-    return f"WITH {parts}\n{body.strip()}"
+    return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body.strip()}"
 
 
 def base(body: str, extra=()) -> str:

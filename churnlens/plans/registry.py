@@ -150,7 +150,7 @@ def q_charge_histogram(spark, sf_dir):
 SELECT plan, t, n_at_time, deaths, at_risk, {O.fx('surv', 8)} AS surv FROM km"""))
 def q_km_curve(spark, sf_dir):
     """Kaplan–Meier curve per plan at every distinct tenure."""
-    c = km_curve(B.accounts(spark, sf_dir).withColumnRenamed("Contract", "plan"))
+    c = km_curve(B.scored(spark, sf_dir))
     return c.select("plan", "t", "n_at_time", "deaths", "at_risk", fixed("surv", 8).alias("surv"))
 
 
@@ -158,7 +158,7 @@ def q_km_curve(spark, sf_dir):
 SELECT plan, tenure, {O.fx('surv', 8)} AS surv, expected_months FROM km_rem"""))
 def q_km_remaining(spark, sf_dir):
     """Restricted mean residual life per plan on the dense tenure grid."""
-    c = km_curve(B.accounts(spark, sf_dir).withColumnRenamed("Contract", "plan"))
+    c = km_curve(B.scored(spark, sf_dir))
     r = km_remaining(c, "plan")
     return r.select("plan", "tenure", fixed("surv", 8).alias("surv"), "expected_months")
 
@@ -181,6 +181,3 @@ def q_scored_accounts(spark, sf_dir):
     """Scored table: probability, risk band and diagnostic losses."""
     return B.scored(spark, sf_dir).select(*_SCORED_COLS)
 
-
-def _unused():  # keep F imported for downstream modules that extend the registry
-    return F
