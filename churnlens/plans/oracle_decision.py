@@ -63,21 +63,7 @@ FROM ds2"""),
 SELECT scenario, customer_id, cost_micro,
        row_number() OVER (PARTITION BY scenario ORDER BY {order} DESC, customer_id) AS rn
 FROM ds WHERE retention_cost > 0 AND net_retention_value > 0"""),
-        ("dw", """
-SELECT scenario, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS n, false AS taken FROM dp
-UNION ALL
-SELECT w.scenario, e.rn,
-       CASE WHEN w.spent + e.cost_micro <= p.budget_micro THEN w.spent + e.cost_micro ELSE w.spent END,
-       CASE WHEN w.spent + e.cost_micro <= p.budget_micro THEN w.n + 1 ELSE w.n END,
-       w.spent + e.cost_micro <= p.budget_micro
-FROM dw w JOIN de e ON e.scenario = w.scenario AND e.rn = w.rn + 1
-JOIN dp p ON p.scenario = w.scenario
-WHERE w.n < p.cap"""),
-        ("dsel", """
-SELECT e.scenario, e.customer_id FROM dw w JOIN de e ON e.scenario = w.scenario AND e.rn = w.rn WHERE w.taken"""),
-        ("dspent", f"""
-SELECT p.scenario, coalesce(max(w.spent), 0) / {dbl(float(C.MICRO))} AS spent
-FROM dp p LEFT JOIN dw w ON w.scenario = p.scenario GROUP BY p.scenario"""),
+        *walk_ctes("d", "de", "dp"),
         ("dq", f"""
 SELECT quantile_cont(CLV, 0.5) AS clv_median, quantile_cont(retention_cost, 0.5) AS cost_median,
        quantile_cont(CLV, 0.75) AS clv_q75 FROM {source}"""),
@@ -103,6 +89,32 @@ FROM dseg d CROSS JOIN dq q"""),
     ]
 
 
+def walk_ctes(prefix: str, elig: str, params: str) -> list[tuple[str, str]]:
+    """Sequential skip-and-continue walk over ``elig(scenario, customer_id,
+    cost_micro, rn)`` with ``params(scenario, budget_micro, cap)``; yields
+    ``{prefix}w`` (walk), ``{prefix}sel`` (selected ids), ``{prefix}spent``."""
+    w = f"{prefix}w"
+    return [
+        (w, f"""
+SELECT scenario, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS spent, CAST(0 AS BIGINT) AS n, false AS taken
+FROM {params}
+UNION ALL
+SELECT w.scenario, e.rn,
+       CASE WHEN w.spent + e.cost_micro <= p.budget_micro THEN w.spent + e.cost_micro ELSE w.spent END,
+       CASE WHEN w.spent + e.cost_micro <= p.budget_micro THEN w.n + 1 ELSE w.n END,
+       w.spent + e.cost_micro <= p.budget_micro
+FROM {w} w JOIN {elig} e ON e.scenario = w.scenario AND e.rn = w.rn + 1
+JOIN {params} p ON p.scenario = w.scenario
+WHERE w.n < p.cap"""),
+        (f"{prefix}sel", f"""
+SELECT e.scenario, e.customer_id FROM {w} w JOIN {elig} e ON e.scenario = w.scenario AND e.rn = w.rn
+WHERE w.taken"""),
+        (f"{prefix}spent", f"""
+SELECT p.scenario, coalesce(max(w.spent), 0) / {dbl(float(C.MICRO))} AS spent
+FROM {params} p LEFT JOIN {w} w ON w.scenario = p.scenario GROUP BY p.scenario"""),
+    ]
+
+
 def decision_sql(body: str, scenarios: list[Scenario], extra=(), **kw) -> str:
     return with_ctes(list(BASE) + decision_ctes(scenarios, **kw) + list(extra), body, recursive=True)
 
