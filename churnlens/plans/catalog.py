@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from churnlens.plans import q_decision, q_policies  # noqa: F401
+from churnlens.plans import q_decision, q_eval, q_policies  # noqa: F401
 from churnlens.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

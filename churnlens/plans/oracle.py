@@ -54,7 +54,8 @@ SELECT 'C-' || CAST(c.c_custkey AS VARCHAR) AS customer_id,
                  ELSE h.as_of END) / 30) AS INTEGER) AS tenure,
        floor(CAST(h.spend_cents AS DOUBLE) / (h.n_orders * 2500) + {dbl(0.5)}) / {dbl(100.0)} AS MonthlyCharges,
        floor(CAST(h.spend_cents AS DOUBLE) / 2500 + {dbl(0.5)}) / {dbl(100.0)} AS TotalCharges,
-       CASE WHEN h.last_order < h.as_of - INTERVAL {C.CHURN_GAP_DAYS} DAY THEN 1 ELSE 0 END AS churned
+       CASE WHEN h.last_order < h.as_of - INTERVAL {C.CHURN_GAP_DAYS} DAY THEN 1 ELSE 0 END AS churned,
+       h.last_order, h.as_of
 FROM customer c JOIN o_hist h ON c.c_custkey = h.o_custkey
 JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey"""),
 ]

@@ -93,7 +93,8 @@ def raw_account_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.floor(days / F.lit(30)).cast("int").alias("tenure"),
                     monthly.alias("MonthlyCharges"),
                     total.cast("string").alias("TotalCharges"),
-                    F.when(churned, "Yes").otherwise("No").alias("Churn")))
+                    F.when(churned, "Yes").otherwise("No").alias("Churn"),
+                    "last_order", "as_of"))
 
 
 def account_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,15 +103,16 @@ def account_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_customers(raw_account_view(spark, sf_dir))
 
 
-def experiment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A/B-style frame: ``treat`` = parity of the md5 of the id, ``outcome`` =
-    an order in the last 90 days before the as-of date."""
-    hist = order_history(spark, sf_dir)
+def experiment_frame(accounts: DataFrame) -> DataFrame:
+    """A/B-style frame from an account table: ``treat`` = parity of the md5 of
+    the id, ``outcome`` = an order in the last 90 days before the as-of date."""
     recent = F.col("last_order") >= (F.col("as_of") - F.expr(f"INTERVAL {C.EXPERIMENT_RECENT_DAYS} DAYS"))
-    cid = F.concat(F.lit("C-"), F.col("o_custkey").cast("string"))
-    return hist.select(cid.alias("customer_id"),
-                       (hash_u32(cid) % 2).cast("int").alias("treat"),
-                       F.when(recent, 1).otherwise(0).alias("outcome"))
+    return (accounts.withColumn("treat", (hash_u32(F.col("customer_id")) % 2).cast("int"))
+            .withColumn("outcome", F.when(recent, 1).otherwise(0)))
+
+
+def experiment_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment_frame(account_view(spark, sf_dir)).select("customer_id", "treat", "outcome")
 
 
 def drift_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
