@@ -103,8 +103,7 @@ def decide(scored: DataFrame, params: DecisionParams = DecisionParams()) -> Deci
     is_act = pack.predicate
     seg = (F.when(is_act, "ACT")
            .when(F.col("net_retention_value") > 0, "MONITOR").otherwise("IGNORE"))
-    table = (weighted.withColumn("action_segment", seg)
-             .withColumn("efficiency", efficiency_col())
+    table = (weighted.withColumns({"action_segment": seg, "efficiency": efficiency_col()})
              .drop("strategy_weight", "adjusted_priority"))
     table = add_reasons_and_actions(table)
     return Decision(table=table, pack=pack, params=params)
@@ -114,11 +113,12 @@ def add_reasons_and_actions(table: DataFrame) -> DataFrame:
     """Rule-based reason (first 3 of 5 rules) and recommended action, ACT rows only.
 
     Medians and the CLV upper quartile are over the whole table (exact
-    ``percentile``, evaluated once as scalar subqueries).
+    ``percentile``, one aggregate evaluated once as a scalar subquery).
     """
-    clv_median = table.select(F.percentile("CLV", 0.5)).scalar()
-    cost_median = table.select(F.percentile("retention_cost", 0.5)).scalar()
-    clv_q75 = table.select(F.percentile("CLV", 0.75)).scalar()
+    q = table.select(F.struct(F.percentile("CLV", [0.5, 0.75]).alias("clv"),
+                              F.percentile("retention_cost", 0.5).alias("cost"))).scalar()
+    clv_median, clv_q75 = F.element_at(q.getField("clv"), 1), F.element_at(q.getField("clv"), 2)
+    cost_median = q.getField("cost")
     band = F.col("risk_band")
     parts = [
         F.when(band == "HIGH", F.lit(C.REASON_HIGH)).when(band == "MEDIUM", F.lit(C.REASON_MEDIUM)),
@@ -139,8 +139,8 @@ def add_reasons_and_actions(table: DataFrame) -> DataFrame:
               .when(band == "MEDIUM", F.lit(C.ACTION_EMAIL))
               .otherwise(F.lit(C.ACTION_STANDARD)))
     is_act = F.col("action_segment") == "ACT"
-    return (table.withColumn("decision_reason", F.when(is_act, reason).otherwise(F.lit("")))
-            .withColumn("recommended_action", F.when(is_act, action).otherwise(F.lit(""))))
+    return table.withColumns({"decision_reason": F.when(is_act, reason).otherwise(F.lit("")),
+                              "recommended_action": F.when(is_act, action).otherwise(F.lit(""))})
 
 
 def loss_share(scored: DataFrame) -> DataFrame:

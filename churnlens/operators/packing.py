@@ -76,7 +76,7 @@ def _sort_cols(keys):
 def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
                 max_customers: int | None = None, cost_col: str = "retention_cost",
                 id_col: str = "customer_id", mode: str = "auto",
-                topm_threshold: int = TOPM_THRESHOLD) -> PackResult:
+                topm_threshold: int = TOPM_THRESHOLD, topm_block: int = 1024) -> PackResult:
     """Select rows of ``df`` (already filtered to eligible rows) in ``order``
     (list of ``(column, descending)``, ``id_col`` ascending is appended as the
     final tiebreak) under ``budget`` and ``max_customers``."""
@@ -100,17 +100,43 @@ def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
         if cut is not None:
             cand = cand & _after(keys, cut)
         if mode == "topm":
-            rows = (slim.where(cand).orderBy(*_sort_cols(keys)).limit(left)
+            # fetch a block and walk it with the full skip-and-continue rule; a
+            # round that ends inside the block is settled here, one that reaches
+            # the block end is split there and continues with the next fetch
+            block = min(max(2 * left, topm_block), max(topm_block, left)) if left else topm_block
+            rows = (slim.where(cand).orderBy(*_sort_cols(keys)).limit(block)
                     .select(*key_names, "__cost").collect())
-            taken, run, last, overflow = 0, 0, None, None
-            for r in rows:
-                if run + r["__cost"] > remaining:
-                    overflow = tuple(r[k] for k in key_names)
-                    break
+            if not rows:
+                break
+            r_cut, r_budget, run, last, taken_total = cut, remaining, 0, None, 0
+            i = 0
+            while i < len(rows) and (left is None or taken_total < left):
+                r = rows[i]
+                key = tuple(r[k] for k in key_names)
+                if r["__cost"] > r_budget:
+                    i += 1          # not a candidate of this round
+                    continue
+                if run + r["__cost"] > r_budget:
+                    # overflow: close the round, the overflow row is the new cut
+                    if last is not None:
+                        accepted_rounds.append((r_budget, r_cut, last))
+                    r_cut, r_budget, run, last = key, r_budget - run, 0, None
+                    i += 1
+                    continue
                 run += r["__cost"]
-                taken += 1
-                last = tuple(r[k] for k in key_names)
-            exhausted = overflow is None
+                taken_total += 1
+                last = key
+                i += 1
+            if last is not None:
+                accepted_rounds.append((r_budget, r_cut, last))
+            count += taken_total
+            remaining = r_budget - run
+            if left is not None:
+                left -= taken_total
+            if len(rows) < block or (left is not None and left <= 0):
+                break
+            cut = tuple(rows[-1][k] for k in key_names)
+            continue
         else:
             run_df = ranked.running({"run": F.col("__cost")}, where=cand)
             ok = (F.col("run") <= F.lit(remaining))

@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import config as C
@@ -45,16 +45,40 @@ def beta_cdf_table(a: float, b: float, grid: int) -> list[float]:
     return (cum / cum[-1]).tolist()
 
 
+def beta_cdf_frame(spark, a: float, b: float, grid: int) -> DataFrame:
+    """``(j, value)``: the cumulative share at grid point j, computed in Spark.
+
+    Densities become integers relative to their maximum, so the running sum is
+    exact in any order; the window covers ``grid`` rows (a parameter)."""
+    x = (F.col("j") + F.lit(0.5)) / F.lit(float(grid))
+    dens = F.exp((F.lit(a) - 1) * F.log(x) + (F.lit(b) - 1) * F.log(F.lit(1.0) - x))
+    g = spark.range(grid).select(F.col("id").cast("int").alias("j")).withColumn("d", dens)
+    dmax = g.select(F.max("d")).scalar()
+    g = g.withColumn("di", F.floor(F.col("d") / dmax * F.lit(DENSITY_SCALE)).cast("bigint"))
+    total = g.select(F.sum("di")).scalar()
+    run = Window.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return g.select("j", (F.sum("di").over(run).cast("double") / total.cast("double")).alias("value"))
+
+
 def simulate_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.N_SIMS,
                       rate_std: float = C.RATE_STD, seed: int = C.SEED, grid: int = 10_000) -> DataFrame:
     """One summary row; no row when the funded set is empty or costs nothing."""
     spark = act.sparkSession
     a, b = beta_parameters(float(assumed_save_rate), rate_std)
-    cdf = F.lit(beta_cdf_table(a, b, grid))  # one array literal (grid entries)
-    u = hash_uniform(F.lit(f"{seed}|rate|"), F.col("scenario"))
-    scenarios = (spark.range(n_sims).select(F.col("id").cast("int").alias("scenario"))
-                 .withColumn("j", F.size(F.filter(cdf, lambda c: c < u)))
-                 .select("scenario", ((F.col("j") + F.lit(0.5)) / F.lit(float(grid))).alias("rate")))
+    # inverse-CDF lookup as a sorted as-of match: the first grid index j with
+    # cdf_j >= u is the running minimum of j over rows with value >= u (grid rows
+    # sort before draws on ties). n_sims + grid rows, both parameters.
+    table = beta_cdf_frame(spark, a, b, grid)
+    draws_u = (spark.range(n_sims).select(F.col("id").cast("int").alias("scenario"))
+               .withColumn("value", hash_uniform(F.lit(f"{seed}|rate|"), F.col("scenario"))))
+    events = (table.select("value", F.col("j").cast("int").alias("j"), F.lit(None).cast("int").alias("scenario"),
+                           F.lit(1).alias("kind"))
+              .unionByName(draws_u.select("value", F.lit(None).cast("int").alias("j"), "scenario",
+                                          F.lit(0).alias("kind"))))
+    ahead = Window.orderBy(F.col("value").desc(), F.col("kind").desc()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    scenarios = (events.withColumn("jmin", F.min("j").over(ahead)).where(F.col("kind") == 0)
+                 .select("scenario", ((F.col("jmin") + F.lit(0.5)) / F.lit(float(grid))).alias("rate")))
 
     total_cost = act.select(F.sum(micro("retention_cost"))).scalar()
     draws = act.select("customer_id", "churn_probability", micro("CLV").alias("clv_micro"),

@@ -3,4 +3,7 @@
 from churnlens.plans import q_decision, q_eval, q_policies  # noqa: F401
 from churnlens.plans.registry import ORACLE, QUERIES
 
-__all__ = ["QUERIES", "ORACLE"]
+# queries that fit models (rows-only checks; slowest part of the bench)
+MODEL_QUERIES: set[str] = set()
+
+__all__ = ["QUERIES", "ORACLE", "MODEL_QUERIES"]
