@@ -24,17 +24,18 @@ DECILE_LEVELS = [float(v) for v in np.linspace(0, 1, 11)]
 CUTOFFS = [k / C.PROFIT_STEPS for k in range(C.PROFIT_STEPS + 1)]
 
 
-def roc_auc(df: DataFrame, y: str = "churned", p: str = "churn_probability") -> DataFrame:
-    """One row ``roc_auc`` (NULL when a class is absent)."""
-    per_p = df.groupBy(F.col(p).alias("score")).agg(
+def roc_auc(df: DataFrame, y: str = "churned", p: str = "churn_probability", by: list[str] = ()) -> DataFrame:
+    """One row ``roc_auc`` per group of ``by`` (NULL when a class is absent)."""
+    by = list(by)
+    per_p = df.groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    run = RangeOrdered(per_p, [F.col("score").asc()]).running({"cneg": F.col("neg")})
+    run = RangeOrdered(per_p, [F.col("score").asc()], partition_by=by).running({"cneg": F.col("neg")})
     # pos * (2 * negatives strictly below + negatives tied), summed exactly as integers
     num = F.sum(F.col("pos") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg")))
-    tot = run.agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    return tot.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                             fixed(F.col("num").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")), 6))
+    tot = run.groupBy(*by).agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    return tot.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
+                                  fixed(F.col("num").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")), 6))
                       .alias("roc_auc"))
 
 
@@ -106,7 +107,7 @@ def calibration_table(df: DataFrame, y: str = "churned", p: str = "churn_probabi
     for j in range(1, len(DECILE_LEVELS) - 1):
         e = F.try_element_at(edges, F.lit(j + 1))
         bin_ = bin_ + F.when((F.lit(j) <= inner_n) & (e < F.col(p)), 1).otherwise(0)
-    return (df.groupBy(bin_.alias("decile"))
+    return (df.withColumn("decile", bin_).groupBy("decile")
             .agg(F.count(F.lit(1)).alias("customers"),
                  fixed(F.avg(p), 3).alias("avg_predicted"),
                  fixed(F.avg(y), 3).alias("actual_churn_rate")))
