@@ -160,3 +160,50 @@ def q_model_card(spark, sf_dir):
         rows_of(M.feature_importances(model)).alias("feature_importances"),
         EV.profit_threshold(EV.profit_curve(holdout)).select(F.struct("*")).scalar().alias("profit_threshold"),
         rows_of(S.churn_summary(scored)).alias("segment_summary"))
+
+
+# ---- C5-C8 Cox proportional hazards -----------------------------------------------------
+
+_COX: dict = {}
+
+
+def fitted_cox(spark, sf_dir):
+    from churnlens.operators.cox import fit_cox
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _COX:
+        _COX[key] = fit_cox(B.scored(spark, sf_dir))
+    return _COX[key]
+
+
+@query("cox_coefficients")
+def q_cox_coefficients(spark, sf_dir):
+    """Penalised Cox coefficients (Efron ties, Newton) on standardised covariates."""
+    m = fitted_cox(spark, sf_dir)
+    rows = [(n, float(b)) for n, b in zip(m.names, m.beta)]  # p model coefficients
+    return spark.createDataFrame(rows, "covariate string, coefficient double").select(
+        "covariate", fixed("coefficient", 6).alias("coefficient"))
+
+
+@query("cox_remaining")
+def q_cox_remaining(spark, sf_dir):
+    """Per-account Cox expected remaining months over the 60-month horizon."""
+    from churnlens.operators.cox import cox_expected_remaining
+    return cox_expected_remaining(B.scored(spark, sf_dir), fitted_cox(spark, sf_dir)).select(
+        "customer_id", "plan", "tenure", "cox_months")
+
+
+@query("cox_vs_km")
+def q_cox_vs_km(spark, sf_dir):
+    """Correlation of Cox and KM expected months and the within-plan Cox spread."""
+    from churnlens.operators.cox import cox_vs_km
+    return cox_vs_km(B.scored(spark, sf_dir), fitted_cox(spark, sf_dir))
+
+
+@query("cox_economics")
+def q_cox_economics(spark, sf_dir):
+    """Economics with the method choice: Cox when valid (>= 200 rows, all estimates
+    positive), else Kaplan-Meier; the chosen method is reported per row."""
+    from churnlens.operators.economics import add_economic_fields
+    from churnlens.sources.tables import account_view
+    econ = add_economic_fields(account_view(spark, sf_dir), method="cox")
+    return econ.select("customer_id", "plan", "clv_method", "expected_months", "CLV", "retention_cost")
