@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from churnlens.plans import q_decision, q_eval, q_model, q_policies  # noqa: F401
+from churnlens.plans import q_decision, q_eval, q_model, q_policies, q_stream  # noqa: F401
 from churnlens.plans.registry import ORACLE, QUERIES
 
 # queries that fit models (rows-only checks; the slowest part of a run)
