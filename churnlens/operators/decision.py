@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed, micro, strategy_weight
+from churnlens.functions.columns import fixed, micro, quantile, strategy_weight
 from churnlens.operators.packing import PackResult, greedy_pack
 
 
@@ -115,8 +115,9 @@ def add_reasons_and_actions(table: DataFrame) -> DataFrame:
     Medians and the CLV upper quartile are over the whole table (exact
     ``percentile``, one aggregate evaluated once as a scalar subquery).
     """
-    q = table.select(F.struct(F.percentile("CLV", [0.5, 0.75]).alias("clv"),
-                              F.percentile("retention_cost", 0.5).alias("cost"))).scalar()
+    spark = table.sparkSession
+    q = table.select(F.struct(quantile(spark, "CLV", [0.5, 0.75]).alias("clv"),
+                              quantile(spark, "retention_cost", 0.5).alias("cost"))).scalar()
     clv_median, clv_q75 = F.element_at(q.getField("clv"), 1), F.element_at(q.getField("clv"), 2)
     cost_median = q.getField("cost")
     band = F.col("risk_band")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed
+from churnlens.functions.columns import fixed, quantile
 from churnlens.functions.prefix import RangeOrdered
 
 LEVELS = [float(v) for v in np.linspace(0, 1, 11)]
@@ -40,7 +40,7 @@ def psi_numeric(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame
     """``(feature, psi)`` for numeric columns (psi unrounded)."""
     r = _long(ref, columns, "double")
     c = _long(cur, columns, "double")
-    edges = (r.groupBy("feature").agg(F.percentile("x", LEVELS).alias("e"))
+    edges = (r.groupBy("feature").agg(quantile(ref.sparkSession, "x", LEVELS).alias("e"))
              .withColumn("e", F.sort_array(F.array_distinct("e")))
              .withColumn("n_inner", F.size("e") - 2))
     bucket = F.lit(0)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed, micro
+from churnlens.functions.columns import fixed, micro, quantile
 from churnlens.functions.prefix import RangeOrdered
 
 DECILE_LEVELS = [float(v) for v in np.linspace(0, 1, 11)]
@@ -100,7 +100,7 @@ def profit_threshold(curve: DataFrame) -> DataFrame:
 
 def calibration_table(df: DataFrame, y: str = "churned", p: str = "churn_probability") -> DataFrame:
     """Quantile-bin calibration: ``(decile, customers, avg_predicted, actual_churn_rate)``."""
-    edges = F.sort_array(F.array_distinct(df.select(F.percentile(p, DECILE_LEVELS)).scalar()))
+    edges = F.sort_array(F.array_distinct(df.select(quantile(df.sparkSession, p, DECILE_LEVELS)).scalar()))
     # inner edges: all but the first and the last distinct edge (at most 9)
     inner_n = F.greatest(F.size(edges) - 2, F.lit(0))
     bin_ = F.lit(0)

@@ -41,6 +41,10 @@ from churnlens.functions.columns import micro
 from churnlens.functions.prefix import RangeOrdered
 
 TOPM_THRESHOLD = 50_000
+# rows the driver may receive per top-M fetch (TakeOrderedAndProject sends each
+# partition's best ``block`` rows): the block shrinks as partitions grow, and past
+# this budget the prefix mode is used instead
+TOPM_DRIVER_ROWS = 2_000_000
 
 
 @dataclass
@@ -84,8 +88,11 @@ def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
     key_names = [k for k, _ in keys]
     cap = max_customers if max_customers else None
     budget_micro = int(round(budget * C.MICRO))
+    parts = max(1, df.rdd.getNumPartitions())
     if mode == "auto":
-        mode = "topm" if cap is not None and cap <= topm_threshold else "prefix"
+        mode = ("topm" if cap is not None and cap <= topm_threshold and cap * parts <= TOPM_DRIVER_ROWS
+                else "prefix")
+    topm_block = max(1, min(topm_block, TOPM_DRIVER_ROWS // parts))
 
     slim = df.select(*key_names, micro(cost_col).alias("__cost")).where(F.col("__cost") <= F.lit(budget_micro))
     ranked = RangeOrdered(slim, _sort_cols(keys)) if mode == "prefix" else None
@@ -103,7 +110,7 @@ def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
             # fetch a block and walk it with the full skip-and-continue rule; a
             # round that ends inside the block is settled here, one that reaches
             # the block end is split there and continues with the next fetch
-            block = min(max(2 * left, topm_block), max(topm_block, left)) if left else topm_block
+            block = max(left, min(2 * left, topm_block)) if left else topm_block
             rows = (slim.where(cand).orderBy(*_sort_cols(keys)).limit(block)
                     .select(*key_names, "__cost").collect())
             if not rows:
