@@ -60,9 +60,10 @@ def beta_cdf_frame(spark, a: float, b: float, grid: int) -> DataFrame:
     return g.select("j", (F.sum("di").over(run).cast("double") / total.cast("double")).alias("value"))
 
 
-def simulate_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.N_SIMS,
+def scenario_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.N_SIMS,
                       rate_std: float = C.RATE_STD, seed: int = C.SEED, grid: int = 10_000) -> DataFrame:
-    """One summary row; no row when the funded set is empty or costs nothing."""
+    """``(scenario, net, roi)`` per simulated scenario (no rows for an empty or
+    cost-free funded set)."""
     spark = act.sparkSession
     a, b = beta_parameters(float(assumed_save_rate), rate_std)
     # inverse-CDF lookup as a sorted as-of match: the first grid index j with
@@ -88,8 +89,16 @@ def simulate_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.
     save_u = hash_uniform(F.lit(f"{seed}|save|"), F.col("scenario"), F.lit("|"), F.col("customer_id"))
     hit = (churn_u < F.col("churn_probability")) & (save_u < F.col("rate"))
     per_s = draws.groupBy("scenario").agg(F.sum(F.when(hit, F.col("clv_micro")).otherwise(0)).alias("gross"))
-    per_s = per_s.select(((F.col("gross") - total_cost) / F.lit(float(C.MICRO))).alias("net"),
+    return (per_s.select("scenario", ((F.col("gross") - total_cost) / F.lit(float(C.MICRO))).alias("net"),
                          ((F.col("gross") - total_cost) / total_cost).alias("roi"))
+            .where(F.coalesce(total_cost, F.lit(0)) > 0))
+
+
+def simulate_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.N_SIMS,
+                      rate_std: float = C.RATE_STD, seed: int = C.SEED, grid: int = 10_000) -> DataFrame:
+    """One summary row; no row when the funded set is empty or costs nothing."""
+    per_s = scenario_outcomes(act, assumed_save_rate, n_sims, rate_std, seed, grid)
+    total_cost = act.select(F.sum(micro("retention_cost"))).scalar()
     return (per_s.agg(
         fixed(F.avg("net"), 4).alias("net_mean"),
         fixed(F.percentile("net", 0.05), 4).alias("net_p5"),
@@ -104,6 +113,22 @@ def simulate_outcomes(act: DataFrame, assumed_save_rate: float, n_sims: int = C.
         .where(F.coalesce(total_cost, F.lit(0)) > 0))
 
 
+def roi_histogram(per_scenario: DataFrame, bins: int = 44) -> DataFrame:
+    """Equal-width histogram of scenario ROI over [min, max] (last bin closed)."""
+    rng = per_scenario.agg(F.min("roi").alias("lo"), F.max("roi").alias("hi")).select(
+        F.struct(F.when(F.col("hi") > F.col("lo"), F.col("lo")).otherwise(F.col("lo") - 0.5).alias("lo"),
+                 F.when(F.col("hi") > F.col("lo"), F.col("hi")).otherwise(F.col("hi") + 0.5).alias("hi"))).scalar()
+    lo, hi = rng.getField("lo"), rng.getField("hi")
+    idx = F.least(F.lit(bins - 1), F.floor((F.col("roi") - lo) * F.lit(float(bins)) / (hi - lo)).cast("int"))
+    counts = per_scenario.withColumn("bin", idx).groupBy("bin").agg(F.count(F.lit(1)).alias("scenarios"))
+    width = (hi - lo) / F.lit(float(bins))
+    grid = per_scenario.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (grid.join(counts, "bin", "left")
+            .select("bin", fixed(lo + F.col("bin") * width, 6).alias("roi_lo"),
+                    fixed(lo + (F.col("bin") + 1) * width, 6).alias("roi_hi"),
+                    F.coalesce("scenarios", F.lit(0)).alias("scenarios")))
+
+
 def expected_roi(act: DataFrame, assumed_save_rate: float) -> DataFrame:
     """Analytic mean ROI ``m * sum(p*CLV) / sum(cost) - 1`` (simulation check)."""
     return act.agg((F.lit(assumed_save_rate) * F.sum(F.col("churn_probability") * F.col("CLV"))

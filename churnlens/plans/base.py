@@ -55,3 +55,25 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account economics (the scored table carries every economics column)."""
     return scored(spark, sf_dir)
+
+
+_DECISIONS: dict[tuple, object] = {}
+
+
+def decision(spark: SparkSession, sf_dir: str, params) -> object:
+    """``decide`` on the persisted scored table, memoised per parameter tuple
+    (the greedy rounds run once; the returned decision table stays lazy)."""
+    from churnlens.operators.decision import decide
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), params)
+    with _LOCK:
+        hit = _DECISIONS.get(key)
+    if hit is None:
+        hit = decide(scored(spark, sf_dir), params)
+        with _LOCK:
+            _DECISIONS[key] = hit
+    return hit
+
+
+def decider(spark: SparkSession, sf_dir: str):
+    """A ``decide(scored, params)`` replacement bound to the memo above."""
+    return lambda _scored, params: decision(spark, sf_dir, params)

@@ -47,7 +47,7 @@ def q_strategy_priority(spark, sf_dir):
 
 
 def default_decision(spark, sf_dir, params: D.DecisionParams = DEFAULT_PARAMS) -> D.Decision:
-    return D.decide(B.scored(spark, sf_dir), params)
+    return B.decision(spark, sf_dir, params)
 
 
 @query("select_under_budget", decision_sql("""

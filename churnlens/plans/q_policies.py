@@ -92,7 +92,7 @@ FROM (SELECT *, {fx(f'k * {dbl(1.0 / 20)}', 2)} AS rate FROM atot CROSS JOIN (SE
     DEFAULT, extra=[("atot", _ACT_TOT)]))
 def q_save_rate_sensitivity(spark, sf_dir):
     """Break-even save rate and net value of the funded set at true rates 0..1."""
-    dec = D.decide(B.scored(spark, sf_dir), D.DecisionParams(BUDGET, CAP, STRAT, RATE))
+    dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
     return P.save_rate_sensitivity(dec.table, RATE)
 
 
@@ -106,7 +106,7 @@ FROM dp p LEFT JOIN dfinal f ON f.scenario = p.scenario AND f.action_segment = '
 GROUP BY p.scenario, p.save_rate""", [Scenario(f"r{r}", save_rate=r) for r in _SWEEP]))
 def q_roi_sweep(spark, sf_dir):
     """ROI of the ACT set re-decided at save rates 0.1 .. 1.0."""
-    return P.roi_sweep(B.scored(spark, sf_dir), BUDGET, CAP, STRAT, _SWEEP)
+    return P.roi_sweep(B.scored(spark, sf_dir), BUDGET, CAP, STRAT, _SWEEP, decide=B.decider(spark, sf_dir))
 
 
 @query("strategy_comparison", decision_sql(f"""
@@ -120,7 +120,7 @@ FROM dp p LEFT JOIN dfinal f ON f.scenario = p.scenario AND f.action_segment = '
 GROUP BY p.scenario""", [Scenario(s, strategy=s) for s in C.STRATEGIES]))
 def q_strategy_comparison(spark, sf_dir):
     """ACT count, risk mix, value, cost and ROI per strategy."""
-    return P.strategy_comparison(B.scored(spark, sf_dir), BUDGET, CAP, RATE)
+    return P.strategy_comparison(B.scored(spark, sf_dir), BUDGET, CAP, RATE, decide=B.decider(spark, sf_dir))
 
 
 # ---- I1-I5 set operations ------------------------------------------------------------
@@ -134,7 +134,8 @@ FROM dsel GROUP BY customer_id""")]
 
 
 def _sets(spark, sf_dir):
-    sets, decisions = R.strategy_act_sets(B.scored(spark, sf_dir), BUDGET, CAP, RATE)
+    sets, decisions = R.strategy_act_sets(B.scored(spark, sf_dir), BUDGET, CAP, RATE,
+                                          decide=B.decider(spark, sf_dir))
     return R.membership_flags(sets), decisions
 
 
@@ -287,6 +288,38 @@ SELECT {dbl(RATE)} AS assumed_save_rate, {fx(f'(SELECT total FROM stc) / {MICRO}
 FROM snet HAVING coalesce(max((SELECT total FROM stc)), 0) > 0""", DEFAULT, extra=_SIM_CTES))
 def q_outcome_distribution(spark, sf_dir):
     """Monte Carlo distribution of realized net value / ROI of the funded set (3,000 scenarios)."""
-    dec = D.decide(B.scored(spark, sf_dir), D.DecisionParams(BUDGET, CAP, STRAT, RATE))
+    dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
     act = dec.act.select("customer_id", "churn_probability", "CLV", "retention_cost")
     return simulate_outcomes(act, RATE)
+
+
+@query("outcome_histogram", decision_sql(f"""
+SELECT g.bin, {fx('r.lo + g.bin * ((r.hi - r.lo) / ' + dbl(44.0) + ')', 6)} AS roi_lo,
+       {fx('r.lo + (g.bin + 1) * ((r.hi - r.lo) / ' + dbl(44.0) + ')', 6)} AS roi_hi,
+       coalesce(c.scenarios, 0) AS scenarios
+FROM (SELECT unnest(range(0, 44)) AS bin) g
+CROSS JOIN (SELECT CASE WHEN max(roi) > min(roi) THEN min(roi) ELSE min(roi) - {dbl(0.5)} END AS lo,
+                   CASE WHEN max(roi) > min(roi) THEN max(roi) ELSE max(roi) + {dbl(0.5)} END AS hi FROM snet) r
+LEFT JOIN (SELECT CAST(least(43, floor((s.roi - r2.lo) * {dbl(44.0)} / (r2.hi - r2.lo))) AS INTEGER) AS bin,
+                  count(*) AS scenarios
+           FROM snet s CROSS JOIN (SELECT CASE WHEN max(roi) > min(roi) THEN min(roi) ELSE min(roi) - {dbl(0.5)} END AS lo,
+                                          CASE WHEN max(roi) > min(roi) THEN max(roi) ELSE max(roi) + {dbl(0.5)} END AS hi
+                                   FROM snet) r2
+           GROUP BY 1) c ON c.bin = g.bin""", DEFAULT, extra=_SIM_CTES))
+def q_outcome_histogram(spark, sf_dir):
+    """44-bin histogram of simulated ROI for the funded set (the distribution chart's table)."""
+    from churnlens.operators.simulation import roi_histogram, scenario_outcomes
+    dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
+    act = dec.act.select("customer_id", "churn_probability", "CLV", "retention_cost")
+    # n_sims rows, read twice (range and counts): materialise once, lineage cut
+    return roi_histogram(scenario_outcomes(act, RATE).checkpoint())
+
+
+@query("boundary_sample", decision_sql(f"""
+SELECT {', '.join(R.BOUNDARY_COLS)} FROM dfinal
+WHERE scenario = 'Balanced' AND customer_id IN (SELECT customer_id FROM fl WHERE a + b + c IN (1, 2))
+ORDER BY net_retention_value DESC, customer_id LIMIT 10""", _SETS, extra=_FLAGS))
+def q_boundary_sample(spark, sf_dir):
+    """Top 10 boundary-zone customers by net value (the reviewed sample)."""
+    flags, decisions = _sets(spark, sf_dir)
+    return R.boundary_zone(flags, decisions["Balanced"].table).limit(10)

@@ -51,3 +51,12 @@ def test_km_remaining_bounded_and_step_lookup(spark):
     assert all(0 <= r["expected_months"] <= 60 for r in rem)
     before = [r for r in rem if r["tenure"] == 0][0]
     assert before["surv"] == 1.0  # before the first time S = 1
+
+
+def test_read_customer_csv_with_schema(spark, raw_customers, tmp_path):
+    from churnlens.sources.tables import read_customer_csv
+    path = str(tmp_path / "raw_csv")
+    raw_customers.coalesce(1).write.option("header", True).csv(path)
+    back = clean_customers(read_customer_csv(spark, path))
+    assert back.count() == 12
+    assert dict(back.dtypes)["TotalCharges"] == "double" and dict(back.dtypes)["tenure"] == "int"
