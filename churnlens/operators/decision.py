@@ -41,17 +41,17 @@ class DecisionParams:
 def build_retention_scores(scored: DataFrame, save_rate: float = C.SAVE_RATE) -> DataFrame:
     """revenue_at_risk = p*CLV; net = save_rate*revenue_at_risk - cost; priority = max(net, 0)."""
     rar = fixed(F.col("churn_probability") * F.col("CLV"), 4)
-    net = fixed(F.lit(float(save_rate)) * F.col("revenue_at_risk") - F.col("retention_cost"), 4)
-    return (scored.withColumn("revenue_at_risk", rar)
-            .withColumn("net_retention_value", net)
-            .withColumn("retention_priority_score", F.greatest(F.col("net_retention_value"), F.lit(0.0))))
+    net = fixed(F.lit(float(save_rate)) * rar - F.col("retention_cost"), 4)
+    # one projection (each DataFrame operation costs an analysis pass)
+    return scored.withColumns({"revenue_at_risk": rar, "net_retention_value": net,
+                               "retention_priority_score": F.greatest(net, F.lit(0.0))})
 
 
 def apply_decision_strategy(df: DataFrame, strategy: str) -> DataFrame:
     """Band weight for the strategy (case-insensitive) and ``adjusted_priority``."""
-    return (df.withColumn("strategy_weight", strategy_weight("risk_band", strategy))
-            .withColumn("adjusted_priority",
-                        fixed(F.col("retention_priority_score") * F.col("strategy_weight"), 6)))
+    w = strategy_weight("risk_band", strategy)
+    return df.withColumns({"strategy_weight": w,
+                           "adjusted_priority": fixed(F.col("retention_priority_score") * w, 6)})
 
 
 def eligible(df: DataFrame) -> Column:
@@ -92,11 +92,14 @@ class Decision:
         return self.pack.spent
 
 
-def decide(scored: DataFrame, params: DecisionParams = DecisionParams()) -> Decision:
-    """Scores -> strategy -> greedy selection -> segments, efficiency, reasons, actions."""
+def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: PackResult | None = None) -> Decision:
+    """Scores -> strategy -> greedy selection -> segments, efficiency, reasons, actions.
+
+    ``pack`` may carry a selection computed elsewhere (see ``decide_many``)."""
     df = build_retention_scores(scored, params.save_rate)
     strat = apply_decision_strategy(df, params.strategy)
-    pack = select_under_budget(strat, params.budget, params.max_customers)
+    if pack is None:
+        pack = select_under_budget(strat, params.budget, params.max_customers)
     # the predicate refers to adjusted_priority, which is dropped again below:
     # the decision table does not carry the strategy columns
     weighted = strat
@@ -197,3 +200,22 @@ def act_list(decision: Decision) -> DataFrame:
                     fixed("net_retention_value", 2).alias("net_retention_value"),
                     "recommended_action")
             .orderBy(F.col("net_retention_value").desc(), "customer_id"))
+
+
+def decide_many(scored: DataFrame, params_list: list[DecisionParams]) -> list[Decision]:
+    """Several decisions at once: the eligible rows of every scenario are stacked
+    and the greedy fetches all scenarios in one job per round."""
+    from churnlens.operators.packing import greedy_pack_many
+    tables = {}
+    for i, p in enumerate(params_list):
+        strat = apply_decision_strategy(build_retention_scores(scored, p.save_rate), p.strategy)
+        tables[i] = strat.where(eligible(strat))
+    packs = greedy_pack_many(tables, [("adjusted_priority", True)],
+                             {i: p.budget for i, p in enumerate(params_list)},
+                             {i: p.max_customers for i, p in enumerate(params_list)})
+    out = []
+    for i, p in enumerate(params_list):
+        pk = packs[i]
+        pk.predicate = eligible(scored) & pk.predicate
+        out.append(decide(scored, p, pack=pk))
+    return out

@@ -33,7 +33,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import config as C
@@ -183,3 +183,98 @@ def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
         predicate = predicate | pred
     return PackResult(predicate=predicate, spent=(budget_micro - remaining) / C.MICRO,
                       count=count, rounds=rounds, source=df)
+
+
+def _walk_block(rows, key_names, st):
+    """Walk one fetched block (ordered) with the skip-and-continue rule, updating
+    ``st`` (remaining, left, cut, rounds, count). Returns True when the scenario
+    is settled (cap reached or block shorter than requested is handled by caller)."""
+    r_cut, r_budget, run, last, taken = st["cut"], st["remaining"], 0, None, 0
+    left = st["left"]
+    for r in rows:
+        if left is not None and taken >= left:
+            break
+        key = tuple(r[k] for k in key_names)
+        c = r["__cost"]
+        if c > r_budget:
+            continue
+        if run + c > r_budget:
+            if last is not None:
+                st["rounds"].append((r_budget, r_cut, last))
+            r_cut, r_budget, run, last = key, r_budget - run, 0, None
+            continue
+        run += c
+        taken += 1
+        last = key
+    if last is not None:
+        st["rounds"].append((r_budget, r_cut, last))
+    st["count"] += taken
+    st["remaining"] = r_budget - run
+    if left is not None:
+        st["left"] = left - taken
+    if rows:
+        st["cut"] = tuple(rows[-1][k] for k in key_names)
+
+
+def greedy_pack_many(tables: dict, order: list[tuple[str, bool]], budgets: dict, caps: dict,
+                     cost_col: str = "retention_cost", id_col: str = "customer_id",
+                     topm_block: int = 1024) -> dict:
+    """The same greedy for several scenarios, ``tables = {scenario: eligible rows}``.
+
+    Each fetch is ONE job: the unfinished scenarios' candidate rows (each branch
+    filtered by its own cut and remaining budget) are unioned and limited with
+    a per-scenario ``row_number() <= block`` (WindowGroupLimit, applied per
+    partition before the shuffle). Returns ``{scenario: PackResult}`` whose
+    predicates use the scenario table's own columns."""
+    keys = list(order) + [(id_col, False)]
+    key_names = [k for k, _ in keys]
+    first = next(iter(tables.values()))
+    parts = max(1, first.rdd.getNumPartitions())
+    block = max(1, min(topm_block, TOPM_DRIVER_ROWS // (parts * max(1, len(tables)))))
+    capped = [c for c in caps.values() if c]
+    if capped and len(capped) == len(caps):
+        block = min(block, 2 * max(capped))   # the walk rarely needs more than 2x the cap
+    block = max([block] + capped)
+    slim = {s: t.select(F.lit(s).alias("__scenario"), *key_names, micro(cost_col).alias("__cost"))
+            for s, t in tables.items()}
+    st = {s: {"remaining": int(round(budgets[s] * C.MICRO)), "left": caps.get(s) or None, "cut": None,
+              "rounds": [], "count": 0, "fetches": 0} for s in tables}
+    budget0 = {s: v["remaining"] for s, v in st.items()}
+    active = list(tables)
+    w = Window.partitionBy("__scenario").orderBy(*_sort_cols(keys))
+    while active:
+        branches = []
+        for s in active:
+            c = F.col("__cost") <= F.lit(st[s]["remaining"])
+            if st[s]["cut"] is not None:
+                c = c & _after(keys, st[s]["cut"])
+            branches.append(slim[s].where(c))
+        union = branches[0]
+        for b in branches[1:]:
+            union = union.unionByName(b)
+        fetched = (union.withColumn("__rn", F.row_number().over(w))
+                   .where(F.col("__rn") <= F.lit(block)).collect())
+        by_s: dict = {s: [] for s in active}
+        for r in fetched:
+            by_s[r["__scenario"]].append(r)
+        nxt = []
+        for s in active:
+            rows = sorted(by_s[s], key=lambda r: r["__rn"])
+            st[s]["fetches"] += 1
+            _walk_block(rows, key_names, st[s])
+            if (len(rows) == block and st[s]["remaining"] > 0
+                    and (st[s]["left"] is None or st[s]["left"] > 0)):
+                nxt.append(s)
+        active = nxt
+    out = {}
+    cost_expr = micro(cost_col)
+    for s, v in st.items():
+        predicate = F.lit(False)
+        for r_budget, r_cut, r_last in v["rounds"]:
+            pred = (cost_expr <= F.lit(r_budget)) & ~_after(keys, r_last)
+            if r_cut is not None:
+                pred = pred & _after(keys, r_cut)
+            predicate = predicate | pred
+        out[s] = PackResult(predicate=predicate, spent=(budget0[s] - v["remaining"]) / C.MICRO,
+                            count=v["count"], rounds=v["fetches"], source=tables[s])
+    return out

@@ -81,11 +81,11 @@ def save_rate_sensitivity(decision_table: DataFrame, assumed: float = C.SAVE_RAT
 
 
 def roi_sweep(scored: DataFrame, budget: float, max_customers: int | None, strategy: str,
-              rates=tuple(round(0.1 * i, 2) for i in range(1, 11)), decide=D.decide) -> DataFrame:
+              rates=tuple(round(0.1 * i, 2) for i in range(1, 11)), decide_many=D.decide_many) -> DataFrame:
     """Re-decide at each save rate; ROI = net / max(cost, 1) of the ACT set."""
     parts = []
-    for r in rates:
-        dec = decide(scored, D.DecisionParams(budget, max_customers, strategy, r))
+    decs = decide_many(scored, [D.DecisionParams(budget, max_customers, strategy, r) for r in rates])
+    for r, dec in zip(rates, decs):
         parts.append(D.act_totals(dec.table).select(
             F.lit(float(r)).alias("save_rate"), "act_count",
             fixed(F.col("act_net") / F.greatest(F.col("act_cost"), F.lit(1.0)), 6).alias("roi")))
@@ -93,11 +93,11 @@ def roi_sweep(scored: DataFrame, budget: float, max_customers: int | None, strat
 
 
 def strategy_comparison(scored: DataFrame, budget: float, max_customers: int | None,
-                        save_rate: float = C.SAVE_RATE, decide=D.decide) -> DataFrame:
+                        save_rate: float = C.SAVE_RATE, decide_many=D.decide_many) -> DataFrame:
     """Per strategy: ACT count, % HIGH, % MEDIUM, revenue saved, budget used, ROI."""
     parts = []
-    for s in C.STRATEGIES:
-        dec = decide(scored, D.DecisionParams(budget, max_customers, s, save_rate))
+    decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
+    for s, dec in zip(C.STRATEGIES, decs):
         act = dec.act
         parts.append(act.agg(
             F.count(F.lit(1)).alias("act_customers"),

@@ -22,10 +22,10 @@ BOUNDARY_COLS = ["customer_id", "risk_band", "churn_probability", "CLV", "retent
 
 
 def strategy_act_sets(scored: DataFrame, budget: float, max_customers: int | None,
-                      save_rate: float = C.SAVE_RATE, decide=D.decide) -> tuple[DataFrame, dict]:
+                      save_rate: float = C.SAVE_RATE, decide_many=D.decide_many) -> tuple[DataFrame, dict]:
     """Long table ``(strategy, customer_id)`` of the three ACT sets, plus the decisions."""
-    decisions = {s: decide(scored, D.DecisionParams(budget, max_customers, s, save_rate))
-                 for s in C.STRATEGIES}
+    decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
+    decisions = dict(zip(C.STRATEGIES, decs))
     sets = reduce(DataFrame.unionByName, [
         d.act.select(F.lit(s).alias("strategy"), "customer_id") for s, d in decisions.items()])
     return sets, decisions

@@ -74,6 +74,22 @@ def decision(spark: SparkSession, sf_dir: str, params) -> object:
     return hit
 
 
+def decisions(spark: SparkSession, sf_dir: str, params_list: list) -> list:
+    """Several memoised decisions; the missing ones are computed together with
+    ``decide_many`` (one fetch job per greedy round for all of them)."""
+    from churnlens.operators.decision import decide_many
+    app, key_dir = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    with _LOCK:
+        missing = [p for p in dict.fromkeys(params_list) if (app, key_dir, p) not in _DECISIONS]
+    if missing:
+        made = decide_many(scored(spark, sf_dir), missing)
+        with _LOCK:
+            for p, d in zip(missing, made):
+                _DECISIONS.setdefault((app, key_dir, p), d)
+    with _LOCK:
+        return [_DECISIONS[(app, key_dir, p)] for p in params_list]
+
+
 def decider(spark: SparkSession, sf_dir: str):
-    """A ``decide(scored, params)`` replacement bound to the memo above."""
-    return lambda _scored, params: decision(spark, sf_dir, params)
+    """A ``decide_many(scored, params_list)`` replacement bound to the memo above."""
+    return lambda _scored, params_list: decisions(spark, sf_dir, params_list)

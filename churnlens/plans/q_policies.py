@@ -106,7 +106,7 @@ FROM dp p LEFT JOIN dfinal f ON f.scenario = p.scenario AND f.action_segment = '
 GROUP BY p.scenario, p.save_rate""", [Scenario(f"r{r}", save_rate=r) for r in _SWEEP]))
 def q_roi_sweep(spark, sf_dir):
     """ROI of the ACT set re-decided at save rates 0.1 .. 1.0."""
-    return P.roi_sweep(B.scored(spark, sf_dir), BUDGET, CAP, STRAT, _SWEEP, decide=B.decider(spark, sf_dir))
+    return P.roi_sweep(B.scored(spark, sf_dir), BUDGET, CAP, STRAT, _SWEEP, decide_many=B.decider(spark, sf_dir))
 
 
 @query("strategy_comparison", decision_sql(f"""
@@ -120,7 +120,7 @@ FROM dp p LEFT JOIN dfinal f ON f.scenario = p.scenario AND f.action_segment = '
 GROUP BY p.scenario""", [Scenario(s, strategy=s) for s in C.STRATEGIES]))
 def q_strategy_comparison(spark, sf_dir):
     """ACT count, risk mix, value, cost and ROI per strategy."""
-    return P.strategy_comparison(B.scored(spark, sf_dir), BUDGET, CAP, RATE, decide=B.decider(spark, sf_dir))
+    return P.strategy_comparison(B.scored(spark, sf_dir), BUDGET, CAP, RATE, decide_many=B.decider(spark, sf_dir))
 
 
 # ---- I1-I5 set operations ------------------------------------------------------------
@@ -135,7 +135,7 @@ FROM dsel GROUP BY customer_id""")]
 
 def _sets(spark, sf_dir):
     sets, decisions = R.strategy_act_sets(B.scored(spark, sf_dir), BUDGET, CAP, RATE,
-                                          decide=B.decider(spark, sf_dir))
+                                          decide_many=B.decider(spark, sf_dir))
     return R.membership_flags(sets), decisions
 
 
