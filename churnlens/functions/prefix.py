@@ -127,4 +127,4 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column],
     return RangeOrdered(df, order, partition_by, num_partitions).running(sums, rn=rn)
 
 
-__all__ = ["RangeOrdered", "running_sums", "pd"]
+__all__ = ["RangeOrdered", "running_sums"]

@@ -15,8 +15,6 @@ the only broadcast side.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,4 +133,5 @@ def expected_roi(act: DataFrame, assumed_save_rate: float) -> DataFrame:
                     / F.sum("retention_cost") - 1).alias("expected_roi"))
 
 
-__all__ = ["simulate_outcomes", "beta_parameters", "beta_cdf_table", "expected_roi", "math"]
+__all__ = ["simulate_outcomes", "scenario_outcomes", "roi_histogram", "beta_parameters", "beta_cdf_table",
+           "expected_roi"]

@@ -27,7 +27,7 @@ def churn_summary(econ: DataFrame, by=("plan", "segment")) -> DataFrame:
 
 
 def churn_balance(econ: DataFrame) -> DataFrame:
-    """Counts per label and share of the total (one pass; total via window over 2 rows)."""
+    """Counts per label and share of the total (total as a scalar subquery)."""
     total = econ.select(F.count(F.lit(1))).scalar()
     return (econ.groupBy("churned").agg(F.count(F.lit(1)).alias("customers"))
             .withColumn("share", fixed(F.col("customers") / total, 4)))

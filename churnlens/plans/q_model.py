@@ -1,5 +1,6 @@
 """Registered model queries (Spark ML). No SQL oracle: the driver checks row
-counts; ``tests/test_models.py`` checks behaviour (AUC > 0.5, bounds, sortedness).
+counts; ``tests/test_models_stream_jobs.py`` checks behaviour (AUC > 0.5, bounds,
+sortedness, save/load round trip).
 
 Registered settings that differ from the API defaults, for run time on a single
 machine (Spark's boosted trees pay a fixed per-iteration job cost):

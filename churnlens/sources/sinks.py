@@ -61,4 +61,4 @@ def export_act_list(act: DataFrame, path: str) -> str:
 
 
 __all__ = ["write_customers", "read_customers", "save_model", "load_model", "write_model_card",
-           "read_model_card", "export_act_list", "os"]
+           "read_model_card", "export_act_list"]

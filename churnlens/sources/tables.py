@@ -41,6 +41,28 @@ RAW_SCHEMA = T.StructType([
 ])
 
 
+# Columns of the e-mail A/B-test CSV the uplift operators accept.
+EXPERIMENT_SCHEMA = T.StructType([
+    T.StructField("recency", T.IntegerType()), T.StructField("history_segment", T.StringType()),
+    T.StructField("history", T.DoubleType()), T.StructField("mens", T.IntegerType()),
+    T.StructField("womens", T.IntegerType()), T.StructField("zip_code", T.StringType()),
+    T.StructField("newbie", T.IntegerType()), T.StructField("channel", T.StringType()),
+    T.StructField("segment", T.StringType()), T.StructField("visit", T.IntegerType()),
+    T.StructField("conversion", T.IntegerType()), T.StructField("spend", T.DoubleType()),
+])
+EXPERIMENT_NUMERIC = ["recency", "history", "mens", "womens", "newbie"]
+EXPERIMENT_CATEGORICAL = ["history_segment", "zip_code", "channel"]
+
+
+def read_experiment_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A/B-test CSV: ``treat`` = any e-mail sent (segment is not the no-e-mail
+    control), ``outcome`` = site visit; a row id is attached for rankings."""
+    df = spark.read.schema(EXPERIMENT_SCHEMA).option("header", True).csv(path)
+    return (df.withColumn("treat", F.when(F.col("segment") != "No E-Mail", 1).otherwise(0))
+            .withColumn("outcome", F.col("visit").cast("int"))
+            .withColumn("customer_id", F.concat(F.lit("X-"), F.monotonically_increasing_id().cast("string"))))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
