@@ -36,52 +36,79 @@ def _long(df: DataFrame, columns: list[str], cast: str) -> DataFrame:
         [], columns, "feature", "x").where(F.col("x").isNotNull())
 
 
-def psi_numeric(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
-    """``(feature, psi)`` for numeric columns (psi unrounded)."""
-    r = _long(ref, columns, "double")
-    c = _long(cur, columns, "double")
-    edges = (r.groupBy("feature").agg(quantile(ref.sparkSession, "x", LEVELS).alias("e"))
-             .withColumn("e", F.sort_array(F.array_distinct("e")))
-             .withColumn("n_inner", F.size("e") - 2))
-    bucket = F.lit(0)
+class ReferenceProfile:
+    """Everything the drift checks need from the reference, computed once:
+    per-feature decile edges, floored bucket shares, per-value counts (for KS),
+    row counts, and categorical shares. Each part is small per feature (edges:
+    1 row; buckets: <= 10; categories: the levels) except the per-value counts,
+    which hold one row per distinct reference value."""
+
+    def __init__(self, ref: DataFrame, numeric: list[str], categorical: list[str], persist: bool = False):
+        self.numeric, self.categorical = list(numeric), list(categorical)
+        spark = ref.sparkSession
+        if self.numeric:
+            r = _long(ref, self.numeric, "double")
+            self.edges = (r.groupBy("feature").agg(quantile(spark, "x", LEVELS).alias("e"))
+                          .withColumn("e", F.sort_array(F.array_distinct("e")))
+                          .withColumn("n_inner", F.size("e") - 2))
+            binned = r.join(F.broadcast(self.edges), "feature").withColumn("b", _bucket())  # one edge row per feature
+            counts = binned.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("ne"))
+            self.n_ref = r.groupBy("feature").agg(F.count(F.lit(1)).alias("nr"))
+            grid = self.edges.select("feature", "n_inner", F.explode(
+                F.sequence(F.lit(0), F.greatest(F.col("n_inner"), F.lit(0)))).alias("b"))
+            self.bucket_shares = (grid.join(counts, ["feature", "b"], "left").join(F.broadcast(self.n_ref), "feature")
+                                  .select("feature", "b", "n_inner", F.greatest(
+                                      F.coalesce(F.col("ne"), F.lit(0)) / F.col("nr"),
+                                      F.lit(C.SHARE_FLOOR)).alias("e_s")))
+            self.values = r.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("kr"))
+        if self.categorical:
+            lg = _long(ref, self.categorical, "string")
+            tot = lg.groupBy("feature").agg(F.count(F.lit(1)).alias("t"))
+            self.cat_shares = (lg.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k"))
+                               .join(F.broadcast(tot), "feature")
+                               .select("feature", "x", (F.col("k") / F.col("t")).alias("e")))
+        if persist:
+            for name in ("edges", "n_ref", "bucket_shares", "values", "cat_shares"):
+                if hasattr(self, name):
+                    setattr(self, name, getattr(self, name).persist())
+
+
+def _bucket():
+    b = F.lit(0)
     for j in range(1, len(LEVELS) - 1):
-        bucket = bucket + F.when((F.lit(j) <= F.col("n_inner")) & (F.try_element_at("e", F.lit(j + 1)) <= F.col("x")),
-                                 1).otherwise(0)
-    both = (r.withColumn("side", F.lit("e")).unionByName(c.withColumn("side", F.lit("a")))
-            .join(F.broadcast(edges), "feature")  # one row per feature
-            .groupBy("feature", bucket.alias("b"))
-            .agg(F.count(F.when(F.col("side") == "e", 1)).alias("ne"),
-                 F.count(F.when(F.col("side") == "a", 1)).alias("na")))
-    totals = both.groupBy("feature").agg(F.sum("ne").alias("te"), F.sum("na").alias("ta"))
-    grid = edges.select("feature", "n_inner", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_inner"), F.lit(0))))
-                        .alias("b"))
-    full = (grid.join(both, ["feature", "b"], "left").join(F.broadcast(totals), "feature")
-            .withColumn("e_s", F.greatest(F.coalesce(F.col("ne"), F.lit(0)) / F.col("te"), F.lit(C.SHARE_FLOOR)))
+        b = b + F.when((F.lit(j) <= F.col("n_inner")) & (F.try_element_at("e", F.lit(j + 1)) <= F.col("x")),
+                       1).otherwise(0)
+    return b
+
+
+def psi_numeric_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
+    c = _long(cur, profile.numeric, "double")
+    counts = (c.join(F.broadcast(profile.edges), "feature").withColumn("b", _bucket())
+              .groupBy("feature", "b").agg(F.count(F.lit(1)).alias("na")))
+    ta = c.groupBy("feature").agg(F.count(F.lit(1)).alias("ta"))
+    full = (profile.bucket_shares.join(counts, ["feature", "b"], "left").join(F.broadcast(ta), "feature")
             .withColumn("a_s", F.greatest(F.coalesce(F.col("na"), F.lit(0)) / F.col("ta"), F.lit(C.SHARE_FLOOR))))
     term = (F.col("a_s") - F.col("e_s")) * F.log(F.col("a_s") / F.col("e_s"))
     return full.groupBy("feature").agg(
         F.when(F.max("n_inner") < 1, F.lit(0.0)).otherwise(F.sum(term)).alias("psi"))
 
 
-def psi_categorical(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
-    """``(feature, psi)`` for categorical columns over the union of categories."""
-    def shares(df, name):
-        lg = _long(df, columns, "string")
-        cnt = lg.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k"))
-        tot = lg.groupBy("feature").agg(F.count(F.lit(1)).alias("t"))
-        return cnt.join(F.broadcast(tot), "feature").select("feature", "x", (F.col("k") / F.col("t")).alias(name))
-    j = shares(ref, "e").join(shares(cur, "a"), ["feature", "x"], "full_outer")
+def psi_categorical_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
+    lg = _long(cur, profile.categorical, "string")
+    tot = lg.groupBy("feature").agg(F.count(F.lit(1)).alias("t"))
+    cur_s = (lg.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(tot), "feature")
+             .select("feature", "x", (F.col("k") / F.col("t")).alias("a")))
+    j = profile.cat_shares.join(cur_s, ["feature", "x"], "full_outer")
     e = F.greatest(F.coalesce("e", F.lit(0.0)), F.lit(C.SHARE_FLOOR))
     a = F.greatest(F.coalesce("a", F.lit(0.0)), F.lit(C.SHARE_FLOOR))
     return j.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
 
 
-def ks_statistic(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
-    """``(feature, n_ref, n_cur, ks_d, ks_pvalue)`` (unrounded)."""
-    r = _long(ref, columns, "double").withColumn("s", F.lit(0))
-    c = _long(cur, columns, "double").withColumn("s", F.lit(1))
-    per_x = r.unionByName(c).groupBy("feature", "x").agg(
-        F.count(F.when(F.col("s") == 0, 1)).alias("kr"), F.count(F.when(F.col("s") == 1, 1)).alias("kc"))
+def ks_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
+    c = _long(cur, profile.numeric, "double").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("kc"))
+    per_x = (profile.values.withColumn("kc", F.lit(0).cast("long"))
+             .unionByName(c.withColumn("kr", F.lit(0).cast("long")))
+             .groupBy("feature", "x").agg(F.sum("kr").alias("kr"), F.sum("kc").alias("kc")))
     run = RangeOrdered(per_x, [F.col("x").asc()], partition_by=["feature"]).running(
         {"cr": F.col("kr"), "cc": F.col("kc")})
     totals = per_x.groupBy("feature").agg(F.sum("kr").alias("nr"), F.sum("kc").alias("nc"))
@@ -97,18 +124,38 @@ def ks_statistic(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFram
     return d.withColumn("z", z).select("feature", "n_ref", "n_cur", "ks_d", p.alias("ks_pvalue"))
 
 
+def psi_numeric(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
+    """``(feature, psi)`` for numeric columns (psi unrounded)."""
+    return psi_numeric_vs(ReferenceProfile(ref, columns, []), cur)
+
+
+def psi_categorical(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
+    """``(feature, psi)`` for categorical columns over the union of categories."""
+    return psi_categorical_vs(ReferenceProfile(ref, [], columns), cur)
+
+
+def ks_statistic(ref: DataFrame, cur: DataFrame, columns: list[str]) -> DataFrame:
+    """``(feature, n_ref, n_cur, ks_d, ks_pvalue)`` (unrounded)."""
+    return ks_vs(ReferenceProfile(ref, columns, []), cur)
+
+
 def drift_report(ref: DataFrame, cur: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """One row per feature, worst first: PSI (3 dp), KS p-value (4 dp, numeric only),
     drift flag on unrounded values (PSI > 0.25, or KS p < 0.01 for numeric)."""
+    return drift_report_vs(ReferenceProfile(ref, numeric, categorical), cur)
+
+
+def drift_report_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
+    """The drift report of ``cur`` against a stored reference profile."""
     parts = []
-    if numeric:
-        num = psi_numeric(ref, cur, numeric).join(ks_statistic(ref, cur, numeric), "feature")
+    if profile.numeric:
+        num = psi_numeric_vs(profile, cur).join(ks_vs(profile, cur), "feature")
         parts.append(num.select(
             "feature", F.lit("numeric").alias("type"), fixed("psi", 3).alias("psi"),
             fixed("ks_pvalue", 4).alias("ks_pvalue"),
             ((F.col("psi") > C.PSI_THRESHOLD) | (F.col("ks_pvalue") < C.KS_PVALUE_THRESHOLD)).alias("drift")))
-    if categorical:
-        cat = psi_categorical(ref, cur, categorical)
+    if profile.categorical:
+        cat = psi_categorical_vs(profile, cur)
         parts.append(cat.select("feature", F.lit("categorical").alias("type"), fixed("psi", 3).alias("psi"),
                                 F.lit(None).cast("double").alias("ks_pvalue"),
                                 (F.col("psi") > C.PSI_THRESHOLD).alias("drift")))

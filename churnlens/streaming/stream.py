@@ -8,7 +8,8 @@
    from the reference table (at most 3 x 161 rows, broadcast),
 3. computes CLV, retention cost, the scorecard probability and the risk band,
 4. writes the scored rows to ``{sink}/scores/batch_id=N`` and the drift report of
-   the micro-batch against the reference to ``{sink}/drift/batch_id=N``.
+   the micro-batch against a reference profile (edges, bucket shares, value
+   counts, category shares — computed once, persisted) to ``{sink}/drift/batch_id=N``.
 
 Each batch overwrites its own ``batch_id`` folder, so a replayed batch after a
 failure is idempotent; progress lives in the checkpoint folder.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlens.functions.columns import fixed, retention_cost
-from churnlens.operators.drift import drift_report
+from churnlens.operators.drift import ReferenceProfile, drift_report_vs
 from churnlens.operators.economics import score_with_scorecard
 from churnlens.operators.survival import km_curve, km_remaining
 from churnlens.sources.quality import clean_customers
@@ -51,7 +52,8 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, reference: DataFr
                          checkpoint_dir: str, max_files_per_trigger: int | None = None):
     """Start the stream with ``availableNow`` (process what is there, then stop)."""
     lookup = km_lookup(reference).persist()
-    ref_feats = reference.select(*NUMERIC, *CATEGORICAL).persist()
+    # stored reference histograms: computed once, reused by every micro-batch
+    profile = ReferenceProfile(reference.select(*NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL, persist=True)
     reader = spark.readStream.schema(RAW_SCHEMA).format("parquet")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
@@ -60,7 +62,7 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, reference: DataFr
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         scored = score_batch(batch, lookup).persist()
         scored.write.mode("overwrite").parquet(os.path.join(sink_dir, "scores", f"batch_id={batch_id}"))
-        drift = drift_report(ref_feats, scored.select(*NUMERIC, *CATEGORICAL), NUMERIC, CATEGORICAL)
+        drift = drift_report_vs(profile, scored.select(*NUMERIC, *CATEGORICAL))
         drift.write.mode("overwrite").parquet(os.path.join(sink_dir, "drift", f"batch_id={batch_id}"))
         scored.unpersist()
 
