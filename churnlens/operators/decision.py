@@ -77,16 +77,35 @@ def efficiency_col() -> Column:
                   fixed(F.col("net_retention_value") / F.col("retention_cost"), 6))
 
 
-@dataclass
 class Decision:
-    table: DataFrame      # every row, with action_segment / efficiency / reasons
-    pack: PackResult
-    params: DecisionParams
+    """A decision: the strategy-weighted score table, the funded-set predicate and
+    the parameters. The full decision table (segments, efficiency, reasons) is
+    built lazily on first use; aggregates over the funded rows can use
+    ``funded`` without it."""
+
+    def __init__(self, scores: DataFrame, pack: PackResult, params: DecisionParams):
+        self.scores, self.pack, self.params = scores, pack, params
+        self._table = None
+
+    @property
+    def table(self) -> DataFrame:
+        if self._table is None:
+            seg = (F.when(self.pack.predicate, "ACT")
+                   .when(F.col("net_retention_value") > 0, "MONITOR").otherwise("IGNORE"))
+            t = (self.scores.withColumns({"action_segment": seg, "efficiency": efficiency_col()})
+                 .drop("strategy_weight", "adjusted_priority"))
+            self._table = add_reasons_and_actions(t)
+        return self._table
 
     @property
     def act(self) -> DataFrame:
         return self.table.where(F.col("action_segment") == "ACT")
 
+    @property
+    def funded(self) -> DataFrame:
+        """The ACT rows of the score table (no reason / action columns)."""
+        return self.scores.where(self.pack.predicate)
+
     @property
     def spent(self) -> float:
         return self.pack.spent
@@ -100,16 +119,7 @@ def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: P
     strat = apply_decision_strategy(df, params.strategy)
     if pack is None:
         pack = select_under_budget(strat, params.budget, params.max_customers)
-    # the predicate refers to adjusted_priority, which is dropped again below:
-    # the decision table does not carry the strategy columns
-    weighted = strat
-    is_act = pack.predicate
-    seg = (F.when(is_act, "ACT")
-           .when(F.col("net_retention_value") > 0, "MONITOR").otherwise("IGNORE"))
-    table = (weighted.withColumns({"action_segment": seg, "efficiency": efficiency_col()})
-             .drop("strategy_weight", "adjusted_priority"))
-    table = add_reasons_and_actions(table)
-    return Decision(table=table, pack=pack, params=params)
+    return Decision(strat, pack, params)
 
 
 def add_reasons_and_actions(table: DataFrame) -> DataFrame:
@@ -156,7 +166,11 @@ def loss_share(scored: DataFrame) -> DataFrame:
 
 def act_totals(decision_table: DataFrame) -> DataFrame:
     """Exact sums over ACT rows: count, cost, net value, revenue at risk (1 row)."""
-    act = decision_table.where(F.col("action_segment") == "ACT")
+    return funded_totals(decision_table.where(F.col("action_segment") == "ACT"))
+
+
+def funded_totals(act: DataFrame) -> DataFrame:
+    """Exact sums over funded rows: count, cost, net value, revenue at risk (1 row)."""
     return act.agg(F.count(F.lit(1)).alias("act_count"),
                    (F.coalesce(F.sum(micro("retention_cost")), F.lit(0)) / F.lit(float(C.MICRO))).alias("act_cost"),
                    (F.coalesce(F.sum(micro("net_retention_value")), F.lit(0)) / F.lit(float(C.MICRO))).alias("act_net"),

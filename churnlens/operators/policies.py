@@ -63,11 +63,12 @@ def policy_lift(policies: DataFrame) -> DataFrame:
               / F.greatest(F.col("best_naive_value"), F.lit(1.0)) * F.lit(100.0), 4).alias("lift_pct"))
 
 
-def save_rate_sensitivity(decision_table: DataFrame, assumed: float = C.SAVE_RATE,
+def save_rate_sensitivity(funded: DataFrame, assumed: float = C.SAVE_RATE,
                           steps: int = 20) -> DataFrame:
     """Net value of the funded set at true save rates 0, 0.05, ..., 1 and the
-    break-even rate ``cost / sum(p*CLV)`` (NULL when nothing is at risk)."""
-    t = D.act_totals(decision_table)
+    break-even rate ``cost / sum(p*CLV)`` (NULL when nothing is at risk).
+    Accepts the funded rows or a full decision table (ACT rows are used)."""
+    t = (D.act_totals(funded) if "action_segment" in funded.columns else D.funded_totals(funded))
     rates = F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("k")
     be = F.when(F.col("act_rar") != 0, F.col("act_cost") / F.col("act_rar"))
     return (t.select("act_cost", "act_rar", rates)
@@ -86,7 +87,7 @@ def roi_sweep(scored: DataFrame, budget: float, max_customers: int | None, strat
     parts = []
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, strategy, r) for r in rates])
     for r, dec in zip(rates, decs):
-        parts.append(D.act_totals(dec.table).select(
+        parts.append(D.funded_totals(dec.funded).select(
             F.lit(float(r)).alias("save_rate"), "act_count",
             fixed(F.col("act_net") / F.greatest(F.col("act_cost"), F.lit(1.0)), 6).alias("roi")))
     return reduce(DataFrame.unionByName, parts)
@@ -98,7 +99,7 @@ def strategy_comparison(scored: DataFrame, budget: float, max_customers: int | N
     parts = []
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
     for s, dec in zip(C.STRATEGIES, decs):
-        act = dec.act
+        act = dec.funded
         parts.append(act.agg(
             F.count(F.lit(1)).alias("act_customers"),
             fixed(F.avg(F.when(F.col("risk_band") == "HIGH", 1.0).otherwise(0.0)) * 100, 4).alias("pct_high"),

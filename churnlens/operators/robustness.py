@@ -27,7 +27,7 @@ def strategy_act_sets(scored: DataFrame, budget: float, max_customers: int | Non
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
     decisions = dict(zip(C.STRATEGIES, decs))
     sets = reduce(DataFrame.unionByName, [
-        d.act.select(F.lit(s).alias("strategy"), "customer_id") for s, d in decisions.items()])
+        d.funded.select(F.lit(s).alias("strategy"), "customer_id") for s, d in decisions.items()])
     return sets, decisions
 
 

@@ -93,7 +93,7 @@ FROM (SELECT *, {fx(f'k * {dbl(1.0 / 20)}', 2)} AS rate FROM atot CROSS JOIN (SE
 def q_save_rate_sensitivity(spark, sf_dir):
     """Break-even save rate and net value of the funded set at true rates 0..1."""
     dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
-    return P.save_rate_sensitivity(dec.table, RATE)
+    return P.save_rate_sensitivity(dec.funded, RATE)
 
 
 _SWEEP = [round(0.1 * i, 2) for i in range(1, 11)]
@@ -289,7 +289,7 @@ FROM snet HAVING coalesce(max((SELECT total FROM stc)), 0) > 0""", DEFAULT, extr
 def q_outcome_distribution(spark, sf_dir):
     """Monte Carlo distribution of realized net value / ROI of the funded set (3,000 scenarios)."""
     dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
-    act = dec.act.select("customer_id", "churn_probability", "CLV", "retention_cost")
+    act = dec.funded.select("customer_id", "churn_probability", "CLV", "retention_cost")
     return simulate_outcomes(act, RATE)
 
 
@@ -310,7 +310,7 @@ def q_outcome_histogram(spark, sf_dir):
     """44-bin histogram of simulated ROI for the funded set (the distribution chart's table)."""
     from churnlens.operators.simulation import roi_histogram, scenario_outcomes
     dec = B.decision(spark, sf_dir, D.DecisionParams(BUDGET, CAP, STRAT, RATE))
-    act = dec.act.select("customer_id", "churn_probability", "CLV", "retention_cost")
+    act = dec.funded.select("customer_id", "churn_probability", "CLV", "retention_cost")
     # n_sims rows, read twice (range and counts): materialise once, lineage cut
     return roi_histogram(scenario_outcomes(act, RATE).checkpoint())
 
