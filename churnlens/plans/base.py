@@ -18,7 +18,7 @@ from churnlens.operators.economics import add_economic_fields, score_with_scorec
 from churnlens.sources.tables import account_view
 
 _CACHE: dict[tuple, DataFrame] = {}
-_LOCK = threading.Lock()
+_LOCK = threading.RLock()  # re-entrant: a cached build may use another cached table
 
 
 def cached(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
@@ -42,14 +42,16 @@ def clear_cache() -> None:
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned account table (uncached: the quality gate reads it once)."""
-    return account_view(spark, sf_dir)
+    """Cleaned account table, persisted: it feeds the survival curve and the
+    economics join, so ``orders`` (the large input) is scanned and aggregated
+    once instead of once per branch."""
+    return cached(spark, sf_dir, "accounts", lambda: account_view(spark, sf_dir))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scorecard-scored account economics, persisted once per session."""
     return cached(spark, sf_dir, "scored", lambda: score_with_scorecard(
-        add_economic_fields(account_view(spark, sf_dir), method="km")))
+        add_economic_fields(accounts(spark, sf_dir), method="km")))
 
 
 def economics(spark: SparkSession, sf_dir: str) -> DataFrame:
