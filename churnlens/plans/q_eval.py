@@ -236,6 +236,7 @@ def q_drift_demo(spark, sf_dir):
     ref = B.scored(spark, sf_dir).select(*_ACC_NUM, *_ACC_CAT)
     drifted = ref.withColumn("MonthlyCharges", F.col("MonthlyCharges") * F.lit(1.4)).withColumn(
         "plan", F.lit("Month-to-month"))
-    same = DR.drift_report(ref, ref, _ACC_NUM, _ACC_CAT).withColumn("comparison", F.lit("self"))
-    moved = DR.drift_report(ref, drifted, _ACC_NUM, _ACC_CAT).withColumn("comparison", F.lit("drifted"))
+    profile = DR.ReferenceProfile(ref, _ACC_NUM, _ACC_CAT)   # one reference profile for both batches
+    same = DR.drift_report_vs(profile, ref).withColumn("comparison", F.lit("self"))
+    moved = DR.drift_report_vs(profile, drifted).withColumn("comparison", F.lit("drifted"))
     return same.unionByName(moved).select("comparison", "feature", "type", "psi", "ks_pvalue", "drift")
