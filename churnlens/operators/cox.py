@@ -63,6 +63,7 @@ def _stats_pass(x_df: DataFrame, beta: np.ndarray, p: int, duration: str, event:
     """Per-tenure sums: n, S0, S1, S2(upper), d, X, E0, E1, E2(upper)."""
     up = _upper(p)
     width = 1 + 1 + p + len(up) + 1 + p + 1 + p + len(up)
+    xcols = [f"x{i}" for i in range(p)]
     bvec = beta.copy()
     iu = np.array(up).T if up else (np.array([], int), np.array([], int))
 
@@ -70,7 +71,7 @@ def _stats_pass(x_df: DataFrame, beta: np.ndarray, p: int, duration: str, event:
         for pdf in batches:
             if pdf.empty:
                 continue
-            X = np.asarray(pdf["x"].tolist(), dtype=float).reshape(len(pdf), p)
+            X = pdf[xcols].to_numpy(dtype=float)   # columnar Arrow batch, no per-row objects
             e = pdf[event].to_numpy(dtype=float)
             r = np.exp(X @ bvec)
             xx = (X[:, iu[0]] * X[:, iu[1]])
@@ -170,7 +171,7 @@ def fit_cox(df: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, duration: s
     p = len(names)
     model = CoxModel(names, np.zeros(p), means, stds, levels, None, int(agg["max_t"]), False, 0)
     x_df = df.select(F.col(duration).cast("long").alias(duration), F.col(event).cast("double").alias(event),
-                     F.array(*model.design(df, numeric, categorical)).alias("x")).persist()
+                     *[c.alias(f"x{i}") for i, c in enumerate(model.design(df, numeric, categorical))]).persist()
     n_rows = int(agg["n"])
     beta = np.zeros(p)
     ts, S, up = _stats_pass(x_df, beta, p, duration, event)
