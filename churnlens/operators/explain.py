@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from churnlens.functions.columns import quantile
 from churnlens.operators.model import CATEGORICAL, NUMERIC
 
 # Fixed phrase parts (numeric feature labels).
@@ -41,7 +42,7 @@ def linear_reasons(model: PipelineModel, rows: DataFrame, top_n: int = 3,
     x = (model.transform(rows).select("customer_id", *numeric,
                                       F.posexplode(vector_to_array("features")).alias("j", "x")))
     means = x.groupBy("j").agg(F.avg("x").alias("mean_x"))
-    medians = rows.select(*[F.percentile(c, 0.5).alias(c) for c in numeric])
+    medians = rows.select(*[quantile(spark, c, 0.5).alias(c) for c in numeric])
     med = medians.select(F.struct(*numeric)).scalar()
     contrib = (x.join(F.broadcast(means), "j").join(F.broadcast(feats), "j")   # p-row tables
                .withColumn("contrib", F.col("coef") * (F.col("x") - F.col("mean_x")))
