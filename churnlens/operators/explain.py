@@ -47,10 +47,8 @@ def linear_reasons(model: PipelineModel, rows: DataFrame, top_n: int = 3,
     contrib = (x.join(F.broadcast(means), "j").join(F.broadcast(feats), "j")   # p-row tables
                .withColumn("contrib", F.col("coef") * (F.col("x") - F.col("mean_x")))
                .where(F.col("contrib") > 0))
-    raw = F.lit(None).cast("double")
     level_of = None
     for c in numeric:
-        raw = F.when(F.col("column") == c, F.col(c)).otherwise(raw)
         m = med.getField(c)
         cond = F.col("column") == c
         phrase = F.concat(F.when(F.col(c) >= m, F.lit("high ")).otherwise(F.lit("low ")), F.lit(NUMERIC_LABEL.get(c, c)))
