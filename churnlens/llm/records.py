@@ -36,6 +36,7 @@ from churnlens.llm.common import partitions
 
 HEAD, CRC, KEY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<Bq")
 WIDE, NULL_ID = 1, 2
+TEXTS_AT_ONCE = 256
 MASK_DELTA = 0xA282EAD8
 
 INDEX_SCHEMA = ("shard int, file string, seq long, doc_id long, offset long, "
@@ -55,14 +56,27 @@ class IdEncoder:
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.code = "I" if self.wide else "H"
-        self.cache = SegmentCache(self._packed)
+        self.starts = np.array([str(self.tokenizer.id_to_token(k)).startswith("\u0120")
+                                for k in range(self.tokenizer.get_vocab_size())])
+        self.cache = SegmentCache(self._packed, b"".join)
 
     def _packed(self, segments: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        return [array(self.code, e.ids).tobytes() for e in found]
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(self.cache.values(text or ""))
+        if len(segments) < 2 or not all(s[0] == " " and s.isprintable() and s.count(" ") == 1
+                                        and "<" not in s for s in segments):
+            found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
+            return [array(self.code, e.ids).tobytes() for e in found]
+        out = []
+        for k in range(0, len(segments), 1000):     # each segment's ids start where a token holds its space
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(segments[k:k + 1000])],
+                                                            add_special_tokens=False)[0].ids, self.dtype)
+            packed = ids.tobytes()
+            ends = [*(np.flatnonzero(self.starts[ids]) * ids.itemsize).tolist(), len(packed)]
+            out += [packed[a:b] for a, b in zip(ends, ends[1:])]
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Packed ids of each text."""
+        return [b"".join(v) for v in self.cache.many([t or "" for t in texts])]
 
 
 def encoder(path: str) -> IdEncoder:
@@ -141,15 +155,17 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         try:
             for batch in batches:
                 index = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    if out is None:
-                        where.create_dir(root, recursive=True)
-                        out = where.open_output_stream(f"{root}/{name}")
-                    ids = enc.encode(text) + end
-                    record = frame(pack(doc_id, ids, enc.wide))
-                    out.write(record)
-                    index.append((shard, name, seq, doc_id, at, len(record), len(ids) // enc.dtype.itemsize))
-                    at, seq = at + len(record), seq + 1
+                for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                    part = batch.slice(k, TEXTS_AT_ONCE)
+                    for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist())):
+                        if out is None:
+                            where.create_dir(root, recursive=True)
+                            out = where.open_output_stream(f"{root}/{name}")
+                        record = frame(pack(doc_id, ids + end, enc.wide))
+                        out.write(record)
+                        index.append((shard, name, seq, doc_id, at, len(record),
+                                      len(ids) // enc.dtype.itemsize + 1))
+                        at, seq = at + len(record), seq + 1
                 if index:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*index), INDEX_TYPES)], names=INDEX_NAMES)
