@@ -38,3 +38,11 @@ def lower_ascii(text: Column) -> Column:
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the one knob for the width of a job."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has (letter case ignored)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from churnlens.llm import prefix_tokens, records
+from churnlens.llm import decontaminate, pii, prefix_tokens, records
 from churnlens.llm.common import read_table, shared_folder
 
+#: Stands in for a secret that a deployment passes to the operator.
+PSEUDONYM_KEY = "pseudonym-key-of-the-registered-queries"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
@@ -22,6 +24,16 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, folder, index)
 
 
+def op2_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal values replaced by pseudonyms."""
+    return pii.private_values(read_table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows of 10 words found in all documents."""
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents from prefix tables."""
     return prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -29,6 +41,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_pseudonyms": op2_pseudonyms,
+    "op3_decontamination": op3_decontamination,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_decontamination": decontaminate.CONTAMINATION_SQL}
