@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from churnlens.llm import decontaminate, pii, prefix_tokens, records
+from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, prefix_tokens, records, toxicity
 from churnlens.llm.common import read_table, shared_folder
 
 #: Stands in for a secret that a deployment passes to the operator.
@@ -34,6 +35,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into bins of 2048 words."""
+    return bestfit.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every 20th vector among all vectors."""
+    return crosspolytope.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; one fold of the labels is never learnt from."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), toxicity.training_fold)
+    return toxicity.scores(docs, model).select(
+        "doc_id", (~toxicity.training_fold(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents from prefix tables."""
     return prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,6 +62,9 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_decontamination": op3_decontamination,
+    "op5_packing": op5_packing,
+    "op6_neighbours": op6_neighbours,
+    "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {"op3_decontamination": decontaminate.CONTAMINATION_SQL}
