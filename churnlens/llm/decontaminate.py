@@ -41,62 +41,63 @@ def benchmark_windows(items: DataFrame, n: int) -> DataFrame:
             .select(F.size("win").alias("len"), "win", "item_ids"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, n: int = 10,
-              broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """One row per document text with a hit: (doc_id, text_key, covered positions
-    from 1, item_ids). Rows of a document are gathered by its id and text."""
+def scanned(docs: DataFrame, items: DataFrame, n: int = 10,
+            broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """One row per document id and text: (doc_id, text_key, copies, n_words, covered
+    positions from 1, item_ids). One pass over the texts: a document gives a row of
+    its own (position 0) and one for each window that the benchmark has."""
     win = benchmark_windows(items, n)
     sizes = win.groupBy("len").count().collect()            # at most n rows
     lengths, total = sorted(r["len"] for r in sizes), sum(r["count"] for r in sizes)
+    shortest = lengths[0] if lengths else n
     base = docs.select(F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("text_key"),
                        words(F.col("text")).alias("w"))
-    every = (base.where(F.size("w") >= F.lit(min(lengths, default=1)))
-             .select("doc_id", "text_key", "w", F.explode(F.sequence(
-                 F.lit(1), F.size("w") - F.lit(min(lengths, default=1) - 1))).alias("at")))
-    if len(lengths) == 1:
-        every = every.withColumn("len", F.lit(lengths[0]))
+    every = base.select("doc_id", "text_key", "w", F.explode(F.sequence(
+        F.lit(0), F.greatest(F.size("w") - F.lit(shortest - 1), F.lit(0)))).alias("at"))
+    if len(lengths) < 2:
+        every = every.withColumn("len", F.lit(shortest))
     else:
-        every = (every.withColumn("len", F.explode(F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")))
-                 .where(F.col("at") + F.col("len") - 1 <= F.size("w")))
-    own = F.slice("w", F.col("at"), F.col("len"))
+        every = (every.withColumn("len", F.explode(F.when(F.col("at") == 0, F.array(F.lit(n))).otherwise(
+            F.array(*map(F.lit, lengths)))))
+            .where((F.col("at") == 0) | (F.col("at") + F.col("len") - 1 <= F.size("w"))))
+    own = F.slice("w", F.greatest("at", F.lit(1)), F.col("len"))
     if total <= broadcast_windows:
         keyed = win.select(F.col("len").alias("b_len"), "win", "item_ids", F.xxhash64("win").alias("b_hash"))
         hits = every.join(F.broadcast(keyed), (F.xxhash64(own) == F.col("b_hash"))
-                          & (F.col("len") == F.col("b_len")) & (own == F.col("win")))
+                          & (F.col("len") == F.col("b_len")) & (own == F.col("win")) & (F.col("at") > 0), "left")
     else:
         digest = lambda w: F.sha2(F.array_join(w, " "), 256)
-        hits = (every.select("doc_id", "text_key", "at", "len", digest(own).alias("digest"))
-                .join(win.select(digest(F.col("win")).alias("digest"), "item_ids"), "digest"))
-    return (hits.groupBy("doc_id", "text_key")
-            .agg(F.collect_set(F.struct("at", "len")).alias("spans"), F.collect_set("item_ids").alias("sets"))
-            .select("doc_id", "text_key",
+        hits = (every.select("doc_id", "text_key", "at", "len", F.when(F.col("at") == 0, F.size("w")).alias("size"),
+                             F.when(F.col("at") > 0, digest(own)).alias("digest"))
+                .join(win.select(digest(F.col("win")).alias("digest"), "item_ids"), "digest", "left"))
+    n_words = F.size("w") if total <= broadcast_windows else F.col("size")
+    return (hits.where((F.col("at") == 0) | F.col("item_ids").isNotNull())
+            .select("doc_id", "text_key", F.when(F.col("at") == 0, n_words).alias("n_words"), "item_ids",
+                    F.when(F.col("at") > 0, F.struct("at", "len")).alias("span"))
+            .groupBy("doc_id", "text_key")
+            .agg(F.count("n_words").alias("copies"), F.max("n_words").cast("long").alias("n_words"),
+                 F.collect_set("span").alias("spans"), F.collect_set("item_ids").alias("sets"))
+            .select("doc_id", "text_key", "copies", "n_words",
                     F.array_distinct(F.flatten(F.transform(
                         "spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))).alias("covered"),
                     F.array_sort(F.array_distinct(F.flatten("sets"))).alias("item_ids")))
 
 
-def same_row(left: DataFrame, right: DataFrame) -> Column:
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["text_key"] == right["text_key"])
-
-
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10,
                   broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a
     window), n_items, items_sha256 (of the sorted, comma-joined ids), contaminated."""
-    hits = find_hits(docs, items, n, broadcast_windows)
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
-                       F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    ids = F.coalesce(hits["item_ids"], F.array().cast("array<string>"))
-    n_hit = F.coalesce(F.size(hits["covered"]), F.lit(0)).cast("long")
-    return base.join(hits, same_row(base, hits), "left").select(
-        base["doc_id"], base["n_words"], n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    n_hit = F.size("covered").cast("long")
+    return (scanned(docs, items, n, broadcast_windows)
+            .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+            .select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+                    F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated")))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 10, remove: str = "documents") -> DataFrame:
     """``docs`` without its contaminated rows (``remove="documents"``), or with the
     hit words cut out of their texts and the rest as it was (``remove="spans"``)."""
-    hits = find_hits(docs, items, n)
+    hits = scanned(docs, items, n).where(F.size("covered") > 0)
     key = fresh(docs.columns, "text_key")
     keyed = docs.withColumn(key, F.xxhash64("text"))
     same = keyed["doc_id"].eqNullSafe(hits["doc_id"]) & (keyed[key] == hits["text_key"])
