@@ -11,8 +11,9 @@ link when ``den * |x & y| >= num * |x | y|`` in percent (75 of 100 by default).
    signature tree, big groups in blocks, and components of the links are formed.
 3. Rest. A link between two components still needs enough counting shingles that
    several components have. Classes that have them are grouped by such shingles
-   and every group is joined by signature trees, big groups block by block, each
-   with each. With that no link between components can be missed.
+   and by size class, and every group is joined by signature trees with itself and
+   with the next size class, big groups block by block. With that no link between
+   components can be missed.
 
 A signature tree's leaves hold sets of similar size, its nodes the OR of their
 sets' bitmaps, their size range and how many more shingles than bits a set has.
@@ -37,7 +38,7 @@ from churnlens.llm.components import components
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
 PERCENT, SHINGLE, SLACK = 75, 5, 0.08
-LEAF, FANOUT, BLOCK = 32, 8, 2048
+LEAF, FANOUT, BLOCK, HOT_PART = 32, 8, 2048, 64
 
 
 def slack(n):
@@ -221,7 +222,7 @@ def class_rows(docs: DataFrame) -> DataFrame:
 
 
 def prefix_rows(docs: DataFrame) -> DataFrame:
-    """(token, class, n) for the prefix shingles of each row, once for equal sets of a batch."""
+    """(token, class) for the prefix shingles of each row, once for equal sets of a batch."""
     def rows(batches):
         for b in batches:
             sets = {set_id(s): s for s in shingle_sets(b.column(1).to_pylist()) if len(s)}
@@ -230,10 +231,31 @@ def prefix_rows(docs: DataFrame) -> DataFrame:
                 lengths = [prefix(len(s)) for s in own]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([s[:p] for s, p in zip(own, lengths)] or [np.zeros(0, np.uint64)]).view(np.int64)),
-                     pa.array(np.repeat(part, lengths)), pa.array(np.repeat(np.array([len(s) for s in own], np.int64), lengths))],
-                    names=["token", "class", "n"])
+                     pa.array(np.repeat(part, lengths))], names=["token", "class"])
 
-    return docs.mapInArrow(rows, "token long, class long, n long")
+    return docs.mapInArrow(rows, "token long, class long")
+
+
+def shared_prefix_rows(texts: DataFrame) -> DataFrame:
+    """Rows of ``prefix_rows`` whose token several classes have, each once.
+
+    The rows are dealt by token once, for the count and for what it keeps. Tokens
+    that a part of the texts (one in ``HOT_PART``, by the doc_id's hash) shows to be
+    frequent are spread by their classes as well; they count without being counted,
+    which can only keep more. There are at most 4 x partitions such tokens."""
+    n = partitions(texts.sparkSession)
+    part = prefix_rows(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PART)) == 0))
+    total = part.count()
+    hot = (part.groupBy("token").count().where(F.col("count") > max(8, total // (4 * n)))
+           .select(F.col("token").alias("hot")))
+    rows = prefix_rows(texts).join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
+    rows = rows.select("token", "class", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("class"), F.lit(n)) + 1)
+                       .otherwise(F.lit(0)).cast("int").alias("salt"))
+    rows = rows.repartition(n, "token", "salt")
+    shared = rows.groupBy("token", "salt").agg(F.min("class").alias("x"), F.max("class").alias("y")).where(
+        "x != y or salt > 0").select("token", "salt")
+    return rows.join(shared.hint("shuffle_hash"), ["token", "salt"]).select("token", "class", "salt").dropDuplicates(
+        ["token", "salt", "class"]).select("token", "class")
 
 
 def set_rows(chosen: DataFrame) -> DataFrame:
@@ -263,17 +285,21 @@ def enough(rows: DataFrame) -> DataFrame:
     return rows.join(full, "class", "left_semi")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """(class, component) of the classes that link with another; the component is a class."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
-        F.col("doc_id").isNotNull())
-    rows = stage(enough(counting(prefix_rows(texts), "class").dropDuplicates(["token", "class"])), "jaccard-prefix")
-    wanted = rows.select("class").distinct()
-    chosen = class_rows(texts).join(wanted, "class").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+def size_class(n: Column) -> Column:
+    """Linked sets are in the same or in neighbouring size classes."""
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / PERCENT)))).cast("long")
+
+
+def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(class, component) of the ``classes(class, n, doc_id)`` that link with another;
+    the component is a class."""
+    sizes = classes.select("class", "n")
+    rows = stage(enough(shared_prefix_rows(texts).join(sizes, "class")), "jaccard-prefix")
+    chosen = classes.join(rows.select("class").distinct(), "class", "left_semi").select("class", "doc_id")
     sets = stage(set_rows(texts.join(chosen, "doc_id").select("class", "text")).dropDuplicates(["node"]), "jaccard-sets")
 
-    # first trees: by the two smallest shingles of a set that count
-    smallest = (sets.select("node", F.explode(F.slice("tokens", 1, 2)).alias("token")))
+    # first trees: by the two smallest shingles of a set
+    smallest = sets.select("node", F.explode(F.slice("tokens", 1, 2)).alias("token"))
     sizes = smallest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("m")).where("m > 1")
     groups = smallest.join(sizes, "token").select("node", "token", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     first = group_links(groups.join(sets, "node").select("token", "block", F.lit(0).alias("side"), F.col("node").alias("label"),
@@ -287,13 +313,18 @@ def link_components(docs: DataFrame) -> DataFrame:
     hub = rest.groupBy("token").agg(F.min("class").alias("b"))
     grouped = components(rest.join(hub, "token").select(F.col("class").alias("a"), "b").unionAll(
         hub.select(F.col("b").alias("a"), "b")))
-    member = (rest.select("class", "label").distinct().join(grouped, F.col("class") == F.col("node"))
-              .select("class", "label", F.col("component").alias("pool")))
-    pools = member.groupBy("pool").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
-    dealt = member.join(pools, "pool").withColumn("block", F.pmod(F.xxhash64("class"), "blocks"))
-    pairs = dealt.select("class", "label", "pool", F.col("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with"))
-    tasks = pairs.select("pool", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"),
-                         (F.col("block") > F.col("with")).cast("int").alias("side"), "label", F.col("class").alias("node"))
+    member = (rest.select("class", "label", size_class(F.col("n")).alias("g")).distinct()
+              .join(grouped, F.col("class") == F.col("node")).select("class", "label", "g", F.col("component").alias("pool")))
+    pools = member.groupBy("pool", "g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+    unit = lambda g, block: F.shiftleft(g, 32) + block
+    near = pools.select("pool", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"),
+                        F.col("g").alias("other"), F.col("blocks").alias("others"))
+    pairs = (member.join(pools, ["pool", "g"]).withColumn("own", unit(F.col("g"), F.pmod(F.xxhash64("class"), "blocks")))
+             .join(near, ["pool", "g"])
+             .select("class", "label", "pool", "own", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)).alias("block"))
+             .withColumn("with", unit(F.col("other"), F.col("block"))))
+    tasks = pairs.select("pool", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
+                         (F.col("own") > F.col("with")).cast("int").alias("side"), "label", F.col("class").alias("node"))
     second = group_links(tasks.join(sets, "node").select("pool", "low", "high", "side", "label", "node", "tokens"),
                          ["pool", "low", "high"])
     return components(first.unionAll(second).checkpoint()).withColumnRenamed("node", "class")
@@ -302,10 +333,13 @@ def link_components(docs: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id
     that links reach, its own included)."""
-    base = stage(class_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))), "jaccard-classes")
-    found = link_components(docs)
-    classes = base.where("n > 0 and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
-    named = classes.join(found, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    base = stage(class_rows(texts), "jaccard-classes")
+    classes = base.where("n > 0 and doc_id is not null").groupBy("class").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    found = link_components(texts.where(F.col("doc_id").isNotNull()), classes)
+    named = classes.join(found, "class", "left").select(
+        "class", F.col("doc_id").alias("least"), F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     final = named.join(least, "component").select(F.col("class").alias("c"), "component_id")
     return base.join(final, (F.col("class") == F.col("c")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left").select(
