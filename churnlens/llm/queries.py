@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, prefix_tokens, records, sigtree, toxicity
+from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, prefix_tokens, recompress, records, sigtree, toxicity
 from churnlens.llm.common import read_table, shared_folder
 
 #: Stands in for a secret that a deployment passes to the operator.
@@ -45,6 +45,11 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that repeat 50-word passages of earlier documents."""
+    return recompress.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-equal documents: five-word shingles, 75 percent."""
     return sigtree.jaccard_components(read_table(spark, sf_dir, "documents"))
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_packing": op5_packing,
     "op6_neighbours": op6_neighbours,
+    "op7_repeats": op7_repeats,
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
