@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, prefix_tokens, recompress, records, sigtree, toxicity
+from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, ppm, prefix_tokens, recompress, records, sigtree, toxicity
 from churnlens.llm.common import read_table, shared_folder
 
 #: Stands in for a secret that a deployment passes to the operator.
@@ -35,6 +35,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all documents under byte contexts of the training fold."""
+    return ppm.score_documents(read_table(spark, sf_dir, "documents"), ppm.training_fold(F.col("doc_id")))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into bins of 2048 words."""
     return bestfit.pack_documents(read_table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_pseudonyms": op2_pseudonyms,
     "op3_decontamination": op3_decontamination,
+    "op4_scores": op4_scores,
     "op5_packing": op5_packing,
     "op6_neighbours": op6_neighbours,
     "op7_repeats": op7_repeats,
