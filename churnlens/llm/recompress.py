@@ -9,8 +9,9 @@ wherever that interval lies inside the window.
 
 A window's key is the smallest such symbol in it (by hash), or the window's own
 hash where it has none. Only windows whose key occurs in texts of several documents
-can repeat. They alone are hashed and matched word for word, by 64-bit hashes of the
-50 words beside the key that brought them together.
+can repeat. Consecutive windows with one key are a run; equal runs (one hash over all
+their windows) are matched whole, and where runs of a key differ, the first text of
+each kind gives its windows, which are matched one by one. Hashes have 64 bits.
 
 Documents with the same words are one text, that of the smallest doc_id; all words
 of the others are covered if there is a window at all. A document is never compared
@@ -132,9 +133,9 @@ def text_class(words: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64))
 
 
-def candidate_windows(chosen: DataFrame) -> DataFrame:
-    """(hash, doc_id, class, start) of the windows of ``chosen(doc_id, class, keys,
-    text)`` whose key is among ``keys``."""
+def candidate_runs(chosen: DataFrame) -> DataFrame:
+    """(key, run, doc_id, class, start, n) of ``chosen(doc_id, class, keys, text)``:
+    the runs of windows with one key among ``keys``, and a hash of each run's words."""
     def rows(batches):
         for b in batches:
             lists = b.column(2)
@@ -148,26 +149,55 @@ def candidate_windows(chosen: DataFrame) -> DataFrame:
                 for k in range(len(raw)):
                     shared = lists[first + k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     hit[cut[k]:cut[k + 1]] = np.isin(keys[cut[k]:cut[k + 1]], shared)
-                at_hit = start[hit]
-                ids, classes = (b.column(c).to_numpy(zero_copy_only=False)[first:first + len(raw)][text[hit]] for c in (0, 1))
+                new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
+                begin = np.flatnonzero(new)
+                length = np.diff(np.append(begin, len(start)))
+                hashed = windows(words, WINDOW)[start]
+                run = mix(np.add.reduceat(mix(hashed * (np.arange(len(hashed)) - np.repeat(begin, length) + 1).astype(np.uint64), 9), begin), 10)
+                begin, length, run = begin[hit[begin]], length[hit[begin]], run[hit[begin]]
+                ids, classes = (b.column(c).to_numpy(zero_copy_only=False)[first:first + len(raw)][text[begin]] for c in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_long(mix(windows(words, WINDOW)[at_hit], 8))), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
-                     pa.array((at_hit - at[text[hit]]).astype(np.int32))], names=["hash", "doc_id", "class", "start"])
+                    [pa.array(_long(keys[begin])), pa.array(_long(run)), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array((start[begin] - at[text[begin]]).astype(np.int32)), pa.array(length.astype(np.int32))],
+                    names=["key", "run", "doc_id", "class", "start", "n"])
 
-    return chosen.mapInArrow(rows, "hash long, doc_id long, class long, start int")
+    return chosen.mapInArrow(rows, "key long, run long, doc_id long, class long, start int, n int")
+
+
+def run_windows(runs: DataFrame) -> DataFrame:
+    """(hash, doc_id, class, start) of the windows of ``runs(doc_id, class, text, starts, ns)``."""
+    def rows(batches):
+        for b in batches:
+            starts, ns = b.column(3).to_pylist(), b.column(4).to_pylist()
+            for first, raw in portions(b.column(2).to_pylist()):
+                words, at = hashed_words(raw)
+                hashed = windows(words, WINDOW)
+                place, owner = [], []
+                for k in range(len(raw)):
+                    for a, n in zip(starts[first + k], ns[first + k]):
+                        place.append(np.arange(at[k] + a, at[k] + a + n))
+                        owner.append(np.full(n, k))
+                place, owner = np.concatenate(place), np.concatenate(owner)
+                ids, classes = (b.column(c).to_numpy(zero_copy_only=False)[first:first + len(raw)][owner] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_long(mix(hashed[place], 8))), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array((place - at[owner]).astype(np.int32))], names=["hash", "doc_id", "class", "start"])
+
+    return runs.mapInArrow(rows, "hash long, doc_id long, class long, start int")
 
 
 def without_windows(marked: DataFrame) -> DataFrame:
-    """(doc_id, class, n_removed, kept) of ``marked(doc_id, class, text, starts)``:
-    the words that no window starting at ``starts`` covers, joined by single spaces."""
+    """(doc_id, class, n_removed, kept) of ``marked(doc_id, class, text, starts, ns)``:
+    the words that no window of the runs of ``ns`` windows from ``starts`` covers,
+    joined by single spaces."""
     def rows(batches):
         for b in batches:
             out = []
-            for doc_id, cls, text, starts in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, cls, text, starts, ns in zip(*(c.to_pylist() for c in b.columns)):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 step = np.zeros(len(words) + 1, np.int64)
                 np.add.at(step, starts, 1)
-                np.add.at(step, np.add(starts, WINDOW), -1)
+                np.add.at(step, np.add(starts, ns) + WINDOW - 1, -1)
                 keep = np.cumsum(step)[:-1] == 0
                 out.append((doc_id, cls, int((~keep).sum()),
                             b" ".join(w for w, k in zip(words, keep) if k).decode("utf-8", "surrogatepass")))
@@ -188,10 +218,19 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     keys = rows.join(shared, "key").groupBy("doc_id", "class").agg(F.collect_list("key").alias("keys"))
     chosen = stage(only_own_class(texts.join(keys, "doc_id").select("doc_id", "class", "keys", "text")), "recompress-chosen")
-    found = candidate_windows(chosen)
+    runs = stage(candidate_runs(chosen), "recompress-runs")
+    firsts_of_runs = runs.groupBy("key", "run").agg(F.min("doc_id").alias("low"))
+    several = firsts_of_runs.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    known = runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low")      # all their windows are covered
+    # runs that differ, in the first text that has each: window by window
+    unlike = (runs.join(several, "key", "left_semi").join(firsts_of_runs, ["key", "run"]).where("doc_id = low")
+              .groupBy("doc_id", "class").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
+    found = stage(run_windows(chosen.join(unlike, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns")), "recompress-windows")
     low = found.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("hash", F.col("x").alias("low"))
-    starts = found.join(low, "hash").where("doc_id > low").groupBy("doc_id", "class").agg(F.collect_set("start").alias("starts"))
-    left = without_windows(chosen.join(starts, ["doc_id", "class"]).select("doc_id", "class", "text", "starts"))
+    one_by_one = found.join(low, "hash").where("doc_id > low").select("doc_id", "class", "start", F.lit(1).alias("n"))
+    starts = (known.select("doc_id", "class", "start", "n").unionAll(one_by_one).groupBy("doc_id", "class")
+              .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
+    left = without_windows(chosen.join(starts, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns"))
     return base.join(firsts, "class", "left"), left
 
 
