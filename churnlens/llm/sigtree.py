@@ -236,26 +236,50 @@ def prefix_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(rows, "token long, class long")
 
 
-def shared_prefix_rows(texts: DataFrame) -> DataFrame:
-    """Rows of ``prefix_rows`` whose token several classes have, each once.
-
-    The rows are dealt by token once, for the count and for what it keeps. Tokens
-    that a part of the texts (one in ``HOT_PART``, by the doc_id's hash) shows to be
-    frequent are spread by their classes as well; they count without being counted,
-    which can only keep more. There are at most 4 x partitions such tokens."""
+def shared_prefix_rows(texts: DataFrame, total: int) -> DataFrame:
+    """Rows of ``prefix_rows`` whose token several classes have, each once; ``total``
+    is about the number of all prefix rows.
+
+    The rows are dealt by token once and sorted, so that a token's rows pass one
+    after the other. Tokens that a part of the texts (one in ``HOT_PART``, by the
+    doc_id's hash) shows to be frequent are spread by their classes as well; they
+    count without being counted, which can only keep more. There are about
+    4 x partitions such tokens at most, whatever the input."""
     n = partitions(texts.sparkSession)
     part = prefix_rows(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PART)) == 0))
-    total = part.count()
-    hot = (part.groupBy("token").count().where(F.col("count") > max(8, total // (4 * n)))
-           .select(F.col("token").alias("hot")))
-    rows = prefix_rows(texts).join(F.broadcast(hot), F.col("token") == F.col("hot"), "left")
-    rows = rows.select("token", "class", F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("class"), F.lit(n)) + 1)
-                       .otherwise(F.lit(0)).cast("int").alias("salt"))
-    rows = rows.repartition(n, "token", "salt")
-    shared = rows.groupBy("token", "salt").agg(F.min("class").alias("x"), F.max("class").alias("y")).where(
-        "x != y or salt > 0").select("token", "salt")
-    return rows.join(shared.hint("shuffle_hash"), ["token", "salt"]).select("token", "class", "salt").dropDuplicates(
-        ["token", "salt", "class"]).select("token", "class")
+    hot = [r["token"] for r in part.groupBy("token").count().where(
+        F.col("count") > max(8, total // (HOT_PART * 4 * n))).select("token").collect()]
+    spread = F.when(F.col("token").isin(hot), F.pmod(F.xxhash64("class"), F.lit(n))) if hot else F.lit(None)
+    rows = prefix_rows(texts).repartition(n, F.col("token"), spread.cast("int")).sortWithinPartitions("token", "class")
+    frequent = np.array(sorted(hot), np.int64)
+
+    def keep(batches):
+        token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for b in batches:
+            token = np.concatenate((token, b.column(0).to_numpy(zero_copy_only=False)))
+            cls = np.concatenate((cls, b.column(1).to_numpy(zero_copy_only=False)))
+            if len(token) and token[0] != token[-1]:
+                end = np.searchsorted(token, token[-1])       # the last token may go on
+                yield _several(token[:end], cls[:end], frequent)
+                token, cls = token[end:], cls[end:]
+            elif len(token) > 100_000:                        # one token: its distinct classes
+                cls = np.unique(cls)
+                token = token[:len(cls)]
+        yield _several(token, cls, frequent)
+
+    return rows.mapInArrow(keep, "token long, class long")
+
+
+def _several(token: np.ndarray, cls: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch:
+    """Rows (sorted by token and class), each once, of tokens with several classes."""
+    if len(token):
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
+        token, cls = token[new], cls[new]
+        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.append(start, len(token)))
+        stays = np.repeat(size > 1, size) | np.isin(token, frequent)
+        token, cls = token[stays], cls[stays]
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "class"])
 
 
 def set_rows(chosen: DataFrame) -> DataFrame:
@@ -294,7 +318,8 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     """(class, component) of the ``classes(class, n, doc_id)`` that link with another;
     the component is a class."""
     sizes = classes.select("class", "n")
-    rows = stage(enough(shared_prefix_rows(texts).join(sizes, "class")), "jaccard-prefix")
+    total = int((sizes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + SLACK))
+    rows = stage(enough(shared_prefix_rows(texts, total).join(sizes, "class")), "jaccard-prefix")
     chosen = classes.join(rows.select("class").distinct(), "class", "left_semi").select("class", "doc_id")
     sets = stage(set_rows(texts.join(chosen, "doc_id").select("class", "text")).dropDuplicates(["node"]), "jaccard-sets")
 
