@@ -9,7 +9,8 @@ wherever that interval lies inside the window.
 
 A window's key is the smallest such symbol in it (by hash), or the window's own
 hash where it has none. Only windows whose key occurs in texts of several documents
-can repeat. Consecutive windows with one key are a run; equal runs (one hash over all
+can repeat. Each has a second key by another hash, and
+consecutive windows with the same two keys are a run; equal runs (one hash over all
 their windows) are matched whole, and where runs of a key differ, the first text of
 each kind gives its windows, which are matched one by one. Hashes have 64 bits.
 
@@ -82,8 +83,8 @@ class Symbols:
         self.name, self.low, self.high, self.text = name[keep], low[keep], high[keep], self.text[keep]
 
 
-def window_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, text and key of every window."""
+def window_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text, key and second key (by another hash) of every window."""
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
     start = np.flatnonzero(np.arange(len(words)) + WINDOW <= at[1:][text])
     symbols = Symbols(words, at)
@@ -91,20 +92,23 @@ def window_keys(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if level in RUN_ROUNDS:
             symbols.runs()
         symbols.pairs(level)
-    order = mix(symbols.name, 5)
     lo = np.searchsorted(symbols.low, start, "left")
     hi = np.searchsorted(symbols.high, start + WINDOW, "right")
-    keys = mix(windows(words, WINDOW)[start], 6) if len(start) else np.zeros(0, np.uint64)
-    count = hi - lo
-    level, least = 0, order                                     # least[i]: smallest of 2^level from i
-    while len(start) and (1 << level) <= count.max():
+    alone = mix(windows(words, WINDOW)[start], 6) if len(start) else np.zeros(0, np.uint64)
+    return start, text[start], *(smallest(mix(symbols.name, by), lo, hi, alone) for by in (5, 55))
+
+
+def smallest(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """The least of values[lo:hi] for each pair, or ``otherwise`` where that is empty."""
+    out, count, level, least = otherwise.copy(), hi - lo, 0, values
+    while len(count) and (1 << level) <= count.max():           # least[i]: of 2^level values from i
         use = np.flatnonzero((count >= 1 << level) & (count < 2 << level))
-        keys[use] = np.minimum(least[lo[use]], least[hi[use] - (1 << level)])
+        out[use] = np.minimum(least[lo[use]], least[hi[use] - (1 << level)])
         if len(least) <= 1 << level:
             break
         least = np.minimum(least[:-(1 << level)], least[1 << level:])
         level += 1
-    return start, text[start], keys
+    return out
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -118,7 +122,7 @@ def read_texts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for first, raw in portions(b.column(1).to_pylist()):
                 words, at = hashed_words(raw)
-                _, text, keys = window_keys(words, at)
+                _, text, keys, _ = window_keys(words, at)
                 cut = np.searchsorted(text, np.arange(len(raw) + 1))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(first, len(raw)), pa.array([text_class(words[x:y]) for x, y in zip(at, at[1:])], pa.int64()),
@@ -135,13 +139,14 @@ def text_class(words: np.ndarray) -> int:
 
 def candidate_runs(chosen: DataFrame) -> DataFrame:
     """(key, run, doc_id, class, start, n) of ``chosen(doc_id, class, keys, text)``:
-    the runs of windows with one key among ``keys``, and a hash of each run's words."""
+    the runs of windows whose key is among ``keys`` and that agree in both keys (as one
+    new key), and a hash of each run's words."""
     def rows(batches):
         for b in batches:
             lists = b.column(2)
             for first, raw in portions(b.column(3).to_pylist()):
                 words, at = hashed_words(raw)
-                start, text, keys = window_keys(words, at)
+                start, text, keys, second = window_keys(words, at)
                 if not len(start):
                     continue
                 cut = np.searchsorted(text, np.arange(len(raw) + 1))
@@ -149,6 +154,7 @@ def candidate_runs(chosen: DataFrame) -> DataFrame:
                 for k in range(len(raw)):
                     shared = lists[first + k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     hit[cut[k]:cut[k + 1]] = np.isin(keys[cut[k]:cut[k + 1]], shared)
+                keys = mix((keys * MULTIPLIER) ^ second, 7)
                 new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
                 begin = np.flatnonzero(new)
                 length = np.diff(np.append(begin, len(start)))
@@ -220,7 +226,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     chosen = stage(only_own_class(texts.join(keys, "doc_id").select("doc_id", "class", "keys", "text")), "recompress-chosen")
     runs = stage(candidate_runs(chosen), "recompress-runs")
     firsts_of_runs = runs.groupBy("key", "run").agg(F.min("doc_id").alias("low"))
-    several = firsts_of_runs.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    several = (firsts_of_runs.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("x"), F.max("low").alias("y"))
+               .where("kinds > 1 and x < y").select("key"))
     known = runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low")      # all their windows are covered
     # runs that differ, in the first text that has each: window by window
     unlike = (runs.join(several, "key", "left_semi").join(firsts_of_runs, ["key", "run"]).where("doc_id = low")
