@@ -21,10 +21,11 @@ def fixed(c, digits: int) -> Column:
 
     Spelled out with IEEE operations so that any engine evaluating the same
     expression returns the same double (built-in ``round`` implementations differ
-    on ties between engines).
+    on ties between engines). NaN has no rounded value and becomes NULL.
     """
     scale = float(10 ** digits)
-    return F.floor(col_(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    rounded = F.floor(col_(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.when(~F.isnan(col_(c)), rounded)
 
 
 def cents(c) -> Column:

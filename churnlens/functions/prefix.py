@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,23 +42,34 @@ class RangeOrdered:
     def running(self, sums: dict[str, Column], where: Column | None = None,
                 rn: str = "rn") -> DataFrame:
         """Rows (optionally filtered) with 1-based ``rn`` and inclusive running sums
-        per group, in the table's order. Sum inputs must be integral or double."""
+        per group, in the table's order. Sum inputs must be integral or double; NULL
+        and NaN inputs add nothing, and NULL is a group like any other."""
         base = self.df if where is None else self.df.where(where)
         cols = base.columns
         tmp = {name: f"__in_{name}" for name in sums}
-        staged = base.select(*cols, *[expr.alias(tmp[name]) for name, expr in sums.items()])
+        inputs = base.select(*cols, *[expr.alias(tmp[name]) for name, expr in sums.items()])
+        kinds = {f.name: f.dataType for f in inputs.schema.fields}
+
+        def filled(name: str) -> Column:
+            zero = F.lit(0).cast(kinds[name])
+            known = F.coalesce(F.col(name), zero)
+            return F.when(F.isnan(known), zero).otherwise(known) if isinstance(
+                kinds[name], (T.DoubleType, T.FloatType)) else known
+
+        # JSON leaves NULL fields out, so each NULL pattern is a key of its own
+        group_key = F.to_json(F.struct(*map(F.col, self.partition_by))) if self.partition_by else F.lit("")
+        staged = inputs.select(*cols, *[filled(tmp[n]).alias(tmp[n]) for n in sums], group_key.alias("__group"))
         pid = F.spark_partition_id().alias("__pid")
-        totals = (staged.groupBy(pid, *self.partition_by)
+        totals = (staged.groupBy(pid, "__group")
                   .agg(F.count(F.lit(1)).alias("__n"), *[F.sum(tmp[n]).alias(tmp[n]) for n in sums])
                   .collect())
-        offsets = _exclusive_offsets(totals, self.partition_by, list(sums), tmp)
+        offsets = _exclusive_offsets(totals, list(sums), tmp)
 
-        in_types = {f.name: f.dataType for f in staged.schema.fields}
+        in_types = kinds
         out_fields = [f for f in base.schema.fields] + [T.StructField(rn, T.LongType())] + [
             T.StructField(name, T.LongType() if isinstance(in_types[tmp[name]], (T.IntegralType,))
                           else T.DoubleType()) for name in sums]
         schema = T.StructType(out_fields)
-        group_cols = self.partition_by
         sum_names = list(sums)
 
         def local_pass(batches):
@@ -72,13 +82,9 @@ class RangeOrdered:
                 out = pdf[cols].copy()
                 n = len(pdf)
                 # rows are sorted by group, so each group is one contiguous slice
-                if group_cols:
-                    codes, uniques = pd.factorize(pd.MultiIndex.from_frame(pdf[group_cols]), sort=False)
-                    starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                    keys = [tuple(uniques[codes[s]]) if len(group_cols) > 1 else (uniques[codes[s]][0],)
-                            for s in starts]
-                else:
-                    starts, keys = np.array([0]), [()]
+                groups = pdf["__group"].to_numpy()
+                starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+                keys = groups[starts]
                 ends = np.r_[starts[1:], n]
                 rn_vals = np.empty(n, dtype=np.int64)
                 sums_out = {s: np.empty(n, dtype=np.float64 if pdf[tmp[s]].dtype.kind == "f"
@@ -86,7 +92,7 @@ class RangeOrdered:
                 for g, a, b in zip(keys, starts, ends):
                     st = state.get(g)
                     if st is None:
-                        off_n, off_s = offsets.get((part, g), (0, {s: 0 for s in sum_names}))
+                        off_n, off_s = offsets[(part, g)]
                         st = state[g] = [off_n, dict(off_s)]
                     rn_vals[a:b] = st[0] + np.arange(1, b - a + 1)
                     st[0] += b - a
@@ -103,12 +109,11 @@ class RangeOrdered:
         return staged.mapInPandas(local_pass, schema)
 
 
-def _exclusive_offsets(totals, group_cols, sum_names, tmp):
+def _exclusive_offsets(totals, sum_names, tmp):
     """(partition, group) -> (rows before, {sum: total before}) in range order."""
     by_group = defaultdict(list)
     for r in totals:
-        g = tuple(r[c] for c in group_cols)
-        by_group[g].append(r)
+        by_group[r["__group"]].append(r)
     offsets = {}
     for g, rows in by_group.items():
         acc_n, acc = 0, {s: 0 for s in sum_names}

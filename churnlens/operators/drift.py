@@ -86,8 +86,8 @@ def psi_numeric_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
     counts = (c.join(F.broadcast(profile.edges), "feature").withColumn("b", _bucket())
               .groupBy("feature", "b").agg(F.count(F.lit(1)).alias("na")))
     ta = c.groupBy("feature").agg(F.count(F.lit(1)).alias("ta"))
-    full = (profile.bucket_shares.join(counts, ["feature", "b"], "left").join(F.broadcast(ta), "feature")
-            .withColumn("a_s", F.greatest(F.coalesce(F.col("na"), F.lit(0)) / F.col("ta"), F.lit(C.SHARE_FLOOR))))
+    full = (profile.bucket_shares.join(counts, ["feature", "b"], "left").join(F.broadcast(ta), "feature", "left")  # a feature without values has floor shares
+            .withColumn("a_s", F.greatest(F.coalesce(F.col("na") / F.col("ta"), F.lit(0.0)), F.lit(C.SHARE_FLOOR))))
     term = (F.col("a_s") - F.col("e_s")) * F.log(F.col("a_s") / F.col("e_s"))
     return full.groupBy("feature").agg(
         F.when(F.max("n_inner") < 1, F.lit(0.0)).otherwise(F.sum(term)).alias("psi"))
@@ -112,7 +112,8 @@ def ks_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
     run = RangeOrdered(per_x, [F.col("x").asc()], partition_by=["feature"]).running(
         {"cr": F.col("kr"), "cc": F.col("kc")})
     totals = per_x.groupBy("feature").agg(F.sum("kr").alias("nr"), F.sum("kc").alias("nc"))
-    diff = F.abs(F.col("cr") / F.col("nr") - F.col("cc") / F.col("nc"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+    diff = F.abs(share("cr", "nr") - share("cc", "nc"))
     d = (run.join(F.broadcast(totals), "feature")  # one row per feature
          .groupBy("feature").agg(F.max(diff).alias("ks_d"), F.first("nr").alias("n_ref"),
                                  F.first("nc").alias("n_cur")))
@@ -120,7 +121,8 @@ def ks_vs(profile: ReferenceProfile, cur: DataFrame) -> DataFrame:
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(KS_TERMS)), F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(F.lit(-2.0) * k * k * F.col("z") * F.col("z")))
-    p = F.when(F.col("z") < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
+    one_side = (F.col("n_ref") == 0) | (F.col("n_cur") == 0)  # no values at all on one side: drift
+    p = F.when(one_side, F.lit(0.0)).when(F.col("z") < 0.2, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 2.0 * series)))
     return d.withColumn("z", z).select("feature", "n_ref", "n_cur", "ks_d", p.alias("ks_pvalue"))
 
 

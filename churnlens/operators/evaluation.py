@@ -32,10 +32,10 @@ def roc_auc(df: DataFrame, y: str = "churned", p: str = "churn_probability", by:
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
     run = RangeOrdered(per_p, [F.col("score").asc()], partition_by=by).running({"cneg": F.col("neg")})
     # pos * (2 * negatives strictly below + negatives tied), summed exactly as integers
-    num = F.sum(F.col("pos") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg")))
+    num = F.sum(F.col("pos").cast("decimal(38,0)") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg")))
     tot = run.groupBy(*by).agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     return tot.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
-                                  fixed(F.col("num").cast("double") / (F.lit(2.0) * F.col("P") * F.col("N")), 6))
+                                  fixed(F.col("num").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")), 6))
                       .alias("roc_auc"))
 
 

@@ -69,8 +69,9 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     ap.add_argument("--method", default="km", choices=["km", "cox"])
     args = ap.parse_args(argv)
-    from churnlens.session import get_spark
-    spark = get_spark() if not SparkSession.getActiveSession() else SparkSession.getActiveSession()
+    from churnlens.session import ensure_checkpoint_dir
+    spark = SparkSession.builder.appName("churnlens-batch").getOrCreate()  # master and sizes come from the submit command
+    ensure_checkpoint_dir(spark)
     print(run_batch_job(spark, args.sf_dir, args.out, args.method))
 
 

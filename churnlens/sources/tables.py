@@ -20,6 +20,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from churnlens import config as C
 from churnlens.functions.columns import cents, hash_u32
@@ -57,10 +58,20 @@ EXPERIMENT_CATEGORICAL = ["history_segment", "zip_code", "channel"]
 def read_experiment_csv(spark: SparkSession, path: str) -> DataFrame:
     """A/B-test CSV: ``treat`` = any e-mail sent (segment is not the no-e-mail
     control), ``outcome`` = site visit; a row id is attached for rankings."""
-    df = spark.read.schema(EXPERIMENT_SCHEMA).option("header", True).csv(path)
-    return (df.withColumn("treat", F.when(F.col("segment") != "No E-Mail", 1).otherwise(0))
-            .withColumn("outcome", F.col("visit").cast("int"))
-            .withColumn("customer_id", F.concat(F.lit("X-"), F.monotonically_increasing_id().cast("string"))))
+    df = _by_name(spark.read.option("header", True).csv(path), EXPERIMENT_SCHEMA)
+    same = Window.partitionBy(*df.columns).orderBy(F.lit(0))  # equal rows are told apart by a number
+    row = F.concat_ws("-", F.hex(F.xxhash64(*df.columns)), F.row_number().over(same).cast("string"))
+    return (df.withColumn("customer_id", F.concat(F.lit("X-"), row))
+            .withColumn("treat", F.when(F.col("segment") != "No E-Mail", 1).otherwise(0))
+            .withColumn("outcome", F.col("visit").cast("int")))
+
+
+def _by_name(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Columns by their header names, cast to the schema's types where it names them
+    (NULL where the text does not parse); the other columns stay text."""
+    types = {f.name: f.dataType for f in schema.fields}
+    return raw.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
+                        for c in raw.columns])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +80,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_customer_csv(spark: SparkSession, path: str,
                       schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """Raw customer CSV with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).option("header", True).csv(path)
+    """Raw customer CSV in any column order, also with columns beyond the schema
+    (such as the full 21-column file); no inference pass."""
+    return _by_name(spark.read.option("header", True).csv(path), schema)
 
 
 def order_history(spark: SparkSession, sf_dir: str) -> DataFrame:
