@@ -18,6 +18,7 @@ rows each get a score; an empty table gives none; other columns are not read.
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,22 +85,31 @@ def train(docs: DataFrame, labels: DataFrame, in_training, steps: int = 80, pena
     def split(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([sorted(word_set(t)) for t in b.column(1).to_pylist()], pa.list_(pa.string()))],
+                [b.column(0), b.column(2), pa.array([" ".join(sorted(word_set(t))) for t in b.column(1).to_pylist()])],
                 names=["doc_id", "toxic", "words"])
 
-    rows = sorted(((r["doc_id"], r["toxic"], r["words"]) for r in texts.mapInArrow(
-        split, "doc_id long, toxic int, words array<string>").collect()), key=lambda r: r[:2] + (len(r[2]), r[2]))
-    return fit([r[2] for r in rows], np.array([r[1] for r in rows]), share, steps, penalty, rate)
+    rows = texts.mapInArrow(split, "doc_id long, toxic int, words string").toArrow().sort_by(
+        [("doc_id", "ascending"), ("words", "ascending")])
+    return fit(rows["words"], rows["toxic"].to_numpy(), share, steps, penalty, rate)
 
 
-def fit(words: list[list[str]], y: np.ndarray, share: dict[int, int], steps: int, penalty: float, rate: float) -> Model:
-    """The bounded fit: full-batch logistic regression on documents x words x grams."""
+def fit(words, y: np.ndarray, share: dict[int, int], steps: int, penalty: float, rate: float) -> Model:
+    """The bounded fit: full-batch logistic regression on documents x words x grams.
+    ``words`` has the distinct words of each text in one string each."""
     number: dict[str, int] = {}
-    word = np.array([number.setdefault(w, len(number)) for ws in words for w in ws], np.int64)
-    doc = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
-    lists = [grams(w) for w in number]
-    gram = np.array([g for gs in lists for g in gs], np.int64)
-    owner = np.repeat(np.arange(len(lists)), [len(gs) for gs in lists])
+    word_, sizes = array("i"), []
+    for text in words:
+        own = text.as_py().split(" ")
+        word_.extend([number.setdefault(w, len(number)) for w in own])
+        sizes.append(len(own))
+    word, doc = np.frombuffer(word_, np.int32), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    gram_, lists = array("i"), []
+    for w in number:
+        own = grams(w)
+        gram_.extend(own)
+        lists.append(len(own))
+    del number
+    gram, owner = np.frombuffer(gram_, np.int32), np.repeat(np.arange(len(lists), dtype=np.int32), lists)
     ratio = np.zeros(BUCKETS)
     for sign, c in ((1, 1), (-1, 0)):
         per_word = np.bincount(word[y[doc] == c], minlength=len(lists))
