@@ -10,9 +10,11 @@ wherever that interval lies inside the window.
 A window's key is the smallest such symbol in it (by hash), or the window's own
 hash where it has none. Only windows whose key occurs in texts of several documents
 can repeat. Each has a second key by another hash, and
-consecutive windows with the same two keys are a run; equal runs (one hash over all
-their windows) are matched whole, and where runs of a key differ, the first text of
-each kind gives its windows, which are matched one by one. Hashes have 64 bits.
+consecutive windows with the same two keys are a run, several runs a unit. Equal
+units (one hash over all their windows) are matched whole; the first text of each
+kind gives its runs, which are matched likewise; and where runs of a key differ, the
+first text of each kind gives its windows, which are matched one by one. Hashes have
+64 bits.
 
 Documents with the same words are one text, that of the smallest doc_id; all words
 of the others are covered if there is a window at all. A document is never compared
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import stage
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
-WINDOW, ROUNDS, RUN_ROUNDS = 50, 4, (0, 2)
+WINDOW, ROUNDS, RUN_ROUNDS, UNIT = 50, 4, (0, 2), 4
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -137,10 +139,12 @@ def text_class(words: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes())).astype(np.int64))
 
 
-def candidate_runs(chosen: DataFrame) -> DataFrame:
-    """(key, run, doc_id, class, start, n) of ``chosen(doc_id, class, keys, text)``:
-    the runs of windows whose key is among ``keys`` and that agree in both keys (as one
-    new key), and a hash of each run's words."""
+def candidate_units(chosen: DataFrame) -> DataFrame:
+    """(unit, doc_id, class, start, n, runs) of ``chosen(doc_id, class, keys, text)``.
+
+    Consecutive windows that agree in both keys are a run, with a hash of its words;
+    only runs whose first key is among ``keys`` count. A unit is a sequence of such
+    runs, cut before each run whose keys' hash is a multiple of ``UNIT``."""
     def rows(batches):
         for b in batches:
             lists = b.column(2)
@@ -155,19 +159,34 @@ def candidate_runs(chosen: DataFrame) -> DataFrame:
                     shared = lists[first + k].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     hit[cut[k]:cut[k + 1]] = np.isin(keys[cut[k]:cut[k + 1]], shared)
                 keys = mix((keys * MULTIPLIER) ^ second, 7)
-                new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])))
-                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (text[1:] != text[:-1]))))
                 length = np.diff(np.append(begin, len(start)))
-                hashed = windows(words, WINDOW)[start]
-                run = mix(np.add.reduceat(mix(hashed * (np.arange(len(hashed)) - np.repeat(begin, length) + 1).astype(np.uint64), 9), begin), 10)
-                begin, length, run = begin[hit[begin]], length[hit[begin]], run[hit[begin]]
-                ids, classes = (b.column(c).to_numpy(zero_copy_only=False)[first:first + len(raw)][text[begin]] for c in (0, 1))
+                run = sequence_hash(windows(words, WINDOW)[start], begin, length)
+                key, owner, hit, begin_at = keys[begin], text[begin], hit[begin], start[begin]
+                head = np.concatenate(([True], (owner[1:] != owner[:-1]) | ~hit[:-1])) | (key % np.uint64(UNIT) == 0)
+                key, run, owner, begin_at, length, head = (x[hit] for x in (key, run, owner, begin_at, length, head))
+                if not len(key):
+                    continue
+                cuts = np.flatnonzero(head)
+                sizes = np.diff(np.append(cuts, len(key)))
+                ids, classes = (b.column(c).to_numpy(zero_copy_only=False)[first:first + len(raw)][owner[cuts]] for c in (0, 1))
+                place = (begin_at - at[owner]).astype(np.int32)
+                parts = pa.StructArray.from_arrays([pa.array(_long(key)), pa.array(_long(run)), pa.array(place), pa.array(length.astype(np.int32))],
+                                                   names=["key", "run", "start", "n"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_long(keys[begin])), pa.array(_long(run)), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
-                     pa.array((start[begin] - at[text[begin]]).astype(np.int32)), pa.array(length.astype(np.int32))],
-                    names=["key", "run", "doc_id", "class", "start", "n"])
+                    [pa.array(_long(sequence_hash(run, cuts, sizes))), pa.array(ids, pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array(place[cuts]), pa.array(np.add.reduceat(length, cuts).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.append(cuts, len(key)).astype(np.int32)), parts)],
+                    names=["unit", "doc_id", "class", "start", "n", "runs"])
+
+    return chosen.mapInArrow(rows, "unit long, doc_id long, class long, start int, n int, "
+                                   "runs array<struct<key: long, run: long, start: int, n: int>>")
+
 
-    return chosen.mapInArrow(rows, "key long, run long, doc_id long, class long, start int, n int")
+def sequence_hash(values: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each sequence of ``length`` values from ``begin``."""
+    place = (np.arange(len(values)) - np.repeat(begin, length) + 1).astype(np.uint64)
+    return mix(np.add.reduceat(mix(values * (place + place + np.uint64(1)), 9), begin) + length.astype(np.uint64), 10)
 
 
 def run_windows(runs: DataFrame) -> DataFrame:
@@ -224,18 +243,23 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     keys = rows.join(shared, "key").groupBy("doc_id", "class").agg(F.collect_list("key").alias("keys"))
     chosen = stage(only_own_class(texts.join(keys, "doc_id").select("doc_id", "class", "keys", "text")), "recompress-chosen")
-    runs = stage(candidate_runs(chosen), "recompress-runs")
+    units = stage(candidate_units(chosen), "recompress-units")
+    firsts_of_units = units.groupBy("unit").agg(F.min("doc_id").alias("low"))
+    placed = units.join(firsts_of_units, "unit")
+    whole = placed.where("doc_id > low").select("doc_id", "class", "start", "n")   # all their windows are covered
+    runs = stage(placed.where("doc_id = low").select("doc_id", "class", F.explode("runs").alias("r"))
+                 .select("r.key", "r.run", "doc_id", "class", "r.start", "r.n"), "recompress-runs")
     firsts_of_runs = runs.groupBy("key", "run").agg(F.min("doc_id").alias("low"))
     several = (firsts_of_runs.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("x"), F.max("low").alias("y"))
                .where("kinds > 1 and x < y").select("key"))
-    known = runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low")      # all their windows are covered
+    known = runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low").select("doc_id", "class", "start", "n").unionAll(whole)
     # runs that differ, in the first text that has each: window by window
     unlike = (runs.join(several, "key", "left_semi").join(firsts_of_runs, ["key", "run"]).where("doc_id = low")
               .groupBy("doc_id", "class").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
     found = stage(run_windows(chosen.join(unlike, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns")), "recompress-windows")
     low = found.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("hash", F.col("x").alias("low"))
     one_by_one = found.join(low, "hash").where("doc_id > low").select("doc_id", "class", "start", F.lit(1).alias("n"))
-    starts = (known.select("doc_id", "class", "start", "n").unionAll(one_by_one).groupBy("doc_id", "class")
+    starts = (known.unionAll(one_by_one).groupBy("doc_id", "class")
               .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
     left = without_windows(chosen.join(starts, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns"))
     return base.join(firsts, "class", "left"), left
