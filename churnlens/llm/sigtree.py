@@ -213,20 +213,22 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def class_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, class, n) for each row of ``docs(doc_id, text)``."""
     def rows(batches):
-        for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()),
-                                              pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
+        for whole in batches:
+            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
+                sets = shingle_sets(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()),
+                                                  pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
 
     return docs.mapInArrow(rows, "doc_id long, class long, n long")
 
 
 def prefix_rows(docs: DataFrame) -> DataFrame:
-    """(token, class) for the prefix shingles of each row, once for equal sets of a batch."""
+    """(token, class) for the prefix shingles of each row, once for equal sets of 1000 rows."""
     def rows(batches):
-        for b in batches:
-            sets = {set_id(s): s for s in shingle_sets(b.column(1).to_pylist()) if len(s)}
-            for part in np.array_split(np.array(list(sets), np.int64), max(1, len(sets) // 500)):
+        for whole in batches:
+            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
+                sets = {set_id(s): s for s in shingle_sets(b.column(1).to_pylist()) if len(s)}
+                part = np.array(list(sets), np.int64)
                 own = [sets[int(c)] for c in part]
                 lengths = [prefix(len(s)) for s in own]
                 yield pa.RecordBatch.from_arrays(

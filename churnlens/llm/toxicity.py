@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.3
-WORDS_KEPT = 500_000
+WORDS_KEPT = 150_000
 _SCORES: dict = {}
 
 
