@@ -2,7 +2,8 @@
 
 Semantics (sequential definition): walk rows in the given order; skip a row
 whose cost would overflow the budget and continue; stop once ``max_customers``
-rows are taken (``None``/0 = no cap).
+rows are taken (``None``/0 = no cap). Rows with a NULL cost or order key are
+never selected.
 
 Distributed evaluation in *rounds*. With remaining budget R and a cut position:
 the candidates are rows after the cut with ``cost <= R`` (a row costing more
@@ -11,27 +12,27 @@ longest prefix of the candidates whose running cost fits and stops at the first
 overflow row, which becomes the next cut. After the first round R is below the
 largest cost, so the number of rounds is at most ``1 + ceil(max/min cost)``.
 
-Each round's accepted rows are a contiguous range of the order, so the result is
-a *predicate* (an OR of a few range conditions) over the input table — the
-selected set, the ACT flag and everything downstream stay lazy DataFrame
-expressions; no id list ever passes through the driver.
+The rows of all scenarios are range-ordered once by scenario, order and id
+(:class:`churnlens.functions.prefix.RangeOrdered`). A round takes two jobs for
+all scenarios together:
 
-Two ways to find a round's boundary, same result:
+1. count and cost of the candidates per range partition (one row per partition
+   and scenario reaches the driver), which tells the partition where the prefix
+   ends;
+2. a running sum inside that one partition gives the overflow row.
 
-* ``top-m``: ``orderBy(...).limit(M)`` with M = remaining capacity
-  (TakeOrderedAndProject — each task keeps its best M, no full sort). Used when
-  the cap is at most ``topm_threshold``; the driver sees at most M (key, cost)
-  tuples per round.
-* ``prefix``: the two-level running sum of :mod:`churnlens.functions.prefix`
-  over a range-partitioned, checkpointed copy of the eligible rows; the driver
-  sees one aggregate row per round. Used without a cap or with a large one.
+No customer row reaches the driver but the one where a round ends. Each round's
+accepted rows are a contiguous range of the order, so the result is a *predicate*
+(one term per round) over the input table: the selected set, the ACT flag and
+everything downstream stay lazy DataFrame expressions.
 
 Money is summed in integer micro-units so partitioning cannot flip a decision.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +41,6 @@ from churnlens import config as C
 from churnlens.functions.columns import micro
 from churnlens.functions.prefix import RangeOrdered
 
-TOPM_THRESHOLD = 50_000
-# rows the driver may receive per top-M fetch (TakeOrderedAndProject sends each
-# partition's best ``block`` rows): the block shrinks as partitions grow, and past
-# this budget the prefix mode is used instead
-TOPM_DRIVER_ROWS = 2_000_000
-
 
 @dataclass
 class PackResult:
@@ -60,6 +55,31 @@ class PackResult:
         return self.source.where(self.predicate)
 
 
+@dataclass
+class _Walk:
+    """Where one scenario's walk stands."""
+
+    budget: int
+    remaining: int
+    left: int | None
+    cut: tuple | None = None
+    count: int = 0
+    # (budget at the start, cut, last key or None for no end, is the last key taken too)
+    rounds: list[tuple[int, tuple | None, tuple | None, bool]] = field(default_factory=list)
+
+    def open(self) -> bool:
+        return self.remaining > 0 and (self.left is None or self.left > 0)
+
+    def take(self, rows: int, cost: int, end: tuple | None, inclusive: bool) -> None:
+        if rows:
+            self.rounds.append((self.remaining, self.cut, end, inclusive))
+        self.count += rows
+        self.remaining -= cost
+        if self.left is not None:
+            self.left -= rows
+        self.cut = end
+
+
 def _after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
     """Rows strictly after ``bound`` in the lexicographic order ``keys``
     (``(column, descending)``; the last key must be unique)."""
@@ -73,208 +93,104 @@ def _after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
     return cond
 
 
+def _at(keys: list[tuple[str, bool]], bound: tuple) -> Column:
+    return reduce(Column.__and__, [F.col(name) == F.lit(b) for (name, _), b in zip(keys, bound)])
+
+
 def _sort_cols(keys):
     return [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
 
 
 def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
                 max_customers: int | None = None, cost_col: str = "retention_cost",
-                id_col: str = "customer_id", mode: str = "auto",
-                topm_threshold: int = TOPM_THRESHOLD, topm_block: int = 1024) -> PackResult:
+                id_col: str = "customer_id") -> PackResult:
     """Select rows of ``df`` (already filtered to eligible rows) in ``order``
     (list of ``(column, descending)``, ``id_col`` ascending is appended as the
     final tiebreak) under ``budget`` and ``max_customers``."""
-    keys = list(order) + [(id_col, False)]
-    key_names = [k for k, _ in keys]
-    cap = max_customers if max_customers else None
-    budget_micro = int(round(budget * C.MICRO))
-    parts = max(1, df.rdd.getNumPartitions())
-    if mode == "auto":
-        mode = ("topm" if cap is not None and cap <= topm_threshold and cap * parts <= TOPM_DRIVER_ROWS
-                else "prefix")
-    topm_block = max(1, min(topm_block, TOPM_DRIVER_ROWS // parts))
-
-    slim = df.select(*key_names, micro(cost_col).alias("__cost")).where(F.col("__cost") <= F.lit(budget_micro))
-    ranked = RangeOrdered(slim, _sort_cols(keys)) if mode == "prefix" else None
-
-    remaining, left = budget_micro, cap
-    cut = None
-    accepted_rounds = []
-    count = rounds = 0
-    while (left is None or left > 0) and remaining > 0:
-        rounds += 1
-        cand = F.col("__cost") <= F.lit(remaining)
-        if cut is not None:
-            cand = cand & _after(keys, cut)
-        if mode == "topm":
-            # fetch a block and walk it with the full skip-and-continue rule; a
-            # round that ends inside the block is settled here, one that reaches
-            # the block end is split there and continues with the next fetch
-            block = max(left, min(2 * left, topm_block)) if left else topm_block
-            rows = (slim.where(cand).orderBy(*_sort_cols(keys)).limit(block)
-                    .select(*key_names, "__cost").collect())
-            if not rows:
-                break
-            r_cut, r_budget, run, last, taken_total = cut, remaining, 0, None, 0
-            i = 0
-            while i < len(rows) and (left is None or taken_total < left):
-                r = rows[i]
-                key = tuple(r[k] for k in key_names)
-                if r["__cost"] > r_budget:
-                    i += 1          # not a candidate of this round
-                    continue
-                if run + r["__cost"] > r_budget:
-                    # overflow: close the round, the overflow row is the new cut
-                    if last is not None:
-                        accepted_rounds.append((r_budget, r_cut, last))
-                    r_cut, r_budget, run, last = key, r_budget - run, 0, None
-                    i += 1
-                    continue
-                run += r["__cost"]
-                taken_total += 1
-                last = key
-                i += 1
-            if last is not None:
-                accepted_rounds.append((r_budget, r_cut, last))
-            count += taken_total
-            remaining = r_budget - run
-            if left is not None:
-                left -= taken_total
-            if len(rows) < block or (left is not None and left <= 0):
-                break
-            cut = tuple(rows[-1][k] for k in key_names)
-            continue
-        else:
-            run_df = ranked.running({"run": F.col("__cost")}, where=cand)
-            ok = (F.col("run") <= F.lit(remaining))
-            if left is not None:
-                ok = ok & (F.col("rn") <= F.lit(left))
-            keys_struct = F.struct(*[F.col(k) for k in key_names])
-            st = run_df.agg(
-                F.count(F.when(ok, 1)).alias("taken"),
-                F.max(F.when(ok, F.col("run"))).alias("run"),
-                F.max_by(keys_struct, F.when(ok, F.col("rn"))).alias("last"),
-                F.min_by(keys_struct, F.when(F.col("run") > F.lit(remaining), F.col("rn"))).alias("overflow"),
-            ).collect()[0]
-            taken, run = st["taken"], st["run"] or 0
-            last = tuple(st["last"]) if st["last"] is not None else None
-            overflow = tuple(st["overflow"]) if st["overflow"] is not None else None
-            if left is not None and taken >= left:
-                overflow = None
-            exhausted = overflow is None
-        if taken == 0:
-            break
-        accepted_rounds.append((remaining, cut, last))
-        count += taken
-        remaining -= run
-        if left is not None:
-            left -= taken
-        if exhausted:
-            break
-        cut = overflow
-
-    # the selection as a predicate over the caller's own columns
-    cost_expr = micro(cost_col)
-    predicate = F.lit(False)
-    for r_budget, r_cut, r_last in accepted_rounds:
-        pred = (cost_expr <= F.lit(r_budget)) & ~_after(keys, r_last)
-        if r_cut is not None:
-            pred = pred & _after(keys, r_cut)
-        predicate = predicate | pred
-    return PackResult(predicate=predicate, spent=(budget_micro - remaining) / C.MICRO,
-                      count=count, rounds=rounds, source=df)
-
-
-def _walk_block(rows, key_names, st):
-    """Walk one fetched block (ordered) with the skip-and-continue rule, updating
-    ``st`` (remaining, left, cut, rounds, count). Returns True when the scenario
-    is settled (cap reached or block shorter than requested is handled by caller)."""
-    r_cut, r_budget, run, last, taken = st["cut"], st["remaining"], 0, None, 0
-    left = st["left"]
-    for r in rows:
-        if left is not None and taken >= left:
-            break
-        key = tuple(r[k] for k in key_names)
-        c = r["__cost"]
-        if c > r_budget:
-            continue
-        if run + c > r_budget:
-            if last is not None:
-                st["rounds"].append((r_budget, r_cut, last))
-            r_cut, r_budget, run, last = key, r_budget - run, 0, None
-            continue
-        run += c
-        taken += 1
-        last = key
-    if last is not None:
-        st["rounds"].append((r_budget, r_cut, last))
-    st["count"] += taken
-    st["remaining"] = r_budget - run
-    if left is not None:
-        st["left"] = left - taken
-    if rows:
-        st["cut"] = tuple(rows[-1][k] for k in key_names)
+    return greedy_pack_many({0: df}, order, {0: budget}, {0: max_customers}, cost_col, id_col)[0]
 
 
 def greedy_pack_many(tables: dict, order: list[tuple[str, bool]], budgets: dict, caps: dict,
-                     cost_col: str = "retention_cost", id_col: str = "customer_id",
-                     topm_block: int = 1024) -> dict:
-    """The same greedy for several scenarios, ``tables = {scenario: eligible rows}``.
-
-    Each fetch is ONE job: the unfinished scenarios' candidate rows (each branch
-    filtered by its own cut and remaining budget) are unioned and limited with
-    a per-scenario ``row_number() <= block`` (WindowGroupLimit, applied per
-    partition before the shuffle). Returns ``{scenario: PackResult}`` whose
-    predicates use the scenario table's own columns."""
+                     cost_col: str = "retention_cost", id_col: str = "customer_id") -> dict:
+    """The same greedy for several scenarios, ``tables = {scenario: eligible rows}``,
+    in the same jobs. Returns ``{scenario: PackResult}`` whose predicates use the
+    scenario table's own columns."""
     keys = list(order) + [(id_col, False)]
-    key_names = [k for k, _ in keys]
-    first = next(iter(tables.values()))
-    parts = max(1, first.rdd.getNumPartitions())
-    block = max(1, min(topm_block, TOPM_DRIVER_ROWS // (parts * max(1, len(tables)))))
-    capped = [c for c in caps.values() if c]
-    if capped and len(capped) == len(caps):
-        block = min(block, 2 * max(capped))   # the walk rarely needs more than 2x the cap
-    block = max([block] + capped)
-    slim = {s: t.select(F.lit(s).alias("__scenario"), *key_names, micro(cost_col).alias("__cost"))
-            for s, t in tables.items()}
-    st = {s: {"remaining": int(round(budgets[s] * C.MICRO)), "left": caps.get(s) or None, "cut": None,
-              "rounds": [], "count": 0, "fetches": 0} for s in tables}
-    budget0 = {s: v["remaining"] for s, v in st.items()}
-    active = list(tables)
-    w = Window.partitionBy("__scenario").orderBy(*_sort_cols(keys))
-    while active:
-        branches = []
-        for s in active:
-            c = F.col("__cost") <= F.lit(st[s]["remaining"])
-            if st[s]["cut"] is not None:
-                c = c & _after(keys, st[s]["cut"])
-            branches.append(slim[s].where(c))
-        union = branches[0]
-        for b in branches[1:]:
-            union = union.unionByName(b)
-        fetched = (union.withColumn("__rn", F.row_number().over(w))
-                   .where(F.col("__rn") <= F.lit(block)).collect())
-        by_s: dict = {s: [] for s in active}
-        for r in fetched:
-            by_s[r["__scenario"]].append(r)
-        nxt = []
-        for s in active:
-            rows = sorted(by_s[s], key=lambda r: r["__rn"])
-            st[s]["fetches"] += 1
-            _walk_block(rows, key_names, st[s])
-            if (len(rows) == block and st[s]["remaining"] > 0
-                    and (st[s]["left"] is None or st[s]["left"] > 0)):
-                nxt.append(s)
-        active = nxt
+    names = [k for k, _ in keys]
+    scenarios = list(tables)
+    walks = {}
+    for s in scenarios:
+        budget = int(round(budgets[s] * C.MICRO))
+        walks[s] = _Walk(budget, budget, caps.get(s) or None)
+    has_keys = reduce(Column.__and__, [F.col(k).isNotNull() for k in names])
+    stacked = reduce(DataFrame.unionByName, [
+        tables[s].where(has_keys).select(F.lit(i).alias("__scenario"), *names, micro(cost_col).alias("__cost"))
+        .where(F.col("__cost") <= F.lit(walks[s].budget)) for i, s in enumerate(scenarios)])
+    ordered = RangeOrdered(stacked, _sort_cols(keys), ["__scenario"]).df.select(
+        "*", F.spark_partition_id().alias("__part"))
+
+    while any(w.open() for w in walks.values()):
+        _round(ordered, keys, {i: walks[s] for i, s in enumerate(scenarios) if walks[s].open()})
+
+    cost = micro(cost_col)
     out = {}
-    cost_expr = micro(cost_col)
-    for s, v in st.items():
+    for s, w in walks.items():
         predicate = F.lit(False)
-        for r_budget, r_cut, r_last in v["rounds"]:
-            pred = (cost_expr <= F.lit(r_budget)) & ~_after(keys, r_last)
-            if r_cut is not None:
-                pred = pred & _after(keys, r_cut)
-            predicate = predicate | pred
-        out[s] = PackResult(predicate=predicate, spent=(budget0[s] - v["remaining"]) / C.MICRO,
-                            count=v["count"], rounds=v["fetches"], source=tables[s])
+        for budget, cut, end, inclusive in w.rounds:
+            term = (cost <= F.lit(budget)) & has_keys
+            if cut is not None:
+                term = term & _after(keys, cut)
+            if end is not None:
+                term = term & ~_after(keys, end)
+                if not inclusive:
+                    term = term & ~_at(keys, end)
+            predicate = predicate | term
+        out[s] = PackResult(predicate=F.coalesce(predicate, F.lit(False)), spent=(w.budget - w.remaining) / C.MICRO,
+                            count=w.count, rounds=len(w.rounds), source=tables[s])
     return out
+
+
+def _round(ordered: DataFrame, keys: list[tuple[str, bool]], walks: dict[int, _Walk]) -> None:
+    """One round of every open walk."""
+    def candidates(i: int, w: _Walk) -> Column:
+        cond = (F.col("__scenario") == F.lit(i)) & (F.col("__cost") <= F.lit(w.remaining))
+        return cond if w.cut is None else cond & _after(keys, w.cut)
+
+    sums: dict[int, list] = {i: [] for i in walks}
+    for r in (ordered.where(reduce(Column.__or__, [candidates(i, w) for i, w in walks.items()]))
+              .groupBy("__scenario", "__part")
+              .agg(F.count(F.lit(1)).alias("rows"), F.sum("__cost").alias("cost")).collect()):
+        sums[r["__scenario"]].append((r["__part"], r["rows"], r["cost"]))
+
+    ends = {}                                     # scenario -> (partition, rows and cost before it)
+    for i, w in walks.items():
+        rows = cost = 0
+        for part, n, c in sorted(sums[i]):
+            if cost + c > w.remaining or (w.left is not None and rows + n > w.left):
+                ends[i] = (part, rows, cost)
+                break
+            rows, cost = rows + n, cost + c
+        else:                                     # all candidates fit
+            w.take(rows, cost, None, True)
+            w.left = 0                            # nothing is left to walk
+    if not ends:
+        return
+
+    inside = ordered.where(reduce(Column.__or__, [
+        candidates(i, walks[i]) & (F.col("__part") == F.lit(part)) for i, (part, _, _) in ends.items()]))
+    along = Window.partitionBy("__scenario").orderBy(*_sort_cols(keys))   # one range partition of each scenario
+    before = lambda at: reduce(
+        lambda acc, item: acc.when(F.col("__scenario") == F.lit(item[0]), F.lit(item[1][at])), list(ends.items())[1:],
+        F.when(F.col("__scenario") == F.lit(next(iter(ends))), F.lit(next(iter(ends.values()))[at])))
+    run = inside.select("__scenario", F.struct(*[k for k, _ in keys]).alias("key"), "__cost",
+                        (before(1) + F.row_number().over(along)).alias("rn"),
+                        (before(2) + F.sum("__cost").over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("run"))
+    fits = reduce(Column.__or__, [
+        (F.col("__scenario") == F.lit(i)) & (F.col("run") <= F.lit(walks[i].remaining))
+        & (F.lit(True) if walks[i].left is None else F.col("rn") <= F.lit(walks[i].left)) for i in ends])
+    for r in (run.withColumn("fits", fits).groupBy("__scenario")
+              .agg(F.count(F.when(F.col("fits"), 1)).alias("rows"), F.sum(F.when(F.col("fits"), F.col("__cost"))).alias("cost"),
+                   F.min_by("key", F.when(~F.col("fits"), F.col("rn"))).alias("stop")).collect()):
+        _, rows, cost = ends[r["__scenario"]]
+        # the first row that does not fit ends the round, for its cost or for the cap
+        walks[r["__scenario"]].take(rows + r["rows"], cost + (r["cost"] or 0), tuple(r["stop"]), False)

@@ -13,6 +13,7 @@ from churnlens.plans.oracle_decision import DEFAULT, Scenario, decision_sql
 from churnlens.plans.registry import query
 
 DEFAULT_PARAMS = D.DecisionParams()
+UNCAPPED_BUDGET, LARGE_CAP = 60_000.0, 100_000
 
 _SCORE_COLS = ["customer_id", "churn_probability", "CLV", "retention_cost", "revenue_at_risk",
                "net_retention_value", "retention_priority_score"]
@@ -55,13 +56,34 @@ SELECT d.customer_id, d.retention_cost, d.net_retention_value, d.adjusted_priori
 FROM ds d JOIN dsel s ON s.scenario = d.scenario AND s.customer_id = d.customer_id""", DEFAULT))
 def q_select_under_budget(spark, sf_dir):
     """Greedy budget + capacity selection (budget 25k, cap 300, Balanced)."""
+    return _selection(spark, sf_dir, C.DEFAULT_BUDGET, C.DEFAULT_MAX_CUSTOMERS)
+
+
+_SELECTED = """
+SELECT d.customer_id, d.retention_cost, d.net_retention_value, d.adjusted_priority
+FROM ds d JOIN dsel s ON s.scenario = d.scenario AND s.customer_id = d.customer_id"""
+
+
+def _selection(spark, sf_dir, budget, max_customers):
     scores = D.apply_decision_strategy(
         D.build_retention_scores(B.scored(spark, sf_dir), C.SAVE_RATE), C.DEFAULT_STRATEGY)
-    pack = D.select_under_budget(scores, C.DEFAULT_BUDGET, C.DEFAULT_MAX_CUSTOMERS)
+    pack = D.select_under_budget(scores, budget, max_customers)
     return scores.where(pack.predicate).select("customer_id", "retention_cost", "net_retention_value",
                                               "adjusted_priority")
 
 
+@query("select_uncapped", decision_sql(_SELECTED, [Scenario("uncapped", budget=UNCAPPED_BUDGET, max_customers=None)]))
+def q_select_uncapped(spark, sf_dir):
+    """Greedy selection by the budget alone (no capacity limit)."""
+    return _selection(spark, sf_dir, UNCAPPED_BUDGET, None)
+
+
+@query("select_large_cap", decision_sql(_SELECTED, [Scenario("large", budget=UNCAPPED_BUDGET, max_customers=LARGE_CAP)]))
+def q_select_large_cap(spark, sf_dir):
+    """Greedy selection with a capacity of 100,000 accounts."""
+    return _selection(spark, sf_dir, UNCAPPED_BUDGET, LARGE_CAP)
+
+
 _SEG_COLS = ["customer_id", "risk_band", "churn_probability", "CLV", "retention_cost", "revenue_at_risk",
              "net_retention_value", "retention_priority_score", "action_segment", "efficiency"]
 
