@@ -74,11 +74,13 @@ class SegmentCache:
         gaps = [k for k, v in enumerate(values) if v is None]
         unclean = set()
         if gaps:
-            found = self._new({p for p in map(parts.__getitem__, gaps) if is_clean(p)})
+            wanted = set(map(parts.__getitem__, gaps))
+            dirty = {p for p in wanted if not p or p.strip() != p}
+            found = self._new(wanted - dirty)
             for k in gaps:
                 values[k] = found.get(parts[k])
-                if values[k] is None:
-                    unclean.add(bisect_right(ends, k))
+            if dirty:
+                unclean.update(bisect_right(ends, k) for k in gaps if values[k] is None)
         unclean.update(k for k, h in enumerate(heads) if not is_clean(h))
         plain = [k for k in range(len(texts)) if k not in unclean]
         first = dict(zip(plain, self.compute([heads[k] for k in plain])))
@@ -110,6 +112,9 @@ class SegmentCache:
             if v is not None:
                 have[p] = v
                 continue
+            if p.isalnum():                              # neither marks nor line ends
+                need.add(p)
+                continue
             left, _, right = p.partition("\n")
             if not (right and is_clean(left) and is_clean(right)):
                 left, right = p, ""
@@ -120,19 +125,24 @@ class SegmentCache:
                 need.update(keys)
             else:
                 need.add(p)
-        for p in list(need):
+        spaced, bare = [], []
+        for p in need:
             v = young.get(p)
             v = old.get(p) if v is None else v
             if v is not None:
                 have[p] = v
-                need.discard(p)
-        spaced = [p for p in need if p[0] not in "\t\n"]
-        bare = [p for p in need if p[0] in "\t\n"]
+            elif p[0] in "\t\n":
+                bare.append(p)
+            else:
+                spaced.append(p)
         have.update(zip(spaced, self.compute([" " + p for p in spaced])))
         have.update(zip(bare, self.compute([p.lstrip("\t") for p in bare])))
         for p, keys in split.items():
             have[p] = self.join([have[k] for k in keys])
         if len(young) + len(have) > self.half:
             self.old, self.young = young, {}
-        self.young.update((p, v) for p, v in have.items() if len(p) <= self.longest)
+        kept, longest = self.young, self.longest
+        for p, v in have.items():
+            if len(p) <= longest:
+                kept[p] = v
         return have

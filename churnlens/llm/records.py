@@ -24,6 +24,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,9 @@ class IdEncoder:
         self.cache = SegmentCache(self._packed, b"".join)
 
     def _packed(self, segments: list[str]) -> list[bytes]:
-        if len(segments) < 2 or not all(s[0] == " " and s.isprintable() and s.count(" ") == 1
-                                        and "<" not in s for s in segments):
+        whole = "".join(segments)
+        if (len(segments) < 2 or not whole.isprintable() or "<" in whole or whole.count(" ") != len(segments)
+                or not all(map(str.startswith, segments, repeat(" ")))):
             found = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
             return [array(self.code, e.ids).tobytes() for e in found]
         out = []
