@@ -39,6 +39,7 @@ def clear_cache() -> None:
             except Exception:  # noqa: BLE001 - session may already be gone
                 pass
         _CACHE.clear()
+        _DECISIONS.clear()
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
