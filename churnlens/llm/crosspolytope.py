@@ -6,12 +6,17 @@ largest norm, a row x goes to (x, sqrt(M^2 - |x|^2)) / M and a query q to
 rotations: three rounds of random signs and a fast Hadamard transform. Each table
 has its own rotation; a row's bucket is its nearest signed axis, a query probes the
 buckets of its ``probes`` nearest axes. Candidates of a bucket are ranked exactly
-(double precision, original vectors) where rows and queries meet, and only the best
-``k`` + 1 of each meeting travel on.
+(double precision, original vectors) where rows and queries meet.
+
+A table's buckets lie in cells of about ``block`` rows (at most one cell a bucket).
+A query goes to a cell once, with all its probes, and only its best ``k`` + 1 of the
+cell travel on. Cells of more than ``block`` rows are split by hash, and so are the
+queries, in parts of about ``asks``: no group grows with the input. The number of
+candidates does (the share of rows that a query's probes hold is set by ``tables``
+and ``probes``, as the wanted recall on nearly random vectors asks).
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that any
-result can hold of it, so copies cost nothing. Buckets of more than ``block``
-classes are split by hash and their queries go to each part. Vectors that are null,
+result can hold of it, so copies cost nothing. Vectors that are null,
 empty, zero or hold a null or non-finite component take no part; vectors of another
 length than the query's are no candidates. Repeated rows count once. An empty table
 gives no rows; other columns are not read.
@@ -26,7 +31,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BLOCK = 12, 16, 20_000
+TABLES, PROBES, BLOCK, ASKS = 4, 64, 4096, 65_536
+SCORES = 1 << 21              # of one product of matrices
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -74,8 +80,42 @@ def valid(vec: Column) -> Column:
     return F.coalesce((F.size(vec) > 0) & F.forall(vec, good) & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def matrix(raw) -> np.ndarray:
+    """The vectors of packed doubles, as rows."""
+    return np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
+
+
+def best_of_cell(asks: pd.DataFrame, has: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, class, score): the ``k`` + 1 best of each query of ``asks(class, vec,
+    probes)`` among those rows of ``has(class, vec, bucket)`` whose bucket it probes;
+    equal scores by class."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(asks) and len(has):
+        has = has.sort_values(["bucket", "class"])
+        rows, own, bucket = matrix(has["vec"].to_list()), has["class"].to_numpy(), has["bucket"].to_numpy()
+        wanted, number = matrix(asks["vec"].to_list()), asks["class"].to_numpy()
+        probes = np.frombuffer(b"".join(asks["probes"].to_list()), "<i4").reshape(len(asks), -1)
+        least = np.full(len(asks), -np.inf)                     # a query's k + 1st best so far
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for lo, hi in zip(starts, np.append(starts[1:], len(bucket))):
+            who = np.flatnonzero((probes == bucket[lo]).any(1))
+            for at in range(0, len(who), max(1, SCORES // (hi - lo))):
+                some = who[at:at + max(1, SCORES // (hi - lo))]
+                score = wanted[some] @ rows[lo:hi].T
+                if hi - lo > k + 1:
+                    least[some] = np.maximum(least[some], -np.partition(-score, k, axis=1)[:, k])
+                asked, found = np.nonzero(score >= least[some, None])
+                parts.append((number[some[asked]], own[lo + found], score[asked, found]))
+    query, cls, score = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((cls, -score, query))
+    query, cls, score = query[order], cls[order], score[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1])) if len(query) else np.zeros(0, int)
+    nth = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    return pd.DataFrame({"query": query, "class": cls, "score": score})[nth <= k]
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
-            block: int = BLOCK, seed: int = 7) -> DataFrame:
+            block: int = BLOCK, asks: int = ASKS, seed: int = 7) -> DataFrame:
     """The ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``:
     (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id."""
     rows = (vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
@@ -89,56 +129,48 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
              .join(classes.select("vec", "class"), "vec").select("query_id", "class"))
     queries = classes.join(asked.select("class").distinct(), "class", "left_semi")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    longest = classes.agg(F.max(norm)).first()[0] or 1.0
+    longest, n_rows = classes.agg(F.max(norm), F.count("*")).first()
+    longest, cells, blocks = longest or 1.0, max(1, -(-n_rows // block)), max(1, -(-queries.count() // asks))
 
     def index(frames):
         for frame in frames:
             for part, x in by_length(frame):
-                lift = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
+                lift, raw = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0)), [v.tobytes() for v in x]
                 for table in range(tables):
-                    yield part.assign(table=table, bucket=buckets(padded(x, lift), table, seed, 1)[:, 0], width=x.shape[1])
+                    bucket = buckets(padded(x, lift), table, seed, 1)[:, 0].astype(np.int32)
+                    yield pd.DataFrame({"class": part["class"].to_numpy(), "vec": raw, "bucket": bucket, "table": table,
+                                        "width": x.shape[1], "cell": bucket % cells})
 
     def probe(frames):
         for frame in frames:
             for part, x in by_length(frame):
                 unit = padded(x / np.sqrt((x * x).sum(1, keepdims=True)), np.zeros(len(x)))
                 for table in range(tables):
-                    found = buckets(unit, table, seed, probes)
-                    yield part.iloc[np.repeat(np.arange(len(part)), found.shape[1])].assign(
-                        table=table, bucket=found.ravel(), width=x.shape[1])
-
-    place = "table int, bucket int, width int"
-    points = classes.mapInPandas(index, f"class long, vec array<double>, ids array<long>, {place}")
-    wanted = queries.select("class", "vec").mapInPandas(probe, f"class long, vec array<double>, {place}")
-    parts = points.groupBy("table", "bucket", "width").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    at = ["table", "bucket", "width"]                        # at most tables x signed axes rows for each vector length
-    points = points.join(F.broadcast(parts), at).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).drop("parts")
-    wanted = (wanted.join(F.broadcast(parts), at)
-              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"))
-
-    def meet(asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
-        if not len(asks) or not len(has):
-            return pd.DataFrame({n: pd.Series([], dtype=t) for n, t in (
-                ("query", "int64"), ("class", "int64"), ("score", "float64"), ("ids", object))})
-        has = has.sort_values("class")
-        score = np.stack(asks["vec"].to_list()) @ np.stack(has["vec"].to_list()).T
-        keep = min(k + 1, score.shape[1])
-        own, ids = has["class"].to_numpy(), has["ids"].to_numpy()
-        cut = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-        out = []
-        for q, s, least in zip(asks["class"], score, cut):
-            best = np.flatnonzero(s >= least)
-            best = best[np.argsort(-s[best], kind="stable")][:keep]
-            out.append((np.full(len(best), q), own[best], s[best], ids[best]))
-        return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query", "class", "score", "ids"), zip(*out))})
-
-    key = [*at, "part"]
+                    found = buckets(unit, table, seed, probes).astype("<i4")
+                    for cell in np.unique(found % cells):
+                        here = np.flatnonzero((found % cells == cell).any(1))
+                        yield pd.DataFrame({"class": part["class"].to_numpy()[here], "vec": [x[r].tobytes() for r in here],
+                                            "probes": [found[r].tobytes() for r in here], "table": table,
+                                            "width": x.shape[1], "cell": cell})
+
+    at = ["table", "width", "cell"]
+    points = classes.select("class", "vec").mapInPandas(index, "class long, vec binary, bucket int, table int, width int, cell int")
+    wanted = queries.select("class", "vec").mapInPandas(probe, "class long, vec binary, probes binary, table int, width int, cell int")
+    parts = points.groupBy(at).agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    share = lambda n: F.pmod(F.xxhash64("class"), n).cast("int")
+    # parts has at most tables x signed axes rows for each vector length
+    points = (points.join(F.broadcast(parts), at).withColumn("part", share(F.col("parts"))).drop("parts")
+              .withColumn("asks", each(F.lit(blocks))))
+    wanted = (wanted.join(F.broadcast(parts), at).withColumn("part", each(F.col("parts"))).drop("parts")
+              .withColumn("asks", share(F.lit(blocks))))
+    key = [*at, "part", "asks"]
     found = wanted.groupBy(*key).cogroup(points.groupBy(*key)).applyInPandas(
-        meet, "query long, class long, score double, ids array<long>")
-    best = found.groupBy("query", "class").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+        lambda q, p: best_of_cell(q, p, k), "query long, class long, score double")
+    best = found.groupBy("query", "class").agg(F.max("score").alias("score"))
     by_query = Window.partitionBy("query").orderBy(F.desc("score"), "class")
-    ids = (best.withColumn("nth", F.row_number().over(by_query)).where(F.col("nth") <= k + 1)
-           .select("query", "score", F.explode("ids").alias("vec_id")))
+    best = best.withColumn("nth", F.row_number().over(by_query)).where(F.col("nth") <= k + 1)
+    ids = best.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     closest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ids = ids.withColumn("nth", F.row_number().over(closest)).where(F.col("nth") <= k + 1).drop("nth")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
