@@ -8,12 +8,12 @@ has its own rotation; a row's bucket is its nearest signed axis, a query probes
 buckets of its ``probes`` nearest axes. Candidates of a bucket are ranked exactly
 (double precision, original vectors) where rows and queries meet.
 
-A table's buckets lie in cells of about ``block`` rows (at most one cell a bucket).
-A query goes to a cell once, with all its probes, and only its best ``k`` + 1 of the
-cell travel on. Cells of more than ``block`` rows are split by hash, and so are the
-queries, in parts of about ``asks``: no group grows with the input. The number of
-candidates does (the share of rows that a query's probes hold is set by ``tables``
-and ``probes``, as the wanted recall on nearly random vectors asks).
+A table's buckets are dealt to ``cells``. A query goes to a cell once, with all its
+probes, and only its best ``k`` + 1 of the cell travel on. Cells are split by hash
+into parts of about ``block`` rows, and the queries into parts of about ``block``
+queries: no group grows with the input. The number of candidates does (the share of
+rows that a query's probes hold is set by ``tables`` and ``probes``, as the wanted
+recall on nearly random vectors asks).
 
 Equal vectors are one class with its k + 1 smallest ids, which is all that any
 result can hold of it, so copies cost nothing. Vectors that are null,
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-TABLES, PROBES, BLOCK, ASKS = 4, 64, 4096, 65_536
+TABLES, PROBES, CELLS, BLOCK = 4, 64, 4, 65_536
 SCORES = 1 << 21              # of one product of matrices
 
 
@@ -115,7 +115,7 @@ def best_of_cell(asks: pd.DataFrame, has: pd.DataFrame, k: int) -> pd.DataFrame:
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
-            block: int = BLOCK, asks: int = ASKS, seed: int = 7) -> DataFrame:
+            cells: int = CELLS, block: int = BLOCK, seed: int = 7) -> DataFrame:
     """The ``k`` nearest found of each query row of ``vectors(vec_id, embedding)``:
     (query_id, rank, vec_id, score), nearest first, ties to the smaller vec_id."""
     rows = (vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vec"),
@@ -129,8 +129,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TAB
              .join(classes.select("vec", "class"), "vec").select("query_id", "class"))
     queries = classes.join(asked.select("class").distinct(), "class", "left_semi")
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    longest, n_rows = classes.agg(F.max(norm), F.count("*")).first()
-    longest, cells, blocks = longest or 1.0, max(1, -(-n_rows // block)), max(1, -(-queries.count() // asks))
+    longest, n_queries = classes.agg(F.max(norm)).first()[0] or 1.0, queries.count()
+    blocks = max(1, -(-n_queries // block))
 
     def index(frames):
         for frame in frames:

@@ -183,6 +183,9 @@ def test_neighbours(spark):
         assert all(abs(x[q] @ x[v] - s) < 1e-9 for _, v, s in near)
         hits += len(set(order) & {v for _, v, _ in near})
     assert hits >= 0.9 * 20 * len(found)
+    split = crosspolytope.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>, class string"),
+                                  F.col("vec_id") % 20 == 0, block=13)      # many parts of rows and of queries
+    assert {(r.query_id, r.rank, r.vec_id) for r in split.collect()} == {(q, n, v) for q, near in found.items() for n, v, _ in near}
 
 
 def test_toxicity(spark, docs_of):
