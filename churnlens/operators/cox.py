@@ -8,7 +8,8 @@ Each Newton step is one distributed pass: a ``mapInPandas`` task computes, per
 tenure value, partial sums of ``r = exp(beta'x)``, ``r x``, ``r x x'`` over all
 rows and over event rows (numpy inside the task), Spark sums them per tenure with
 ``Summarizer`` and the driver receives at most (#tenure values) rows of
-O(p^2) numbers. Risk sets are suffix sums over tenure on the driver.
+O(p^2) numbers. Risk sets are suffix sums over tenure on the driver, and the sums
+over tied events have a closed form (``tie_sums``).
 
 Per-account expected remaining months over a horizon H:
 ``sum_{u=t0+1..t0+H} exp(-(H0(u) - H0(t0)) * r)`` (0 when S(t0) <= 1e-9), with the
@@ -18,6 +19,7 @@ baseline cumulative hazard H0 (Efron) as a literal array of max_t + H + 1 values
 from __future__ import annotations
 
 import logging
+import math
 
 import numpy as np
 import pandas as pd
@@ -68,6 +70,7 @@ def _stats_pass(x_df: DataFrame, beta: np.ndarray, p: int, duration: str, event:
     iu = np.array(up).T if up else (np.array([], int), np.array([], int))
 
     def part(batches):
+        total = None                                # one row per tenure and task
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -79,7 +82,9 @@ def _stats_pass(x_df: DataFrame, beta: np.ndarray, p: int, duration: str, event:
                 np.ones(len(pdf)), r, r[:, None] * X, r[:, None] * xx,
                 e, e[:, None] * X, e * r, (e * r)[:, None] * X, (e * r)[:, None] * xx])
             g = pd.DataFrame(stats).groupby(pdf[duration].to_numpy()).sum()
-            yield pd.DataFrame({"t": g.index.astype("int64"), "s": list(g.to_numpy())})
+            total = g if total is None else total.add(g, fill_value=0.0)
+        if total is not None:
+            yield pd.DataFrame({"t": total.index.astype("int64"), "s": list(total.to_numpy())})
 
     schema = T.StructType([T.StructField("t", T.LongType()), T.StructField("s", T.ArrayType(T.DoubleType()))])
     partial = x_df.mapInPandas(part, schema)
@@ -113,6 +118,34 @@ def _full(vec_upper, p, up):
     return m
 
 
+def _digamma(x: float) -> float:
+    """Derivative of log-gamma, x > 0: recurrence up to 12, then the asymptotic series."""
+    low = 0.0
+    while x < 12:
+        low -= 1 / x
+        x += 1
+    y = 1 / (x * x)
+    return low + math.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y * (1 / 252 - y * (1 / 240 - y / 132))))
+
+
+def _trigamma(x: float) -> float:
+    low = 0.0
+    while x < 12:
+        low += 1 / (x * x)
+        x += 1
+    y = 1 / (x * x)
+    return low + 1 / x + y / 2 + y / x * (1 / 6 - y * (1 / 30 - y * (1 / 42 - y * (1 / 30 - y * 5 / 66))))
+
+
+def tie_sums(r: float, e: float, d: int) -> tuple[float, float, float]:
+    """Sums over l = 0..d-1 of log u, 1/u and 1/u^2 with u = r - l e / d, in closed
+    form: the work does not grow with the number of tied events."""
+    x, scale = r * d / e, d / e
+    low = max(x - d, 0.0) + 1
+    return (d * math.log(e / d) + math.lgamma(x + 1) - math.lgamma(low),
+            scale * (_digamma(x + 1) - _digamma(low)), scale * scale * (_trigamma(low) - _trigamma(x + 1)))
+
+
 def _efron(beta, ts, S, p, up, n_rows, penalizer):
     n, s0, s1, s2, d, xsum, e0, e1, e2 = _unpack(S, p, up)
     # risk sets: suffix sums over tenure (duration >= t)
@@ -124,16 +157,15 @@ def _efron(beta, ts, S, p, up, n_rows, penalizer):
         di = int(round(d[i]))
         if di == 0:
             continue
-        ll += float(xsum[i] @ beta)
-        grad += xsum[i]
-        for l in range(di):
-            phi = l / di
-            den0 = r0[i] - phi * e0[i]
-            a = (r1[i] - phi * e1[i]) / den0
-            b = _full(r2[i] - phi * e2[i], p, up) / den0
-            ll -= np.log(den0)
-            grad -= a
-            hess -= b - np.outer(a, a)
+        r, e = r0[i], e0[i]
+        logs, a1, a2 = tie_sums(r, e, di)
+        # sums of f/u, f/u^2, f^2/u^2 with f = l/d = (r - u)/e
+        f1, f2, ff2 = (r * a1 - di) / e, (r * a2 - a1) / e, (r * r * a2 - 2 * r * a1 + di) / (e * e)
+        ll += float(xsum[i] @ beta) - logs
+        grad += xsum[i] - (r1[i] * a1 - e1[i] * f1)
+        mixed = np.outer(r1[i], e1[i])
+        hess -= (_full(r2[i] * a1 - e2[i] * f1, p, up) - np.outer(r1[i], r1[i]) * a2
+                 + (mixed + mixed.T) * f2 - np.outer(e1[i], e1[i]) * ff2)
     f = ll / n_rows - 0.5 * penalizer * float(beta @ beta)
     g = grad / n_rows - penalizer * beta
     h = hess / n_rows - penalizer * np.eye(p)
@@ -146,7 +178,7 @@ def _baseline(beta, ts, S, p, up, horizon_end):
     inc = np.zeros(len(ts))
     for i in range(len(ts)):
         di = int(round(d[i]))
-        inc[i] = sum(1.0 / (r0[i] - (l / di) * e0[i]) for l in range(di)) if di else 0.0
+        inc[i] = tie_sums(r0[i], e0[i], di)[1] if di else 0.0
     h = np.zeros(horizon_end + 1)
     cum = 0.0
     pos = {int(t): k for k, t in enumerate(ts)}
@@ -213,16 +245,19 @@ def cox_expected_remaining(df: DataFrame, model: CoxModel, numeric=NUMERIC, cate
 
 
 def cox_expected_remaining_checked(df: DataFrame, horizon: int = C.CLV_HORIZON_MONTHS):
-    """Method choice: Cox when the table has >= MIN_COX_ROWS rows and every estimate
-    is present and positive; ``None`` otherwise (the caller falls back to KM)."""
+    """Method choice: Cox when the table has >= MIN_COX_ROWS rows, the fit converges
+    and every estimate is present and positive; ``None`` otherwise (the caller falls back to KM)."""
     n = df.count()
     if n < C.MIN_COX_ROWS:
         return None
     try:
         model = fit_cox(df, horizon=horizon)
-    except Exception as e:  # noqa: BLE001 - reported, then KM is used
+    except np.linalg.LinAlgError as e:
         log.warning("Cox fit failed (%s); using Kaplan-Meier", e)
         return None
+    if not model.converged:
+        log.warning("Cox fit did not converge in %d steps; using Kaplan-Meier", model.iterations)
+        return None
     out = cox_expected_remaining(df, model, horizon=horizon).withColumnRenamed("cox_months", "expected_months")
     bad = out.where(F.col("expected_months").isNull() | (F.col("expected_months") <= 0)).limit(1).count()
     return None if bad else out

@@ -1,6 +1,8 @@
 import os
 import tempfile
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,49 @@ def test_model_save_load_roundtrip_and_missing(spark, accounts):
         sinks.load_model(spark, os.path.join(d, "missing"))
 
 
+def test_cox_tie_sums_equal_the_sums_over_events():
+    for r, e, d in [(10.0, 3.0, 1), (10.0, 3.0, 4), (7.5, 7.5, 9), (1e6, 2.5, 3), (5e3, 900.0, 700), (0.02, 0.01, 50)]:
+        u = r - np.arange(d) / d * e
+        want = np.log(u).sum(), (1 / u).sum(), (1 / u ** 2).sum()
+        assert np.allclose(CX.tie_sums(r, e, d), want, rtol=1e-8, atol=1e-12)
+    began = time.time()
+    CX.tie_sums(3e7, 1e7, 10_000_000)
+    assert time.time() - began < 0.1
+
+
+def test_cox_derivatives():
+    """Gradient and Hessian against the sums over events and finite differences."""
+    rng = np.random.default_rng(4)
+    x, t, ev = rng.normal(size=(400, 3)), rng.integers(0, 12, 400), rng.random(400) < 0.6
+
+    def stats(beta):
+        up, rows = CX._upper(3), []
+        for at in range(12):
+            row = []
+            for use in (t == at, (t == at) & ev):
+                w, v = np.exp(x[use] @ beta), x[use]
+                sums = [w.sum(), *(w[:, None] * v).sum(0), *[(w * v[:, i] * v[:, j]).sum() for i, j in up]]
+                row += [use.sum(), *sums] if not row else [use.sum(), *v.sum(0), *sums]
+            rows.append(row)
+        return CX._efron(beta, np.arange(12), np.array(rows, float), 3, up, 400, 0.01)
+
+    def likelihood(beta):
+        w, total = np.exp(x @ beta), 0.0
+        for at in range(12):
+            dead = (t == at) & ev
+            u = w[t >= at].sum() - np.arange(dead.sum()) / max(1, dead.sum()) * w[dead].sum()
+            total += (x[dead] @ beta).sum() - np.log(u).sum()
+        return total / 400 - 0.005 * beta @ beta
+
+    beta, step = np.array([0.3, -0.2, 0.5]), 1e-5
+    f, g, h = stats(beta)
+    assert abs(f - likelihood(beta)) < 1e-9
+    for k in range(3):
+        d = np.eye(3)[k] * step
+        assert abs((likelihood(beta + d) - likelihood(beta - d)) / (2 * step) - g[k]) < 1e-6
+        assert np.allclose((stats(beta + d)[1] - stats(beta - d)[1]) / (2 * step), h[k], atol=1e-6)
+
+
 def test_cox_estimates_bounded_and_spread(accounts):
     m = CX.fit_cox(accounts)
     assert m.converged
