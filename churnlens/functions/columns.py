@@ -114,17 +114,3 @@ def strategy_weight(band, strategy: str) -> Column:
     return (F.when(band == "HIGH", F.lit(w["HIGH"]))
             .when(band == "MEDIUM", F.lit(w["MEDIUM"]))
             .when(band == "LOW", F.lit(w["LOW"])))
-
-
-def quantile(spark, c, levels, accuracy: int = 1_000_000):
-    """Quantile aggregate, exact by default (same result as SQL ``quantile_cont``).
-
-    ``spark.conf.set("churnlens.quantile.mode", "approx")`` switches to
-    ``percentile_approx`` (rank error <= 1/accuracy) for inputs whose distinct
-    values would not fit one task's memory — the exact aggregate keeps a
-    value -> count map per group.
-    """
-    mode = spark.conf.get("churnlens.quantile.mode", "exact")
-    if mode == "approx":
-        return F.percentile_approx(col_(c), levels, accuracy)
-    return F.percentile(col_(c), levels)

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed, micro, quantile, strategy_weight
+from churnlens.functions.columns import fixed, micro, strategy_weight
+from churnlens.functions.quantiles import column_quantiles
 from churnlens.operators.packing import PackResult, greedy_pack
 
 
@@ -126,13 +127,11 @@ def add_reasons_and_actions(table: DataFrame) -> DataFrame:
     """Rule-based reason (first 3 of 5 rules) and recommended action, ACT rows only.
 
     Medians and the CLV upper quartile are over the whole table (exact
-    ``percentile``, one aggregate evaluated once as a scalar subquery).
+    distributed quantiles, read as one scalar subquery).
     """
-    spark = table.sparkSession
-    q = table.select(F.struct(quantile(spark, "CLV", [0.5, 0.75]).alias("clv"),
-                              quantile(spark, "retention_cost", 0.5).alias("cost"))).scalar()
-    clv_median, clv_q75 = F.element_at(q.getField("clv"), 1), F.element_at(q.getField("clv"), 2)
-    cost_median = q.getField("cost")
+    q = column_quantiles(table, ["CLV", "retention_cost"], [0.5, 0.75])
+    clv_median, clv_q75 = F.element_at(q.getField("CLV"), 1), F.element_at(q.getField("CLV"), 2)
+    cost_median = F.element_at(q.getField("retention_cost"), 1)
     band = F.col("risk_band")
     parts = [
         F.when(band == "HIGH", F.lit(C.REASON_HIGH)).when(band == "MEDIUM", F.lit(C.REASON_MEDIUM)),

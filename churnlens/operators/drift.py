@@ -5,7 +5,7 @@ All features are handled at once in long form (``unpivot`` to ``(feature, x)``):
 * PSI numeric: decile edges of the reference (duplicates dropped, outer edges
   open), bins ``[lo, hi)``, shares floored at 1e-6, ``sum (a - e) ln(a / e)``; a
   feature with fewer than 3 distinct edges has PSI 0. Edges are one
-  ``percentile`` aggregate per feature; the per-feature edge table (one row per
+  exact distributed quantile table; the per-feature edge table (one row per
   feature) is broadcast to bin the rows.
 * PSI categorical: shares per category (nulls excluded) over the union of
   categories — a full outer join of two per-category aggregates.
@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed, quantile
+from churnlens.functions.columns import fixed
+from churnlens.functions.quantiles import quantiles
 from churnlens.functions.prefix import RangeOrdered
 
 LEVELS = [float(v) for v in np.linspace(0, 1, 11)]
@@ -45,11 +46,10 @@ class ReferenceProfile:
 
     def __init__(self, ref: DataFrame, numeric: list[str], categorical: list[str], persist: bool = False):
         self.numeric, self.categorical = list(numeric), list(categorical)
-        spark = ref.sparkSession
         if self.numeric:
             r = _long(ref, self.numeric, "double")
-            self.edges = (r.groupBy("feature").agg(quantile(spark, "x", LEVELS).alias("e"))
-                          .withColumn("e", F.sort_array(F.array_distinct("e")))
+            self.edges = (quantiles(r.select("feature", "x"), LEVELS)
+                          .select("feature", F.sort_array(F.array_distinct("q")).alias("e"))
                           .withColumn("n_inner", F.size("e") - 2))
             binned = r.join(F.broadcast(self.edges), "feature").withColumn("b", _bucket())  # one edge row per feature
             counts = binned.groupBy("feature", "b").agg(F.count(F.lit(1)).alias("ne"))

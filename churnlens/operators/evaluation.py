@@ -7,7 +7,7 @@
 * Profit-maximising cutoff on the 51-point grid: one ``groupBy(bucket)`` and a
   suffix sum over at most 52 bucket rows.
 * Calibration table with quantile bins (duplicate edges dropped, right-closed,
-  lowest included); bin edges come from one exact ``percentile`` aggregate.
+  lowest included); bin edges are exact distributed quantiles.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlens import config as C
-from churnlens.functions.columns import fixed, micro, quantile
+from churnlens.functions.columns import fixed, micro
 from churnlens.functions.prefix import RangeOrdered
+from churnlens.functions.quantiles import column_quantiles
 
 DECILE_LEVELS = [float(v) for v in np.linspace(0, 1, 11)]
 CUTOFFS = [k / C.PROFIT_STEPS for k in range(C.PROFIT_STEPS + 1)]
@@ -100,7 +101,7 @@ def profit_threshold(curve: DataFrame) -> DataFrame:
 
 def calibration_table(df: DataFrame, y: str = "churned", p: str = "churn_probability") -> DataFrame:
     """Quantile-bin calibration: ``(decile, customers, avg_predicted, actual_churn_rate)``."""
-    edges = F.sort_array(F.array_distinct(df.select(quantile(df.sparkSession, p, DECILE_LEVELS)).scalar()))
+    edges = F.sort_array(F.array_distinct(column_quantiles(df, [p], DECILE_LEVELS).getField(p)))
     # inner edges: all but the first and the last distinct edge (at most 9)
     inner_n = F.greatest(F.size(edges) - 2, F.lit(0))
     bin_ = F.lit(0)

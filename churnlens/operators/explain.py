@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.functions.columns import quantile
+from churnlens.functions.quantiles import column_quantiles
 from churnlens.operators.model import CATEGORICAL, NUMERIC
 
 # Fixed phrase parts (numeric feature labels).
@@ -42,14 +42,13 @@ def linear_reasons(model: PipelineModel, rows: DataFrame, top_n: int = 3,
     x = (model.transform(rows).select("customer_id", *numeric,
                                       F.posexplode(vector_to_array("features")).alias("j", "x")))
     means = x.groupBy("j").agg(F.avg("x").alias("mean_x"))
-    medians = rows.select(*[quantile(spark, c, 0.5).alias(c) for c in numeric])
-    med = medians.select(F.struct(*numeric)).scalar()
+    med = column_quantiles(rows, numeric, [0.5])
     contrib = (x.join(F.broadcast(means), "j").join(F.broadcast(feats), "j")   # p-row tables
                .withColumn("contrib", F.col("coef") * (F.col("x") - F.col("mean_x")))
                .where(F.col("contrib") > 0))
     level_of = None
     for c in numeric:
-        m = med.getField(c)
+        m = F.element_at(med.getField(c), 1)
         cond = F.col("column") == c
         phrase = F.concat(F.when(F.col(c) >= m, F.lit("high ")).otherwise(F.lit("low ")), F.lit(NUMERIC_LABEL.get(c, c)))
         level_of = F.when(cond, phrase) if level_of is None else level_of.when(cond, phrase)
