@@ -188,6 +188,43 @@ def test_neighbours(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in split.collect()} == {(q, n, v) for q, near in found.items() for n, v, _ in near}
 
 
+def recall_and_lists(spark, x, step=20, k=20):
+    """Share of the true neighbours found, and whether every list is full."""
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    got = defaultdict(set)
+    for r in crosspolytope.nearest(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id") % step == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits, queries = 0, range(0, len(x), step)
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-score)[:k]))
+    return hits / k / len(queries), all(len(got[q]) == k for q in queries)
+
+
+@pytest.mark.parametrize("long", [1.9, 10.0])
+def test_one_long_vector_costs_no_neighbours(spark, long):
+    x = np.random.default_rng(4).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[77] *= long
+    recall, full = recall_and_lists(spark, x)
+    assert full and recall >= 0.95
+
+
+def test_neighbours_of_mixed_norms(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64)) * np.exp(rng.normal(0, 1, (2000, 1)))
+    recall, full = recall_and_lists(spark, x)
+    assert full and recall >= 0.95
+
+
+def test_query_far_from_all_rows_has_a_full_list(spark):
+    x = np.ones(64) + np.random.default_rng(6).normal(0, 0.05, (700, 64))
+    x[0] *= -1                                  # probes none of the others' buckets
+    recall, full = recall_and_lists(spark, x, step=700)
+    assert full and recall == 1
+
+
 def test_toxicity(spark, docs_of):
     rng = random.Random(2)
     rows = [(k, " ".join(rng.choice(WORDS) for _ in range(40)) + (" vilest fools" if k % 4 == 0 else "")) for k in range(400)] + [(500, None), (501, "")]
