@@ -10,6 +10,11 @@ digits are set anew, so pseudonyms validate. Separators, lengths, letter case an
 the kept parts (first card digit, IBAN country, country code and first digit of
 each group of a phone number, mail domain) stay.
 
+The patterns of cards and accounts take neighbouring numbers and capitals along. So
+their usual groupings (``FORMS``: lengths by country, 4-4-4-4 and so on) are sought
+first, from every place of the text, overlaps included; those that validate are
+taken, and the patterns search what lies between them.
+
 Slashed dates are read month first if that is possible and day first otherwise.
 Everything is DataFrame functions. Null and empty texts and texts without a
 validated value stay as they are; other columns are left alone; an empty table
@@ -39,6 +44,23 @@ KINDS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+#: Characters of an account number, by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_ACCOUNTS = "|".join(
+    rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else "")
+    for n, c in IBAN_LENGTHS.items())
+#: What may be around an account and a card: no part of a longer one, of an address or of a dashed name.
+AROUND_IBAN = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])(?![A-Za-z0-9._%+-]{0,63}@)"
+AROUND_CARD = (r"(?<![\d+])(?<!(?<!\d)-)(?<!(?<![A-Za-z0-9])[A-Z]{2})",
+               r"(?!\d)(?!-(?!\d))(?![A-Za-z0-9._%+-]{0,63}@)")
+#: Groupings in which accounts and cards are written, longer ones first.
+FORMS = [(AROUND_IBAN, f"(?:{_ACCOUNTS})"), (AROUND_IBAN, KINDS["iban"])] + [(AROUND_CARD, form) for form in (
+    r"\d{4}(?:[ -]\d{4}){3}[ -]\d{3}", r"\d{4}(?:[ -]\d{4}){3}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}",
+    r"(?<!\+\d{1,3}[ .-])\d{13,19}")]
 #: 400 Gregorian years are 146097 = 189 * 773 days.
 ERA_START, ERA = "1800-01-01", (189, 773)
 
@@ -231,12 +253,32 @@ def private_values(docs: DataFrame, key: str) -> DataFrame:
         "doc_id", "text", F.size(F.filter(same, lambda x: ~x)).cast("long").alias("n_replaced"))
 
 
+def usual_forms(text: Column) -> Column:
+    """The valid cards and accounts of ``text`` in usual groupings, wherever they start."""
+    at_any_place = [F.regexp_extract_all(text, F.lit(f"{before}(?=({form}){after})"), F.lit(1)) for (before, after), form in FORMS]
+    return F.filter(F.array_distinct(F.concat(*at_any_place)), lambda m: is_valid(m, kind_of(m)))
+
+
+def one_of(values: Column) -> Column:
+    """The pattern of just these cards and accounts."""
+    return F.array_join(F.transform(values, lambda v: F.when(v.rlike("^[A-Z]"), F.concat(
+        F.lit(AROUND_IBAN[0]), v, F.lit(AROUND_IBAN[1]))).otherwise(F.concat(F.lit(AROUND_CARD[0]), v, F.lit(AROUND_CARD[1])))), "|")
+
+
 def _replaced(docs: DataFrame, key: str, text: str, found: str, new: str) -> DataFrame:
     t = F.col(text)
     none = F.array().cast("array<string>")
-    match = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).otherwise(none)
-    named = docs.withColumn(found, match).withColumn(new, pseudonyms(F.col(found), key))
-    gaps = F.split(t, PATTERN, -1)
+    matches = lambda x: F.regexp_extract_all(x, F.lit(PATTERN), F.lit(0))
+    between = lambda x: F.split(x, PATTERN, -1)
+    sure, rest = fresh([*docs.columns, found, new], "sure"), fresh([*docs.columns, found, new], "rest")
+    named = docs.withColumn(sure, F.when(t.rlike(r"\d(?:[ -]?[A-Z0-9]){11}"), usual_forms(t)).otherwise(none))
+    some = F.size(sure) > 0
+    named = named.withColumn(rest, F.when(some, F.split(t, one_of(F.col(sure)), -1)).otherwise(F.array(t)))
+    named = named.withColumn(sure, F.when(some, F.regexp_extract_all(t, one_of(F.col(sure)), F.lit(0))).otherwise(none))
+    in_order = F.flatten(F.transform(rest, lambda x, k: F.concat(matches(x), F.slice(sure, k + 1, 1))))
+    match = F.when(some, in_order).when(t.rlike("[0-9@]"), matches(t)).otherwise(none)
+    named = named.withColumn(found, match).withColumn(new, pseudonyms(F.col(found), key))
+    gaps = F.when(some, F.flatten(F.transform(rest, between))).otherwise(between(t))
     after = F.zip_with(new, F.slice(gaps, F.lit(2), F.size(new)), lambda m, g: F.concat(m, g))
     joined = F.concat(F.get(gaps, F.lit(0)), F.array_join(after, ""))
     return named.withColumn(text, F.when(F.size(found) > 0, joined).otherwise(t))

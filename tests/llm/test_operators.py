@@ -142,6 +142,27 @@ def test_pseudonyms(docs_of):
     assert got[1].text == texts[1] and got[5].text.endswith("@mail5.example.com") and len(got[6].text) == len(texts[6])
 
 
+def test_pseudonyms_beside_other_numbers(docs_of):
+    card, amex, at = "4111 1111 1111 1111", "3782 822463 10005", "AT611904300234573201"
+    cases = [("", card, " 12/25"), ("", card, " 123"), ("order 12 ", card, ""), ("", "4111111111111111", " 10 items"),
+             ("", at, " BIC"), ("", "BE68 5390 0754 7034", " EUR 20"), ("", "ES9121000418450200051332", " EUR"),
+             ("", "SE4550000000058398257466", " PAID"), ("no 1234 56 ", card, " 7."), ("12-", card.replace(" ", "-"), "-99"),
+             ("NO12 ", card, " 77"), ("7 ", amex, " 1234"), ("XY12 ", "GB82 WEST 1234 5698 7654 32", " OK")]
+    invalid = ["4111 1111 1111 1112 123", "AT611904300234573202 BIC", "order 12 4111 1111 1111 1112", "a.4111111111111111"]
+    texts = [a + v + b for a, v, b in cases] + [v for _, v, _ in cases] + [f"{card} {amex} {at} {card}"] + invalid[:3] + [
+        invalid[3] + "@mail.example.com"]
+    got = {r.doc_id: r for r in pii.private_values(docs_of(list(enumerate(texts))), "k").collect()}
+    n = len(cases)
+    for k, (a, v, b) in enumerate(cases):
+        alone = got[n + k].text
+        assert got[k].n_replaced == got[n + k].n_replaced == 1 and alone != v
+        assert got[k].text == a + alone + b                       # the same pseudonym, the neighbours as they were
+    own = {v: got[n + k].text for k, (_, v, _) in enumerate(cases)}
+    assert got[2 * n].text == f"{own[card]} {own[amex]} {own[at]} {own[card]}" and got[2 * n].n_replaced == 4
+    assert [got[2 * n + 1 + k].text for k in range(3)] == invalid[:3]
+    assert got[2 * n + 4].n_replaced == 1 and got[2 * n + 4].text.endswith("@mail.example.com")
+
+
 def test_feistel_is_a_permutation(spark):
     df = spark.range(189 * 7).select(F.array((F.col("id") / 7).cast("long"), F.col("id") % 7).alias("v"))
     out = df.select(pii.feistel(F.col("v"), pii.longs(189, 7), F.lit("t"), "k").alias("m")).collect()
