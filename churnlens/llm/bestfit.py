@@ -23,6 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.common import stage
+from churnlens.llm.sigtree import text_components
+
 PLACES = "doc_id long, piece int, bin_id long, start int, length int"
 
 
@@ -97,8 +100,13 @@ def word_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))) + 1
 
 
-def pack_documents(docs: DataFrame, capacity: int = 2048) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = 2048, near: bool = False) -> DataFrame:
     """Packing of whole documents by their word counts: one source and one copy of
-    a text (letter case and white space aside) at most in a bin."""
-    same = F.xxhash64(F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " "))
-    return pack(docs, word_count(F.col("text")), F.col("source"), F.when(F.length("text") > 0, same), capacity)
+    a text (letter case and white space aside) at most in a bin; with ``near``, one
+    of a component of near copies."""
+    same = F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " ")
+    if not near:
+        return pack(docs, word_count(F.col("text")), F.col("source"), F.when(F.length("text") > 0, F.xxhash64(same)), capacity)
+    rows = docs.select("doc_id", word_count(F.col("text")).alias("length"), "source", F.xxhash64(same).alias("text_key"))
+    rows = rows.join(text_components(docs.select(same.alias("text"))), "text_key", "left")
+    return pack(stage(rows, "packing-rows"), F.col("length"), F.col("source"), F.col("component"), capacity)

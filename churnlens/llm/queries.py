@@ -41,8 +41,8 @@ def op4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed into bins of 2048 words."""
-    return bestfit.pack_documents(read_table(spark, sf_dir, "documents"))
+    """All documents packed into bins of 2048 words, near copies apart."""
+    return bestfit.pack_documents(read_table(spark, sf_dir, "documents"), near=True)
 
 
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

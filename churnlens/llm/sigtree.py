@@ -373,6 +373,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def text_components(texts: DataFrame) -> DataFrame:
+    """(text_key, component) of the distinct texts with words of ``texts(text)``: a text's
+    key is its ``xxhash64``, so rows need no ids."""
+    keyed = texts.select(F.xxhash64("text").alias("doc_id"), "text")
+    return jaccard_components(keyed).where("n_shingles > 0").select(
+        F.col("doc_id").alias("text_key"), F.col("component_id").alias("component")).distinct()
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id.
     Rows without words or doc_id stay; of rows that share the id, all stay."""

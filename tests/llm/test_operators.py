@@ -209,6 +209,16 @@ def test_neighbours(spark):
     assert {(r.query_id, r.rank, r.vec_id) for r in split.collect()} == {(q, n, v) for q, near in found.items() for n, v, _ in near}
 
 
+def test_near_copies_are_packed_apart(spark):
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(["first", *words])]
+    texts = [*near, " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60)), "", None, "short"]
+    docs = spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: (r.bin_id, r.length) for r in bestfit.pack_documents(docs, 400, near=True).collect()}
+    assert len({got[k][0] for k in range(3)}) == 3 and len({b for b, _ in got.values()}) == 3
+    assert {k: n for k, (_, n) in got.items()} == {k: len((t or "").split()) + 1 for k, t in enumerate(texts)}
+
+
 def recall_and_lists(spark, x, step=20, k=20):
     """Share of the true neighbours found, and whether every list is full."""
     data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
