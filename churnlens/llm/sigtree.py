@@ -30,10 +30,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import partitions, stage
+from churnlens.llm.common import fresh, partitions, stage
 from churnlens.llm.components import components
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
@@ -382,8 +382,19 @@ def text_components(texts: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id.
-    Rows without words or doc_id stay; of rows that share the id, all stay."""
-    kept = jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    lone = docs.where(F.col("doc_id").isNull())
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").unionAll(lone)
+    """``docs`` with one row of each component: that of the smallest doc_id, a null only
+    if there is no other. Rows without words stay."""
+    id_, key, copies = (fresh(docs.columns, name) for name in ("kept_id", "kept_key", "copies"))
+    rows = docs.select(F.col("doc_id").alias(id_), F.xxhash64("text").alias("text_key"))
+    same = rows.join(text_components(docs.select("text")), "text_key").groupBy("component", id_, "text_key").agg(F.count("*").alias("n"))
+    first = same.groupBy("component").agg(F.min(F.struct(F.col(id_).isNull(), id_, "text_key", "n")).alias("first"))
+    kept = stage(first.select(F.col(f"first.{id_}").alias(id_), F.col("first.text_key").alias(key), F.col("first.n").alias(copies)),
+                 "jaccard-kept")
+    here = lambda some: F.col("doc_id").eqNullSafe(some[id_]) & (F.xxhash64("text") == some[key])
+    single, several = kept.where(F.col(copies) == 1), kept.where(F.col(copies) > 1)
+    # of rows that share id and text, one, the least by its other columns
+    order = Window.partitionBy(id_, key).orderBy(F.to_json(F.struct(*docs.columns)))
+    one = (docs.join(several, here(several)).withColumn(copies, F.row_number().over(order)).where(F.col(copies) == 1)
+           .select(*docs.columns))
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return docs.join(single, here(single), "left_semi").unionAll(one).unionAll(docs.where(wordless))

@@ -59,6 +59,17 @@ def test_jaccard_components(docs_of, rows):
     assert got == Counter((doc_id, len(sets[k]), None if doc_id is None else min(least[find(k)])) for k, (doc_id, _) in enumerate(rows))
 
 
+def test_one_row_of_each_group_stays(docs_of):
+    words = [f"w{k}" for k in range(60)]
+    a, near, other, third = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"x{k}" for k in range(60)), "some short text"
+    docs = docs_of([(1, a), (1, a), (2, near), (2, other), (5, other), (None, a), (None, third), (None, third), (7, None), (8, ""),
+                    (None, ""), (9, "alone")])
+    kept = sigtree.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (2, other), (None, third), (7, None), (8, ""), (None, ""), (9, "alone")], key=str)
+
+
 def test_repeats(docs_of, rows):
     got = Counter(tuple(r) for r in recompress.substring_dedup(docs_of(rows)).collect())
     first = {}
