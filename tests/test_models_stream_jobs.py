@@ -13,7 +13,7 @@ from churnlens.plans import base as B
 from churnlens.plans.jobs import decision_request, run_batch_job
 from churnlens.sources import sinks
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture(scope="module")

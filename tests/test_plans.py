@@ -7,7 +7,7 @@ from churnlens.operators import decision as D
 from churnlens.plans import base as B
 from churnlens.sources.tables import account_view
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def _plan(df) -> str:
