@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, ppm, prefix_tokens, recompress, records, sigtree, toxicity
+from churnlens.llm import (
+    bestfit, crosspolytope, decontaminate, hyperlang, merkle, pii, ppm, prefix_tokens, recompress, records, sigtree, toxicity, variants)
 from churnlens.llm.common import read_table, shared_folder
 
 #: Stands in for a secret that a deployment passes to the operator.
@@ -73,6 +74,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words of all documents, the words they are variants of, and the roots these lead to."""
+    return variants.variants(variants.vocabulary(read_table(spark, sf_dir, "documents"), variants.damaged))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document; those with an even checksum of their id
+    are verified with a text that lost its line ends."""
+    return merkle.manifest(read_table(spark, sf_dir, "documents"), merkle.without_line_ends())
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; one fold is never learnt from."""
+    docs = read_table(spark, sf_dir, "documents")
+    learns = F.coalesce(hyperlang.training_fold(F.col("doc_id")), F.lit(True))
+    model = hyperlang.train(docs.where(learns).select("text", "lang"))
+    return hyperlang.predict(docs, model).select("doc_id", (~learns).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_pseudonyms": op2_pseudonyms,
@@ -84,5 +104,12 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_token_counts": op10_token_counts,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_id": op13_language_id,
+}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.CONTAMINATION_SQL,
+    "op11_spelling_variants": variants.VARIANTS_SQL,
+    "op12_merkle_manifest": merkle.MANIFEST_SQL,
 }
-ORACLE: dict[str, str] = {"op3_decontamination": decontaminate.CONTAMINATION_SQL}
