@@ -39,20 +39,28 @@ class DecisionParams:
             raise ValueError("save_rate must be in (0, 1]")
 
 
-def build_retention_scores(scored: DataFrame, save_rate: float = C.SAVE_RATE) -> DataFrame:
-    """revenue_at_risk = p*CLV; net = save_rate*revenue_at_risk - cost; priority = max(net, 0)."""
+def retention_columns(save_rate: float) -> dict[str, Column]:
+    """Expressions over the scored table: revenue_at_risk = p*CLV; net = save_rate*revenue_at_risk - cost;
+    priority = max(net, 0)."""
     rar = fixed(F.col("churn_probability") * F.col("CLV"), 4)
     net = fixed(F.lit(float(save_rate)) * rar - F.col("retention_cost"), 4)
-    # one projection (each DataFrame operation costs an analysis pass)
-    return scored.withColumns({"revenue_at_risk": rar, "net_retention_value": net,
-                               "retention_priority_score": F.greatest(net, F.lit(0.0))})
+    return {"revenue_at_risk": rar, "net_retention_value": net, "retention_priority_score": F.greatest(net, F.lit(0.0))}
+
+
+def build_retention_scores(scored: DataFrame, save_rate: float = C.SAVE_RATE) -> DataFrame:
+    """The scored table with :func:`retention_columns` (one projection: each DataFrame operation
+    costs an analysis pass)."""
+    return scored.withColumns(retention_columns(save_rate))
+
+
+def adjusted_priority(priority: Column, strategy: str) -> Column:
+    return fixed(priority * strategy_weight("risk_band", strategy), 6)
 
 
 def apply_decision_strategy(df: DataFrame, strategy: str) -> DataFrame:
     """Band weight for the strategy (case-insensitive) and ``adjusted_priority``."""
-    w = strategy_weight("risk_band", strategy)
-    return df.withColumns({"strategy_weight": w,
-                           "adjusted_priority": fixed(F.col("retention_priority_score") * w, 6)})
+    return df.withColumns({"strategy_weight": strategy_weight("risk_band", strategy),
+                           "adjusted_priority": adjusted_priority(F.col("retention_priority_score"), strategy)})
 
 
 def eligible(df: DataFrame) -> Column:
@@ -69,7 +77,7 @@ def select_under_budget(df: DataFrame, budget: float, max_customers: int | None,
     if order_col == "efficiency" and "efficiency" not in df.columns:
         elig = elig.withColumn("efficiency", efficiency_col())
     res = greedy_pack(elig, [(order_col, True)], budget, max_customers, **kw)
-    res.predicate = eligible(df) & res.predicate
+    res.eligible = eligible(df)
     return res
 
 
@@ -111,6 +119,15 @@ class Decision:
     def spent(self) -> float:
         return self.pack.spent
 
+    def funded_when(self) -> tuple[Column, Column]:
+        """(is the row funded, its net value) as expressions over the scored table, so that one
+        aggregate can look at many decisions."""
+        own = retention_columns(self.params.save_rate)
+        net = own["net_retention_value"]
+        funded = (F.col("retention_cost") > 0) & (net > 0) & self.pack.taken(
+            adjusted_priority=adjusted_priority(own["retention_priority_score"], self.params.strategy))
+        return funded, net
+
 
 def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: PackResult | None = None) -> Decision:
     """Scores -> strategy -> greedy selection -> segments, efficiency, reasons, actions.
@@ -229,6 +246,6 @@ def decide_many(scored: DataFrame, params_list: list[DecisionParams]) -> list[De
     out = []
     for i, p in enumerate(params_list):
         pk = packs[i]
-        pk.predicate = eligible(scored) & pk.predicate
+        pk.eligible = eligible(scored)
         out.append(decide(scored, p, pack=pk))
     return out

@@ -2,28 +2,29 @@
 
 Semantics (sequential definition): walk rows in the given order; skip a row
 whose cost would overflow the budget and continue; stop once ``max_customers``
-rows are taken (``None``/0 = no cap). Rows with a NULL cost or order key are
-never selected.
-
-Distributed evaluation in *rounds*. With remaining budget R and a cut position:
-the candidates are rows after the cut with ``cost <= R`` (a row costing more
-than R can never fit later, because R only shrinks). The walk accepts the
-longest prefix of the candidates whose running cost fits and stops at the first
-overflow row, which becomes the next cut. After the first round R is below the
-largest cost, so the number of rounds is at most ``1 + ceil(max/min cost)``.
-
-The rows of all scenarios are range-ordered once by scenario, order and id
-(:class:`churnlens.functions.prefix.RangeOrdered`). A round takes two jobs for
-all scenarios together:
-
-1. count and cost of the candidates per range partition (one row per partition
-   and scenario reaches the driver), which tells the partition where the prefix
-   ends;
-2. a running sum inside that one partition gives the overflow row.
-
-No customer row reaches the driver but the one where a round ends. Each round's
-accepted rows are a contiguous range of the order, so the result is a *predicate*
-(one term per round) over the input table: the selected set, the ACT flag and
+rows are taken (``None``/0 = no cap). Rows with a NULL or negative cost or a NULL
+order key are never selected.
+
+Distributed evaluation over a *block-summary index*. The rows of all scenarios and
+orders are range-ordered once and written to the shared folder, one folder per range
+partition, in blocks of ``BLOCK_ROWS`` rows. One pass gives count, cost, least cost and
+first key of every (scenario table, partition): those rows reach the driver. A walk then
+goes down the summaries:
+
+* a partition or block whose whole cost fits into what is left (and whose rows fit
+  under the cap) is taken unread;
+* one whose least cost is above what is left is passed over unread;
+* of any other partition the block summaries are read (that partition's folder alone),
+  of any other block its rows (that folder, and of its files the row groups of that
+  block), and the walk goes through the block's rows inside one task.
+
+After the first row that does not fit, what is left is below the largest cost, and each
+further block that is read takes at least one row, so a walk reads at most
+``1 + ceil(max/min cost)`` blocks. All walks that wait for a block share one job.
+
+No customer row reaches the driver but the keys at which the walk skipped rows. Between two
+such keys exactly the rows within the budget left at the first are taken, so the result is a
+*predicate* (one term per stretch) over the input table: the selected set, the ACT flag and
 everything downstream stay lazy DataFrame expressions.
 
 Money is summed in integer micro-units so partitioning cannot flip a decision.
@@ -31,77 +32,123 @@ Money is summed in integer micro-units so partitioning cannot flip a decision.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
 from churnlens.functions.columns import micro
-from churnlens.functions.prefix import RangeOrdered
+from churnlens.functions.scratch import drop, folder
+
+BLOCK_ROWS = 4096
+Order = list[tuple[str, bool]]
 
 
 @dataclass
 class PackResult:
-    predicate: Column          # True on the selected rows of the input table
+    keys: Order                # the order, the id last
+    stretches: list[tuple[int, tuple | None, tuple | None]]   # (budget, after this key, before this key)
+    cost_col: str
     spent: float               # budget used (exact micro-unit sum / 1e4)
     count: int                 # number of selected rows
-    rounds: int
     source: DataFrame
+    eligible: Column | None = None
+
+    def taken(self, **columns: Column) -> Column:
+        """Holds on the selected rows among eligible ones, with other expressions for the
+        named order columns."""
+        at = {name: columns.get(name, F.col(name)) for name, _ in self.keys}
+        cost = micro(self.cost_col)
+        has_keys = reduce(Column.__and__, [c.isNotNull() for c in at.values()]) & (cost >= 0)
+        found = F.lit(False)
+        for budget, after, before in self.stretches:
+            term = (cost <= F.lit(budget)) & has_keys
+            if after is not None:
+                term = term & _beyond(self.keys, at, after, False)
+            if before is not None:
+                term = term & _beyond(self.keys, at, before, True)
+            found = found | term
+        return F.coalesce(found, F.lit(False))
 
     @property
-    def selected(self) -> DataFrame:
-        return self.source.where(self.predicate)
-
-
-@dataclass
-class _Walk:
-    """Where one scenario's walk stands."""
-
-    budget: int
-    remaining: int
-    left: int | None
-    cut: tuple | None = None
-    count: int = 0
-    # (budget at the start, cut, last key or None for no end, is the last key taken too)
-    rounds: list[tuple[int, tuple | None, tuple | None, bool]] = field(default_factory=list)
+    def predicate(self) -> Column:
+        """Holds on the selected rows of the input table."""
+        return self.taken() if self.eligible is None else self.eligible & self.taken()
 
-    def open(self) -> bool:
-        return self.remaining > 0 and (self.left is None or self.left > 0)
+    @property
+    def rounds(self) -> int:
+        return len(self.stretches)
 
-    def take(self, rows: int, cost: int, end: tuple | None, inclusive: bool) -> None:
-        if rows:
-            self.rounds.append((self.remaining, self.cut, end, inclusive))
-        self.count += rows
-        self.remaining -= cost
-        if self.left is not None:
-            self.left -= rows
-        self.cut = end
+    @property
+    def selected(self) -> DataFrame:
+        return self.source.where(self.predicate)
 
 
-def _after(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    """Rows strictly after ``bound`` in the lexicographic order ``keys``
+def _beyond(keys: Order, at: dict[str, Column], bound: tuple, earlier: bool) -> Column:
+    """Rows strictly after (or before) ``bound`` in the lexicographic order ``keys``
     (``(column, descending)``; the last key must be unique)."""
-    cond = None
-    eq = F.lit(True)
+    cond, eq = F.lit(False), F.lit(True)
     for (name, desc), b in zip(keys, bound):
-        beyond = F.col(name) < F.lit(b) if desc else F.col(name) > F.lit(b)
-        term = eq & beyond
-        cond = term if cond is None else cond | term
-        eq = eq & (F.col(name) == F.lit(b))
+        cond = cond | (eq & (at[name] < F.lit(b) if desc != earlier else at[name] > F.lit(b)))
+        eq = eq & (at[name] == F.lit(b))
     return cond
 
 
-def _at(keys: list[tuple[str, bool]], bound: tuple) -> Column:
-    return reduce(Column.__and__, [F.col(name) == F.lit(b) for (name, _), b in zip(keys, bound)])
+@dataclass
+class _Unit:
+    """Summary of a partition's or a block's rows of one scenario table."""
 
+    part: int
+    block: int | None          # None: a partition of several blocks
+    rows: int
+    cost: int
+    least: int
+    first: tuple
 
-def _sort_cols(keys):
-    return [F.col(n).desc() if d else F.col(n).asc() for n, d in keys]
 
+@dataclass
+class _Walk:
+    """Where one scenario's walk stands."""
 
-def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
+    lane: int
+    rem: int
+    left: int | None
+    todo: deque
+    start: int = 0             # what was left where the present stretch began
+    cut: tuple | None = None   # and the key after which it began
+    took: bool = False
+    count: int = 0
+    stretches: list = field(default_factory=list)
+
+    def close(self, end: tuple | None) -> None:
+        if self.took:
+            self.stretches.append((self.start, self.cut, end))
+        self.start, self.cut, self.took = self.rem, end, False
+
+    def advance(self) -> _Unit | None:
+        """Goes on until a unit must be read; None at the end of the walk."""
+        while self.todo and self.left != 0:
+            unit = self.todo[0]
+            if unit.cost <= self.rem and (self.left is None or unit.rows <= self.left):
+                self.rem -= unit.cost
+                self.count += unit.rows
+                self.left = None if self.left is None else self.left - unit.rows
+                self.took = True
+            elif unit.least > self.rem:
+                if self.took:
+                    self.close(unit.first)
+            else:
+                return unit
+            self.todo.popleft()
+        self.close(self.todo[0].first if self.todo else None)
+        self.todo.clear()
+        return None
+
+
+def greedy_pack(df: DataFrame, order: Order, budget: float,
                 max_customers: int | None = None, cost_col: str = "retention_cost",
                 id_col: str = "customer_id") -> PackResult:
     """Select rows of ``df`` (already filtered to eligible rows) in ``order``
@@ -110,87 +157,116 @@ def greedy_pack(df: DataFrame, order: list[tuple[str, bool]], budget: float,
     return greedy_pack_many({0: df}, order, {0: budget}, {0: max_customers}, cost_col, id_col)[0]
 
 
-def greedy_pack_many(tables: dict, order: list[tuple[str, bool]], budgets: dict, caps: dict,
+def greedy_pack_many(tables: dict, order: Order | dict, budgets: dict, caps: dict,
                      cost_col: str = "retention_cost", id_col: str = "customer_id") -> dict:
-    """The same greedy for several scenarios, ``tables = {scenario: eligible rows}``,
-    in the same jobs. Returns ``{scenario: PackResult}`` whose predicates use the
-    scenario table's own columns."""
-    keys = list(order) + [(id_col, False)]
-    names = [k for k, _ in keys]
-    scenarios = list(tables)
-    walks = {}
-    for s in scenarios:
-        budget = int(round(budgets[s] * C.MICRO))
-        walks[s] = _Walk(budget, budget, caps.get(s) or None)
-    has_keys = reduce(Column.__and__, [F.col(k).isNotNull() for k in names])
-    stacked = reduce(DataFrame.unionByName, [
-        tables[s].where(has_keys).select(F.lit(i).alias("__scenario"), *names, micro(cost_col).alias("__cost"))
-        .where(F.col("__cost") <= F.lit(walks[s].budget)) for i, s in enumerate(scenarios)])
-    ordered = RangeOrdered(stacked, _sort_cols(keys), ["__scenario"]).df.select(
-        "*", F.spark_partition_id().alias("__part"))
-
-    while any(w.open() for w in walks.values()):
-        _round(ordered, keys, {i: walks[s] for i, s in enumerate(scenarios) if walks[s].open()})
-
-    cost = micro(cost_col)
-    out = {}
-    for s, w in walks.items():
-        predicate = F.lit(False)
-        for budget, cut, end, inclusive in w.rounds:
-            term = (cost <= F.lit(budget)) & has_keys
-            if cut is not None:
-                term = term & _after(keys, cut)
-            if end is not None:
-                term = term & ~_after(keys, end)
-                if not inclusive:
-                    term = term & ~_at(keys, end)
-            predicate = predicate | term
-        out[s] = PackResult(predicate=F.coalesce(predicate, F.lit(False)), spent=(w.budget - w.remaining) / C.MICRO,
-                            count=w.count, rounds=len(w.rounds), source=tables[s])
-    return out
-
-
-def _round(ordered: DataFrame, keys: list[tuple[str, bool]], walks: dict[int, _Walk]) -> None:
-    """One round of every open walk."""
-    def candidates(i: int, w: _Walk) -> Column:
-        cond = (F.col("__scenario") == F.lit(i)) & (F.col("__cost") <= F.lit(w.remaining))
-        return cond if w.cut is None else cond & _after(keys, w.cut)
-
-    sums: dict[int, list] = {i: [] for i in walks}
-    for r in (ordered.where(reduce(Column.__or__, [candidates(i, w) for i, w in walks.items()]))
-              .groupBy("__scenario", "__part")
-              .agg(F.count(F.lit(1)).alias("rows"), F.sum("__cost").alias("cost")).collect()):
-        sums[r["__scenario"]].append((r["__part"], r["rows"], r["cost"]))
-
-    ends = {}                                     # scenario -> (partition, rows and cost before it)
-    for i, w in walks.items():
-        rows = cost = 0
-        for part, n, c in sorted(sums[i]):
-            if cost + c > w.remaining or (w.left is not None and rows + n > w.left):
-                ends[i] = (part, rows, cost)
-                break
-            rows, cost = rows + n, cost + c
-        else:                                     # all candidates fit
-            w.take(rows, cost, None, True)
-            w.left = 0                            # nothing is left to walk
-    if not ends:
-        return
-
-    inside = ordered.where(reduce(Column.__or__, [
-        candidates(i, walks[i]) & (F.col("__part") == F.lit(part)) for i, (part, _, _) in ends.items()]))
-    along = Window.partitionBy("__scenario").orderBy(*_sort_cols(keys))   # one range partition of each scenario
-    before = lambda at: reduce(
-        lambda acc, item: acc.when(F.col("__scenario") == F.lit(item[0]), F.lit(item[1][at])), list(ends.items())[1:],
-        F.when(F.col("__scenario") == F.lit(next(iter(ends))), F.lit(next(iter(ends.values()))[at])))
-    run = inside.select("__scenario", F.struct(*[k for k, _ in keys]).alias("key"), "__cost",
-                        (before(1) + F.row_number().over(along)).alias("rn"),
-                        (before(2) + F.sum("__cost").over(along.rowsBetween(Window.unboundedPreceding, 0))).alias("run"))
-    fits = reduce(Column.__or__, [
-        (F.col("__scenario") == F.lit(i)) & (F.col("run") <= F.lit(walks[i].remaining))
-        & (F.lit(True) if walks[i].left is None else F.col("rn") <= F.lit(walks[i].left)) for i in ends])
-    for r in (run.withColumn("fits", fits).groupBy("__scenario")
-              .agg(F.count(F.when(F.col("fits"), 1)).alias("rows"), F.sum(F.when(F.col("fits"), F.col("__cost"))).alias("cost"),
-                   F.min_by("key", F.when(~F.col("fits"), F.col("rn"))).alias("stop")).collect()):
-        _, rows, cost = ends[r["__scenario"]]
-        # the first row that does not fit ends the round, for its cost or for the cap
-        walks[r["__scenario"]].take(rows + r["rows"], cost + (r["cost"] or 0), tuple(r["stop"]), False)
+    """The same greedy for several scenarios, ``tables = {scenario: eligible rows}``, in the
+    same jobs. ``order`` is one for all or ``{scenario: order}``. Scenarios with the same table
+    object and order share its rows. Returns ``{scenario: PackResult}``."""
+    orders = {s: [*(order[s] if isinstance(order, dict) else order), (id_col, False)] for s in tables}
+    micros = {s: int(round(budgets[s] * C.MICRO)) for s in tables}
+    lanes: dict[tuple, int] = {}
+    lane_of = {s: lanes.setdefault((id(tables[s]), tuple(orders[s])), len(lanes)) for s in tables}
+    index = _Index([next((tables[s], orders[s], max(micros[t] for t in tables if lane_of[t] == lane))
+                         for s in tables if lane_of[s] == lane) for lane in lanes.values()], cost_col)
+    walks = {s: _Walk(lane_of[s], micros[s], caps.get(s) or None, deque(index.parts[lane_of[s]]), micros[s]) for s in tables}
+    while True:
+        waits = {s: unit for s, w in walks.items() if (unit := w.advance()) is not None}
+        if not waits:
+            break
+        wide = {s: u for s, u in waits.items() if u.block is None}
+        if wide:
+            found = index.blocks({(walks[s].lane, u.part) for s, u in wide.items()})
+            for s, u in wide.items():
+                walks[s].todo.popleft()
+                walks[s].todo.extendleft(reversed(found[walks[s].lane, u.part]))
+        else:
+            index.walk([(walks[s], u) for s, u in waits.items()])
+    index.close()
+    return {s: PackResult(orders[s], w.stretches, cost_col, (micros[s] - w.rem) / C.MICRO, w.count, tables[s])
+            for s, w in walks.items()}
+
+
+class _Index:
+    """The ordered rows of all lanes (scenario tables) in the shared folder."""
+
+    def __init__(self, lanes: list[tuple[DataFrame, Order, int]], cost_col: str):
+        self.spark = spark = lanes[0][0].sparkSession
+        # a column per place and direction in the order, shared by all lanes
+        self.names = [[f"{'d' if desc else 'a'}{k}" for k, (_, desc) in enumerate(order)] for _, order, _ in lanes]
+        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+            table.where(reduce(Column.__and__, [F.col(k).isNotNull() for k, _ in order]))
+            .select(F.lit(lane).alias("lane"), micro(cost_col).alias("cost"),
+                    *[F.col(k).alias(n) for (k, _), n in zip(order, self.names[lane])])
+            .where(F.col("cost").between(0, F.lit(most))) for lane, (table, order, most) in enumerate(lanes)])
+        self.keys = sorted({n for names in self.names for n in names}, key=lambda n: (int(n[1:]), n))
+        along = [F.col("lane"), *[F.col(n).desc() if n[0] == "d" else F.col(n) for n in self.keys]]
+        self.path = folder(spark, "greedy")
+        (stacked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *along).sortWithinPartitions(*along)
+         .select("*", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("at"), F.spark_partition_id().alias("part"))
+         .withColumn("block", F.expr(f"CAST(at DIV {BLOCK_ROWS} AS INT)"))
+         .write.partitionBy("part").parquet(self.path))
+        schema = stacked.select("lane", "cost", *self.keys).schema.add("at", "long").add("block", "integer").add("part", "integer")
+        self.rows = spark.read.schema(schema).parquet(self.path)
+        self.parts: dict[int, list[_Unit]] = {lane: [] for lane in range(len(lanes))}
+        for r in self._summary("lane", "part").collect():
+            self.parts[r["lane"]].append(self._unit(r, r["low"] if r["low"] == r["high"] else None))
+        for units in self.parts.values():
+            units.sort(key=lambda u: u.part)
+
+    def _summary(self, *by: str, where: Column | None = None) -> DataFrame:
+        rows = self.rows if where is None else self.rows.where(where)
+        return rows.groupBy(*by).agg(
+            F.count(F.lit(1)).alias("rows"), F.sum("cost").alias("total"), F.min("cost").alias("least"),
+            F.min_by(F.struct(*self.keys), "at").alias("first"), F.min("block").alias("low"), F.max("block").alias("high"))
+
+    def _unit(self, r, block: int | None) -> _Unit:
+        return _Unit(r["part"], block, r["rows"], r["total"], r["least"], self._key(r["lane"], r["first"]))
+
+    def _key(self, lane: int, key) -> tuple:
+        return tuple(key[n] for n in self.names[lane])
+
+    def blocks(self, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], list[_Unit]]:
+        """Block summaries of some (lane, partition)s; reads those partitions' folders alone."""
+        some = F.col("part").isin(sorted({part for _, part in wanted})) & reduce(Column.__or__, [
+            (F.col("lane") == lane) & (F.col("part") == part) for lane, part in wanted])
+        found: dict = {w: [] for w in wanted}
+        for r in self._summary("lane", "part", "block", where=some).collect():
+            found[r["lane"], r["part"]].append(self._unit(r, r["block"]))
+        return {w: sorted(units, key=lambda u: u.block) for w, units in found.items()}
+
+    def walk(self, steps: list[tuple[_Walk, _Unit]]) -> None:
+        """Takes each walk through the rows of its block, one task a walk."""
+        some = F.col("part").isin(sorted({u.part for _, u in steps})) & F.col("block").isin(sorted({u.block for _, u in steps}))
+        mine = F.filter(F.array(*[
+            F.when((F.col("lane") == w.lane) & (F.col("part") == u.part) & (F.col("block") == u.block), k)
+            for k, (w, u) in enumerate(steps)]), lambda k: k.isNotNull())
+        key = F.struct(*self.keys)
+        rows = self.rows.where(some).select(F.explode(mine).alias("walk"), "at", "cost", key.alias("key"))
+        kind = rows.schema["key"].dataType.simpleString()
+
+        def state(values) -> Column:
+            return reduce(lambda acc, k: acc.when(F.col("walk") == k, values(*steps[k])), range(1, len(steps)),
+                          F.when(F.col("walk") == 0, values(*steps[0])))
+
+        began = state(lambda w, u: F.struct(
+            F.lit(w.rem).cast("long").alias("rem"), F.lit(w.left).cast("long").alias("open"), F.lit(w.start).cast("long").alias("start"),
+            F.lit(w.took).alias("took"), F.lit(0).cast("long").alias("n"), F.lit(None).cast(kind).alias("cut"),
+            F.array().cast(f"array<struct<start:bigint,cut:{kind},stop:{kind}>>").alias("stretches")))
+        # a row above the stretch's budget is no candidate; one that fits is taken; any other ends the stretch
+        ended = F.expr(f"""aggregate(array_sort(collect_list(struct(at, cost, key))), first(began), (s, r) -> CASE
+            WHEN r.cost > s.start THEN s
+            WHEN r.cost <= s.rem AND (s.open IS NULL OR s.open > 0) THEN named_struct(
+                'rem', s.rem - r.cost, 'open', s.open - 1L, 'start', s.start, 'took', true, 'n', s.n + 1L, 'cut', s.cut, 'stretches', s.stretches)
+            ELSE named_struct('rem', s.rem, 'open', s.open, 'start', CASE WHEN s.open = 0 THEN -1L ELSE s.rem END, 'took', false, 'n', s.n,
+                'cut', r.key, 'stretches', CASE WHEN s.took THEN array_append(s.stretches, named_struct('start', s.start, 'cut', s.cut, 'stop', r.key))
+                                           ELSE s.stretches END) END)""")
+        for r in rows.withColumn("began", began).groupBy("walk").agg(ended.alias("s")).collect():
+            w, s = steps[r["walk"]][0], r["s"]
+            tuple_of = lambda k: w.cut if k is None else self._key(w.lane, k)
+            w.stretches.extend((x["start"], tuple_of(x["cut"]), tuple_of(x["stop"])) for x in s["stretches"])
+            w.rem, w.left, w.count, w.took = s["rem"], s["open"], w.count + s["n"], s["took"]
+            w.start, w.cut = s["start"], tuple_of(s["cut"])
+            w.todo.popleft()
+
+    def close(self) -> None:
+        drop(self.spark, self.path)

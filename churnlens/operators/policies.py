@@ -1,29 +1,38 @@
 """Decision checks: naive-policy baselines, lift, save-rate sensitivity, ROI
 sweep, strategy comparison and an optimality bound.
 
-Every check reuses the persisted scored table; each greedy run is a handful of
-small jobs (see :mod:`churnlens.operators.packing`), and every result is a tiny
-DataFrame assembled with ``unionByName`` — no customer rows reach the driver.
+Every check reuses the persisted scored table: all its selections are one call of the
+greedy (see :mod:`churnlens.operators.packing`), and one aggregate with a condition per
+selection gives the whole result — no customer rows reach the driver.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from itertools import combinations, product
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
 from churnlens.functions.columns import fixed, hash_u32, micro
 from churnlens.operators import decision as D
-from churnlens.operators.packing import greedy_pack
+from churnlens.operators.packing import greedy_pack, greedy_pack_many
 
 NAIVE_POLICIES = ["Random", "Target highest churn", "Target highest CLV"]
 ENGINE_POLICY = "Decision engine"
+DUAL_GAP = 1e-9
 
 
-def _money(col: str):
-    return F.coalesce(F.sum(micro(col)), F.lit(0)) / F.lit(float(C.MICRO))
+def _money(col, when=None):
+    value = micro(col) if when is None else F.when(when, micro(col))
+    return F.coalesce(F.sum(value), F.lit(0)) / F.lit(float(C.MICRO))
+
+
+def _per_selection(df: DataFrame, selections: list[dict]) -> DataFrame:
+    """One row per selection: its aggregates (name -> expression), all from one pass."""
+    return df.agg(F.array(*[F.struct(*[e.alias(n) for n, e in s.items()]) for s in selections]).alias("s")).select(F.inline("s"))
 
 
 def compare_policies(scored: DataFrame, budget: float, max_customers: int | None,
@@ -32,19 +41,15 @@ def compare_policies(scored: DataFrame, budget: float, max_customers: int | None
     churn, highest CLV, and the engine (net value > 0, net value descending)."""
     df = (D.build_retention_scores(scored, save_rate).where(F.col("retention_cost") > 0)
           .withColumn("random_key", hash_u32(F.lit(str(seed)), F.col("customer_id"))))
-    policies = [
-        ("Random", df, [("random_key", False)]),
-        ("Target highest churn", df, [("churn_probability", True)]),
-        ("Target highest CLV", df, [("CLV", True)]),
-        (ENGINE_POLICY, df.where(F.col("net_retention_value") > 0), [("net_retention_value", True)]),
-    ]
-    rows = []
-    for name, src, order in policies:
-        pack = greedy_pack(src, order, budget, max_customers)
-        rows.append(src.where(pack.predicate).agg(
-            F.count(F.lit(1)).alias("customers"), _money("retention_cost").alias("cost"),
-            _money("net_retention_value").alias("value")).withColumn("policy", F.lit(name)))
-    out = reduce(DataFrame.unionByName, rows)
+    engine = F.col("net_retention_value") > 0
+    orders = {"Random": [("random_key", False)], "Target highest churn": [("churn_probability", True)],
+              "Target highest CLV": [("CLV", True)], ENGINE_POLICY: [("net_retention_value", True)]}
+    tables = {name: df.where(engine) if name == ENGINE_POLICY else df for name in orders}
+    packs = greedy_pack_many(tables, orders, dict.fromkeys(orders, budget), dict.fromkeys(orders, max_customers))
+    taken = {name: pack.predicate & engine if name == ENGINE_POLICY else pack.predicate for name, pack in packs.items()}
+    out = _per_selection(df, [
+        {"policy": F.lit(name), "customers": F.count(F.when(t, 1)), "cost": _money("retention_cost", t),
+         "value": _money("net_retention_value", t)} for name, t in taken.items()])
     return out.select("policy", "customers", fixed("cost", 2).alias("budget_used"),
                       fixed("value", 2).alias("expected_value"),
                       F.when(F.col("cost") > 0, fixed(F.col("value") / F.col("cost"), 4))
@@ -84,88 +89,99 @@ def save_rate_sensitivity(funded: DataFrame, assumed: float = C.SAVE_RATE,
 def roi_sweep(scored: DataFrame, budget: float, max_customers: int | None, strategy: str,
               rates=tuple(round(0.1 * i, 2) for i in range(1, 11)), decide_many=D.decide_many) -> DataFrame:
     """Re-decide at each save rate; ROI = net / max(cost, 1) of the ACT set."""
-    parts = []
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, strategy, r) for r in rates])
+    selections = []
     for r, dec in zip(rates, decs):
-        parts.append(D.funded_totals(dec.funded).select(
-            F.lit(float(r)).alias("save_rate"), "act_count",
-            fixed(F.col("act_net") / F.greatest(F.col("act_cost"), F.lit(1.0)), 6).alias("roi")))
-    return reduce(DataFrame.unionByName, parts)
+        funded, net = dec.funded_when()
+        selections.append({"save_rate": F.lit(float(r)), "act_count": F.count(F.when(funded, 1)), "roi": fixed(
+            _money(net, funded) / F.greatest(_money("retention_cost", funded), F.lit(1.0)), 6)})
+    return _per_selection(scored, selections)
 
 
 def strategy_comparison(scored: DataFrame, budget: float, max_customers: int | None,
                         save_rate: float = C.SAVE_RATE, decide_many=D.decide_many) -> DataFrame:
     """Per strategy: ACT count, % HIGH, % MEDIUM, revenue saved, budget used, ROI."""
-    parts = []
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
+    selections = []
     for s, dec in zip(C.STRATEGIES, decs):
-        act = dec.funded
-        parts.append(act.agg(
-            F.count(F.lit(1)).alias("act_customers"),
-            fixed(F.avg(F.when(F.col("risk_band") == "HIGH", 1.0).otherwise(0.0)) * 100, 4).alias("pct_high"),
-            fixed(F.avg(F.when(F.col("risk_band") == "MEDIUM", 1.0).otherwise(0.0)) * 100, 4).alias("pct_medium"),
-            _money("net_retention_value").alias("net"), _money("retention_cost").alias("cost"))
-            .select(F.lit(s).alias("strategy"), "act_customers", "pct_high", "pct_medium",
-                    fixed("net", 2).alias("revenue_saved"), fixed("cost", 2).alias("budget_used"),
-                    fixed(F.col("net") / F.greatest(F.col("cost"), F.lit(1.0)), 6).alias("roi")))
-    return reduce(DataFrame.unionByName, parts)
+        funded, net = dec.funded_when()
+        share = lambda band: fixed(F.avg(F.when(funded, F.when(F.col("risk_band") == band, 1.0).otherwise(0.0))) * 100, 4)  # noqa: E731, B023
+        saved, cost = _money(net, funded), _money("retention_cost", funded)
+        selections.append({
+            "strategy": F.lit(s), "act_customers": F.count(F.when(funded, 1)), "pct_high": share("HIGH"), "pct_medium": share("MEDIUM"),
+            "revenue_saved": fixed(saved, 2), "budget_used": fixed(cost, 2), "roi": fixed(saved / F.greatest(cost, F.lit(1.0)), 6)})
+    return _per_selection(scored, selections)
 
 
 def optimality_bound(scored: DataFrame, budget: float, max_customers: int | None,
-                     save_rate: float = C.SAVE_RATE, grid: int = 100) -> DataFrame:
-    """Greedy-by-efficiency value against a Lagrangian upper bound on the exact
-    0/1 knapsack optimum (budget and cap):
-
-        OPT <= min over lambda >= 0 of  lambda * B + sum of the top-K positive (v_i - lambda * c_i)
-
-    evaluated on ``lambda_k = max_efficiency * k / grid``. ``capture_pct_lower_bound``
-    = greedy / bound * 100 is therefore a certified lower bound on the share of
-    the optimum the greedy captures (100 when the bound is <= 0).
-
-    With a cap, each row is expanded over the grid and the top-K per lambda is a
-    ``row_number() <= K`` filter (planned as WindowGroupLimit, which also limits
-    each partition before the shuffle). Without a cap, rows are bucketed by the
-    grid index of their efficiency and suffix sums over <= grid+1 buckets give the
-    bound for every lambda at once — no expansion.
-    """
+                     save_rate: float = C.SAVE_RATE) -> DataFrame:
+    """Greedy-by-efficiency value against an upper bound on the exact 0/1 knapsack
+    optimum (budget B and cap K), the dual
+
+        OPT <= min over l, m >= 0 of  l * B + m * K + sum of the positive (v_i - l * c_i - m)
+
+    (without a cap, m = 0). Every (l, m) gives a bound, and sum and slopes there are one
+    aggregate; the minimum is sought with cutting planes, a few points a pass, until the
+    planes leave no more than ``DUAL_GAP`` of the bound. The bound is rounded up to cents, so
+    ``capture_pct_lower_bound`` = greedy / bound * 100 is a certified lower bound on the
+    share of the optimum that the greedy captures (100 when the bound is 0)."""
     df = D.build_retention_scores(scored, save_rate)
     elig = df.where(D.eligible(df)).withColumn("efficiency", D.efficiency_col())
     pack = greedy_pack(elig, [("efficiency", True)], budget, max_customers)
     greedy = elig.where(pack.predicate).agg(F.count(F.lit(1)).alias("greedy_customers"),
                                             _money("net_retention_value").alias("greedy_value"))
-    max_eff = elig.select(F.max("efficiency")).scalar()
-    lam = max_eff * F.col("k") / F.lit(float(grid))
-    if max_customers:
-        expanded = elig.select("net_retention_value", "retention_cost",
-                               F.explode(F.sequence(F.lit(0), F.lit(grid))).alias("k"))
-        expanded = expanded.withColumn("w", F.floor((F.col("net_retention_value") - lam * F.col("retention_cost"))
-                                                    * F.lit(float(C.MICRO)) + F.lit(0.5)).cast("bigint"))
-        top = (expanded.where(F.col("w") > 0)
-               .withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("w").desc())))
-               .where(F.col("r") <= F.lit(int(max_customers))))
-        sums = top.groupBy("k").agg(F.sum("w").alias("wsum"))
-        ks = elig.sparkSession.range(grid + 1).select(F.col("id").cast("int").alias("k"))
-        per_k = ks.join(sums, "k", "left").select("k", F.coalesce("wsum", F.lit(0)).alias("wsum"))
-        per_k = per_k.withColumn("lam", lam)
-    else:
-        # bucket b = last grid index whose lambda is still below the row's efficiency
-        b = F.least(F.lit(grid), F.ceil(F.col("efficiency") * F.lit(float(grid)) / max_eff) - 1).cast("int")
-        buckets = (elig.groupBy(b.alias("b"))
-                   .agg(F.sum(micro("net_retention_value")).alias("v"), F.sum(micro("retention_cost")).alias("c")))
-        ks = elig.sparkSession.range(grid + 1).select(F.col("id").cast("int").alias("k"))
-        # <= grid + 2 bucket rows: a suffix sum over them is bounded work
-        suffix = Window.orderBy(F.col("k").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        per_k = (ks.join(buckets, ks.k == buckets.b, "left")
-                 .select("k", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("c", F.lit(0)).alias("c"))
-                 .withColumn("v", F.sum("v").over(suffix)).withColumn("c", F.sum("c").over(suffix))
-                 .withColumn("lam", lam)
-                 .withColumn("wsum", F.col("v") - F.col("lam") * F.col("c")))
-    ub = per_k.withColumn("ub", fixed(F.col("lam") * F.lit(float(budget))
-                                      + F.col("wsum") / F.lit(float(C.MICRO)), 4))
-    best = ub.agg(F.min_by(F.struct("lam", "ub"), F.struct("ub", "k"))).scalar()
-    bound, blam = best.getField("ub"), best.getField("lam")
+    bound = F.lit(math.ceil(round(dual_bound(elig, budget, max_customers) * 100, 6)) / 100)
     return greedy.select(
-        fixed("greedy_value", 4).alias("greedy_value"), "greedy_customers",
-        bound.alias("upper_bound"), fixed(blam, 6).alias("best_lambda"),
+        fixed("greedy_value", 4).alias("greedy_value"), "greedy_customers", bound.alias("upper_bound"),
         F.when(bound > 0, fixed(F.col("greedy_value") / bound * F.lit(100.0), 4))
         .otherwise(F.lit(100.0)).alias("capture_pct_lower_bound"))
+
+
+def dual_bound(elig: DataFrame, budget: float, max_customers: int | None, passes: int = 40) -> float:
+    """The smallest dual bound found for rows (net_retention_value, retention_cost), both positive."""
+    limits = [float(budget)] + ([float(max_customers)] if max_customers else [])
+    v, c = F.col("net_retention_value"), F.col("retention_cost")
+    top = elig.agg(F.max(v / c).alias("l"), F.max(v).alias("m")).first()
+    if top["l"] is None:
+        return 0.0
+    box = np.array([top["l"], top["m"]][:len(limits)])
+    points = [box * np.array(at) for at in product((0.0, 0.05, 0.2, 0.5), repeat=len(box))]
+    planes, best, best_at = [], math.inf, box
+    for _ in range(passes):
+        sums = []
+        for k, p in enumerate(points):
+            gain = v - F.lit(float(p[0])) * c - F.lit(float(p[1]) if len(p) > 1 else 0.0)
+            sums += [F.sum(F.when(gain > 0, gain)).alias(f"s{k}"), F.sum(F.when(gain > 0, c)).alias(f"c{k}"),
+                     F.count(F.when(gain > 0, 1)).alias(f"n{k}")]
+        found = elig.agg(*sums).first()
+        for k, p in enumerate(points):
+            value = float(np.dot(p, limits)) + (found[f"s{k}"] or 0.0)
+            slope = np.array([limits[0] - (found[f"c{k}"] or 0.0)] + [n - found[f"n{k}"] for n in limits[1:]])
+            planes.append(np.array([*slope, value - slope @ p]))     # value >= slope . x + rest
+            if value < best:
+                best, best_at = value, p
+        low, at = _lowest(np.array(planes), box, best_at)
+        if best - low <= DUAL_GAP * max(best, 1.0):
+            break
+        points = [at, (at + best_at) / 2, at + (at - best_at) / 4]
+        points = [np.clip(p, 0, box) for p in points]
+    return best
+
+
+def _lowest(planes: np.ndarray, box: np.ndarray, near: np.ndarray, kept: int = 48) -> tuple[float, np.ndarray]:
+    """The lowest point of the upper hull of planes (slopes..., rest) within the box, over its
+    corners: all meetings of as many planes and sides as there are unknowns."""
+    d = len(box)
+    hull = planes[np.argsort(-(planes[:, :d] @ near + planes[:, d]))[:kept]]
+    # unknowns (x, t): slope . x - t = -rest, x_k = 0, x_k = box_k
+    rows = [np.append(p[:d], -1.0) for p in hull] + [np.eye(d + 1)[k] for k in range(d) for _ in (0, 1)]
+    right = [-p[d] for p in hull] + [side for k in range(d) for side in (0.0, box[k])]
+    some = np.array(list(combinations(range(len(rows)), d + 1)))
+    left, right = np.array(rows)[some], np.array(right)[some]
+    fit = np.abs(np.linalg.det(left)) > 1e-9
+    corners = np.linalg.solve(left[fit], right[fit][..., None])[..., 0]
+    inside = ((corners[:, :d] >= -1e-9 * box) & (corners[:, :d] <= box * (1 + 1e-9))).all(1)
+    corners = corners[inside]
+    height = (corners[:, :d] @ hull[:, :d].T + hull[:, d]).max(1)
+    lowest = int(np.argmin(height))
+    return float(height[lowest]), np.clip(corners[lowest, :d], 0, box)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from churnlens import config as C
 from churnlens.functions.columns import fixed
 from churnlens.operators import decision as D
+from churnlens.operators.packing import greedy_pack_many
 
 BOUNDARY_COLS = ["customer_id", "risk_band", "churn_probability", "CLV", "retention_cost",
                  "net_retention_value", "action_segment", "efficiency"]
@@ -68,11 +69,13 @@ def boundary_zone(flags: DataFrame, balanced_table: DataFrame) -> DataFrame:
 def _three_packs(scored, budget, max_customers, strategy, save_rate):
     scores = D.apply_decision_strategy(D.build_retention_scores(scored, save_rate), strategy)
     scores = scores.withColumn("efficiency", D.efficiency_col())
-    base = D.select_under_budget(scores, budget, max_customers)
-    red_budget = D.select_under_budget(scores, budget * 0.9, max_customers)
-    red_cap = (D.select_under_budget(scores, budget, max(1, int(max_customers * 0.9)))
-               if max_customers else base)
-    return scores, base, red_budget, red_cap
+    elig = scores.where(D.eligible(scores))
+    caps = {"base": max_customers, "budget": max_customers, "cap": max(1, int(max_customers * 0.9)) if max_customers else None}
+    packs = greedy_pack_many(dict.fromkeys(caps, elig), [("adjusted_priority", True)],
+                             {"base": budget, "budget": budget * 0.9, "cap": budget}, caps)
+    for pack in packs.values():
+        pack.eligible = D.eligible(scores)
+    return scores, packs["base"], packs["budget"], packs["cap"]
 
 
 def decision_stability(scored: DataFrame, budget: float, max_customers: int | None,

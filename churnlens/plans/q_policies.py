@@ -212,36 +212,48 @@ def q_stability_attribution(spark, sf_dir):
 
 # ---- K7 optimality bound -------------------------------------------------------------
 
-_GRID = 100
-_BOUND_CTES = [
-    ("oe", "SELECT * FROM ds WHERE scenario = 'base' AND retention_cost > 0 AND net_retention_value > 0"),
-    ("om", "SELECT max(efficiency) AS max_eff FROM oe"),
-    ("ok", f"SELECT k, (om.max_eff * k) / {dbl(float(_GRID))} AS lam FROM (SELECT unnest(range(0, {_GRID + 1})) AS k) CROSS JOIN om"),
-    ("ow", f"""
-SELECT ok.k, CAST(floor((oe.net_retention_value - ok.lam * oe.retention_cost) * {MICRO} + {dbl(0.5)}) AS BIGINT) AS w
-FROM oe CROSS JOIN ok"""),
-    ("otop", f"""
-SELECT k, sum(w) AS wsum FROM (
-  SELECT k, w, row_number() OVER (PARTITION BY k ORDER BY w DESC) AS r FROM ow WHERE w > 0) WHERE r <= {CAP}
-GROUP BY k"""),
-    ("oub", f"""
-SELECT ok.k, ok.lam, {fx(f'ok.lam * {dbl(float(BUDGET))} + coalesce(otop.wsum, 0) / {MICRO}', 4)} AS ub
-FROM ok LEFT JOIN otop ON otop.k = ok.k"""),
-    ("obest", "SELECT first(ub ORDER BY ub, k) AS ub, first(lam ORDER BY ub, k) AS lam FROM oub"),
-    ("ogreedy", f"""
+def _bound_ctes(cap: int | None) -> list[tuple[str, str]]:
+    """Halving on the price of the budget; the best rows up to the cap answer each price."""
+    limit = f"WHERE r <= {cap}" if cap else ""
+    return [
+        ("oe", "SELECT net_retention_value AS v, retention_cost AS c FROM ds WHERE scenario = 'base' AND retention_cost > 0 AND net_retention_value > 0"),
+        ("ostep", f"""
+SELECT 0 AS step, {dbl(0.0)} AS lo, max(v / c) AS hi FROM oe
+UNION ALL
+SELECT step + 1, CASE WHEN coalesce(used, 0) > {dbl(float(BUDGET))} THEN (lo + hi) / 2 ELSE lo END,
+       CASE WHEN coalesce(used, 0) > {dbl(float(BUDGET))} THEN hi ELSE (lo + hi) / 2 END
+FROM (SELECT step, lo, hi, sum(c) AS used FROM (
+        SELECT s.step, s.lo, s.hi, oe.c, row_number() OVER (PARTITION BY s.step ORDER BY oe.v - (s.lo + s.hi) / 2 * oe.c DESC) AS r,
+               oe.v - (s.lo + s.hi) / 2 * oe.c AS w FROM ostep s CROSS JOIN oe WHERE s.step < 70)
+      {limit + ' AND' if limit else 'WHERE'} w > 0 GROUP BY ALL)"""),
+        ("oprice", "SELECT unnest([first(lo ORDER BY step DESC), first(hi ORDER BY step DESC)]) AS l FROM ostep"),
+        ("obound", f"""
+SELECT min(ub) AS ub FROM (
+  SELECT l, l * {dbl(float(BUDGET))} + coalesce(sum(w) FILTER (WHERE w > 0), 0) AS ub FROM (
+    SELECT l, v - l * c AS w, row_number() OVER (PARTITION BY l ORDER BY v - l * c DESC) AS r FROM oprice CROSS JOIN oe) {limit} GROUP BY l)"""),
+        ("obest", "SELECT ceil(round(ub * 100, 6)) / 100 AS ub FROM obound"),
+        ("ogreedy", f"""
 SELECT count(*) AS greedy_customers, {_money_sql(net_micro('d.'))} AS greedy_value
 FROM dsel s JOIN ds d ON d.scenario = s.scenario AND d.customer_id = s.customer_id"""),
-]
+    ]
 
 
-@query("optimality_bound", decision_sql(f"""
+_BOUND_SQL = f"""
 SELECT {fx('g.greedy_value', 4)} AS greedy_value, g.greedy_customers, b.ub AS upper_bound,
-       {fx('b.lam', 6)} AS best_lambda,
        CASE WHEN b.ub > 0 THEN {fx(f'g.greedy_value / b.ub * {dbl(100.0)}', 4)} ELSE {dbl(100.0)} END AS capture_pct_lower_bound
-FROM ogreedy g CROSS JOIN obest b""", DEFAULT, extra=_BOUND_CTES, order="efficiency"))
+FROM ogreedy g CROSS JOIN obest b"""
+
+
+@query("optimality_bound", decision_sql(_BOUND_SQL, DEFAULT, extra=_bound_ctes(CAP), order="efficiency"))
 def q_optimality_bound(spark, sf_dir):
-    """Greedy-by-efficiency value vs a Lagrangian upper bound on the knapsack optimum."""
-    return P.optimality_bound(B.scored(spark, sf_dir), BUDGET, CAP, RATE, _GRID)
+    """Greedy-by-efficiency value vs a dual upper bound on the knapsack optimum."""
+    return P.optimality_bound(B.scored(spark, sf_dir), BUDGET, CAP, RATE)
+
+
+@query("optimality_bound_uncapped", decision_sql(_BOUND_SQL, [Scenario("base", max_customers=None)], extra=_bound_ctes(None), order="efficiency"))
+def q_optimality_bound_uncapped(spark, sf_dir):
+    """The same without a cap on customers."""
+    return P.optimality_bound(B.scored(spark, sf_dir), BUDGET, None, RATE)
 
 
 # ---- K11 outcome distribution ---------------------------------------------------------
