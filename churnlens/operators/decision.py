@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from churnlens import config as C
 from churnlens.functions.columns import fixed, micro, strategy_weight
 from churnlens.functions.quantiles import column_quantiles
-from churnlens.operators.packing import PackResult, greedy_pack
+from churnlens.operators.packing import PackResult, greedy_pack, greedy_pack_stacked
 
 
 @dataclass(frozen=True)
@@ -39,11 +39,12 @@ class DecisionParams:
             raise ValueError("save_rate must be in (0, 1]")
 
 
-def retention_columns(save_rate: float) -> dict[str, Column]:
+def retention_columns(save_rate: float | Column) -> dict[str, Column]:
     """Expressions over the scored table: revenue_at_risk = p*CLV; net = save_rate*revenue_at_risk - cost;
     priority = max(net, 0)."""
     rar = fixed(F.col("churn_probability") * F.col("CLV"), 4)
-    net = fixed(F.lit(float(save_rate)) * rar - F.col("retention_cost"), 4)
+    rate = save_rate if isinstance(save_rate, Column) else F.lit(float(save_rate))
+    net = fixed(rate * rar - F.col("retention_cost"), 4)
     return {"revenue_at_risk": rar, "net_retention_value": net, "retention_priority_score": F.greatest(net, F.lit(0.0))}
 
 
@@ -119,14 +120,18 @@ class Decision:
     def spent(self) -> float:
         return self.pack.spent
 
-    def funded_when(self) -> tuple[Column, Column]:
-        """(is the row funded, its net value) as expressions over the scored table, so that one
-        aggregate can look at many decisions."""
-        own = retention_columns(self.params.save_rate)
-        net = own["net_retention_value"]
-        funded = (F.col("retention_cost") > 0) & (net > 0) & self.pack.taken(
-            adjusted_priority=adjusted_priority(own["retention_priority_score"], self.params.strategy))
-        return funded, net
+
+def side_by_side(scored: DataFrame, decisions: list[Decision]) -> tuple[DataFrame, list[tuple[Column, Column]]]:
+    """The scored table with every decision's columns next to each other, and per decision
+    (is the row funded, its net value): one aggregate can look at many decisions."""
+    df = scored.withColumn("__rar", retention_columns(0.0)["revenue_at_risk"])
+    df = df.withColumns({f"__net{k}": fixed(F.lit(float(d.params.save_rate)) * F.col("__rar") - F.col("retention_cost"), 4)
+                         for k, d in enumerate(decisions)})
+    df = df.withColumns({f"__order{k}": adjusted_priority(F.greatest(F.col(f"__net{k}"), F.lit(0.0)), d.params.strategy)
+                         for k, d in enumerate(decisions)})
+    df = df.withColumns({f"__in{k}": (F.col("retention_cost") > 0) & (F.col(f"__net{k}") > 0)
+                         & d.pack.taken(adjusted_priority=F.col(f"__order{k}")) for k, d in enumerate(decisions)})
+    return df, [(F.col(f"__in{k}"), F.col(f"__net{k}")) for k in range(len(decisions))]
 
 
 def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: PackResult | None = None) -> Decision:
@@ -233,19 +238,19 @@ def act_list(decision: Decision) -> DataFrame:
 
 
 def decide_many(scored: DataFrame, params_list: list[DecisionParams]) -> list[Decision]:
-    """Several decisions at once: the eligible rows of every scenario are stacked
-    and the greedy fetches all scenarios in one job per round."""
-    from churnlens.operators.packing import greedy_pack_many
-    tables = {}
-    for i, p in enumerate(params_list):
-        strat = apply_decision_strategy(build_retention_scores(scored, p.save_rate), p.strategy)
-        tables[i] = strat.where(eligible(strat))
-    packs = greedy_pack_many(tables, [("adjusted_priority", True)],
-                             {i: p.budget for i, p in enumerate(params_list)},
-                             {i: p.max_customers for i, p in enumerate(params_list)})
-    out = []
-    for i, p in enumerate(params_list):
-        pk = packs[i]
-        pk.eligible = eligible(scored)
-        out.append(decide(scored, p, pack=pk))
-    return out
+    """Several decisions at once: one scan gives the eligible rows of every scenario, and the
+    walks of all share their jobs."""
+    weights = [C.STRATEGY_WEIGHTS[p.strategy.lower()] for p in params_list]
+    own = [f"named_struct('lane', {i}, 'rate', CAST({p.save_rate!r} AS DOUBLE), "
+           + ", ".join(f"'{band}', CAST({w[band]!r} AS DOUBLE)" for band in w) + ")" for i, (p, w) in enumerate(zip(params_list, weights))]
+    each = (scored.where(F.col("retention_cost") > 0)
+            .select("customer_id", "retention_cost", "churn_probability", "CLV", "risk_band", F.expr(f"explode(array({', '.join(own)}))").alias("s"))
+            .select("*", *[e.alias(n) for n, e in retention_columns(F.col("s.rate")).items()]).where(F.col("net_retention_value") > 0))
+    weight = F.coalesce(*[F.when(F.col("risk_band") == band, F.col(f"s.{band}")) for band in weights[0]])
+    each = each.select("customer_id", "retention_cost", F.col("s.lane").alias("lane"),
+                       fixed(F.col("retention_priority_score") * weight, 6).alias("adjusted_priority"))
+    packs = greedy_pack_stacked(each, [("adjusted_priority", True)], [p.budget for p in params_list],
+                                [p.max_customers for p in params_list])
+    for pack in packs:
+        pack.eligible = eligible(scored)
+    return [decide(scored, p, pack=pack) for p, pack in zip(params_list, packs)]

@@ -1,8 +1,8 @@
 """Model-evaluation queries over ``(y, p[, clv, cost])`` tables.
 
 * ROC AUC as a rank statistic (ties count 1/2): rows are first collapsed to
-  distinct scores, then the running count of negatives comes from the
-  distributed two-level prefix sum — never a single-partition window over rows.
+  distinct scores, and every range partition gives its partial area and counts,
+  which merge by sums — never a single-partition window over rows.
 * Threshold metrics and Brier in one aggregate.
 * Profit-maximising cutoff on the 51-point grid: one ``groupBy(bucket)`` and a
   suffix sum over at most 52 bucket rows.
@@ -12,6 +12,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +33,15 @@ def roc_auc(df: DataFrame, y: str = "churned", p: str = "churn_probability", by:
     per_p = df.groupBy(*by, F.col(p).alias("score")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
-    run = RangeOrdered(per_p, [F.col("score").asc()], partition_by=by).running({"cneg": F.col("neg")})
-    # pos * (2 * negatives strictly below + negatives tied), summed exactly as integers
-    num = F.sum(F.col("pos").cast("decimal(38,0)") * (2 * (F.col("cneg") - F.col("neg")) + F.col("neg")))
-    tot = run.groupBy(*by).agg(num.alias("num"), F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    def boil(rows, places, run, totals):
+        # pos * (2 * negatives strictly below + negatives tied), summed exactly
+        pos, neg = rows["pos"].fillna(0).to_numpy(object), rows["neg"].fillna(0).to_numpy(object)
+        twice = sum((p * (2 * int(c) - q) for p, q, c in zip(pos, neg, run["cneg"])), 0)
+        return [(Decimal(int(twice)), int(sum(pos)), int(sum(neg)))]
+
+    tot = (RangeOrdered(per_p, [F.col("score").asc()], partition_by=by)
+           .reduce({"cneg": F.col("neg")}, boil, "num decimal(38,0), P long, N long")
+           .groupBy(*by).agg(F.sum("num").alias("num"), F.sum("P").alias("P"), F.sum("N").alias("N")))
     return tot.select(*by, F.when((F.col("P") > 0) & (F.col("N") > 0),
                                   fixed(F.col("num").cast("double") / (F.lit(2.0) * F.col("P").cast("double") * F.col("N").cast("double")), 6))
                       .alias("roc_auc"))

@@ -166,9 +166,35 @@ def greedy_pack_many(tables: dict, order: Order | dict, budgets: dict, caps: dic
     micros = {s: int(round(budgets[s] * C.MICRO)) for s in tables}
     lanes: dict[tuple, int] = {}
     lane_of = {s: lanes.setdefault((id(tables[s]), tuple(orders[s])), len(lanes)) for s in tables}
-    index = _Index([next((tables[s], orders[s], max(micros[t] for t in tables if lane_of[t] == lane))
-                         for s in tables if lane_of[s] == lane) for lane in lanes.values()], cost_col)
-    walks = {s: _Walk(lane_of[s], micros[s], caps.get(s) or None, deque(index.parts[lane_of[s]]), micros[s]) for s in tables}
+    picked = [next(s for s in tables if lane_of[s] == lane) for lane in lanes.values()]
+    # a column per place and direction in the order, shared by all lanes
+    names = [[f"{'d' if desc else 'a'}{k}" for k, (_, desc) in enumerate(orders[s])] for s in picked]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        tables[s].select(F.lit(lane).alias("lane"), micro(cost_col).alias("cost"),
+                         *[F.col(k).alias(n) for (k, _), n in zip(orders[s], names[lane])]) for lane, s in enumerate(picked)])
+    walks = _walk_all(rows, names, {s: (lane_of[s], micros[s], caps.get(s)) for s in tables})
+    return {s: PackResult(orders[s], w.stretches, cost_col, (micros[s] - w.rem) / C.MICRO, w.count, tables[s])
+            for s, w in walks.items()}
+
+
+def greedy_pack_stacked(rows: DataFrame, order: Order, budgets: list[float], caps: list[int | None],
+                        cost_col: str = "retention_cost", id_col: str = "customer_id") -> list[PackResult]:
+    """The same for eligible rows of all scenarios in one table, ``lane`` being the place of
+    a row's scenario in ``budgets`` and ``caps``."""
+    order = [*order, (id_col, False)]
+    micros = [int(round(b * C.MICRO)) for b in budgets]
+    names = [f"{'d' if desc else 'a'}{k}" for k, (_, desc) in enumerate(order)]
+    rows = rows.select("lane", micro(cost_col).alias("cost"), *[F.col(k).alias(n) for (k, _), n in zip(order, names)])
+    walks = _walk_all(rows, [names] * len(budgets), {k: (k, m, cap) for k, (m, cap) in enumerate(zip(micros, caps))})
+    return [PackResult(order, w.stretches, cost_col, (micros[k] - w.rem) / C.MICRO, w.count, rows.where(F.col("lane") == k))
+            for k, w in walks.items()]
+
+
+def _walk_all(rows: DataFrame, names: list[list[str]], wanted: dict) -> dict:
+    """Walks ``{scenario: (lane, budget, cap)}`` over ``rows(lane, cost, order columns)``."""
+    most = [max((m for lane_, m, _ in wanted.values() if lane_ == lane), default=0) for lane in range(len(names))]
+    index = _Index(rows, names, most)
+    walks = {s: _Walk(lane, budget, cap or None, deque(index.parts[lane]), budget) for s, (lane, budget, cap) in wanted.items()}
     while True:
         waits = {s: unit for s, w in walks.items() if (unit := w.advance()) is not None}
         if not waits:
@@ -182,23 +208,19 @@ def greedy_pack_many(tables: dict, order: Order | dict, budgets: dict, caps: dic
         else:
             index.walk([(walks[s], u) for s, u in waits.items()])
     index.close()
-    return {s: PackResult(orders[s], w.stretches, cost_col, (micros[s] - w.rem) / C.MICRO, w.count, tables[s])
-            for s, w in walks.items()}
+    return walks
 
 
 class _Index:
     """The ordered rows of all lanes (scenario tables) in the shared folder."""
 
-    def __init__(self, lanes: list[tuple[DataFrame, Order, int]], cost_col: str):
-        self.spark = spark = lanes[0][0].sparkSession
-        # a column per place and direction in the order, shared by all lanes
-        self.names = [[f"{'d' if desc else 'a'}{k}" for k, (_, desc) in enumerate(order)] for _, order, _ in lanes]
-        stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
-            table.where(reduce(Column.__and__, [F.col(k).isNotNull() for k, _ in order]))
-            .select(F.lit(lane).alias("lane"), micro(cost_col).alias("cost"),
-                    *[F.col(k).alias(n) for (k, _), n in zip(order, self.names[lane])])
-            .where(F.col("cost").between(0, F.lit(most))) for lane, (table, order, most) in enumerate(lanes)])
-        self.keys = sorted({n for names in self.names for n in names}, key=lambda n: (int(n[1:]), n))
+    def __init__(self, rows: DataFrame, names: list[list[str]], most: list[int]):
+        self.spark = spark = rows.sparkSession
+        self.names, self.keys = names, sorted({n for own in names for n in own}, key=lambda n: (int(n[1:]), n))
+        has_keys = {tuple(own): reduce(Column.__and__, [F.col(n).isNotNull() for n in own]) for own in names}
+        usable = reduce(Column.__or__, [F.col("lane").isin([k for k, own in enumerate(names) if tuple(own) == used]) & known
+                                        for used, known in has_keys.items()])
+        stacked = rows.where(usable & F.col("cost").between(0, F.element_at(F.lit(most), F.col("lane") + 1)))
         along = [F.col("lane"), *[F.col(n).desc() if n[0] == "d" else F.col(n) for n in self.keys]]
         self.path = folder(spark, "greedy")
         (stacked.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *along).sortWithinPartitions(*along)
@@ -207,7 +229,7 @@ class _Index:
          .write.partitionBy("part").parquet(self.path))
         schema = stacked.select("lane", "cost", *self.keys).schema.add("at", "long").add("block", "integer").add("part", "integer")
         self.rows = spark.read.schema(schema).parquet(self.path)
-        self.parts: dict[int, list[_Unit]] = {lane: [] for lane in range(len(lanes))}
+        self.parts: dict[int, list[_Unit]] = {lane: [] for lane in range(len(names))}
         for r in self._summary("lane", "part").collect():
             self.parts[r["lane"]].append(self._unit(r, r["low"] if r["low"] == r["high"] else None))
         for units in self.parts.values():

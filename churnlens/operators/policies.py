@@ -90,27 +90,27 @@ def roi_sweep(scored: DataFrame, budget: float, max_customers: int | None, strat
               rates=tuple(round(0.1 * i, 2) for i in range(1, 11)), decide_many=D.decide_many) -> DataFrame:
     """Re-decide at each save rate; ROI = net / max(cost, 1) of the ACT set."""
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, strategy, r) for r in rates])
+    df, columns = D.side_by_side(scored, decs)
     selections = []
-    for r, dec in zip(rates, decs):
-        funded, net = dec.funded_when()
+    for r, (funded, net) in zip(rates, columns):
         selections.append({"save_rate": F.lit(float(r)), "act_count": F.count(F.when(funded, 1)), "roi": fixed(
             _money(net, funded) / F.greatest(_money("retention_cost", funded), F.lit(1.0)), 6)})
-    return _per_selection(scored, selections)
+    return _per_selection(df, selections)
 
 
 def strategy_comparison(scored: DataFrame, budget: float, max_customers: int | None,
                         save_rate: float = C.SAVE_RATE, decide_many=D.decide_many) -> DataFrame:
     """Per strategy: ACT count, % HIGH, % MEDIUM, revenue saved, budget used, ROI."""
     decs = decide_many(scored, [D.DecisionParams(budget, max_customers, s, save_rate) for s in C.STRATEGIES])
+    df, columns = D.side_by_side(scored, decs)
     selections = []
-    for s, dec in zip(C.STRATEGIES, decs):
-        funded, net = dec.funded_when()
+    for s, (funded, net) in zip(C.STRATEGIES, columns):
         share = lambda band: fixed(F.avg(F.when(funded, F.when(F.col("risk_band") == band, 1.0).otherwise(0.0))) * 100, 4)  # noqa: E731, B023
         saved, cost = _money(net, funded), _money("retention_cost", funded)
         selections.append({
             "strategy": F.lit(s), "act_customers": F.count(F.when(funded, 1)), "pct_high": share("HIGH"), "pct_medium": share("MEDIUM"),
             "revenue_saved": fixed(saved, 2), "budget_used": fixed(cost, 2), "roi": fixed(saved / F.greatest(cost, F.lit(1.0)), 6)})
-    return _per_selection(scored, selections)
+    return _per_selection(df, selections)
 
 
 def optimality_bound(scored: DataFrame, budget: float, max_customers: int | None,

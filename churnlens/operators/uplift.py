@@ -3,11 +3,12 @@
 The Qini curve needs cumulative treated/control counts and responders in score
 order over *all* rows; they come from the two-level prefix sum (range-partitioned,
 checkpointed, per-partition offsets), optionally per ranking so several rankings
-are evaluated in one pass.
+are evaluated in one pass. The coefficient needs no curve: every partition gives one row.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,29 @@ def qini_curve(df: DataFrame, score: str = "score", treat: str = "treat", outcom
                       (F.col("r_t") - F.col("r_c") * ratio).alias("qini"))
 
 
+def qini_summary(df: DataFrame, score: str = "score", treat: str = "treat", outcome: str = "outcome",
+                 id_col: str = "customer_id", by: list[str] = ()) -> DataFrame:
+    """:func:`qini_coefficient` of the Qini curve without the curve: every range partition gives
+    its partial area and what it has of the curve's ends."""
+    t, o, by = F.col(treat).cast("long"), F.col(outcome).cast("long"), list(by)
+
+    def boil(rows, places, run, totals):
+        def height(n_t, n_c, r_t, r_c):
+            return r_t - r_c * np.divide(n_t, n_c, out=np.zeros(len(n_c)), where=n_c > 0)
+        last = float(height(*[np.array([totals[k]], float) for k in ("n_t", "n_c", "r_t", "r_c")])[0])
+        d = height(*[run[k].astype(float) for k in ("n_t", "n_c", "r_t", "r_c")]) - places / totals["n"] * last
+        return [(int(totals["n"]), last, float(d.sum()), float(d[0]) if places[0] == 1 else None,
+                 float(d[-1]) if places[-1] == totals["n"] else None)]
+
+    parts = RangeOrdered(df.select(*by, id_col, score, treat, outcome), [F.col(score).desc(), F.col(id_col).asc()], partition_by=by).reduce(
+        {"n_t": t, "n_c": 1 - t, "r_t": o * t, "r_c": o * (1 - t)}, boil, "n long, qini_final double, sd double, d_first double, d_last double")
+    agg = parts.groupBy(*by).agg(F.max("n").alias("n"), F.max("qini_final").alias("qini_final"), F.sum("sd").alias("sd"),
+                                 F.max("d_first").alias("d_first"), F.max("d_last").alias("d_last"))
+    return agg.select(
+        *by, F.coalesce("n", F.lit(0)).alias("n"), fixed("qini_final", 6).alias("qini_final"),
+        fixed((F.col("sd") - (F.col("d_first") + F.col("d_last")) / 2) / F.col("n"), 6).alias("qini_coefficient"))
+
+
 def qini_coefficient(curve: DataFrame, by: list[str] = ()) -> DataFrame:
     """Trapezoid area of ``qini - fraction * qini_final`` over the fractions
     ``1/n .. 1``: ``(sum d - (d_first + d_last) / 2) / n``."""

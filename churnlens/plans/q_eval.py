@@ -140,7 +140,7 @@ FROM (SELECT *, qini - fraction * (SELECT max(qini) FILTER (WHERE rank = n) FROM
 @query("qini_coefficient", sql_base(_QCOEF, extra=_EXP_CTES))
 def q_qini_coefficient(spark, sf_dir):
     """Area between the Qini curve and random targeting."""
-    return U.qini_coefficient(U.qini_curve(_experiment(spark, sf_dir)))
+    return U.qini_summary(_experiment(spark, sf_dir))
 
 
 @query("qini_by_ranking", sql_base(f"""
@@ -166,8 +166,7 @@ def q_qini_by_ranking(spark, sf_dir):
     rnd = e.select(F.lit("random").alias("ranking"), "customer_id",
                    hash_u32(F.lit(f"{C.SEED}|rank|"), F.col("customer_id")).cast("double").alias("score"),
                    "treat", "outcome")
-    curve = U.qini_curve(prop.unionByName(rnd), by=["ranking"])
-    return U.qini_coefficient(curve, by=["ranking"])
+    return U.qini_summary(prop.unionByName(rnd), by=["ranking"])
 
 
 @query("treatment_effect", sql_base(f"""
@@ -237,6 +236,5 @@ def q_drift_demo(spark, sf_dir):
     drifted = ref.withColumn("MonthlyCharges", F.col("MonthlyCharges") * F.lit(1.4)).withColumn(
         "plan", F.lit("Month-to-month"))
     profile = DR.ReferenceProfile(ref, _ACC_NUM, _ACC_CAT)   # one reference profile for both batches
-    same = DR.drift_report_vs(profile, ref).withColumn("comparison", F.lit("self"))
-    moved = DR.drift_report_vs(profile, drifted).withColumn("comparison", F.lit("drifted"))
-    return same.unionByName(moved).select("comparison", "feature", "type", "psi", "ks_pvalue", "drift")
+    return DR.drift_reports(profile, {"self": profile.state, "drifted": DR.value_state(drifted, _ACC_NUM, _ACC_CAT)}).select(
+        F.col("label").alias("comparison"), "feature", "type", "psi", "ks_pvalue", "drift")

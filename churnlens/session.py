@@ -31,6 +31,8 @@ def get_spark(master: str | None = None, app: str = "churnlens",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # no Python call sites in column expressions: they cost milliseconds each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("CHURNLENS_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )

@@ -9,7 +9,7 @@ rule. ``validate_customers`` runs it once and raises when anything fails.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlens import config as C
@@ -41,15 +41,32 @@ def clean_customers(raw: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
             .drop("Churn"))
 
 
-def dq_violations(df: DataFrame) -> DataFrame:
-    """One row per rule: ``(rule, violations)``; all zeros means the table passes."""
-    bad = {
+def _broken() -> dict[str, Column]:
+    """Rules of one cleaned row: name -> does the row break it."""
+    return {
         "tenure_in_0_100": ~F.coalesce((F.col("tenure") >= 0) & (F.col("tenure") <= 100), F.lit(False)),
         "monthly_charges_gt_0": ~F.coalesce(F.col("MonthlyCharges") > 0, F.lit(False)),
         "total_charges_ge_0": ~F.coalesce(F.col("TotalCharges") >= 0, F.lit(False)),
         "contract_in_plans": ~F.coalesce(F.col("Contract").isin(*C.PLANS), F.lit(False)),
         "churned_in_0_1": ~F.coalesce(F.col("churned").isin(0, 1), F.lit(False)),
     }
+
+
+def mark_violations(raw: DataFrame) -> DataFrame:
+    """Raw records with ``broken_rules``, the names of the gate's rules that each breaks; every
+    record of an id that occurs more than once breaks ``customer_id_unique``."""
+    whole = raw.withColumn("__raw", F.struct(*raw.columns))
+    twice = (raw.where(F.col("customerID").isNotNull()).groupBy("customerID").agg(F.count(F.lit(1)).alias("__n"))
+             .where("__n > 1").withColumnRenamed("customerID", "__id"))
+    cleaned = clean_customers(whole).join(twice, F.col("customer_id") == F.col("__id"), "left")
+    broken = {"customer_id_not_null": F.col("customer_id").isNull(), "customer_id_unique": F.col("__n").isNotNull(), **_broken()}
+    names = F.filter(F.array(*[F.when(cond, name) for name, cond in broken.items()]), lambda r: r.isNotNull())
+    return cleaned.select(names.alias("broken_rules"), "__raw").select("__raw.*", "broken_rules")
+
+
+def dq_violations(df: DataFrame) -> DataFrame:
+    """One row per rule: ``(rule, violations)``; all zeros means the table passes."""
+    bad = _broken()
     per_id = df.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.when(cond, 1).otherwise(0)).alias(name) for name, cond in bad.items()])
