@@ -69,6 +69,36 @@ ACTION_DISCOUNT = "Targeted discount offer"
 ACTION_EMAIL = "Re-engagement email campaign"
 ACTION_STANDARD = "Standard follow-up"
 
+# The feature table's contract and the telecom feature lists (fixed values).
+CONTRACT_COLUMNS = ["customer_id", "plan", "MRR", "CLV", "retention_cost", "churned"]
+NUMERIC_FEATURES = ["tenure", "MonthlyCharges", "TotalCharges"]
+CATEGORICAL_FEATURES = [
+    "gender", "SeniorCitizen", "Partner", "Dependents",
+    "PhoneService", "MultipleLines", "InternetService",
+    "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport",
+    "StreamingTV", "StreamingMovies", "Contract", "PaperlessBilling",
+    "PaymentMethod",
+]
+
+# Phrases of model-based reasons (fixed values): labels of numbers and of yes/no columns, columns
+# that are no driver to act on, and the reason of a row without raising contributions.
+NUMERIC_LABEL = {"tenure": "tenure", "MonthlyCharges": "monthly charges", "TotalCharges": "total charges"}
+FLAG_LABEL = {
+    "PaperlessBilling": "paperless billing",
+    "Partner": "partner",
+    "Dependents": "dependents",
+    "PhoneService": "phone service",
+    "OnlineSecurity": "online security",
+    "OnlineBackup": "online backup",
+    "DeviceProtection": "device protection",
+    "TechSupport": "tech support",
+    "StreamingTV": "streaming TV",
+    "StreamingMovies": "streaming movies",
+    "MultipleLines": "multiple lines",
+}
+SKIP_COLUMNS = {"gender"}
+NO_REASON = "low modeled risk"
+
 # ---- our own definitions (not taken from the reference) -----------------------
 # Money is summed as integer micro-units so that partitioning can never change a
 # budget decision (floating sums depend on addition order).

@@ -9,6 +9,7 @@ the rule-based reasons are scalar subqueries.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,8 +94,9 @@ class Decision:
     built lazily on first use; aggregates over the funded rows can use
     ``funded`` without it."""
 
-    def __init__(self, scores: DataFrame, pack: PackResult, params: DecisionParams):
-        self.scores, self.pack, self.params = scores, pack, params
+    def __init__(self, scores: DataFrame, pack: PackResult, params: DecisionParams,
+                 reasons: Callable[[DataFrame], Column] | None = None):
+        self.scores, self.pack, self.params, self.reasons = scores, pack, params, reasons
         self._table = None
 
     @property
@@ -104,7 +106,7 @@ class Decision:
                    .when(F.col("net_retention_value") > 0, "MONITOR").otherwise("IGNORE"))
             t = (self.scores.withColumns({"action_segment": seg, "efficiency": efficiency_col()})
                  .drop("strategy_weight", "adjusted_priority"))
-            self._table = add_reasons_and_actions(t)
+            self._table = add_reasons_and_actions(t, self.reasons(self.funded) if self.reasons else None)
         return self._table
 
     @property
@@ -134,19 +136,21 @@ def side_by_side(scored: DataFrame, decisions: list[Decision]) -> tuple[DataFram
     return df, [(F.col(f"__in{k}"), F.col(f"__net{k}")) for k in range(len(decisions))]
 
 
-def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: PackResult | None = None) -> Decision:
+def decide(scored: DataFrame, params: DecisionParams = DecisionParams(), pack: PackResult | None = None,
+           reasons: Callable[[DataFrame], Column] | None = None) -> Decision:
     """Scores -> strategy -> greedy selection -> segments, efficiency, reasons, actions.
 
-    ``pack`` may carry a selection computed elsewhere (see ``decide_many``)."""
+    ``pack`` may carry a selection computed elsewhere (see ``decide_many``). ``reasons`` makes the
+    reason of a row from the funded rows (``explain.model_reasons``); without it, rules do."""
     df = build_retention_scores(scored, params.save_rate)
     strat = apply_decision_strategy(df, params.strategy)
     if pack is None:
         pack = select_under_budget(strat, params.budget, params.max_customers)
-    return Decision(strat, pack, params)
+    return Decision(strat, pack, params, reasons)
 
 
-def add_reasons_and_actions(table: DataFrame) -> DataFrame:
-    """Rule-based reason (first 3 of 5 rules) and recommended action, ACT rows only.
+def add_reasons_and_actions(table: DataFrame, reason: Column | None = None) -> DataFrame:
+    """Reason (given, or rule-based: first 3 of 5 rules) and recommended action, ACT rows only.
 
     Medians and the CLV upper quartile are over the whole table (exact
     distributed quantiles, read as one scalar subquery).
@@ -168,7 +172,7 @@ def add_reasons_and_actions(table: DataFrame) -> DataFrame:
     for p in parts:
         seen = seen + F.when(p.isNotNull(), 1).otherwise(0)
         kept.append(F.when(seen <= 3, p))
-    reason = F.concat_ws(" + ", *kept)
+    reason = F.concat_ws(" + ", *kept) if reason is None else reason
     action = (F.when((band == "HIGH") & (F.col("CLV") >= clv_q75), F.lit(C.ACTION_PREMIUM))
               .when(band == "HIGH", F.lit(C.ACTION_DISCOUNT))
               .when(band == "MEDIUM", F.lit(C.ACTION_EMAIL))
@@ -237,6 +241,15 @@ def act_list(decision: Decision) -> DataFrame:
             .orderBy(F.col("net_retention_value").desc(), "customer_id"))
 
 
+EXPORT_COLUMNS = ["customer_id", "risk_band", "churn_probability", "CLV", "retention_cost", "net_retention_value",
+                  "efficiency", "decision_reason", "recommended_action"]
+
+
+def act_export(decision: Decision) -> DataFrame:
+    """The nine columns of the ACT export, unrounded, net value descending."""
+    return decision.act.select(*EXPORT_COLUMNS).orderBy(F.col("net_retention_value").desc(), "customer_id")
+
+
 def decide_many(scored: DataFrame, params_list: list[DecisionParams]) -> list[Decision]:
     """Several decisions at once: one scan gives the eligible rows of every scenario, and the
     walks of all share their jobs."""

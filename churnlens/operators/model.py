@@ -1,15 +1,16 @@
 """Churn models as Spark ML pipelines.
 
-* Preprocess: median imputation (exact, ``relativeError=0``) and standardisation
+* Preprocess: median imputation (:mod:`churnlens.operators.imputer`) and standardisation
   of the numeric features; categorical features indexed alphabetically with an
   extra bucket for unseen values, one-hot encoded with that bucket dropped
   (unseen -> all-zero vector, no real level lost).
 * Logistic regression: L2 with ``C = 1`` on the summed log-loss, i.e.
   ``regParam = 1 / (C * n_train)``, no internal standardisation.
 * Gradient-boosted trees as the challenger (seed 42).
-* Stratified holdout / folds: exact per-label counts from a deterministic hash
-  order (``md5(seed | id)``) ranked by the distributed prefix sum — the same
-  split at any parallelism.
+* Stratified holdout / folds: exact per-label counts in a deterministic hash order
+  (``md5(seed | id)``). The rows at the cuts are found by counting hash prefixes (three narrow
+  aggregates), and the split is a predicate: no sort, no shuffle or copy of whole rows, the same
+  at any parallelism.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ import math
 import random
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from churnlens import config as C
 from churnlens.functions.columns import fixed, hash_u32
-from churnlens.functions.prefix import RangeOrdered
 from churnlens.operators import evaluation as EV
+from churnlens.operators.imputer import MedianImputer
 
 NUMERIC = ["tenure", "MonthlyCharges", "TotalCharges"]
 CATEGORICAL = ["plan", "segment", "region"]
@@ -37,14 +39,8 @@ TARGET = "churned"
 GBT_ITERATIONS = 100
 
 
-# Median imputation is exact (relativeError 0) for parity with the reference; on
-# very large inputs set e.g. 0.001 (Spark's quantile sketch, rank error 0.1 %).
-IMPUTER_RELATIVE_ERROR = 0.0
-
-
 def _prep_stages(numeric, categorical, scale: bool):
-    imp = Imputer(inputCols=numeric, outputCols=[f"{c}__imp" for c in numeric], strategy="median",
-                  relativeError=IMPUTER_RELATIVE_ERROR)
+    imp = MedianImputer(numeric, [f"{c}__imp" for c in numeric])
     num_vec = VectorAssembler(inputCols=[f"{c}__imp" for c in numeric], outputCol="num__vec")
     stages = [imp, num_vec]
     num_out = "num__vec"
@@ -76,36 +72,97 @@ def positive_probability(pred: DataFrame, out: str = "p") -> DataFrame:
     return pred.withColumn(out, vector_to_array("probability").getItem(1))
 
 
-def stratified_rank(df: DataFrame, seed: int = C.SEED, label: str = TARGET, id_col: str = "customer_id") -> DataFrame:
-    """Adds ``h_rank`` (1-based rank within the label in md5-hash order) and ``n_label``."""
-    keyed = df.withColumn("__h", hash_u32(F.lit(f"{seed}|"), F.col(id_col)))
-    ranked = RangeOrdered(keyed, [F.col("__h").asc(), F.col(id_col).asc()], partition_by=[label]).running(
-        {"__one": F.lit(1)}, rn="h_rank").drop("__one", "__h")
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
-    return ranked.join(F.broadcast(sizes), label)  # one row per label
+def _split_hash(seed: int, id_col: str):
+    return hash_u32(F.lit(f"{seed}|"), F.col(id_col))
+
+
+def _cuts(df: DataFrame, wanted, seed: int, label: str, id_col: str) -> dict:
+    """Per label the (hash, id) of the rows at the places ``wanted(number of rows)`` (from 1,
+    ascending) in the order of hash and id. Each step counts narrower hash ranges: at most 65536
+    counts per label, then 65536 per place, then the ids that share one hash."""
+    keyed = df.where(F.col(id_col).isNotNull()).select(F.col(label).alias("label"), F.col(id_col).alias("id"), _split_hash(seed, id_col).alias("h"))
+
+    def step(rows, group, targets):
+        """(label, key) -> places within, for targets ``{label: [(place, ...)]}`` over sorted counts."""
+        found = {}
+        for lab, places in targets.items():
+            counts = sorted((r[group], r["n"]) for r in rows if r["label"] == lab)
+            ends, keys = np.cumsum([n for _, n in counts]), [k for k, _ in counts]
+            found[lab] = [(keys[k], int(p - (ends[k - 1] if k else 0))) for p in places for k in [int(np.searchsorted(ends, p))]]
+        return found
+
+    def count(group, where=None):
+        rows = keyed if where is None else keyed.where(where)
+        return rows.groupBy("label", *group).agg(F.count(F.lit(1)).alias("n")).collect()
+
+    def inside(column, picked):
+        return reduce(lambda a, b: a | b, [F.col("label").eqNullSafe(lab) & column.isin(sorted({k for k, _ in at})) for lab, at in picked.items()])
+
+    prefix = F.shiftright(F.col("h"), 16)
+    coarse = count([prefix.alias("prefix")])
+    sizes: dict = {}
+    for r in coarse:
+        sizes[r["label"]] = sizes.get(r["label"], 0) + r["n"]
+    places = {lab: wanted(n) for lab, n in sizes.items()}
+    if not places:
+        return {}
+    by_prefix = step(coarse, "prefix", places)
+    fine = count(["h"], inside(prefix, by_prefix))
+    by_hash = {lab: [step([r for r in fine if r["h"] >> 16 == k], "h", {lab: [place]})[lab][0] for k, place in at] for lab, at in by_prefix.items()}
+    ids = count(["h", "id"], inside(F.col("h"), by_hash))
+    return {lab: [(h, step([r for r in ids if r["h"] == h], "id", {lab: [place]})[lab][0][0]) for h, place in at] for lab, at in by_hash.items()}
+
+
+def _upto(cut: tuple, seed: int, id_col: str):
+    """Is the row at or before the cut?"""
+    h = _split_hash(seed, id_col)
+    return F.coalesce((h < cut[0]) | ((h == cut[0]) & (F.col(id_col) <= F.lit(cut[1]))), F.lit(False))
+
+
+def in_holdout(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED, label: str = TARGET, id_col: str = "customer_id"):
+    """Predicate of an exact per-label holdout of ``ceil(test_frac * n_label)`` rows (rows without
+    an id are never in it)."""
+    cuts = _cuts(df, lambda n: [math.ceil(test_frac * n)] if test_frac > 0 else [], seed, label, id_col)
+    return reduce(lambda a, b: a | b, [F.col(label).eqNullSafe(lab) & _upto(at[0], seed, id_col) for lab, at in cuts.items() if at], F.lit(False))
+
+
+def fold_of(df: DataFrame, k: int, seed: int = C.SEED, label: str = TARGET, id_col: str = "customer_id"):
+    """Stratified fold, 0 to k - 1: fold f of a label ends at its row ``ceil(n_label * (f + 1) / k)`` in
+    hash order (rows without an id are in the last)."""
+    cuts = _cuts(df, lambda n: [-(-n * f // k) for f in range(1, k)], seed, label, id_col)
+    folds = [F.when(F.col(label).eqNullSafe(lab), sum((F.when(_upto(cut, seed, id_col), 0).otherwise(1) for cut in at), F.lit(0)))
+             for lab, at in cuts.items()]
+    return F.coalesce(*folds, F.lit(k - 1)).cast("int")
 
 
 def stratified_split(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED, label: str = TARGET,
                      id_col: str = "customer_id") -> tuple[DataFrame, DataFrame]:
-    """Exact per-label holdout of ``ceil(test_frac * n_label)`` rows."""
-    r = stratified_rank(df, seed, label, id_col)
-    is_test = F.col("h_rank") <= F.ceil(F.col("n_label") * F.lit(test_frac))
-    cols = df.columns
-    return r.where(~is_test).select(*cols), r.where(is_test).select(*cols)
+    """(training part, :func:`in_holdout` part)."""
+    is_test = in_holdout(df, test_frac, seed, label, id_col)
+    return df.where(~is_test), df.where(is_test)
 
 
 def with_folds(df: DataFrame, k: int, seed: int = C.SEED, label: str = TARGET, id_col: str = "customer_id") -> DataFrame:
-    """Stratified fold id ``(h_rank - 1) % k`` per label."""
-    r = stratified_rank(df, seed, label, id_col)
-    return r.withColumn("fold", ((F.col("h_rank") - 1) % k).cast("int")).select(*df.columns, "fold")
+    return df.withColumn("fold", fold_of(df, k, seed, label, id_col))
+
+
+def feature_table(customers: DataFrame, numeric=C.NUMERIC_FEATURES, categorical=C.CATEGORICAL_FEATURES) -> DataFrame:
+    """One row per customer: the decision contract's columns, then the model's features; missing
+    columns are named in a ``ValueError``."""
+    columns = list(dict.fromkeys([*C.CONTRACT_COLUMNS, *numeric, *categorical]))
+    missing = [c for c in columns if c not in customers.columns]
+    if missing:
+        raise ValueError(f"Feature table is missing columns: {missing}")
+    return customers.select(*columns)
 
 
-def train_and_evaluate(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED):
+def train_and_evaluate(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED, numeric=NUMERIC, categorical=CATEGORICAL):
     """Fit LR on the stratified training part; return ``(model, holdout, metrics)``
     where ``holdout`` has ``churn_probability`` from the model."""
     train, test = stratified_split(df, test_frac, seed)
     train = train.persist()
-    model = lr_pipeline(train.count()).fit(train)
+    model = lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train)
+    train.unpersist()
     holdout = positive_probability(model.transform(test), "churn_probability").select(
         "customer_id", TARGET, fixed("churn_probability", 6).alias("churn_probability"), "CLV", "retention_cost")
     auc = EV.roc_auc(holdout).select("roc_auc").scalar()
@@ -126,7 +183,8 @@ def feature_importances(model: PipelineModel, top_n: int = 12, numeric=NUMERIC,
             .orderBy(F.abs("coefficient").desc(), "feature").limit(top_n))
 
 
-def compare_models(df: DataFrame, k: int = 5, seed: int = C.SEED, gbt_iter: int = GBT_ITERATIONS) -> DataFrame:
+def compare_models(df: DataFrame, k: int = 5, seed: int = C.SEED, gbt_iter: int = GBT_ITERATIONS,
+                   numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Stratified k-fold bake-off, LR vs GBT: mean / population-sd AUC and Brier,
     mean accuracy and F1 per model. Fold predictions are scored in one pass."""
     folded = with_folds(df, k, seed).persist()
@@ -134,7 +192,8 @@ def compare_models(df: DataFrame, k: int = 5, seed: int = C.SEED, gbt_iter: int
     for f in range(k):
         train, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
         n = train.count()
-        for name, pipe in (("Logistic Regression", lr_pipeline(n)), ("Gradient Boosting", gbt_pipeline(seed, gbt_iter))):
+        for name, pipe in (("Logistic Regression", lr_pipeline(n, numeric=numeric, categorical=categorical)),
+                           ("Gradient Boosting", gbt_pipeline(seed, gbt_iter, numeric=numeric, categorical=categorical))):
             m = pipe.fit(train)
             preds.append(positive_probability(m.transform(test)).select(
                 F.lit(name).alias("model"), F.lit(f).alias("fold"), TARGET, fixed("p", 6).alias("churn_probability")))
@@ -156,7 +215,7 @@ def compare_models(df: DataFrame, k: int = 5, seed: int = C.SEED, gbt_iter: int
 
 
 def tune_gbm(df: DataFrame, n_trials: int = 20, k: int = 3, seed: int = C.SEED,
-             iter_range: tuple[int, int] = (100, 400)) -> DataFrame:
+             iter_range: tuple[int, int] = (100, 400), numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Seeded random search over GBT step size (log 0.01-0.3), depth (3-6, the
     tree-size knob), min instances per node (10-100) and iterations (100-400),
     maximising mean k-fold AUC. One row per trial, best flagged."""
@@ -170,7 +229,7 @@ def tune_gbm(df: DataFrame, n_trials: int = 20, k: int = 3, seed: int = C.SEED,
         preds = []
         for f in range(k):
             m = gbt_pipeline(seed, params["max_iter"], params["max_depth"], params["step"],
-                             params["min_instances"]).fit(folded.where(F.col("fold") != f))
+                             params["min_instances"], numeric, categorical).fit(folded.where(F.col("fold") != f))
             preds.append(positive_probability(m.transform(folded.where(F.col("fold") == f))).select(
                 F.lit(f).alias("fold"), TARGET, fixed("p", 6).alias("churn_probability")))
         auc = EV.roc_auc(reduce(DataFrame.unionByName, preds), by=["fold"]).agg(F.avg("roc_auc")).scalar()
@@ -183,19 +242,20 @@ def tune_gbm(df: DataFrame, n_trials: int = 20, k: int = 3, seed: int = C.SEED,
     return out.withColumn("best", F.col("cv_auc") == best)
 
 
-def compare_calibration(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED, k: int = 3) -> DataFrame:
+def compare_calibration(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED, k: int = 3,
+                        numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Brier of raw LR vs isotonic and sigmoid recalibration (k-fold calibrated
     ensembles averaged), rounded to 4; ``best`` = minimum."""
     train, test = stratified_split(df, test_frac, seed)
     train = train.persist()
-    raw = positive_probability(lr_pipeline(train.count()).fit(train).transform(test))
+    raw = positive_probability(lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train).transform(test))
     rows = [("Raw logistic regression", raw.select(TARGET, "customer_id", "p"))]
     folded = with_folds(train, k, seed).persist()
     for label, method in (("Isotonic", "isotonic"), ("Platt (sigmoid)", "sigmoid")):
         members = []
         for f in range(k):
             fit_part, cal_part = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-            base = lr_pipeline(fit_part.count()).fit(fit_part)
+            base = lr_pipeline(fit_part.count(), numeric=numeric, categorical=categorical).fit(fit_part)
             cal_in = _calibration_input(base.transform(cal_part))
             test_in = _calibration_input(base.transform(test))
             if method == "isotonic":

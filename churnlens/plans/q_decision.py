@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from churnlens import config as C
 from churnlens.functions.columns import fixed, strategy_weight
 from churnlens.operators import decision as D
+from churnlens.operators.explain import Term, level_phrase, phrases
 from churnlens.plans import base as B
 from churnlens.plans import oracle as O
 from churnlens.plans.oracle_decision import DEFAULT, Scenario, decision_sql
@@ -127,6 +128,39 @@ def q_act_list(spark, sf_dir):
     return D.act_list(default_decision(spark, sf_dir))
 
 
+@query("act_export", decision_sql(f"""
+SELECT {', '.join(D.EXPORT_COLUMNS)} FROM dfinal WHERE action_segment = 'ACT' ORDER BY net_retention_value DESC, customer_id""", DEFAULT))
+def q_act_export(spark, sf_dir):
+    """The ACT export: nine columns with efficiency, reason and action."""
+    return D.act_export(default_decision(spark, sf_dir))
+
+
+# a literal model: column, level, weight, mean, median
+_TERMS = [Term("tenure", None, -0.03, 20.0, 12.0), Term("MonthlyCharges", None, 0.0001, 9000.0, 8000.0),
+          Term("TotalCharges", None, 0.000002, 150000.0, 120000.0)] + [
+    Term("plan", lv, w, m) for lv, w, m in (("Month-to-month", 0.5, 0.5), ("One year", 0.1, 0.25), ("Two year", -0.6, 0.25))] + [
+    Term("region", lv, w, 0.2) for lv, w in (("AFRICA", 0.05), ("ASIA", 0.3), ("EUROPE", -0.2))]
+
+
+def _terms_sql() -> str:
+    parts = []
+    for j, t in enumerate(_TERMS):
+        x = t.column if t.level is None else f"CASE WHEN {t.column} = '{t.level}' THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+        token = (f"CASE WHEN {t.column} >= {O.dbl(t.median)} THEN 'high ' ELSE 'low ' END || '{C.NUMERIC_LABEL[t.column]}'"
+                 if t.level is None else f"'{level_phrase(t.column, t.level)}'")
+        parts.append(f"{{'less': {O.dbl(-t.weight)} * (CAST({x} AS DOUBLE) - {O.dbl(t.mean)}), 'j': {j}, 'token': {token}}}")
+    return "[" + ", ".join(parts) + "]"
+
+
+@query("phrase_reasons", O.base(f"""
+SELECT customer_id, CASE WHEN len(told) = 0 THEN '{C.NO_REASON}' ELSE array_to_string(told, ', ') END AS decision_reason FROM (
+  SELECT customer_id, list_transform(list_slice(list_sort(list_filter({_terms_sql()}, lambda t: t.less < 0)), 1, 3), lambda t: t.token) AS told
+  FROM scored)"""))
+def q_phrase_reasons(spark, sf_dir):
+    """Reason phrases of all accounts under a linear model given as literals."""
+    return B.scored(spark, sf_dir).select("customer_id", phrases(_TERMS).alias("decision_reason"))
+
+
 @query("rule_reasons", decision_sql("""
 SELECT customer_id, decision_reason, recommended_action FROM dfinal WHERE action_segment = 'ACT'""", DEFAULT))
 def q_rule_reasons(spark, sf_dir):

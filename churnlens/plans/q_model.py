@@ -22,6 +22,8 @@ from churnlens.operators import uplift as U
 from churnlens.operators.economics import add_score_columns
 from churnlens.operators.explain import linear_reasons
 from churnlens.plans import base as B
+from churnlens.plans import oracle as O
+from churnlens.plans.oracle import md5_u32
 from churnlens.plans.registry import query
 from churnlens.sources.tables import experiment_frame
 
@@ -40,6 +42,26 @@ def fitted_lr(spark, sf_dir):
     return _FITTED[key]
 
 
+_SPLIT_SQL = f"""
+SELECT customer_id, churned, row_number() OVER (PARTITION BY churned ORDER BY {md5_u32(f"'{C.SEED}|' || customer_id")}, customer_id) AS rn,
+       count(*) OVER (PARTITION BY churned) AS n FROM scored"""
+
+
+@query("stratified_holdout", O.base(f"SELECT customer_id, churned, rn <= ceil({O.dbl(0.2)} * n) AS holdout FROM ({_SPLIT_SQL})"))
+def q_stratified_holdout(spark, sf_dir):
+    """Which accounts are in the stratified 20 % holdout."""
+    s = B.scored(spark, sf_dir)
+    return s.select("customer_id", "churned", M.in_holdout(s).alias("holdout"))
+
+
+@query("kfold_assignment", O.base(f"""
+SELECT customer_id, churned, CAST({' + '.join(f'CASE WHEN rn > (n * {f} + 4) // 5 THEN 1 ELSE 0 END' for f in range(1, 5))} AS INTEGER) AS fold
+FROM ({_SPLIT_SQL})"""))
+def q_kfold_assignment(spark, sf_dir):
+    """The stratified fold (of five) of every account."""
+    return M.with_folds(B.scored(spark, sf_dir), 5).select("customer_id", "churned", "fold")
+
+
 @query("lr_scores")
 def q_lr_scores(spark, sf_dir):
     """Logistic-regression churn probability on the stratified 20 % holdout."""
@@ -138,7 +160,7 @@ def q_uplift_vs_propensity(spark, sf_dir):
             .unionByName(both.select(F.lit("random").alias("ranking"), "customer_id",
                                      hash_u32(F.lit(f"{C.SEED}|rank|"), F.col("customer_id")).cast("double")
                                      .alias("score"), "treat", "outcome")))
-    return U.qini_coefficient(U.qini_curve(long, by=["ranking"]), by=["ranking"])
+    return U.qini_summary(long, by=["ranking"])
 
 
 @query("model_card")

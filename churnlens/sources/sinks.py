@@ -41,7 +41,7 @@ def load_model(spark: SparkSession, path: str) -> PipelineModel:
 
 def write_model_card(card: DataFrame, path: str) -> str:
     """One-row model card (structs / arrays of structs) as JSON."""
-    card.coalesce(1).write.mode("overwrite").json(path)
+    card.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
     return path
 
 

@@ -120,10 +120,19 @@ def test_decision_request_validates(accounts):
 
 
 def test_batch_job_end_to_end(spark):
-    out = run_batch_job(spark, SF_SMALL, tempfile.mkdtemp(prefix="job-"))
+    out = run_batch_job(spark, SF_SMALL, tempfile.mkdtemp(prefix="job-"), folds=2, gbt_iter=2)
     assert out["act_count"] >= 0
     card = sinks.read_model_card(spark, out["model_card"])
     assert card["n"] > 0 and card["feature_importances"]
+    assert {"holdout_metrics", "calibration_table", "segment_summary", "profit_threshold", "lifetime_comparison",
+            "model_comparison", "calibration_methods", "gbm_tuning"} <= set(card)
+    assert {r["model"] for r in card["model_comparison"]} == {"Logistic Regression", "Gradient Boosting"}
+    assert len(card["calibration_methods"]) == 3 and card["gbm_tuning"] is None
+    assert spark.read.parquet(out["customers"]).select("clv_method").distinct().first()[0] in ("cox", "km")
+    from churnlens.operators.decision import EXPORT_COLUMNS
+    act = spark.read.option("header", True).csv(out["act_list"])
+    assert act.columns == EXPORT_COLUMNS and act.count() == out["act_count"]
+    assert all(r["decision_reason"] for r in act.collect())
     with pytest.raises(FileNotFoundError):
         sinks.read_customers(spark, "/nonexistent/customers")
 
