@@ -8,8 +8,8 @@ from churnlens.sources.quality import clean_customers, dq_violations, validate_c
 def test_clean_coerces_blank_total_and_maps_label(raw_customers):
     df = clean_customers(raw_customers)
     rows = {r["customer_id"]: r for r in df.collect()}
-    assert rows["A-8"]["TotalCharges"] == 0.0
-    assert rows["A-1"]["churned"] == 1 and rows["A-3"]["churned"] == 0
+    assert rows["K04"]["TotalCharges"] == rows["K05"]["TotalCharges"] == 0.0
+    assert rows["K02"]["churned"] == 1 and rows["K03"]["churned"] == 0
     assert "Churn" not in df.columns and "customerID" not in df.columns
 
 
@@ -25,7 +25,7 @@ def test_empty_input_raises(raw_customers):
 
 def test_gate_flags_violations(raw_customers):
     bad = clean_customers(raw_customers).withColumn(
-        "tenure", F.when(F.col("customer_id") == "A-1", 500).otherwise(F.col("tenure")))
+        "tenure", F.when(F.col("customer_id") == "K01", 500).otherwise(F.col("tenure")))
     v = {r["rule"]: r["violations"] for r in dq_violations(bad.unionByName(bad.limit(1))).collect()}
     assert v["tenure_in_0_100"] >= 1
     assert v["customer_id_unique"] == 2
@@ -58,5 +58,5 @@ def test_read_customer_csv_with_schema(spark, raw_customers, tmp_path):
     path = str(tmp_path / "raw_csv")
     raw_customers.coalesce(1).write.option("header", True).csv(path)
     back = clean_customers(read_customer_csv(spark, path))
-    assert back.count() == 12
+    assert back.count() == 9
     assert dict(back.dtypes)["TotalCharges"] == "double" and dict(back.dtypes)["tenure"] == "int"
