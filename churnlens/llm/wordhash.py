@@ -1,8 +1,8 @@
 """64-bit hashes of the words of many texts at once, in numpy.
 
-A text is a polynomial over random per-byte values modulo 2^64; the hash of a word
-is a difference of prefix sums, shifted to exponent zero and mixed. Nothing loops
-over words.
+A word is cut into pieces of eight bytes; each piece is mixed with its place by a
+non-linear bijection, and the word's hash is the mixed sum of its pieces and its length, so
+that no pattern of bytes makes words of equal hash. Nothing loops over words.
 """
 
 from __future__ import annotations
@@ -12,12 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-BASE = 0x2545F4914F6CDD1D | 1
+MULTIPLIER = np.uint64(0x2545F4914F6CDD1D)
 BYTES_AT_ONCE = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-VALUES = {seed: np.random.default_rng(seed).integers(1, 1 << 63, 256, np.uint64) for seed in (11, 12)}
-_POWERS: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray, add: int = 0) -> np.ndarray:
@@ -28,41 +26,44 @@ def mix(x: np.ndarray, add: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^k and BASE^-k for k < n."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        n = max(n, BYTES_AT_ONCE * 2)
-        for name, b in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            p = np.full(n, np.uint64(b))
-            p[0] = 1
-            _POWERS[name] = np.cumprod(p, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
-def hashed_words(raw: list[bytes], seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words (separated by ASCII white space) of the texts, one after
     the other, and the place where each text's words start (one more at the end)."""
-    joined = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    joined = np.frombuffer(b" ".join(raw) + b" " * 9, np.uint8)
     begins = np.cumsum([0, *(len(t) + 1 for t in raw)])
     space = SPACE[joined]
     inside = np.concatenate(([False], ~space))
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    up, down = powers(len(joined))
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(VALUES[seed][joined] * up[:len(joined)], dtype=np.uint64, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
+    size = ends - starts
+    pieces = (size + 7) >> 3
+    first = np.cumsum(pieces) - pieces
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    place = np.arange(len(owner)) - first[owner]
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))[starts[owner] + 8 * place]
+    missing = np.maximum(8 * (place + 1) - size[owner], 0).astype(np.uint64) * np.uint64(8)
+    eight = (eight << missing) >> missing                     # bytes beyond the word's end
+    mixed = mix(eight ^ mix(np.arange(int(pieces.max()), dtype=np.uint64), 11)[place])
+    return mix(np.add.reduceat(mixed, first) + size.astype(np.uint64), 12), np.searchsorted(starts, begins)
 
 
 def windows(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each ``n`` consecutive hashes (none if there are fewer)."""
+    """Hash of each ``n`` consecutive hashes (none if there are fewer), from hashes of
+    1, 2, 4 ... consecutive ones, each mixed anew."""
     if len(hashes) < n:
         return hashes[:0]
-    out = np.zeros(len(hashes) - n + 1, np.uint64)
-    for k in range(n):
-        out = out * np.uint64(BASE) + hashes[k:len(hashes) - n + 1 + k]
-    return mix(out, n)
+    out, done, part, size = None, 0, hashes, 1
+    while size <= n:
+        if n & size:
+            out = part if out is None else mix(out[:len(part) - done] * MULTIPLIER + part[done:done + len(out)], 21)
+            done += size
+        if len(part) <= size:
+            break
+        part = mix(part[:-size] * MULTIPLIER + part[size:], 20)
+        size <<= 1
+    return mix(out[:len(hashes) - n + 1], n)
 
 
 def portions(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, toxicity
+from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, toxicity, wordhash
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -288,3 +288,38 @@ def test_empty_tables(spark, docs_of):
                 toxicity.scores(empty, toxicity.train(empty, labels, lambda d: F.lit(True))),
                 crosspolytope.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True))):
         assert out.count() == 0
+
+
+def thue_morse(n: int, one: str = "a", other: str = "b") -> str:
+    return "".join(one if k.bit_count() % 2 == 0 else other for k in range(n))
+
+
+@pytest.mark.parametrize("size", [7, 8, 9, 1024, 4096])
+def test_unlike_long_words_stay_unlike(spark, docs_of, size):
+    """Words and their letter-swapped complements: no pattern of bytes or words makes equal hashes."""
+    here = [thue_morse(size), thue_morse(size, "b", "a")]
+    texts = [(1, " ".join([here[0]] * 60)), (2, " ".join([here[1]] * 60)), (3, " ".join(here[k.bit_count() % 2] for k in range(64))),
+             (4, " ".join(here[1 - k.bit_count() % 2] for k in range(64))), (5, " ".join([here[0]] * 60))]
+    removed = {r["doc_id"]: r["n_removed"] for r in recompress.substring_dedup(docs_of(texts)).collect()}
+    assert removed == {1: 0, 2: 0, 3: 0, 4: 0, 5: 60}
+    shared = {r["doc_id"]: r["component_id"] for r in sigtree.jaccard_components(docs_of(texts)).collect()}
+    sets = {k: {tuple(t.split()[i:i + 5]) for i in range(len(t.split()) - 4)} for k, t in texts}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    expected = {k: k for k in sets}
+    for _ in sets:
+        for a, b in linked:
+            expected[a] = expected[b] = min(expected[a], expected[b])
+    assert shared == expected
+
+
+def test_word_hashes_tell_pieces_and_places_apart():
+    words = [b"a", b"aa", b"a" * 8, b"a" * 9, b"b" + b"a" * 8, b"a" * 8 + b"b", b"ab" * 8, b"ba" * 8, b"12345678abcdefgh", b"abcdefgh12345678", b"a\x00", b"a"]
+    hashes, at = wordhash.hashed_words([b" ".join(words), b"", b"  ", b"\ta\n"])
+    assert len(set(hashes[:11].tolist())) == 11 and hashes[0] == hashes[11] == hashes[12] and at.tolist() == [0, 12, 12, 12, 13]
+    for n in (1, 2, 5, 10, 50):
+        x = np.random.default_rng(n).integers(0, 3, 200).astype(np.uint64)
+        same = {}
+        for k, h in enumerate(wordhash.windows(x, n).tolist()):
+            assert same.setdefault(tuple(x[k:k + n]), h) == h
+        assert len(set(same.values())) == len(same) and len(wordhash.windows(x, n)) == 201 - n
+    assert len(wordhash.windows(x[:3], 5)) == 0
