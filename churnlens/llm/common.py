@@ -7,8 +7,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from churnlens.functions.scratch import drop
 from churnlens.session import ensure_checkpoint_dir
 
+__all__ = ["drop", "fresh", "lower_ascii", "partitions", "read_table", "shared_folder", "stage", "stage_at"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -25,9 +28,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and
     survives lost executors. The folder belongs to the session's checkpoints."""
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """:func:`stage` and the folder, for an owner that drops it when its readers have written."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def lower_ascii(text: Column) -> Column:

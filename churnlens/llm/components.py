@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from churnlens.llm.common import drop, stage_at
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -13,8 +15,10 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; the component is its
     smallest node. Repeated links and links of a node with itself are allowed, an
-    empty table gives none. Each round is checkpointed."""
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    empty table gives none, links with a null are left out. Each round is written to the shared
+    folder, and the round before it deleted."""
+    spark = links.sparkSession
+    edges, path = stage_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components")
     before = _state(edges)
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,8 +28,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         small = (large.join(least, "a").select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a != b").distinct())
-        edges = small.checkpoint()
-        after = _state(edges)
+        edges, done = stage_at(small, "components")
+        drop(spark, path)
+        path, after = done, _state(edges)
         if after == before:
             break
         before = after

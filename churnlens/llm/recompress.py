@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import stage
+from churnlens.llm.common import drop, stage, stage_at
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
 WINDOW, ROUNDS, RUN_ROUNDS, UNIT = 50, 4, (0, 2), 4
@@ -236,31 +236,38 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The read texts with ``first`` (their class's smallest doc_id), and what is
     left of those class representatives that lose words."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stage(read_texts(texts), "recompress-texts")
+    spark = docs.sparkSession
+    wide, wide_path = stage_at(read_texts(texts), "recompress-keys")
+    base = stage(wide.drop("keys"), "recompress-texts")
     firsts = base.where("doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
-    own = base.join(firsts.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("first")), "left_semi")
+    own = wide.join(firsts.withColumnRenamed("class", "c"), (F.col("class") == F.col("c")) & (F.col("doc_id") == F.col("first")), "left_semi")
     rows = own.select("doc_id", "class", F.explode("keys").alias("key")).distinct()
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("key")
     keys = rows.join(shared, "key").groupBy("doc_id", "class").agg(F.collect_list("key").alias("keys"))
     chosen = stage(only_own_class(texts.join(keys, "doc_id").select("doc_id", "class", "keys", "text")), "recompress-chosen")
-    units = stage(candidate_units(chosen), "recompress-units")
+    drop(spark, wide_path)
+    units, units_path = stage_at(candidate_units(chosen), "recompress-units")
     firsts_of_units = units.groupBy("unit").agg(F.min("doc_id").alias("low"))
     placed = units.join(firsts_of_units, "unit")
     whole = placed.where("doc_id > low").select("doc_id", "class", "start", "n")   # all their windows are covered
-    runs = stage(placed.where("doc_id = low").select("doc_id", "class", F.explode("runs").alias("r"))
+    runs, runs_path = stage_at(placed.where("doc_id = low").select("doc_id", "class", F.explode("runs").alias("r"))
                  .select("r.key", "r.run", "doc_id", "class", "r.start", "r.n"), "recompress-runs")
     firsts_of_runs = runs.groupBy("key", "run").agg(F.min("doc_id").alias("low"))
     several = (firsts_of_runs.groupBy("key").agg(F.count("*").alias("kinds"), F.min("low").alias("x"), F.max("low").alias("y"))
                .where("kinds > 1 and x < y").select("key"))
-    known = runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low").select("doc_id", "class", "start", "n").unionAll(whole)
+    known = stage(runs.join(firsts_of_runs, ["key", "run"]).where("doc_id > low").select("doc_id", "class", "start", "n").unionAll(whole),
+                  "recompress-known")
+    drop(spark, units_path)
     # runs that differ, in the first text that has each: window by window
-    unlike = (runs.join(several, "key", "left_semi").join(firsts_of_runs, ["key", "run"]).where("doc_id = low")
-              .groupBy("doc_id", "class").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
-    found = stage(run_windows(chosen.join(unlike, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns")), "recompress-windows")
+    unlike = stage(runs.join(several, "key", "left_semi").join(firsts_of_runs, ["key", "run"]).where("doc_id = low")
+              .groupBy("doc_id", "class").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), "recompress-unlike")
+    drop(spark, runs_path)
+    found, found_path = stage_at(run_windows(chosen.join(unlike, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns")), "recompress-windows")
     low = found.groupBy("hash").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("hash", F.col("x").alias("low"))
     one_by_one = found.join(low, "hash").where("doc_id > low").select("doc_id", "class", "start", F.lit(1).alias("n"))
-    starts = (known.unionAll(one_by_one).groupBy("doc_id", "class")
-              .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")))
+    starts = stage(known.unionAll(one_by_one).groupBy("doc_id", "class")
+                   .agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")), "recompress-starts")
+    drop(spark, found_path)
     left = without_windows(chosen.join(starts, ["doc_id", "class"]).select("doc_id", "class", "text", "starts", "ns"))
     return base.join(firsts, "class", "left"), left
 
