@@ -8,10 +8,25 @@ from pyspark.sql import functions as F
 from churnlens.llm.common import drop, stage_at
 
 
+#: The most stars that are broadcast, and the pairs that a star must exceed to be one of them.
+HUBS = 10_000
+SMALL_STAR = 2_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _with_least(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """``pairs(a, b)`` with the ``m`` of ``least(a, n, m)``, n being the pairs of a. Stars of more than
+    total / HUBS pairs, of which there are fewer than HUBS, are broadcast, so that no task takes a whole one."""
+    most = max(total // HUBS, SMALL_STAR)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("a", F.col("m").alias("hub_m")))
+    marked = pairs.join(hubs, "a", "left")
+    rest = marked.where("hub_m IS NULL").select("a", "b").join(least.where(F.col("n") <= most).select("a", "m"), "a")
+    return marked.where("hub_m IS NOT NULL").select("a", "b", F.col("hub_m").alias("m")).unionAll(rest.select("a", "b", "m"))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; the component is its
     smallest node. Repeated links and links of a node with itself are allowed, an
@@ -22,10 +37,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = _state(edges)
     for _ in range(rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(least, "a").select(F.explode(F.array(
+        least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))
+        large = (_with_least(both, least, 2 * before[0]).where("b > a")
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        least = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
+        small = (_with_least(large, least, 2 * before[0]).select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a != b").distinct())
         edges, done = stage_at(small, "components")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, toxicity, wordhash
+from churnlens.llm import bestfit, components as stars, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, toxicity, wordhash
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -323,3 +323,13 @@ def test_word_hashes_tell_pieces_and_places_apart():
             assert same.setdefault(tuple(x[k:k + n]), h) == h
         assert len(set(same.values())) == len(same) and len(wordhash.windows(x, n)) == 201 - n
     assert len(wordhash.windows(x[:3], 5)) == 0
+
+
+@pytest.mark.parametrize("small_star", [0, 3, 2_000])
+def test_components_whatever_stars_are_broadcast(spark, monkeypatch, small_star):
+    monkeypatch.setattr(stars, "SMALL_STAR", small_star)
+    links = [(50, n) for n in range(51, 90)] + [(n, n + 1) for n in range(200, 230)] + [(7, 300), (300, 301), (5, 301), (5, 5), (None, 9), (60, 50)]
+    got = {r.node: r.component for r in stars.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = {n: 50 for n in range(50, 90)} | {n: 200 for n in range(200, 231)} | {n: 5 for n in (5, 7, 300, 301)}
+    assert got == want
+    assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
