@@ -1,7 +1,8 @@
 """Cox proportional-hazards model with Efron ties, fitted by Newton's method.
 
-Covariates: numeric columns (standardised) and one-hot categorical columns with
-the first (alphabetical) level dropped. Objective: mean partial log-likelihood
+Covariates: numeric columns and one-hot categorical columns with the first
+(alphabetical) level dropped, all of them standardised (mean 0, sample deviation 1), so
+that the penalty weighs them alike. Objective: mean partial log-likelihood
 minus ``penalizer / 2 * ||beta||^2`` (our documented definition of the penalty).
 
 Each Newton step is one distributed pass: a ``mapInPandas`` task computes, per
@@ -13,7 +14,7 @@ over tied events have a closed form (``tie_sums``).
 
 Per-account expected remaining months over a horizon H:
 ``sum_{u=t0+1..t0+H} exp(-(H0(u) - H0(t0)) * r)`` (0 when S(t0) <= 1e-9), with the
-baseline cumulative hazard H0 (Efron) as a literal array of max_t + H + 1 values.
+baseline cumulative hazard H0 (Breslow: deaths by risk sum) as a literal array of max_t + H + 1 values.
 """
 
 from __future__ import annotations
@@ -45,10 +46,7 @@ class CoxModel:
         self.converged, self.iterations = converged, iterations
 
     def design(self, df: DataFrame, numeric, categorical) -> list:
-        cols = [(F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(numeric, self.means, self.stds)]
-        for c in categorical:
-            cols += [F.when(F.col(c) == lv, 1.0).otherwise(0.0) for lv in self.levels[c][1:]]
-        return cols
+        return [(x - F.lit(m)) / F.lit(d) for x, m, d in zip(_raw_design(numeric, categorical, self.levels), self.means, self.stds)]
 
     def risk(self, df: DataFrame, numeric, categorical):
         eta = F.lit(0.0)
@@ -57,6 +55,12 @@ class CoxModel:
         return F.exp(eta)
 
 
+def _raw_design(numeric, categorical, levels) -> list:
+    """The covariates before standardisation, in the order of the model's names."""
+    return [F.col(c).cast("double") for c in numeric] + [
+        F.when(F.col(c) == lv, 1.0).otherwise(0.0) for c in categorical for lv in levels[c][1:]]
+
+
 def _upper(p):
     return [(i, j) for i in range(p) for j in range(i, p)]
 
@@ -172,13 +176,9 @@ def _efron(beta, ts, S, p, up, n_rows, penalizer):
     return f, g, h
 
 
-def _baseline(beta, ts, S, p, up, horizon_end):
-    n, s0, s1, s2, d, xsum, e0, e1, e2 = _unpack(S, p, up)
-    r0 = np.cumsum(s0[::-1])[::-1]
-    inc = np.zeros(len(ts))
-    for i in range(len(ts)):
-        di = int(round(d[i]))
-        inc[i] = tie_sums(r0[i], e0[i], di)[1] if di else 0.0
+def _baseline(ts, S, p, up, horizon_end):
+    n, s0, s1, s2, d, *_ = _unpack(S, p, up)
+    inc = np.divide(d, np.cumsum(s0[::-1])[::-1], out=np.zeros(len(ts)), where=d > 0)
     h = np.zeros(horizon_end + 1)
     cum = 0.0
     pos = {int(t): k for k, t in enumerate(ts)}
@@ -189,22 +189,50 @@ def _baseline(beta, ts, S, p, up, horizon_end):
     return h
 
 
-def fit_cox(df: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, duration: str = "tenure",
-            event: str = "churned", penalizer: float = C.COX_PENALIZER, horizon: int = C.CLV_HORIZON_MONTHS,
-            max_iter: int = 50, tol: float = 1e-7) -> CoxModel:
-    """Fit by Newton with step halving; returns coefficients and baseline hazard."""
-    agg = df.agg(*[F.avg(c).alias(f"m_{c}") for c in numeric], *[F.stddev_samp(c).alias(f"s_{c}") for c in numeric],
-                 F.count(F.lit(1)).alias("n"), F.max(duration).alias("max_t"),
-                 *[F.sort_array(F.collect_set(c)).alias(f"l_{c}") for c in categorical]).collect()[0]
-    means = [float(agg[f"m_{c}"]) for c in numeric]
-    stds = [float(agg[f"s_{c}"] or 1.0) or 1.0 for c in numeric]
+def _prepare(df: DataFrame, numeric, categorical, duration: str, event: str):
+    """(model without coefficients, standardised covariates with duration and event, rows)."""
+    agg = df.agg(F.count(F.lit(1)).alias("n"), F.max(duration).alias("max_t"),
+                 *[F.sort_array(F.collect_set(c)).alias(f"l_{c}") for c in categorical]).first()
     levels = {c: list(agg[f"l_{c}"]) for c in categorical}   # few levels per column
     names = list(numeric) + [f"{c}_{lv}" for c in categorical for lv in levels[c][1:]]
+    raw = _raw_design(numeric, categorical, levels)
+    scale = df.agg(*[F.avg(x) for x in raw], *[F.stddev_samp(x) for x in raw]).first()
     p = len(names)
-    model = CoxModel(names, np.zeros(p), means, stds, levels, None, int(agg["max_t"]), False, 0)
+    model = CoxModel(names, np.zeros(p), [float(m) for m in scale[:p]], [float(v or 1.0) for v in scale[p:]], levels,
+                     None, int(agg["max_t"]), False, 0)
     x_df = df.select(F.col(duration).cast("long").alias(duration), F.col(event).cast("double").alias(event),
-                     *[c.alias(f"x{i}") for i, c in enumerate(model.design(df, numeric, categorical))]).persist()
-    n_rows = int(agg["n"])
+                     *[c.alias(f"x{i}") for i, c in enumerate(model.design(df, numeric, categorical))])
+    return model, x_df, int(agg["n"])
+
+
+def cox_at(df: DataFrame, beta: dict, numeric=NUMERIC, categorical=CATEGORICAL, duration: str = "tenure", event: str = "churned",
+           penalizer: float = C.COX_PENALIZER, horizon: int = C.CLV_HORIZON_MONTHS):
+    """(model, step) for given coefficients (by name, of standardised covariates; 0 where none is given), in one
+    pass over the rows: the model with its baseline, and per covariate the gradient and the diagonal curvature of
+    the fit's objective there."""
+    model, x_df, n_rows = _prepare(df, numeric, categorical, duration, event)
+    p = len(model.names)
+    model.beta = np.array([float(beta.get(name, 0.0)) for name in model.names])
+    ts, S, up = _stats_pass(x_df, model.beta, p, duration, event)
+    _, gradient, curvature = _efron(model.beta, ts, S, p, up, n_rows, penalizer)
+    model.h0 = _baseline(ts, S, p, up, model.max_t + horizon)
+    return model, list(zip(model.names, gradient.tolist(), np.diag(curvature).tolist()))
+
+
+def cox_step(df: DataFrame, beta: dict, **settings) -> DataFrame:
+    """Gradient and diagonal curvature of the objective at ``beta``, one row per covariate."""
+    rows = cox_at(df, beta, **settings)[1]
+    return df.sparkSession.createDataFrame(rows, "covariate string, gradient double, curvature double").select(
+        "covariate", fixed("gradient", 6).alias("gradient"), fixed("curvature", 6).alias("curvature"))
+
+
+def fit_cox(df: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, duration: str = "tenure",
+            event: str = "churned", penalizer: float = C.COX_PENALIZER, horizon: int = C.CLV_HORIZON_MONTHS,
+            max_iter: int = 50, tol: float = 1e-7) -> CoxModel:
+    """Fit by Newton with step halving; returns coefficients and baseline hazard."""
+    model, x_df, n_rows = _prepare(df, numeric, categorical, duration, event)
+    x_df = x_df.persist()
+    p = len(model.names)
     beta = np.zeros(p)
     ts, S, up = _stats_pass(x_df, beta, p, duration, event)
     f, g, h = _efron(beta, ts, S, p, up, n_rows, penalizer)
@@ -225,7 +253,7 @@ def fit_cox(df: DataFrame, numeric=NUMERIC, categorical=CATEGORICAL, duration: s
             break
     x_df.unpersist()
     model.beta, model.iterations, model.converged = beta, it, converged
-    model.h0 = _baseline(beta, ts, S, p, up, model.max_t + horizon)
+    model.h0 = _baseline(ts, S, p, up, model.max_t + horizon)
     return model
 
 
@@ -244,21 +272,21 @@ def cox_expected_remaining(df: DataFrame, model: CoxModel, numeric=NUMERIC, cate
             .drop("__r", "__h0t"))
 
 
-def cox_expected_remaining_checked(df: DataFrame, horizon: int = C.CLV_HORIZON_MONTHS):
+def cox_expected_remaining_checked(df: DataFrame, horizon: int = C.CLV_HORIZON_MONTHS, numeric=NUMERIC, categorical=CATEGORICAL):
     """Method choice: Cox when the table has >= MIN_COX_ROWS rows, the fit converges
     and every estimate is present and positive; ``None`` otherwise (the caller falls back to KM)."""
     n = df.count()
     if n < C.MIN_COX_ROWS:
         return None
     try:
-        model = fit_cox(df, horizon=horizon)
+        model = fit_cox(df, numeric, categorical, horizon=horizon)
     except np.linalg.LinAlgError as e:
         log.warning("Cox fit failed (%s); using Kaplan-Meier", e)
         return None
     if not model.converged:
         log.warning("Cox fit did not converge in %d steps; using Kaplan-Meier", model.iterations)
         return None
-    out = cox_expected_remaining(df, model, horizon=horizon).withColumnRenamed("cox_months", "expected_months")
+    out = cox_expected_remaining(df, model, numeric, categorical, horizon=horizon).withColumnRenamed("cox_months", "expected_months")
     bad = out.where(F.col("expected_months").isNull() | (F.col("expected_months") <= 0)).limit(1).count()
     return None if bad else out
 

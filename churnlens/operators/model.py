@@ -72,6 +72,11 @@ def positive_probability(pred: DataFrame, out: str = "p") -> DataFrame:
     return pred.withColumn(out, vector_to_array("probability").getItem(1))
 
 
+def with_probability(df: DataFrame, model: PipelineModel, out: str) -> DataFrame:
+    """``df`` with the model's probability as one more column: several models score one scan, without joins."""
+    return positive_probability(model.transform(df), out).select(*df.columns, out)
+
+
 def _split_hash(seed: int, id_col: str):
     return hash_u32(F.lit(f"{seed}|"), F.col(id_col))
 
@@ -246,34 +251,28 @@ def compare_calibration(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEE
                         numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Brier of raw LR vs isotonic and sigmoid recalibration (k-fold calibrated
     ensembles averaged), rounded to 4; ``best`` = minimum."""
-    train, test = stratified_split(df, test_frac, seed)
-    train = train.persist()
-    raw = positive_probability(lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train).transform(test))
-    rows = [("Raw logistic regression", raw.select(TARGET, "customer_id", "p"))]
-    folded = with_folds(train, k, seed).persist()
-    for label, method in (("Isotonic", "isotonic"), ("Platt (sigmoid)", "sigmoid")):
-        members = []
-        for f in range(k):
-            fit_part, cal_part = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-            base = lr_pipeline(fit_part.count(), numeric=numeric, categorical=categorical).fit(fit_part)
-            cal_in = _calibration_input(base.transform(cal_part))
-            test_in = _calibration_input(base.transform(test))
-            if method == "isotonic":
-                iso = IsotonicRegression(featuresCol="cal_x", labelCol=TARGET, predictionCol="pc").fit(cal_in)
-                out = iso.transform(test_in)
-            else:
-                sig = LogisticRegression(featuresCol="cal_margin", labelCol=TARGET, regParam=0.0,
-                                         standardization=False, maxIter=200).fit(cal_in)
-                out = positive_probability(sig.transform(test_in), "pc")
-            members.append(out.select("customer_id", TARGET, F.col("pc").alias(f"m{f}")))
-        joined = reduce(lambda a, b: a.join(b, ["customer_id", TARGET]), members)
-        rows.append((label, joined.select(TARGET, "customer_id",
-                                          (sum(F.col(f"m{f}") for f in range(k)) / k).alias("p"))))
-    briers = [d.agg(F.avg((F.col("p") - F.col(TARGET)) ** 2).alias("brier")).select(
-        F.lit(name).alias("method"), fixed("brier", 4).alias("brier")) for name, d in rows]
-    out = reduce(DataFrame.unionByName, briers)
-    best = out.select(F.min("brier")).scalar()
-    return out.withColumn("best", F.col("brier") == best)
+    train, frame = stratified_split(df, test_frac, seed)
+    folded = with_folds(train.persist(), k, seed).persist()
+    frame = with_probability(frame.select(TARGET, *numeric, *categorical),
+                             lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train), "p_raw")
+    for f in range(k):
+        fit_part, cal_part = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        base = lr_pipeline(fit_part.count(), numeric=numeric, categorical=categorical).fit(fit_part)
+        cal_in = _calibration_input(base.transform(cal_part))
+        iso = IsotonicRegression(featuresCol="cal_x", labelCol=TARGET, predictionCol=f"iso{f}").fit(cal_in)
+        sig = LogisticRegression(featuresCol="cal_margin", labelCol=TARGET, regParam=0.0,
+                                 standardization=False, maxIter=200).fit(cal_in)
+        both = sig.transform(iso.transform(_calibration_input(base.transform(frame))))
+        frame = positive_probability(both, f"sig{f}").select(*frame.columns, f"iso{f}", f"sig{f}")
+    folded.unpersist()
+    train.unpersist()
+    members = [("Raw logistic regression", ["p_raw"]), ("Isotonic", [f"iso{f}" for f in range(k)]),
+               ("Platt (sigmoid)", [f"sig{f}" for f in range(k)])]
+    briers = [fixed(F.avg((sum(F.col(c) for c in cols) / len(cols) - F.col(TARGET)) ** 2), 4).alias(f"b{n}")
+              for n, (_, cols) in enumerate(members)]
+    rows = [F.struct(F.lit(name).alias("method"), F.col(f"b{n}").alias("brier"),
+                     (F.col(f"b{n}") == F.least("b0", "b1", "b2")).alias("best")) for n, (name, _) in enumerate(members)]
+    return frame.agg(*briers).select(F.inline(F.array(*rows)))
 
 
 def _calibration_input(pred: DataFrame) -> DataFrame:

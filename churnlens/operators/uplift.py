@@ -90,21 +90,19 @@ def two_model_uplift(df: DataFrame, features_numeric, features_categorical, gbt_
                      seed: int = 42, treat: str = "treat", outcome: str = "outcome") -> DataFrame:
     """T-learner: one boosted-tree outcome model on treated rows, one on control
     rows; ``uplift = p_treated(x) - p_control(x)`` for every row."""
-    from churnlens.operators.model import gbt_pipeline, positive_probability
+    from churnlens.operators.model import gbt_pipeline, with_probability
     t_model = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
                            label=outcome).fit(df.where(F.col(treat) == 1))
     c_model = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
                            label=outcome).fit(df.where(F.col(treat) == 0))
-    pt = positive_probability(t_model.transform(df), "p_t").select("customer_id", "p_t")
-    pc = positive_probability(c_model.transform(df), "p_c").select("customer_id", "p_c")
-    return (df.join(pt, "customer_id").join(pc, "customer_id")
-            .withColumn("uplift", F.col("p_t") - F.col("p_c")))
+    both = with_probability(with_probability(df, t_model, "p_t"), c_model, "p_c")
+    return both.withColumn("uplift", F.col("p_t") - F.col("p_c"))
 
 
 def response_propensity(df: DataFrame, features_numeric, features_categorical, gbt_iter: int = 100,
                         seed: int = 42, outcome: str = "outcome") -> DataFrame:
     """One outcome model that ignores treatment (the propensity baseline)."""
-    from churnlens.operators.model import gbt_pipeline, positive_probability
+    from churnlens.operators.model import gbt_pipeline, with_probability
     m = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
                      label=outcome).fit(df)
-    return positive_probability(m.transform(df), "propensity").select(*df.columns, "propensity")
+    return with_probability(df, m, "propensity")

@@ -146,20 +146,13 @@ def q_uplift_scores(spark, sf_dir):
 @query("uplift_vs_propensity")
 def q_uplift_vs_propensity(spark, sf_dir):
     """Qini coefficient of uplift vs response-propensity vs random ranking."""
-    e = _experiment(spark, sf_dir)
-    up = U.two_model_uplift(e, M.NUMERIC, M.CATEGORICAL).select(
-        "customer_id", "treat", "outcome", "uplift")
-    prop = U.response_propensity(e, M.NUMERIC, M.CATEGORICAL).select(
-        "customer_id", "propensity")
-    both = up.join(prop, "customer_id").persist()
     from churnlens.functions.columns import hash_u32
-    long = (both.select(F.lit("uplift").alias("ranking"), "customer_id", F.col("uplift").alias("score"),
-                        "treat", "outcome")
-            .unionByName(both.select(F.lit("propensity").alias("ranking"), "customer_id",
-                                     F.col("propensity").alias("score"), "treat", "outcome"))
-            .unionByName(both.select(F.lit("random").alias("ranking"), "customer_id",
-                                     hash_u32(F.lit(f"{C.SEED}|rank|"), F.col("customer_id")).cast("double")
-                                     .alias("score"), "treat", "outcome")))
+    up = U.two_model_uplift(_experiment(spark, sf_dir), M.NUMERIC, M.CATEGORICAL)
+    both = U.response_propensity(up, M.NUMERIC, M.CATEGORICAL)
+    rankings = {"uplift": F.col("uplift"), "propensity": F.col("propensity"),
+                "random": hash_u32(F.lit(f"{C.SEED}|rank|"), F.col("customer_id")).cast("double")}
+    long = both.select("customer_id", "treat", "outcome", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("ranking"), score.alias("score")) for name, score in rankings.items()])))
     return U.qini_summary(long, by=["ranking"])
 
 
@@ -227,3 +220,56 @@ def q_cox_economics(spark, sf_dir):
     from churnlens.sources.tables import account_view
     econ = add_economic_fields(account_view(spark, sf_dir), method="cox")
     return econ.select("customer_id", "plan", "clv_method", "expected_months", "CLV", "retention_cost")
+
+
+# ---- one Cox step and its estimates for coefficients given as literals ------------------
+
+COX_BETA = {"MonthlyCharges": 0.15, "TotalCharges": -0.4, "plan_One year": -0.3, "plan_Two year": -0.5,
+            "segment_BUILDING": 0.05, "segment_MACHINERY": -0.1, "region_ASIA": 0.1, "region_EUROPE": -0.05}
+_COX_LEVELS = {"plan": ["One year", "Two year"], "segment": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+               "region": ["AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]}
+_COX_X = {"MonthlyCharges": "MonthlyCharges", "TotalCharges": "TotalCharges",
+          **{f"{c}_{lv}": f"CASE WHEN {c} = '{lv}' THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END" for c, lvs in _COX_LEVELS.items() for lv in lvs}}
+_COX_NAMES = "[" + ", ".join(f"'{name}'" for name in _COX_X) + "]"
+_COX_BETAS = "[" + ", ".join(O.dbl(COX_BETA.get(name, 0.0)) for name in _COX_X) + "]"
+_COX_CTES = [
+    ("cox_raw", f"SELECT customer_id, plan, tenure, churned, {', '.join(f'{x} AS r{k}' for k, x in enumerate(_COX_X.values()))} FROM scored"),
+    ("cox_scale", f"SELECT count(*) AS n, {', '.join(f'avg(r{k}) AS m{k}, stddev_samp(r{k}) AS d{k}' for k in range(len(_COX_X)))} FROM cox_raw"),
+    ("cox_x", f"SELECT customer_id, plan, tenure, churned, [{', '.join(f'(r{k} - m{k}) / d{k}' for k in range(len(_COX_X)))}] AS x FROM cox_raw, cox_scale"),
+    ("cox_w", f"SELECT *, exp(list_dot_product(x, {_COX_BETAS})) AS w FROM cox_x"),
+]
+
+
+@query("cox_step", O.base(f"""
+SELECT name AS covariate, {O.fx(f"(max(xs) - sum(a)) / max(n) - {O.dbl(C.COX_PENALIZER)} * max(b)", 6)} AS gradient,
+       {O.fx(f"-sum(c - a * a) / max(n) - {O.dbl(C.COX_PENALIZER)}", 6)} AS curvature
+FROM (SELECT name, b, n, sum(xs / d) OVER (PARTITION BY name) AS xs, (r1 - l / d * e1) / (r0 - l / d * e0) AS a, (r2 - l / d * e2) / (r0 - l / d * e0) AS c
+      FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM cox_r WHERE d > 0), cox_scale)
+GROUP BY name""", _COX_CTES + [
+    ("cox_long", f"SELECT tenure, CAST(churned AS DOUBLE) AS e, w, unnest(x) AS x, unnest({_COX_NAMES}) AS name, unnest({_COX_BETAS}) AS b FROM cox_w"),
+    ("cox_t", """SELECT name, b, tenure, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(e) AS d, sum(e * x) AS xs,
+       sum(e * w) AS e0, sum(e * w * x) AS e1, sum(e * w * x * x) AS e2 FROM cox_long GROUP BY name, b, tenure"""),
+    ("cox_r", """SELECT name, b, d, xs, e0, e1, e2, sum(s0) OVER later AS r0, sum(s1) OVER later AS r1, sum(s2) OVER later AS r2
+       FROM cox_t WINDOW later AS (PARTITION BY name ORDER BY tenure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""),
+]))
+def q_cox_step(spark, sf_dir):
+    """Gradient and curvature of the penalised Cox objective at literal coefficients."""
+    from churnlens.operators.cox import cox_step
+    return cox_step(B.scored(spark, sf_dir), COX_BETA)
+
+
+@query("cox_remaining_literal", O.base(f"""
+SELECT a.customer_id, a.plan, a.tenure,
+       {O.fx(f"CASE WHEN exp(-max(h.h) * max(a.w)) <= {O.dbl(1e-9)} THEN {O.dbl(0.0)} ELSE sum(exp(-(u.h - h.h) * a.w)) END", 6)} AS cox_months
+FROM cox_w a JOIN cox_h h ON h.t = a.tenure JOIN cox_h u ON u.t > a.tenure AND u.t <= a.tenure + {C.CLV_HORIZON_MONTHS}
+GROUP BY a.customer_id, a.plan, a.tenure""", _COX_CTES + [
+    ("cox_d", "SELECT tenure, sum(w) AS s0, CAST(sum(churned) AS DOUBLE) AS d FROM cox_w GROUP BY tenure"),
+    ("cox_i", "SELECT tenure, d / sum(s0) OVER (ORDER BY tenure DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS inc FROM cox_d"),
+    ("cox_g", f"SELECT unnest(range(0, max(tenure) + {C.CLV_HORIZON_MONTHS + 1})) AS t FROM cox_d"),
+    ("cox_h", "SELECT g.t, sum(coalesce(i.inc, 0)) OVER (ORDER BY g.t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM cox_g g LEFT JOIN cox_i i ON i.tenure = g.t"),
+]))
+def q_cox_remaining_literal(spark, sf_dir):
+    """Per-account Cox remaining months for literal coefficients, with the baseline that follows from them."""
+    from churnlens.operators.cox import cox_at, cox_expected_remaining
+    s = B.scored(spark, sf_dir)
+    return cox_expected_remaining(s, cox_at(s, COX_BETA)[0]).select("customer_id", "plan", "tenure", "cox_months")

@@ -148,3 +148,35 @@ def test_stream_scores_equal_batch(spark, accounts):
     cols = ["customer_id", "CLV", "churn_probability", "risk_band"]
     assert sorted(scores.select(*cols).collect()) == sorted(accounts.select(*cols).collect())
     assert drift.select("batch_id").distinct().count() == 3
+
+
+def test_cox_step_is_zero_at_the_fit(accounts):
+    """The gradient vanishes at the fitted coefficients, and the given ones give the fit's own baseline."""
+    m = CX.fit_cox(accounts)
+    again, rows = CX.cox_at(accounts, dict(zip(m.names, m.beta)))
+    assert [name for name, *_ in rows] == m.names and max(abs(g) for _, g, _ in rows) < 1e-6
+    assert all(c < 0 for *_, c in rows) and np.allclose(again.h0, m.h0, rtol=1e-9)
+    assert np.all(np.diff(m.h0) >= 0)
+
+
+def test_cox_covariates_are_parameters(accounts):
+    m = CX.fit_cox(accounts, ["MonthlyCharges"], ["segment"])
+    assert m.names[0] == "MonthlyCharges" and all(n.startswith("segment_") for n in m.names[1:])
+    # all covariates have deviation 1, dummies too
+    shown = accounts.select(*[F.stddev_samp(x) for x in m.design(accounts, ["MonthlyCharges"], ["segment"])]).first()
+    assert np.allclose(shown, 1.0)
+    out = CX.cox_expected_remaining_checked(accounts, numeric=["MonthlyCharges"], categorical=["segment"])
+    assert out is None or out.where("expected_months <= 0").count() == 0
+
+
+def test_several_models_score_one_scan(accounts):
+    from churnlens.operators import model as M
+    from churnlens.operators import uplift as U
+    from churnlens.sources.tables import experiment_frame
+    e = experiment_frame(accounts).select("customer_id", "treat", "outcome", *M.NUMERIC, *M.CATEGORICAL)
+    twice = e.unionAll(e.limit(5))           # repeated ids stay single rows
+    both = U.response_propensity(U.two_model_uplift(twice, M.NUMERIC, M.CATEGORICAL, gbt_iter=2), M.NUMERIC, M.CATEGORICAL, gbt_iter=2)
+    assert both.count() == twice.count()
+    flat = accounts.checkpoint()             # its own joins are not in question
+    assert "Join" not in M.compare_calibration(flat)._jdf.queryExecution().optimizedPlan().toString()
+    assert {"p_t", "p_c", "uplift", "propensity"} <= set(both.columns)
