@@ -8,6 +8,9 @@ that of the shorter prefix. One pass over a piece therefore gives the count at
 each of its prefixes. Counts of segments add up over a text, so a text's table
 is a running sum over its segments plus each segment's own table; asking for the
 count at a place, or for the longest prefix within a budget, is a lookup.
+
+Tables are written once, as steps between neighbouring prefixes; totals, budgets
+and cuts are then answered from the written tables, without texts or tokenizer.
 """
 
 from __future__ import annotations
@@ -16,14 +19,18 @@ import json
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlens.llm.chunks import SegmentCache, safe_segments
+from churnlens.llm.common import shared_folder
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+TEXTS_AT_ONCE = 256
+TABLE_SCHEMA = "doc_id long, n_bytes long, width int, steps binary"
 _COUNTERS: dict = {}
 
 
@@ -197,27 +204,90 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, budget: int = 512) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_bytes (UTF-8), n_tokens, the
-    characters of the longest prefix within ``budget`` tokens, and whether the
-    text exceeds it. Null and empty texts have no bytes and tokens; repeated rows
-    each give a row; an empty table gives none; other columns are ignored."""
-    def count(batches):
+def prefix_steps(tables: list[PrefixTable]) -> tuple[np.ndarray, list[int]]:
+    """By how much the count grows with each character, for texts one after the
+    other, and where each text ends: a running sum gives the count at every prefix."""
+    segments = [s for t in tables for s in t.segments]
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    if all(type(s) is bytes for s in segments):
+        counts = np.frombuffer(b"".join(segments), np.uint8).astype(np.int32)
+    else:
+        counts = np.concatenate([np.frombuffer(s, np.uint8) if type(s) is bytes else np.array(s) for s in segments]).astype(np.int32)
+    steps = counts.copy()
+    steps[1:] -= counts[:-1]
+    starts = np.cumsum(sizes) - sizes                     # a segment's counts begin anew
+    steps[starts] = counts[starts]
+    return steps, list(accumulate((sum(map(len, t.segments)) for t in tables)))
+
+
+def write_tables(docs: DataFrame, tokenizer_path: str, folder: str) -> DataFrame:
+    """Write the prefix table of each row of ``docs(doc_id, text)`` below ``folder``
+    and read them back: doc_id, n_bytes (UTF-8), width, steps. ``steps`` holds one
+    little-endian signed integer of ``width`` bytes (1, or 4 where a step needs
+    it) for each character, by which the token count grows there.
+
+    Null and empty texts have no bytes and no steps; repeated rows each give a
+    row; an empty table gives none; other columns are ignored."""
+    def build(batches):
         prefixes = counter(tokenizer_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(k, TEXTS_AT_ONCE)
                 texts = part.column(1).to_pylist()
-                tables = prefixes.tables(texts)
+                steps, ends = prefix_steps(prefixes.tables(texts))
+                width = 1 if not len(steps) or (steps.min() >= -128 and steps.max() < 128) else 4
+                raw = steps.astype(f"<i{width}").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()),
-                     pa.array([t.total() for t in tables], pa.int64()),
-                     pa.array([t.cut(budget) for t in tables], pa.int64()),
-                     pa.array([t.total() > budget for t in tables], pa.bool_())],
-                    names=["doc_id", "n_bytes", "n_tokens", "budget_chars", "over_limit"])
+                     pa.array([width] * len(texts), pa.int32()),
+                     pa.array([raw[a * width:b * width] for a, b in zip([0, *ends], ends)], pa.binary())],
+                    names=["doc_id", "n_bytes", "width", "steps"])
+
+    docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
+        build, TABLE_SCHEMA).write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.schema(TABLE_SCHEMA).parquet(folder)
+
+
+def within(tables: DataFrame, budget: int) -> DataFrame:
+    """Per row of ``tables`` (of :func:`write_tables`): doc_id, n_bytes, n_tokens,
+    the characters of the longest prefix within ``budget`` tokens, and whether
+    the text exceeds it. No text is read or encoded."""
+    def answer(batches):
+        for batch in batches:
+            totals, chars = [], []
+            for width, raw in zip(batch.column(2).to_pylist(), batch.column(3)):
+                steps = np.frombuffer(raw.as_buffer(), f"<i{width}")
+                total, fits = int(steps.sum(dtype=np.int64)), len(steps)
+                if total > budget:
+                    inside = np.flatnonzero(np.cumsum(steps, dtype=np.int64) <= budget)
+                    fits = int(inside[-1]) + 1 if len(inside) else 0
+                totals.append(total)
+                chars.append(fits)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(chars, pa.int64()),
+                 pa.array([t > budget for t in totals], pa.bool_())],
+                names=["doc_id", "n_bytes", "n_tokens", "budget_chars", "over_limit"])
+
+    return tables.select("doc_id", "n_bytes", "width", "steps").mapInArrow(
+        answer, "doc_id long, n_bytes long, n_tokens long, budget_chars long, over_limit boolean")
+
+
+def tokens_at(tables: DataFrame, chars: int) -> DataFrame:
+    """doc_id and the tokens of each text's first ``chars`` characters (of all, if
+    it has fewer), from ``tables`` (of :func:`write_tables`)."""
+    def answer(batches):
+        for batch in batches:
+            found = [int(np.frombuffer(raw.as_buffer(), f"<i{width}")[:max(chars, 0)].sum(dtype=np.int64))
+                     for width, raw in zip(batch.column(1).to_pylist(), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return tables.select("doc_id", "width", "steps").mapInArrow(answer, "doc_id long, n_tokens long")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        count, "doc_id long, n_bytes long, n_tokens long, budget_chars long, over_limit boolean")
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, budget: int = 512) -> DataFrame:
+    """:func:`within` of prefix tables that are written to the shared folder; they
+    belong to the session's checkpoints. The write is an action of its own."""
+    return within(write_tables(docs, tokenizer_path, shared_folder(docs.sparkSession, "prefix-tables")), budget)
 
 
-__all__ = ["PrefixCounter", "PrefixTable", "count_tokens", "counter", "safe_segments"]
+__all__ = ["PrefixCounter", "PrefixTable", "count_tokens", "counter", "safe_segments", "tokens_at", "within", "write_tables"]

@@ -81,3 +81,35 @@ def test_count_tokens(docs_of, library):
         n = len(library.encode(text or "", add_special_tokens=False).ids)
         want.add((doc_id, len((text or "").encode()), n, n > 512))
     assert got == want
+
+
+def test_tables_answer_any_budget_and_cut(spark, docs_of, library):
+    folder = shared_folder(spark, "t-tables")
+    tables = prefix_tokens.write_tables(docs_of(ROWS), tokenizer_path(), folder)
+    assert tables.columns == ["doc_id", "n_bytes", "width", "steps"] and tables.count() == len(ROWS)
+    texts = {i: t or "" for i, t in ROWS}
+    counts = {i: [len(library.encode(t[:k], add_special_tokens=False).ids) for k in range(len(t) + 1)]
+              for i, t in texts.items() if len(t) < 200}
+    for budget in (0, 3, 5, 512):
+        for r in prefix_tokens.within(tables, budget).collect():
+            total = len(library.encode(texts[r.doc_id], add_special_tokens=False).ids)
+            assert (r.n_tokens, r.over_limit) == (total, total > budget)
+            if r.doc_id in counts:
+                assert r.budget_chars == max(k for k, c in enumerate(counts[r.doc_id]) if c <= budget)
+    for chars in (-1, 0, 4, 9, 1000):
+        got = sorted(((r.doc_id, r.n_tokens) for r in prefix_tokens.tokens_at(tables, chars).collect()), key=str)
+        assert [g for g in got if g[0] in counts] == sorted(
+            ((i, counts[i][min(max(chars, 0), len(texts[i]))]) for i, _ in ROWS if i in counts), key=str)
+
+
+def test_tables_of_no_rows(spark, docs_of):
+    tables = prefix_tokens.write_tables(docs_of([]), tokenizer_path(), shared_folder(spark, "t-tables"))
+    assert prefix_tokens.within(tables, 3).count() == 0 and prefix_tokens.tokens_at(tables, 3).count() == 0
+
+
+def test_steps_wider_than_a_byte():
+    tables = [prefix_tokens.PrefixTable([bytes([1, 2]), (300, 4)]), prefix_tokens.PrefixTable([]),
+              prefix_tokens.PrefixTable([bytes([1, 1, 200])])]
+    steps, ends = prefix_tokens.prefix_steps(tables)
+    assert steps.tolist() == [1, 1, 300, -296, 1, 0, 199] and ends == [4, 4, 7]
+    assert steps[:4].cumsum().tolist() == [1, 2, 302, 6]
