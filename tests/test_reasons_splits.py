@@ -98,3 +98,18 @@ def test_feature_table_names_what_is_missing(spark):
     assert M.feature_table(df, ["tenure"], ["plan"]).columns == [*C.CONTRACT_COLUMNS, "tenure"]
     with pytest.raises(ValueError, match="gender"):
         M.feature_table(df)
+
+
+def test_logistic_fit_ends_where_the_penalised_gradient_is_zero(spark):
+    import numpy as np
+    from pyspark.ml.functions import vector_to_array
+    accounts = B.scored(spark, SF_SMALL)
+    n = accounts.count()
+    for c in (1.0, 0.05):
+        model = M.lr_pipeline(n, c).fit(accounts)
+        rows = model.transform(accounts).select(vector_to_array("features").alias("f"), F.col(M.TARGET).cast("double").alias("y")).collect()
+        x, y, w = np.array([r["f"] for r in rows]), np.array([r["y"] for r in rows]), model.stages[-1].coefficients.toArray()
+        off = 1 / (1 + np.exp(-(x @ w + model.stages[-1].intercept))) - y
+        assert 0 < y.sum() < n and np.abs(w).max() > 0.01
+        assert abs(off.mean()) < 1e-5                              # the intercept bears no penalty
+        assert np.abs(x.T @ off / n + w / (c * n)).max() < 1e-5    # L2 with C on the summed log-loss
