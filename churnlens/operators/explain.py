@@ -47,6 +47,14 @@ class Term:
         return F.when(high, f"high {label}").otherwise(f"low {label}")
 
 
+def probability(terms: list[Term], intercept: float) -> Column:
+    """The logistic model's probability as one column expression over literal weights."""
+    margin = F.lit(float(intercept))
+    for t in terms:
+        margin = margin + F.lit(float(t.weight)) * t.value()
+    return 1.0 / (1.0 + F.exp(-margin))
+
+
 def level_phrase(column: str, level: str) -> str:
     """The phrase for a categorical column at a level."""
     if column == "InternetService":

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from churnlens import config as C
 from churnlens.functions.columns import fixed, strategy_weight
 from churnlens.operators import decision as D
-from churnlens.operators.explain import Term, level_phrase, phrases
+from churnlens.operators.explain import Term, level_phrase, phrases, probability
 from churnlens.plans import base as B
 from churnlens.plans import oracle as O
 from churnlens.plans.oracle_decision import DEFAULT, Scenario, decision_sql
@@ -140,6 +140,7 @@ _TERMS = [Term("tenure", None, -0.03, 20.0, 12.0), Term("MonthlyCharges", None,
           Term("TotalCharges", None, 0.000002, 150000.0, 120000.0)] + [
     Term("plan", lv, w, m) for lv, w, m in (("Month-to-month", 0.5, 0.5), ("One year", 0.1, 0.25), ("Two year", -0.6, 0.25))] + [
     Term("region", lv, w, 0.2) for lv, w in (("AFRICA", 0.05), ("ASIA", 0.3), ("EUROPE", -0.2))]
+_INTERCEPT = -1.0
 
 
 def _terms_sql() -> str:
@@ -161,6 +162,21 @@ def q_phrase_reasons(spark, sf_dir):
     return B.scored(spark, sf_dir).select("customer_id", phrases(_TERMS).alias("decision_reason"))
 
 
+def _margin_sql() -> str:
+    parts = [O.dbl(_INTERCEPT)]
+    for t in _TERMS:
+        x = t.column if t.level is None else f"CASE WHEN {t.column} = '{t.level}' THEN {O.dbl(1.0)} ELSE {O.dbl(0.0)} END"
+        parts.append(f"{O.dbl(t.weight)} * CAST({x} AS DOUBLE)")
+    return " + ".join(parts)
+
+
+@query("lr_scores_literal", O.base(f"""
+SELECT customer_id, churned, {O.fx(f"1 / (1 + exp(-({_margin_sql()})))", 6)} AS churn_probability FROM scored"""))
+def q_lr_scores_literal(spark, sf_dir):
+    """Probabilities of all accounts under a logistic model given as literals."""
+    return B.scored(spark, sf_dir).select("customer_id", "churned", fixed(probability(_TERMS, _INTERCEPT), 6).alias("churn_probability"))
+
+
 @query("rule_reasons", decision_sql("""
 SELECT customer_id, decision_reason, recommended_action FROM dfinal WHERE action_segment = 'ACT'""", DEFAULT))
 def q_rule_reasons(spark, sf_dir):

@@ -113,3 +113,16 @@ def test_logistic_fit_ends_where_the_penalised_gradient_is_zero(spark):
         assert 0 < y.sum() < n and np.abs(w).max() > 0.01
         assert abs(off.mean()) < 1e-5                              # the intercept bears no penalty
         assert np.abs(x.T @ off / n + w / (c * n)).max() < 1e-5    # L2 with C on the summed log-loss
+
+
+def test_literal_terms_score_like_the_fitted_model(spark):
+    accounts = B.scored(spark, SF_SMALL)
+    model, _, _ = M.train_and_evaluate(accounts)
+    terms = X.model_terms(model, accounts)
+    scaler = next(s for s in model.stages if isinstance(s, X.StandardScalerModel))
+    shift = sum(t.weight * m for t, m in zip([t for t in terms if t.level is None], scaler.mean))
+    both = M.with_probability(accounts, model, "fitted").withColumn("literal", X.probability(terms, model.stages[-1].intercept - shift))
+    assert both.where("fitted IS NULL OR literal IS NULL OR abs(fitted - literal) > 1e-9").count() == 0
+    one = spark.createDataFrame([(None, None), (2.0, "x")], "tenure double, region string")
+    got = one.select(X.probability([X.Term("tenure", None, 0.5, fill=4.0), X.Term("region", "x", -1.0)], 0.25)).collect()
+    assert [round(r[0], 12) for r in got] == [round(1 / (1 + math.exp(-z)), 12) for z in (2.25, 0.25)]
