@@ -86,23 +86,36 @@ def treatment_effect(df: DataFrame, treat: str = "treat", outcome: str = "outcom
         fixed(F.avg(F.when(t, F.col(outcome))) - F.avg(F.when(~t, F.col(outcome))), 6).alias("ate"))
 
 
+def outcome_models(frames: list[DataFrame], features_numeric, features_categorical, gbt_iter: int = 100,
+                   seed: int = 42, outcome: str = "outcome") -> list:
+    """One boosted-tree outcome model per frame, fitted at once on packed copies."""
+    from churnlens.operators.model import fit_all, gbt_pipeline, packed
+    rows = [packed(df, outcome, *features_numeric, *features_categorical) for df in frames]
+    models = fit_all([(gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
+                                    label=outcome), r) for r in rows])
+    for r in rows:
+        r.unpersist()
+    return models
+
+
+def arms(df: DataFrame, treat: str = "treat") -> list[DataFrame]:
+    """(treated rows, control rows)."""
+    return [df.where(F.col(treat) == 1), df.where(F.col(treat) == 0)]
+
+
 def two_model_uplift(df: DataFrame, features_numeric, features_categorical, gbt_iter: int = 100,
-                     seed: int = 42, treat: str = "treat", outcome: str = "outcome") -> DataFrame:
+                     seed: int = 42, treat: str = "treat", outcome: str = "outcome", models=None) -> DataFrame:
     """T-learner: one boosted-tree outcome model on treated rows, one on control
-    rows; ``uplift = p_treated(x) - p_control(x)`` for every row."""
-    from churnlens.operators.model import gbt_pipeline, with_probability
-    t_model = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
-                           label=outcome).fit(df.where(F.col(treat) == 1))
-    c_model = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
-                           label=outcome).fit(df.where(F.col(treat) == 0))
+    rows (or those given as ``models``); ``uplift = p_treated(x) - p_control(x)`` for every row."""
+    from churnlens.operators.model import with_probability
+    t_model, c_model = models or outcome_models(arms(df, treat), features_numeric, features_categorical, gbt_iter, seed, outcome)
     both = with_probability(with_probability(df, t_model, "p_t"), c_model, "p_c")
     return both.withColumn("uplift", F.col("p_t") - F.col("p_c"))
 
 
 def response_propensity(df: DataFrame, features_numeric, features_categorical, gbt_iter: int = 100,
-                        seed: int = 42, outcome: str = "outcome") -> DataFrame:
-    """One outcome model that ignores treatment (the propensity baseline)."""
-    from churnlens.operators.model import gbt_pipeline, with_probability
-    m = gbt_pipeline(seed, gbt_iter, numeric=features_numeric, categorical=features_categorical,
-                     label=outcome).fit(df)
+                        seed: int = 42, outcome: str = "outcome", model=None) -> DataFrame:
+    """One outcome model (or the ``model`` given) that ignores treatment (the propensity baseline)."""
+    from churnlens.operators.model import with_probability
+    m = model or outcome_models([df], features_numeric, features_categorical, gbt_iter, seed, outcome)[0]
     return with_probability(df, m, "propensity")
