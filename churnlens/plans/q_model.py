@@ -147,8 +147,10 @@ def q_uplift_scores(spark, sf_dir):
 def q_uplift_vs_propensity(spark, sf_dir):
     """Qini coefficient of uplift vs response-propensity vs random ranking."""
     from churnlens.functions.columns import hash_u32
-    up = U.two_model_uplift(_experiment(spark, sf_dir), M.NUMERIC, M.CATEGORICAL)
-    both = U.response_propensity(up, M.NUMERIC, M.CATEGORICAL)
+    rows = _experiment(spark, sf_dir)
+    *arm_models, all_model = U.outcome_models([*U.arms(rows), rows], M.NUMERIC, M.CATEGORICAL)
+    up = U.two_model_uplift(rows, M.NUMERIC, M.CATEGORICAL, models=arm_models)
+    both = U.response_propensity(up, M.NUMERIC, M.CATEGORICAL, model=all_model)
     rankings = {"uplift": F.col("uplift"), "propensity": F.col("propensity"),
                 "random": hash_u32(F.lit(f"{C.SEED}|rank|"), F.col("customer_id")).cast("double")}
     long = both.select("customer_id", "treat", "outcome", F.inline(F.array(*[
