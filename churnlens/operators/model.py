@@ -188,7 +188,7 @@ def train_and_evaluate(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEED
     """Fit LR on the stratified training part; return ``(model, holdout, metrics)``
     where ``holdout`` has ``churn_probability`` from the model."""
     train, test = stratified_split(df, test_frac, seed)
-    train = train.persist()
+    train = packed(train, TARGET, *numeric, *categorical)
     model = lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train)
     train.unpersist()
     holdout = positive_probability(model.transform(test), "churn_probability").select(
@@ -274,7 +274,8 @@ def compare_calibration(df: DataFrame, test_frac: float = 0.2, seed: int = C.SEE
     """Brier of raw LR vs isotonic and sigmoid recalibration (k-fold calibrated
     ensembles averaged), rounded to 4; ``best`` = minimum."""
     train, frame = stratified_split(df, test_frac, seed)
-    folded = with_folds(train.persist(), k, seed).persist()
+    train = packed(train, "customer_id", TARGET, *numeric, *categorical)
+    folded = packed(with_folds(train, k, seed), TARGET, *numeric, *categorical, "fold")
     frame = with_probability(frame.select(TARGET, *numeric, *categorical),
                              lr_pipeline(train.count(), numeric=numeric, categorical=categorical).fit(train), "p_raw")
     for f in range(k):
