@@ -117,7 +117,7 @@ def raw_account_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(F.col("n_orders") <= 12, "One year").otherwise("Two year"))
 
     return (customer
-            .join(hist, customer.c_custkey == hist.o_custkey)
+            .join(hist.hint("merge"), customer.c_custkey == hist.o_custkey)  # both sides grow: neither is broadcast
             .join(nation, customer.c_nationkey == nation.n_nationkey)
             .join(region, nation.n_regionkey == region.r_regionkey)
             .select(F.concat(F.lit("C-"), F.col("c_custkey").cast("string")).alias("customerID"),
