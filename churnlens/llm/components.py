@@ -1,7 +1,13 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by alternating large and small stars.
+
+Before the first round and after each one, every task replaces the links that it holds by the
+stars of their components. Tasks are as many as the links ask for, so that few links take few
+rounds, and many links the rounds of the stars."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +17,57 @@ from churnlens.llm.common import drop, stage_at
 #: The most stars that are broadcast, and the pairs that a star must exceed to be one of them.
 HUBS = 10_000
 SMALL_STAR = 2_000
+#: Links that a task replaces by stars at once.
+LINKS_AT_ONCE = 1 << 16
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node with the smallest node of its component under the links ``a``, ``b``;
+    none for that smallest node."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while (label[x] != label[y]).any():
+        u, v = label[x], label[y]
+        np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))   # every root with a smaller one beside it
+        while (label != label[label]).any():
+            label = label[label]
+    leaf = label != np.arange(len(nodes))
+    return nodes[leaf], nodes[label[leaf]]
+
+
+def contracted(edges: DataFrame, total: int) -> DataFrame:
+    """Links with the components of ``edges(a, b)``, of which there are ``total``: the stars of the links
+    that a task holds, ``LINKS_AT_ONCE`` and a batch at most at once."""
+    def contract(batches):
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            a = np.concatenate((a, batch.column(0).to_numpy(zero_copy_only=False)))
+            b = np.concatenate((b, batch.column(1).to_numpy(zero_copy_only=False)))
+            if len(a) > LINKS_AT_ONCE:
+                a, b = stars(a, b)
+                if 2 * len(a) > LINKS_AT_ONCE:
+                    yield _rows(a, b)
+                    a, b = a[:0], b[:0]
+        yield _rows(*stars(a, b))
+
+    return edges.select("a", "b").coalesce(max(1, -(-total // LINKS_AT_ONCE))).mapInArrow(contract, "a long, b long")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def _state(edges: DataFrame) -> tuple[int, int]:
+    """The links, and the nodes that hinder these from being stars around smallest nodes: those with a
+    smaller node and yet another one beside them."""
+    beside = _both(edges).groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("low"), F.max("b").alias("high"))
+    n, open_ = beside.agg(F.sum("n"), F.count_if(F.expr("low < a and low < high"))).first()
+    return (n or 0) // 2, open_
 
 
 def _with_least(pairs: DataFrame, least: DataFrame, total: int) -> DataFrame:
@@ -32,25 +85,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node. Repeated links and links of a node with itself are allowed, an
     empty table gives none, links with a null are left out. Each round is written to the shared
     folder, and the round before it deleted."""
-    spark = links.sparkSession
-    edges, path = stage_at(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "components")
-    before = _state(edges)
+    first, path = stage_at(links.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+                           .where("a != b").distinct(), "components")
+    edges, done = stage_at(contracted(first, first.count()), "components")
+    drop(links.sparkSession, path)
+    path = done
+    total, open_ = _state(edges)
     for _ in range(rounds):
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if not open_:
+            break
+        both = _both(edges)
         least = both.groupBy("a").agg(F.count("*").alias("n"), F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (_with_least(both, least, 2 * before[0]).where("b > a")
+        large = (_with_least(both, least, 2 * total).where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("m"))
-        small = (_with_least(large, least, 2 * before[0]).select(F.explode(F.array(
+        small = (_with_least(large, least, 2 * total).select(F.explode(F.array(
             F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b").where("a != b").distinct())
-        edges, done = stage_at(small, "components")
-        drop(spark, path)
-        path, after = done, _state(edges)
-        if after == before:
-            break
-        before = after
+        edges, done = stage_at(contracted(small, total), "components")
+        drop(links.sparkSession, path)
+        path = done
+        total, open_ = _state(edges)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges.unionAll(edges.select(F.col("b").alias("a"), "b")).select(
+        F.col("a").alias("node"), F.col("b").alias("component")).distinct()

@@ -333,3 +333,26 @@ def test_components_whatever_stars_are_broadcast(spark, monkeypatch, small_star)
     want = {n: 50 for n in range(50, 90)} | {n: 200 for n in range(200, 231)} | {n: 5 for n in (5, 7, 300, 301)}
     assert got == want
     assert stars.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_links_settle_without_rounds(spark):
+    """A path, a ring and repeated links: no round of stars is left once a task has joined what it holds."""
+    links = [(n, n + 1) for n in range(900, 100, -1)] + [(k, 2000 + (k - 1999) % 70) for k in range(2000, 2070)] + [(-5, 7), (7, -5), (7, 7), (None, 3)]
+    random.Random(3).shuffle(links)
+    got = [(r.node, r.component) for r in stars.components(spark.createDataFrame(links, "a long, b long").repartition(5), rounds=1).collect()]
+    want = {n: 101 for n in range(101, 902)} | {n: 2000 for n in range(2000, 2070)} | {-5: -5, 7: -5}
+    assert dict(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("at_once", [2, 40])
+def test_components_from_many_tasks(spark, monkeypatch, at_once):
+    monkeypatch.setattr(stars, "LINKS_AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(180)] + [(1000, n) for n in range(1001, 1100)] + [(n, n + 1) for n in range(2000, 2060)]
+    least = {n: n for link in links for n in link if link[0] != link[1]}
+    for _ in least:
+        for a, b in links:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    got = [(r.node, r.component) for r in stars.components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()]
+    assert dict(got) == least and len(got) == len(least)
