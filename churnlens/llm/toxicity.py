@@ -30,6 +30,7 @@ BUCKETS = 1 << 18
 SAMPLE_PER_CLASS = 2000
 THRESHOLD = 0.3
 WORDS_KEPT = 150_000
+PLACES_AT_ONCE = 1 << 17
 _SCORES: dict = {}
 
 
@@ -93,6 +94,14 @@ def train(docs: DataFrame, labels: DataFrame, in_training, steps: int = 80, pena
     return fit(rows["words"], rows["toxic"].to_numpy(), share, steps, penalty, rate)
 
 
+def summed(at: np.ndarray, values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """``np.bincount(at, values[of], size)``, to the last bit, without copies as long as ``at``."""
+    out = np.zeros(size)
+    for k in range(0, len(at), PLACES_AT_ONCE):
+        np.add.at(out, at[k:k + PLACES_AT_ONCE].astype(np.intp), values[of[k:k + PLACES_AT_ONCE]])
+    return out
+
+
 def fit(words, y: np.ndarray, share: dict[int, int], steps: int, penalty: float, rate: float) -> Model:
     """The bounded fit: full-batch logistic regression on documents x words x grams.
     ``words`` has the distinct words of each text in one string each."""
@@ -112,8 +121,8 @@ def fit(words, y: np.ndarray, share: dict[int, int], steps: int, penalty: float,
     gram, owner = np.frombuffer(gram_, np.int32), np.repeat(np.arange(len(lists), dtype=np.int32), lists)
     ratio = np.zeros(BUCKETS)
     for sign, c in ((1, 1), (-1, 0)):
-        per_word = np.bincount(word[y[doc] == c], minlength=len(lists))
-        count = np.bincount(gram, per_word[owner], BUCKETS) + 1
+        per_word = summed(word, (y == c).astype(float), doc, len(lists))
+        count = summed(gram, per_word, owner, BUCKETS) + 1
         ratio += sign * np.log(count / count.sum())
     present = np.bincount(y, minlength=2)
     importance = np.array([share[c] / max(present[c], 1) for c in (0, 1)])[y]
@@ -121,10 +130,10 @@ def fit(words, y: np.ndarray, share: dict[int, int], steps: int, penalty: float,
     w, constant = np.zeros(BUCKETS), float(np.log(share[1] / share[0]))
     m, v, mc, vc = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
     for t in range(1, steps + 1):                  # Adam on the penalised log loss
-        by_word = np.bincount(owner, (ratio * w)[gram], len(lists))
-        z = np.bincount(doc, by_word[word], len(words)) + constant
+        by_word = summed(owner, ratio * w, gram, len(lists))
+        z = summed(doc, by_word, word, len(words)) + constant
         miss = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - y) * importance
-        slope = ratio * np.bincount(gram, np.bincount(word, miss[doc], len(lists))[owner], BUCKETS) + penalty * w / len(words)
+        slope = ratio * summed(gram, summed(word, miss, doc, len(lists)), owner, BUCKETS) + penalty * w / len(words)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         mc, vc = 0.9 * mc + 0.1 * miss.sum(), 0.99 * vc + 0.01 * miss.sum() ** 2
         a, b = 1 - 0.9**t, 1 - 0.99**t

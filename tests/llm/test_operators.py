@@ -3,9 +3,11 @@ ties, repeated rows and clashing column names; every operator on an empty table.
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +282,24 @@ def test_toxicity(spark, docs_of):
     assert len({r.score for r in toxicity.scores(docs_of(rows), none).collect()}) == 1
 
 
+def test_toxicity_fit_holds_words_once():
+    """The driver's fit takes little beyond two small numbers for each word of a text."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k}" for k in rng.permutation(3000)[:2000]) for _ in range(500)]
+    y = np.arange(500) % 2
+    tracemalloc.start()
+    model = toxicity.fit(pa.array(texts), y, {0: 250, 1: 250}, 2, 10.0, 0.03)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.weight).all() and peak < 32e6          # a million words
+
+
+def test_toxicity_sums_in_order():
+    rng = np.random.default_rng(9)
+    at, of, values = rng.integers(0, 50, 300_000).astype(np.int32), rng.integers(0, 900, 300_000).astype(np.int32), rng.normal(size=900)
+    assert (toxicity.summed(at, values, of, 60) == np.bincount(at, values[of], 60)).all()
+
+
 def test_empty_tables(spark, docs_of):
     empty, items = docs_of([]), spark.createDataFrame([], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
