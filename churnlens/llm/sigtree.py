@@ -28,17 +28,22 @@ table gives no rows; other columns are not read. Hashes have 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlens.llm.common import fresh, partitions, stage
+from churnlens.llm.common import drop, fresh, partitions, stage, stage_at
 from churnlens.llm.components import components
+from churnlens.llm.tokenpairs import PACKED, Packer, buckets, counting, shared, token_links
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
 PERCENT, SHINGLE, SLACK = 75, 5, 0.08
 LEAF, FANOUT, BLOCK, HOT_PART = 32, 8, 2048, 64
+#: Bits of a part of the bitmap of chosen keys, and of all of it at most.
+PART_BITS, MOST_BITS = 1 << 17, 1 << 28
 
 
 def slack(n):
@@ -46,31 +51,46 @@ def slack(n):
     return np.maximum(1, np.floor(SLACK * np.asarray(n))).astype(np.int64)
 
 
-def prefix(n: int) -> int:
-    return min(n, n - -(-PERCENT * n // 100) + int(slack(n)))
-
-
 def needed(n: Column) -> Column:
     """The fewest counting shingles that a linked set of ``n`` has: a partner's slack
     may be smaller, down to that of the smallest partner."""
     return F.greatest(F.lit(1), F.floor(F.lit(SLACK) * F.ceil(n * PERCENT / 100)))
 
 
-def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text, A-Z lowered; a text with fewer
-    words is one shingle of all of them."""
-    out = []
-    for _, raw in portions(texts):
-        hashes, at = hashed_words([t.lower() for t in raw])
-        for a, b in zip(at, at[1:]):
-            words = hashes[a:b]
-            out.append(np.unique(windows(words, min(size, len(words)))) if len(words) else words)
-    return out
-
-
-def set_id(s: np.ndarray) -> int:
-    """A signed 64-bit id of a set."""
-    return int((mix(s, 77).sum(dtype=np.uint64) + np.uint64(len(s))).astype(np.int64)) if len(s) else 0
+def flat_sets(raw: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, A-Z lowered, one text after the other,
+    the places where the texts' sets start (one more at the end), and the texts' numbers of
+    words. A text with fewer words is one shingle of all of them."""
+    hashes, at = hashed_words([t.lower() for t in raw])
+    words = np.diff(at)
+    count = np.where(words < size, np.minimum(words, 1), words - size + 1)
+    begin = np.concatenate(([0], np.cumsum(count)))
+    # all shingles of one text are taken from the windows over all texts; few words need shorter windows
+    flat = np.zeros(begin[-1], np.uint64)
+    place = np.arange(begin[-1]) - np.repeat(begin[:-1], count) + np.repeat(at[:-1], count)
+    of = np.repeat(np.minimum(words, size), count)
+    for n in np.unique(of):
+        flat[of == n] = windows(hashes, int(n))[place[of == n]]
+    for a, b in zip(begin.tolist(), begin[1:].tolist()):
+        flat[a:b].sort()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[begin[:-1][count > 0]] = True
+    return flat[new], np.concatenate(([0], np.cumsum(new)))[begin], words
+
+
+def set_ids(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Signed 64-bit ids of the sets; 0 for an empty one."""
+    size = np.diff(at)
+    out = np.zeros(len(size), np.uint64)
+    if len(flat):
+        out[size > 0] = np.add.reduceat(mix(flat, 77), at[:-1][size > 0]) + size[size > 0].astype(np.uint64)
+    return out.view(np.int64)
+
+
+def prefixes(n: np.ndarray) -> np.ndarray:
+    """The prefix lengths of sets of ``n`` shingles."""
+    return np.minimum(n, n - -(-PERCENT * n // 100) + slack(n))
 
 
 class Forest:
@@ -211,104 +231,120 @@ def _links(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def class_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, class, n) for each row of ``docs(doc_id, text)``."""
+    """``docs(..., text)`` with (class, n, words, prefix) instead of the text: the id and the size of its
+    set, its words, and its prefix shingles as 64-bit numbers in a byte string."""
+    kept = [c for c in docs.columns if c != "text"]
+
     def rows(batches):
-        for whole in batches:
-            for b in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                sets = shingle_sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([set_id(s) for s in sets], pa.int64()),
-                                                  pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "class", "n"])
+        for b in batches:
+            for first, raw in portions(b.column(len(kept)).to_pylist()):
+                flat, at, words = flat_sets(raw)
+                part, size = b.slice(first, len(raw)), np.diff(at).astype(np.int64)
+                ends = (at[:-1] + prefixes(size)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:len(kept)], pa.array(set_ids(flat, at)), pa.array(size), pa.array(words.astype(np.int64)),
+                     pa.array([flat[x:y].tobytes() for x, y in zip(at.tolist(), ends)], pa.binary())],
+                    names=[*kept, "class", "n", "words", "prefix"])
 
-    return docs.mapInArrow(rows, "doc_id long, class long, n long")
+    schema = docs.select(*kept).schema.add("class", "long").add("n", "long").add("words", "long").add("prefix", "binary")
+    return docs.select(*kept, "text").mapInArrow(rows, schema)
 
 
-def prefix_rows(docs: DataFrame) -> DataFrame:
-    """(token, class) for the prefix shingles of each row, once for equal sets of 1000 rows."""
+def class_tables(docs: DataFrame, name: str) -> tuple[DataFrame, tuple[DataFrame, str]]:
+    """``class_rows`` of ``docs(..., key, text)`` in the shared folder: without the prefixes, and those of rows
+    with a key, with their folder, which whoever has read them drops."""
+    whole, path = stage_at(class_rows(docs), f"{name}-prefixes")
+    return stage(whole.drop("prefix"), name), (whole.where("n > 0 and key is not null").select("key", "class", "prefix"), path)
+
+
+def prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(token, class) for the prefix shingles of rows (class, prefix), once for the equal sets of a batch."""
+    for b in batches:
+        ids, first = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
+        own = b.column(1).take(pa.array(first)).to_pylist()
+        yield np.frombuffer(b"".join(own), np.int64), np.repeat(ids, [len(x) // 8 for x in own])
+
+
+def hot_tokens(prefixed: DataFrame, total: int) -> np.ndarray:
+    """Prefix shingles that a part of ``prefixed(key, class, prefix)`` (one in ``HOT_PART``, by the key's hash)
+    shows to be frequent; ``total`` is about the number of all prefix shingles. There are about 4 x partitions
+    such tokens at most, whatever the input."""
     def rows(batches):
-        for whole in batches:
-            for b in (whole.slice(k, 1000) for k in range(0, whole.num_rows, 1000)):
-                sets = {set_id(s): s for s in shingle_sets(b.column(1).to_pylist()) if len(s)}
-                part = np.array(list(sets), np.int64)
-                own = [sets[int(c)] for c in part]
-                lengths = [prefix(len(s)) for s in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([s[:p] for s, p in zip(own, lengths)] or [np.zeros(0, np.uint64)]).view(np.int64)),
-                     pa.array(np.repeat(part, lengths))], names=["token", "class"])
-
-    return docs.mapInArrow(rows, "token long, class long")
-
-
-def shared_prefix_rows(texts: DataFrame, total: int) -> DataFrame:
-    """Rows of ``prefix_rows`` whose token several classes have, each once; ``total``
-    is about the number of all prefix rows.
-
-    The rows are dealt by token once and sorted, so that a token's rows pass one
-    after the other. Tokens that a part of the texts (one in ``HOT_PART``, by the
-    doc_id's hash) shows to be frequent are spread by their classes as well; they
-    count without being counted, which can only keep more. There are about
-    4 x partitions such tokens at most, whatever the input."""
-    n = partitions(texts.sparkSession)
-    part = prefix_rows(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_PART)) == 0))
-    hot = [r["token"] for r in part.groupBy("token").count().where(
-        F.col("count") > max(8, total // (HOT_PART * 4 * n))).select("token").collect()]
-    spread = F.when(F.col("token").isin(hot), F.pmod(F.xxhash64("class"), F.lit(n))) if hot else F.lit(None)
-    rows = prefix_rows(texts).repartition(n, F.col("token"), spread.cast("int")).sortWithinPartitions("token", "class")
-    frequent = np.array(sorted(hot), np.int64)
-
-    def keep(batches):
-        token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for token, cls in prefix_pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "class"])
+
+    n = partitions(prefixed.sparkSession)
+    part = prefixed.where(F.pmod(F.xxhash64("key"), F.lit(HOT_PART)) == 0).select("class", "prefix").mapInArrow(rows, "token long, class long")
+    hot = part.groupBy("token").count().where(F.col("count") > max(8, total // (HOT_PART * 4 * n))).select("token").collect()
+    return np.array(sorted(r["token"] for r in hot), np.int64)
+
+
+def prefix_rows(prefixed: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
+    """The pairs of all prefix shingles and classes, packed by token in ``n`` buckets."""
+    def rows(batches):
+        out = Packer(n, hot, "token")
+        for token, cls in prefix_pairs(batches):
+            yield from out.add(token, cls, cls)
+        yield from out.rest()
+
+    return prefixed.select("class", "prefix").mapInArrow(rows, PACKED)
+
+
+def set_rows(texts: DataFrame, chosen: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
+    """(node, n, tokens) of the classes of ``chosen(class, key)``, whose keys are in ``texts(key, text)``.
+    Tasks leave out the texts whose key is not in a bitmap of the chosen ones, so that only sets
+    that are asked for, and few others, are dealt."""
+    bitmap, bits = key_bitmap(chosen)
+    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap)
+
+    def asked(batches):
         for b in batches:
-            token = np.concatenate((token, b.column(0).to_numpy(zero_copy_only=False)))
-            cls = np.concatenate((cls, b.column(1).to_numpy(zero_copy_only=False)))
-            if len(token) and token[0] != token[-1]:
-                end = np.searchsorted(token, token[-1])       # the last token may go on
-                yield _several(token[:end], cls[:end], frequent)
-                token, cls = token[end:], cls[end:]
-            elif len(token) > 100_000:                        # one token: its distinct classes
-                cls = np.unique(cls)
-                token = token[:len(cls)]
-        yield _several(token, cls, frequent)
-
-    return rows.mapInArrow(keep, "token long, class long")
-
-
-def _several(token: np.ndarray, cls: np.ndarray, frequent: np.ndarray) -> pa.RecordBatch:
-    """Rows (sorted by token and class), each once, of tokens with several classes."""
-    if len(token):
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-        token, cls = token[new], cls[new]
-        start = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        size = np.diff(np.append(start, len(token)))
-        stays = np.repeat(size > 1, size) | np.isin(token, frequent)
-        token, cls = token[stays], cls[stays]
-    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "class"])
-
-
-def set_rows(chosen: DataFrame) -> DataFrame:
-    """(node, n, tokens) of ``chosen(class, text)``; rows of another class drop out."""
+            at = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 6) % np.uint64(bits)
+            hit = bitmap.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+            yield b.filter(pa.array(hit.astype(bool))).select([1])
+
     def rows(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
-                sets = shingle_sets(part.column(1).to_pylist())
-                keep = [(c, s) for c, s in zip(part.column(0).to_pylist(), sets) if set_id(s) == c]
+            for _, raw in portions(b.column(0).to_pylist()):
+                flat, at, _ = flat_sets(raw)
+                ids, size = set_ids(flat, at), np.diff(at)
+                first = np.unique(ids, return_index=True)[1]
+                first = first[size[first] > 0].tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in keep], pa.int64()), pa.array([len(s) for _, s in keep], pa.int64()),
-                     pa.array([s.view(np.int64) for _, s in keep], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
+                    [pa.array(ids[first]), pa.array(size[first].astype(np.int64)),
+                     pa.array([flat[at[k]:at[k + 1]].view(np.int64) for k in first], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    return chosen.mapInArrow(rows, "node long, n long, tokens array<long>")
+    hits = texts.select("key", "text").mapInArrow(asked, "text string").select(clean(F.col("text")).alias("text"))
+    sets = hits.mapInArrow(rows, "node long, n long, tokens array<long>")
+    return sets.join(chosen.select(F.col("class").alias("node")), "node", "left_semi").dropDuplicates(["node"])
 
 
-def counting(rows: DataFrame, of: str) -> DataFrame:
-    """Rows whose token several values of ``of`` have."""
-    shared = rows.groupBy("token").agg(F.min(of).alias("x"), F.max(of).alias("y")).where("x != y").select("token")
-    return rows.join(shared, "token")
+def key_bitmap(chosen: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of the hashed keys of ``chosen(key)``, 16 bits a key and ``MOST_BITS`` at most, made in parts by
+    tasks; with that many keys it only lets more texts pass."""
+    bits = min(MOST_BITS, max(PART_BITS, 1 << (16 * chosen.count()).bit_length()))
+
+    def parts(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 6) % np.uint64(bits)
+            for k in np.unique(at // np.uint64(PART_BITS)).tolist():
+                here = at[at // np.uint64(PART_BITS) == k] % np.uint64(PART_BITS)
+                part = held.setdefault(k, np.zeros(PART_BITS // 8, np.uint8))
+                np.bitwise_or.at(part, (here >> np.uint64(3)).astype(np.int64), np.uint8(1) << (here & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
+                                         names=["part", "bits"])
+
+    out = np.zeros(bits // 8, np.uint8)
+    tasks = chosen.select("key").coalesce(max(1, bits // (8 * PART_BITS)))
+    for r in tasks.mapInArrow(parts, "part long, bits binary").toLocalIterator():
+        out[r["part"] * (PART_BITS // 8):(r["part"] + 1) * (PART_BITS // 8)] |= np.frombuffer(r["bits"], np.uint8)
+    return out, bits
 
 
 def enough(rows: DataFrame) -> DataFrame:
-    """Rows of classes with enough rows."""
-    full = rows.groupBy("class", "n").count().where(F.col("count") >= needed(F.col("n"))).select("class")
-    return rows.join(full, "class", "left_semi")
+    """Rows of ``rows(class, n, tokens)`` with enough tokens."""
+    return rows.where(F.size("tokens") >= needed(F.col("n")))
 
 
 def size_class(n: Column) -> Column:
@@ -316,14 +352,16 @@ def size_class(n: Column) -> Column:
     return F.floor(F.log(n) / F.lit(float(np.log(100 / PERCENT)))).cast("long")
 
 
-def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(class, component) of the ``classes(class, n, doc_id)`` that link with another;
-    the component is a class."""
-    sizes = classes.select("class", "n")
-    total = int((sizes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + SLACK))
-    rows = stage(enough(shared_prefix_rows(texts, total).join(sizes, "class")), "jaccard-prefix")
-    chosen = classes.join(rows.select("class").distinct(), "class", "left_semi").select("class", "doc_id")
-    sets = stage(set_rows(texts.join(chosen, "doc_id").select("class", "text")).dropDuplicates(["node"]), "jaccard-sets")
+def link_components(prefixes: tuple[DataFrame, str], classes: DataFrame, texts: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
+    """(class, component) of the ``classes(class, n, key)`` that link with another; the component
+    is a class. ``prefixes`` are those of ``class_tables``, and ``texts(key, text)`` a text of each
+    class under the class's key, to be read through ``clean``."""
+    total = int((classes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + SLACK))
+    prefixed, path = prefixes
+    hot, n = hot_tokens(prefixed, total), buckets(prefixed, total)
+    rows = stage(enough(shared(prefix_rows(prefixed, n, hot), n, hot).join(classes, "class")), "jaccard-prefix")
+    drop(texts.sparkSession, path)
+    sets = stage(set_rows(texts, rows.select("class", "key"), clean), "jaccard-sets")
 
     # first trees: by the two smallest shingles of a set
     smallest = sets.select("node", F.explode(F.slice("tokens", 1, 2)).alias("token"))
@@ -334,13 +372,13 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     known = components(first)
 
     # the rest: classes of several components that share enough shingles
-    named = rows.join(known, rows["class"] == known["node"], "left").select(
-        "token", "class", "n", F.coalesce("component", "class").alias("label"))
-    rest = stage(enough(counting(enough(counting(named, "label")), "label")), "jaccard-rest")
-    hub = rest.groupBy("token").agg(F.min("class").alias("b"))
-    grouped = components(rest.join(hub, "token").select(F.col("class").alias("a"), "b").unionAll(
-        hub.select(F.col("b").alias("a"), "b")))
-    member = (rest.select("class", "label", size_class(F.col("n")).alias("g")).distinct()
+    rest = stage(rows.join(known, rows["class"] == known["node"], "left").select(
+        "class", "n", F.coalesce("component", "class").alias("label"), "tokens"), "jaccard-named")
+    for _ in range(2):
+        total = rest.agg(F.sum(F.size("tokens"))).first()[0] or 0
+        rest = stage(enough(counting(rest, total, hot).join(rest.select("class", "n", "label"), "class")), "jaccard-rest")
+    grouped = components(token_links(rest, total, hot))
+    member = (rest.select("class", "label", size_class(F.col("n")).alias("g"))
               .join(grouped, F.col("class") == F.col("node")).select("class", "label", "g", F.col("component").alias("pool")))
     pools = member.groupBy("pool", "g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     unit = lambda g, block: F.shiftleft(g, 32) + block
@@ -357,18 +395,25 @@ def link_components(texts: DataFrame, classes: DataFrame) -> DataFrame:
     return components(first.unionAll(second).checkpoint()).withColumnRenamed("node", "class")
 
 
+def class_components(base: DataFrame, prefixes: tuple[DataFrame, str], texts: DataFrame,
+                     clean: Callable[[Column], Column] = lambda text: text) -> DataFrame:
+    """(class, component_id) of the classes of ``base(class, n, id, key)``: the smallest id that links reach.
+    ``base`` and ``prefixes`` are ``class_tables``, made of what ``clean`` makes of ``texts(key, text)``.
+    Rows without words or with a null id make no class."""
+    base = base.where("n > 0 and id is not null")
+    classes = base.groupBy("class").agg(F.min("id").alias("least"), F.min("key").alias("key"), F.first("n").alias("n"))
+    found = link_components(prefixes, classes.select("class", "key", "n"), texts, clean)
+    named = classes.join(found, "class", "left").select("class", "least", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("class", "component_id")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest doc_id
     that links reach, its own included)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = stage(class_rows(texts), "jaccard-classes")
-    classes = base.where("n > 0 and doc_id is not null").groupBy("class").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    found = link_components(texts.where(F.col("doc_id").isNotNull()), classes)
-    named = classes.join(found, "class", "left").select(
-        "class", F.col("doc_id").alias("least"), F.coalesce("component", "class").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = named.join(least, "component").select(F.col("class").alias("c"), "component_id")
+    base, prefixes = class_tables(texts.select("doc_id", F.col("doc_id").alias("key"), "text"), "jaccard-classes")
+    final = class_components(base.withColumn("id", F.col("doc_id")), prefixes, texts.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "key")).withColumnRenamed("class", "c")
     return base.join(final, (F.col("class") == F.col("c")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

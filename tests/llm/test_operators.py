@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from churnlens.llm import bestfit, components as stars, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, toxicity, wordhash
+from churnlens.llm import bestfit, components as stars, crosspolytope, decontaminate, pii, ppm, recompress, sigtree, tokenpairs, toxicity, wordhash
 
 WORDS = [f"w{k}" for k in range(60)]
 
@@ -376,3 +376,51 @@ def test_components_from_many_tasks(spark, monkeypatch, at_once):
                 least[a] = least[b] = min(least[a], least[b])
     got = [(r.node, r.component) for r in stars.components(spark.createDataFrame(links, "a long, b long").repartition(16)).collect()]
     assert dict(got) == least and len(got) == len(least)
+
+
+def test_sets_of_many_texts_at_once():
+    """The sets made of a portion at once are those of each text, and so are their ids and word counts."""
+    texts = ["a b c d e f g", "", "a", "A b", "x y z", "a b c d", "one two three four five", " \n ", "q " * 40, "a b c d e f g", "b a c\td e  f"]
+    flat, at, words = sigtree.flat_sets([t.encode() for t in texts])
+    ids = sigtree.set_ids(flat, at)
+    for k, t in enumerate(texts):
+        own, w = flat[at[k]:at[k + 1]], words_of(t)
+        hashes, _ = wordhash.hashed_words([t.lower().encode()])
+        want = np.unique(wordhash.windows(hashes, min(5, len(w)))) if w else hashes
+        assert own.tolist() == want.tolist() and words[k] == len(w)
+        assert int(ids[k]) == (int((wordhash.mix(want, 77).sum(dtype=np.uint64) + np.uint64(len(want))).astype(np.int64)) if w else 0)
+
+
+@pytest.mark.parametrize("hot", [[], [3, 7, 11]])
+def test_pairs_are_counted_in_packed_rows(spark, monkeypatch, hot):
+    """Tokens of several labels stay, and links of shared tokens connect, whichever tokens are dealt by class."""
+    monkeypatch.setattr(tokenpairs, "PAIRS_AT_ONCE", 50)
+    rng = random.Random(len(hot))
+    rows = [(c, c % 3 if c < 30 else c, sorted({rng.choice((3, 7, 11, rng.randrange(-90, 90))) for _ in range(6)})) for c in range(60)]
+    rows += [(c, 5, [11, 1000 + c]) for c in range(100, 105)] + [(200, 200, [5000, 5001]), (201, 201, [5001, 5002])]
+    labels, classes = defaultdict(set), defaultdict(set)
+    for c, label, tokens in rows:
+        for t in tokens:
+            labels[t].add(label)
+            classes[t].add(c)
+    df, hot = spark.createDataFrame(rows, "class long, label long, tokens array<long>").repartition(5), np.array(hot, np.int64)
+    got = {r["class"]: sorted(r["tokens"]) for r in tokenpairs.counting(df, 400, hot).collect()}
+    assert got == {c: here for c, _, tokens in rows if (here := [t for t in tokens if len(labels[t]) > 1])}
+    links = [(r.a, r.b) for r in tokenpairs.token_links(df, 400, hot).collect()]
+    root = {n: n for n in {c for c, _, _ in rows} | {n for link in links for n in link}}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(len({root[c] for c in here}) == 1 for here in classes.values()) and root[200] == root[201] == 200
+
+
+def test_lengths_and_keys_of_packed_texts(spark):
+    """Word counts, and the keys of equal texts, whatever their case and white space."""
+    texts = ["One  two\tthree", "one two three", "ONE\n\r\ntwo \x0b three", " lead", "lead", "", None, "\u00c9t\u00e9 \u00c0", "\u00e9t\u00e9 \u00e0", "a\x0cb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    same = F.regexp_replace(F.lower("text"), r"[\x20\x09-\x0D]+", " ")
+    assert docs.where(~F.xxhash64(same).eqNullSafe(F.xxhash64(bestfit.same_spaces(F.lower("text"))))).count() == 0
+    got = {r.doc_id: (r.bin_id, r.length) for r in bestfit.pack_documents(docs, 400, near=True).collect()}
+    assert {k: n for k, (_, n) in got.items()} == {k: len((t or "").split()) + 1 for k, t in enumerate(texts)}
+    for group in ((0, 1, 2), (3, 4), (7, 8)):
+        assert len({got[k][0] for k in group}) == len(group)
