@@ -9,11 +9,14 @@ link when ``den * |x & y| >= num * |x | y|`` in percent (75 of 100 by default).
    enough of its own count. Unlike most texts, what stays has near copies.
 2. First trees. Classes that share one of their smallest shingles are joined by a
    signature tree, big groups in blocks, and components of the links are formed.
-3. Rest. A link between two components still needs enough counting shingles that
-   several components have. Classes that have them are grouped by such shingles
-   and by size class, and every group is joined by signature trees with itself and
-   with the next size class, big groups block by block. With that no link between
-   components can be missed.
+3. Rest. Sets that link have 75 percent of either in common, so a class that links
+   with another component has that share of its whole set in several components; the
+   others go. Of these shingles, in order of the classes that have them, rarest first,
+   a class keeps those before its last 75 percent of its set: two sets that link have
+   one of those they keep in common. Classes that share a kept shingle are one pool, so
+   that common passages join no unlike texts. A pool is joined by signature trees, a
+   big one by size class, each with itself and with the next one, block by block. With
+   that no link between components can be missed.
 
 A signature tree's leaves hold sets of similar size, its nodes the OR of their
 sets' bitmaps, their size range and how many more shingles than bits a set has.
@@ -37,13 +40,13 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import drop, fresh, partitions, stage, stage_at
 from churnlens.llm.components import components
-from churnlens.llm.tokenpairs import PACKED, Packer, buckets, counting, shared, token_links
+from churnlens.llm.tokenpairs import Packer, buckets, counted, counting, numbers, packed, token_key, token_links
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
 PERCENT, SHINGLE, SLACK = 75, 5, 0.08
 LEAF, FANOUT, BLOCK, HOT_PART = 32, 8, 2048, 64
-#: Bits of a part of the bitmap of chosen keys, and of all of it at most.
-PART_BITS, MOST_BITS = 1 << 17, 1 << 28
+#: Bits of a part of the bitmap of chosen keys, and of all of it at most, and the seeds of a key's bits.
+PART_BITS, MOST_BITS, SEEDS = 1 << 17, 1 << 28, (6, 7, 8)
 
 
 def slack(n):
@@ -265,44 +268,42 @@ def prefix_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield np.frombuffer(b"".join(own), np.int64), np.repeat(ids, [len(x) // 8 for x in own])
 
 
-def hot_tokens(prefixed: DataFrame, total: int) -> np.ndarray:
-    """Prefix shingles that a part of ``prefixed(key, class, prefix)`` (one in ``HOT_PART``, by the key's hash)
-    shows to be frequent; ``total`` is about the number of all prefix shingles. There are about 4 x partitions
-    such tokens at most, whatever the input."""
+def hot_tokens(tokens: DataFrame, total: int) -> np.ndarray:
+    """The frequent ones of ``tokens(token)``, which are those of one class in ``HOT_PART``, by a hash; ``total`` is
+    about the number of the tokens of all. There are about 4 x partitions such tokens at most, whatever the input."""
+    most = max(8, total // (HOT_PART * 4 * partitions(tokens.sparkSession)))
+    hot = tokens.groupBy("token").count().where(F.col("count") > most).select("token").collect()
+    return np.array(sorted(r["token"] for r in hot), np.int64)
+
+
+def part_of(rows: DataFrame, key: str) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64(key), F.lit(HOT_PART)) == 0)
+
+
+def prefix_tokens(prefixed: DataFrame) -> DataFrame:
+    """(token) for the prefix shingles of ``prefixed(class, prefix)``."""
     def rows(batches):
-        for token, cls in prefix_pairs(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(cls)], names=["token", "class"])
+        for token, _ in prefix_pairs(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(token)], names=["token"])
 
-    n = partitions(prefixed.sparkSession)
-    part = prefixed.where(F.pmod(F.xxhash64("key"), F.lit(HOT_PART)) == 0).select("class", "prefix").mapInArrow(rows, "token long, class long")
-    hot = part.groupBy("token").count().where(F.col("count") > max(8, total // (HOT_PART * 4 * n))).select("token").collect()
-    return np.array(sorted(r["token"] for r in hot), np.int64)
+    return prefixed.select("class", "prefix").mapInArrow(rows, "token long")
 
 
 def prefix_rows(prefixed: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     """The pairs of all prefix shingles and classes, packed by token in ``n`` buckets."""
     def rows(batches):
-        out = Packer(n, hot, "token")
+        out = Packer(n, "token", "class")
         for token, cls in prefix_pairs(batches):
-            yield from out.add(token, cls, cls)
+            yield from out.add(token_key(token, cls, hot), token, cls)
         yield from out.rest()
 
-    return prefixed.select("class", "prefix").mapInArrow(rows, PACKED)
+    return prefixed.select("class", "prefix").mapInArrow(rows, packed("token", "class"))
 
 
 def set_rows(texts: DataFrame, chosen: DataFrame, clean: Callable[[Column], Column]) -> DataFrame:
     """(node, n, tokens) of the classes of ``chosen(class, key)``, whose keys are in ``texts(key, text)``.
     Tasks leave out the texts whose key is not in a bitmap of the chosen ones, so that only sets
     that are asked for, and few others, are dealt."""
-    bitmap, bits = key_bitmap(chosen)
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap)
-
-    def asked(batches):
-        for b in batches:
-            at = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 6) % np.uint64(bits)
-            hit = bitmap.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
-            yield b.filter(pa.array(hit.astype(bool))).select([1])
-
     def rows(batches):
         for b in batches:
             for _, raw in portions(b.column(0).to_pylist()):
@@ -314,7 +315,7 @@ def set_rows(texts: DataFrame, chosen: DataFrame, clean: Callable[[Column], Colu
                     [pa.array(ids[first]), pa.array(size[first].astype(np.int64)),
                      pa.array([flat[at[k]:at[k + 1]].view(np.int64) for k in first], pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
-    hits = texts.select("key", "text").mapInArrow(asked, "text string").select(clean(F.col("text")).alias("text"))
+    hits = among(texts.select("key", "text"), lookup(chosen)).select(clean(F.col("text")).alias("text"))
     sets = hits.mapInArrow(rows, "node long, n long, tokens array<long>")
     return sets.join(chosen.select(F.col("class").alias("node")), "node", "left_semi").dropDuplicates(["node"])
 
@@ -327,7 +328,7 @@ def key_bitmap(chosen: DataFrame) -> tuple[np.ndarray, int]:
     def parts(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            at = mix(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), 6) % np.uint64(bits)
+            at = np.concatenate([*bit_places(b.column(0).to_numpy(zero_copy_only=False), bits)])
             for k in np.unique(at // np.uint64(PART_BITS)).tolist():
                 here = at[at // np.uint64(PART_BITS) == k] % np.uint64(PART_BITS)
                 part = held.setdefault(k, np.zeros(PART_BITS // 8, np.uint8))
@@ -342,9 +343,33 @@ def key_bitmap(chosen: DataFrame) -> tuple[np.ndarray, int]:
     return out, bits
 
 
-def enough(rows: DataFrame) -> DataFrame:
-    """Rows of ``rows(class, n, tokens)`` with enough tokens."""
-    return rows.where(F.size("tokens") >= needed(F.col("n")))
+def bit_places(key: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The places of the bits of all keys, seed by seed."""
+    for seed in SEEDS:
+        yield mix(key.astype(np.int64).view(np.uint64), seed) % np.uint64(bits)
+
+
+def lookup(chosen: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Which numbers are keys of ``chosen(key)``, for tasks; a few others are taken for keys, too."""
+    bitmap, bits = key_bitmap(chosen)
+    bitmap = chosen.sparkSession.sparkContext.broadcast(bitmap)
+
+    def inside(key: np.ndarray) -> np.ndarray:
+        hit = np.ones(len(key), np.uint8)
+        for at in bit_places(key, bits):
+            hit &= bitmap.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)
+        return hit.astype(bool)
+
+    return inside
+
+
+def among(rows: DataFrame, inside: Callable[[np.ndarray], np.ndarray], hit: bool = True) -> DataFrame:
+    """The ``rows`` whose first column :func:`lookup` finds, or does not find, without a shuffle."""
+    def asked(batches):
+        for b in batches:
+            yield b.filter(pa.array(inside(b.column(0).to_numpy(zero_copy_only=False)) == hit))
+
+    return rows.mapInArrow(asked, rows.schema)
 
 
 def size_class(n: Column) -> Column:
@@ -358,28 +383,69 @@ def link_components(prefixes: tuple[DataFrame, str], classes: DataFrame, texts:
     class under the class's key, to be read through ``clean``."""
     total = int((classes.agg(F.sum("n")).first()[0] or 0) * (1 - PERCENT / 100 + SLACK))
     prefixed, path = prefixes
-    hot, n = hot_tokens(prefixed, total), buckets(prefixed, total)
-    rows = stage(enough(shared(prefix_rows(prefixed, n, hot), n, hot).join(classes, "class")), "jaccard-prefix")
+    hot, n = hot_tokens(prefix_tokens(part_of(prefixed, "key")), total), buckets(total)
+    chosen = stage(numbers(prefix_rows(prefixed, n, hot), n, hot).join(classes, "class").where(F.col("m") >= needed(F.col("n"))).select("class", "key"),
+                   "jaccard-prefix")
     drop(texts.sparkSession, path)
-    sets = stage(set_rows(texts, rows.select("class", "key"), clean), "jaccard-sets")
-
-    # first trees: by the two smallest shingles of a set
-    smallest = sets.select("node", F.explode(F.slice("tokens", 1, 2)).alias("token"))
-    sizes = smallest.groupBy("token").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"), F.count("*").alias("m")).where("m > 1")
-    groups = smallest.join(sizes, "token").select("node", "token", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    first = group_links(groups.join(sets, "node").select("token", "block", F.lit(0).alias("side"), F.col("node").alias("label"),
-                                                         "node", "tokens"), ["token", "block"]).checkpoint()
+    sets, path = stage_at(set_rows(texts, chosen, clean), "jaccard-sets")
+
+    first = group_links(smallest_groups(sets), ["token", "block"]).checkpoint()
     known = components(first)
 
-    # the rest: classes of several components that share enough shingles
-    rest = stage(rows.join(known, rows["class"] == known["node"], "left").select(
-        "class", "n", F.coalesce("component", "class").alias("label"), "tokens"), "jaccard-named")
-    for _ in range(2):
-        total = rest.agg(F.sum(F.size("tokens"))).first()[0] or 0
-        rest = stage(enough(counting(rest, total, hot).join(rest.select("class", "n", "label"), "class")), "jaccard-rest")
-    grouped = components(token_links(rest, total, hot))
-    member = (rest.select("class", "label", size_class(F.col("n")).alias("g"))
-              .join(grouped, F.col("class") == F.col("node")).select("class", "label", "g", F.col("component").alias("pool")))
+    # the rest: classes that have enough of their set in several components
+    linked_ = lookup(known.select(F.col("node").alias("key")))    # only sets with links are dealt for their component
+    label = F.coalesce("component", "node").alias("label")
+    named, done = stage_at(among(sets, linked_).join(known, "node", "left").select(F.col("node").alias("class"), "n", label, "tokens").unionAll(
+        among(sets, linked_, False).select(F.col("node").alias("class"), "n", F.col("node").alias("label"), "tokens")), "jaccard-named")
+    drop(texts.sparkSession, path)
+    total = named.agg(F.sum("n")).first()[0] or 0
+    hot = hot_tokens(part_of(named, "class").select(F.explode("tokens").alias("token")), total)
+    likely = stage(counted(named, total, hot).join(named.select("class", "n"), "class").where(f"100 * m >= {PERCENT} * n").select(F.col("class").alias("key")),
+                   "jaccard-likely")
+    rest = stage(among(named, lookup(likely)), "jaccard-rest")
+    drop(texts.sparkSession, done)
+    total = rest.agg(F.sum("n")).first()[0] or 0
+    kept = stage(counting(rest, total, hot).join(rest.select("class", "n", "label"), "class")
+                 .withColumn("spare", F.size("tokens") - F.ceil(F.col("n") * PERCENT / 100).cast("int")).where("spare >= 0")
+                 .select("class", "n", "label", F.slice("tokens", F.lit(1), F.col("spare") + 1).alias("tokens")), "jaccard-kept-tokens")
+    total = kept.agg(F.sum(F.size("tokens"))).first()[0] or 0
+    second = group_links(pool_groups(kept, components(token_links(kept, total, hot)), rest), ["pool", "low", "high"])
+    return components(first.unionAll(second).checkpoint()).withColumnRenamed("node", "class")
+
+
+def smallest_groups(sets: DataFrame) -> DataFrame:
+    """Groups (token, block) of the sets that share one of their two smallest shingles, those of a frequent one in
+    blocks. The few that are in blocks are broadcast: less than one for ``BLOCK`` sets and two."""
+    sizes = stage(sets.select(F.explode(F.slice("tokens", 1, 2)).alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1"),
+                  "jaccard-smallest")
+    inside = lookup(sizes.select(F.col("token").alias("key")))
+
+    def rows(batches):
+        for b in batches:
+            tokens = b.column(1)
+            at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
+            several = np.flatnonzero(np.diff(at) > 1)
+            row = np.concatenate((np.arange(len(b)), several))
+            token = flat[np.concatenate((at[:-1], at[several] + 1))]
+            hit = inside(token)
+            here = b.take(pa.array(row[hit]))
+            yield pa.RecordBatch.from_arrays([here.column(0), here.column(1), pa.array(token[hit])], names=["node", "tokens", "token"])
+
+    blocks = F.broadcast(sizes.where(F.col("m") > BLOCK).select("token", F.ceil(F.col("m") / F.lit(BLOCK)).alias("blocks")))
+    shared = sets.select("node", "tokens").mapInArrow(rows, "node long, tokens array<long>, token long")
+    return shared.join(blocks, "token", "left").select(
+        "token", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1).cast("long"))).alias("block"), F.lit(0).alias("side"),
+        F.col("node").alias("label"), "node", "tokens")
+
+
+def pool_groups(kept: DataFrame, grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups (pool, low, high) of the sets of ``kept(class, n, label)`` by the component that ``grouped(node, component)``
+    gives; ``sets(class, tokens)`` has them all. A pool of one label has no link to find; one of ``BLOCK`` classes at most is
+    a group, a bigger one a group for each pair of blocks of the same or of neighbouring size classes."""
+    pooled = kept.join(grouped, F.col("class") == F.col("node")).select("class", "label", "n", F.col("component").alias("pool"))
+    several = pooled.groupBy("pool").agg(F.count("*").alias("m"), F.min("label").alias("first"), F.max("label").alias("last")).where("first < last")
+    member = pooled.join(several.select("pool", "m"), "pool").select(
+        "class", "label", "pool", F.when(F.col("m") > BLOCK, size_class(F.col("n"))).otherwise(0).alias("g"))
     pools = member.groupBy("pool", "g").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
     unit = lambda g, block: F.shiftleft(g, 32) + block
     near = pools.select("pool", F.explode(F.array(F.col("g") - 1, F.col("g"), F.col("g") + 1)).alias("g"),
@@ -390,9 +456,7 @@ def link_components(prefixes: tuple[DataFrame, str], classes: DataFrame, texts:
              .withColumn("with", unit(F.col("other"), F.col("block"))))
     tasks = pairs.select("pool", F.least("own", "with").alias("low"), F.greatest("own", "with").alias("high"),
                          (F.col("own") > F.col("with")).cast("int").alias("side"), "label", F.col("class").alias("node"))
-    second = group_links(tasks.join(sets, "node").select("pool", "low", "high", "side", "label", "node", "tokens"),
-                         ["pool", "low", "high"])
-    return components(first.unionAll(second).checkpoint()).withColumnRenamed("node", "class")
+    return tasks.join(sets.select(F.col("class").alias("node"), "tokens"), "node").select("pool", "low", "high", "side", "label", "node", "tokens")
 
 
 def class_components(base: DataFrame, prefixes: tuple[DataFrame, str], texts: DataFrame,

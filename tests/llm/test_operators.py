@@ -61,6 +61,34 @@ def test_jaccard_components(docs_of, rows):
     assert got == Counter((doc_id, len(sets[k]), None if doc_id is None else min(least[find(k)])) for k, (doc_id, _) in enumerate(rows))
 
 
+@pytest.mark.parametrize("block", [2, 2048])
+@pytest.mark.parametrize("trees", [False, True])
+def test_rest_misses_no_link(docs_of, rows, monkeypatch, block, trees):
+    """In blocks, and without the first trees, all links are found by the kept shingles of the rest."""
+    monkeypatch.setattr(sigtree, "BLOCK", block)
+    if not trees:
+        groups = sigtree.smallest_groups
+        monkeypatch.setattr(sigtree, "smallest_groups", lambda sets: groups(sets).limit(0))
+    test_jaccard_components(docs_of, rows)
+
+
+def test_a_common_passage_makes_no_pool(docs_of, monkeypatch):
+    """Unlike texts with a passage in common reach no tree of the rest; two near copies among them are linked."""
+    common = [f"common{k}" for k in range(20)]
+    texts = [[f"own{n}x{k}" for k in range(40)] + common for n in range(30)]
+    texts.append([*texts[3][:-1], "end"])
+    dealt, links = [], sigtree.group_links
+
+    def seen(rows, key):
+        dealt.append(rows.count())
+        return links(rows, key)
+
+    monkeypatch.setattr(sigtree, "group_links", seen)
+    got = {r["doc_id"]: r["component_id"] for r in sigtree.jaccard_components(docs_of([(k, " ".join(t)) for k, t in enumerate(texts)])).collect()}
+    assert got == {k: 3 if k == 30 else k for k in range(31)}
+    assert len(dealt) == 2 and dealt[1] <= 2
+
+
 def test_one_row_of_each_group_stays(docs_of):
     words = [f"w{k}" for k in range(60)]
     a, near, other, third = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"x{k}" for k in range(60)), "some short text"
@@ -414,6 +442,27 @@ def test_pairs_are_counted_in_packed_rows(spark, monkeypatch, hot):
     assert all(len({root[c] for c in here}) == 1 for here in classes.values()) and root[200] == root[201] == 200
 
 
+def test_packed_rows_do_not_grow_with_tasks(spark, monkeypatch):
+    """Few pairs make few packed rows, however many shuffle partitions there are."""
+    made, dealt = [], tokenpairs._dealt
+
+    def seen(rows):
+        made.append(rows.count())
+        return dealt(rows)
+
+    monkeypatch.setattr(tokenpairs, "_dealt", seen)
+    rows = spark.createDataFrame([(c, c, [c * 7 + k for k in range(14)]) for c in range(400)], "class long, label long, tokens array<long>").repartition(4)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = {r["class"]: r["tokens"] for r in tokenpairs.counting(rows, 5600, np.zeros(0, np.int64)).collect()}
+        numbers = {r["class"]: r["m"] for r in tokenpairs.counted(rows, 5600, np.zeros(0, np.int64)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert numbers == {c: 7 if c in (0, 399) else 14 for c in range(400)} == {c: len(t) for c, t in got.items()}
+    assert max(made) <= 4
+
+
 def test_lengths_and_keys_of_packed_texts(spark):
     """Word counts, and the keys of equal texts, whatever their case and white space."""
     texts = ["One  two\tthree", "one two three", "ONE\n\r\ntwo \x0b three", " lead", "lead", "", None, "\u00c9t\u00e9 \u00c0", "\u00e9t\u00e9 \u00e0", "a\x0cb"]
