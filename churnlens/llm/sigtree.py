@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from churnlens.llm.common import drop, fresh, partitions, stage, stage_at
 from churnlens.llm.components import components
-from churnlens.llm.tokenpairs import Packer, buckets, counted, counting, numbers, packed, token_key, token_links
+from churnlens.llm.tokenpairs import Packer, buckets, counted, counting, numbers, packed, some_rows, token_key, token_links
 from churnlens.llm.wordhash import hashed_words, mix, portions, windows
 
 PERCENT, SHINGLE, SLACK = 75, 5, 0.08
@@ -421,7 +421,7 @@ def smallest_groups(sets: DataFrame) -> DataFrame:
     inside = lookup(sizes.select(F.col("token").alias("key")))
 
     def rows(batches):
-        for b in batches:
+        for b in some_rows(batches, 1):
             tokens = b.column(1)
             at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy(zero_copy_only=False)
             several = np.flatnonzero(np.diff(at) > 1)

@@ -159,11 +159,20 @@ def numbers(rows: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
     return _dealt(_dealt(rows).mapInArrow(count, packed("class", "m"))).mapInArrow(gather, "class long, m long")
 
 
+def some_rows(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``PAIRS_AT_ONCE`` / 4 tokens, those of column ``tokens``, which hold whole sets."""
+    for b in batches:
+        count = b.column(tokens).value_lengths().to_numpy(zero_copy_only=False).sum()
+        step = max(1, len(b) * PAIRS_AT_ONCE // (4 * max(1, int(count))))
+        for k in range(0, len(b), step):
+            yield b.slice(k, step)
+
+
 def packed_tokens(rows: DataFrame, n: int, hot: np.ndarray, dropped: np.ndarray, *label: str) -> DataFrame:
     """Packed pairs of ``rows(class, tokens)`` but those of ``dropped`` tokens, with the ``label`` of their rows if asked for."""
     def pack(batches):
         out = Packer(n, "token", "class", *label)
-        for b in batches:
+        for b in some_rows(batches, 0):
             tokens = b.column(0)
             size, token = tokens.value_lengths().to_numpy(zero_copy_only=False), tokens.flatten().to_numpy(zero_copy_only=False)
             cls, *other = (c.to_numpy(zero_copy_only=False) for c in b.columns[1:])
@@ -183,7 +192,7 @@ def _labelled(rows: DataFrame, total: int, hot: np.ndarray) -> tuple[DataFrame,
     one = np.zeros(0, np.int64)
     if len(hot):                                      # a frequent token counts by the range of its labels
         def ranges(batches):
-            for b in batches:
+            for b in some_rows(batches, 1):
                 tokens = b.column(1)
                 label = np.repeat(b.column(0).to_numpy(zero_copy_only=False), tokens.value_lengths().to_numpy(zero_copy_only=False))
                 token = tokens.flatten().to_numpy(zero_copy_only=False)
